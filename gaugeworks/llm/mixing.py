@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import NO_ID, ordered_id, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -134,12 +134,12 @@ def choose(rows: DataFrame, quota: DataFrame, edge_rows: int = EDGE_ROWS) -> Dat
             "mix-buckets",
         )
         found = pending.join(decided.select(*finer, "pick", "need").hint("merge"), finer)
-        done.append(found.where("pick is not null").select("row", "doc_id", "skey", "size", "pick"))
+        done.append(found.where("pick is not null").select("row", "doc_id", "source", "skey", "size", "pick"))
         largest = decided.where("pick is null").agg(F.max("c")).first()[0] or 0
         if largest <= edge_rows:
             first = F.row_number().over(Window.partitionBy(*finer).orderBy("r", "row"))
             edge = found.where("pick is null").withColumn("pick", (first <= F.col("need")).cast("int"))
-            done.append(edge.select("row", "doc_id", "skey", "size", "pick"))
+            done.append(edge.select("row", "doc_id", "source", "skey", "size", "pick"))
             break
         need = decided.where("pick is null").select(*finer, "need")
         pending = found.where("pick is null").drop("pick", "need")
@@ -172,13 +172,13 @@ def _mix(rows: DataFrame, weights, share, most, seed) -> DataFrame:
         .applyInPandas(_fit_source, "skey string, size long, n long, extra long"),
         "mix-quota",
     )
-    empty = rows.where("size = 0").select("row", "doc_id", "skey", "size", F.lit(0).alias("pick"))
+    empty = rows.where("size = 0").select("row", "doc_id", "source", "skey", "size", F.lit(0).alias("pick"))
     # one row for each source
     return (
         choose(rows.where("size > 0"), quota)
         .unionByName(empty)
         .join(F.broadcast(plan), "skey")
-        .select("row", "doc_id", "size", "source_size", "target", (F.col("whole") + F.col("pick")).alias("times"))
+        .select("row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("pick")).alias("times"))
     )
 
 
@@ -191,6 +191,7 @@ def mix(
     share: float = SHARE,
     most: float = MOST_PASSES,
     seed: int = SEED,
+    keep_source: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken, times."""
     rows = written(
@@ -203,11 +204,27 @@ def mix(
         "mix-rows",
     )
     found = _mix(rows, weights, share, most, seed)
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    columns = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"]
+    return found.select(*columns, *(["source"] if keep_source else []))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken."""
-    times = mix(docs, id_col, **options).where("times > 0")
-    per_id = times.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("times"), asc=False).alias("_times"))
-    return per_id
+    found = mix(docs, id_col, text_col, source_col, keep_source=True, **options)
+    per_id = found.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id")).agg(
+        F.sort_array(F.collect_list(F.struct("size", "source", "times"))).alias("_times")
+    )
+    # rows that share an id are told apart by their place among them
+    packed = docs.select(
+        ordered_id(id_col).alias("_id"),
+        F.struct(word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source")).alias("_key"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+    )
+    placed = packed.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy("_key")))
+    return (
+        placed.join(per_id.hint("merge"), "_id")
+        .withColumn("_n", F.element_at("_times", F.col("_place"))["times"])
+        .where("_n > 0")
+        .select("_row", F.explode(F.sequence(F.lit(1), "_n")).alias("_pass"))
+        .select("_row.*")
+    )
