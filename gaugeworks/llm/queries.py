@@ -29,7 +29,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def vocabulary_file(path: str | None = None) -> bytes:
+    """The rank file that the BPE query uses; ``path`` names another one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import digests
+
+    return digests(_read(spark, sf_dir, "documents"), vocabulary_file())
+
+
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
