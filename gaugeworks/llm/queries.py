@@ -45,7 +45,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_read(spark, sf_dir, "documents"), vocabulary_file())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_language_id": op8_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
     "op9_line_dedup": op9_line_dedup,
