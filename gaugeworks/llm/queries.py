@@ -51,7 +51,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_dedup
+
+    return near_dedup(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_language_id": op8_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_mixing": op4_mixing,
