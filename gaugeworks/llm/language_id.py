@@ -20,8 +20,11 @@ Defined results
 
 from __future__ import annotations
 
+import gc
 import math
 import re
+import uuid
+from collections import namedtuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ ORDERS = (1, 2, 3, 4, 5)
 UNKNOWN = "und"
 #: Words a task remembers scores of, besides the known ones.
 CACHE_WORDS = 300_000
+_Row = namedtuple("_Row", "lang size token n total")
+_MADE: dict[str, "Scorer"] = {}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,18 +79,37 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     return every.join(F.broadcast(totals), ["lang", "size"]).where(kept)
 
 
+class _Words(dict):
+    """Rows of scores by word. A word that isn't known gets a row of its own when it is first looked up."""
+
+    def __init__(self, scorer: Scorer, known):
+        super().__init__((word, i) for i, word in enumerate(known))
+        self.scorer, self.known = scorer, len(self)
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = self.scorer.add_unseen(word, len(self) - self.known)
+        return row
+
+    def forget(self) -> None:
+        """Keeps the known words only."""
+        for word in [w for w, i in self.items() if i >= self.known]:
+            del self[word]
+
+
 class Scorer:
     """Log frequencies by language."""
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]], floors: dict[int, np.ndarray]):
+    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
         self.langs = langs
-        self.grams = {size: tables.get(size, {}) for size in ORDERS}
-        self.floors = floors
+        width = len(langs)
+        self.grams, self.gram_scores = {}, {}
+        for size in ORDERS:
+            table = tables.get(size, {})
+            self.grams[size] = {gram: i for i, gram in enumerate(table)}
+            self.gram_scores[size] = np.array(list(table.values()), np.float64).reshape(-1, width)
         known = tables.get(0, {})
-        self.rows = {word: i for i, word in enumerate(known)}
-        self.known = len(self.rows)
-        self.scores = np.array([known[w] for w in self.rows], np.float64).reshape(-1, len(langs))
-        self.extra = np.empty((1 << 12, len(langs)))
+        self.scores = np.array(list(known.values()), np.float64).reshape(-1, width)
+        self.words = _Words(self, known)
 
     @classmethod
     def of(cls, rows) -> Scorer:
@@ -102,58 +126,64 @@ class Scorer:
             if r.token not in table:
                 table[r.token] = floors[r.size].copy()
             table[r.token][place[r.lang]] = math.log(r.n / r.total)
-        return cls(langs, tables, floors)
+        return cls(langs, tables)
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean log frequency of the word's longest n-grams that are kept, or 0 for every language."""
         padded = f" {word} "
         for size in reversed(ORDERS):
-            table = self.grams[size]
-            found = [table[g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in table]
+            get = self.grams[size].get
+            found = [row for i in range(len(padded) - size + 1) if (row := get(padded[i : i + size])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return np.add.reduce(self.gram_scores[size][found]) / len(found)
         return np.zeros(len(self.langs))
 
-    def _remember(self, words: set[str]) -> None:
-        """Adds unseen words to the cache, which is emptied first if it is full."""
-        rows = self.rows
-        if len(rows) - self.known + len(words) > CACHE_WORDS:
-            for w in [w for w, i in rows.items() if i >= self.known]:
-                del rows[w]
-        at = len(rows) - self.known
-        while at + len(words) > len(self.extra):
-            self.extra = np.concatenate([self.extra, np.empty_like(self.extra)])
-        for at, w in enumerate(words, at):
-            self.extra[at] = self.unseen(w)
-            rows[w] = self.known + at
+    def add_unseen(self, word: str, place: int) -> int:
+        at = self.words.known + place
+        if at >= len(self.scores):
+            self.scores = np.concatenate([self.scores, np.empty((max(4096, len(self.scores) // 2), len(self.langs)))])
+        self.scores[at] = self.unseen(word)
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
+        found = _WORD.findall(text.lower()) if text else []
+        if not self.langs or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
-        rows = self.rows
-        total = np.zeros(len(self.langs))
-        for start in range(0, len(words), 1 << 15):
-            part = words[start : start + (1 << 15)]
-            if missing := {w for w in part if w not in rows}:
-                self._remember(missing)
-                if not rows.keys() >= set(part):  # the cache was emptied
-                    self._remember({w for w in part if w not in rows})
-            at = np.fromiter(map(rows.__getitem__, part), np.int64, len(part))
-            old = at < self.known
-            total += self.scores[at[old]].sum(0) + self.extra[at[~old] - self.known].sum(0)
+        words, total = self.words, np.zeros(len(self.langs))
+        for start in range(0, len(found), 1 << 15):
+            part = found[start : start + (1 << 15)]
+            if len(words) - words.known > CACHE_WORDS:
+                words.forget()
+            at = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
+            total += np.add.reduce(self.scores[at])
         weights = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.langs[best], float(weights[best] / weights.sum())
 
 
+def _scorer(spark, model: DataFrame):
+    """The scorer for each task, made once in each Python worker from the model's rows, whose number has a bound."""
+    rows = [tuple(r) for r in model.select("lang", "size", "token", "n", "total").collect()]
+    shared = spark.sparkContext.broadcast(rows)
+    token = uuid.uuid4().hex
+
+    def get() -> Scorer:
+        if token not in _MADE:
+            _MADE.clear()
+            _MADE[token] = Scorer.of([_Row(*r) for r in shared.value])
+            gc.disable()  # no cycles are made, and each collection would walk the cache
+        return _MADE[token]
+
+    return get
+
+
 def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
     spark = docs.sparkSession
-    scorer = spark.sparkContext.broadcast(Scorer.of(model.collect()))  # the model's size has a bound
+    scorer = _scorer(spark, model)
 
     def run(batches):
-        scorer_here = scorer.value
+        scorer_here = scorer()
         for batch in batches:
             found = [scorer_here.predict(t.as_py()) for t in batch.column(2)]
             langs, scores = zip(*found) if found else ((), ())
@@ -174,12 +204,13 @@ def keep_languages(docs: DataFrame, least_score: float = 0.4, id_col: str = "doc
     """The rows of ``docs`` with a language that scores ``least_score`` or more, with all their columns."""
     spark = docs.sparkSession
     model = train(docs.where(~held_out(id_col)), text_col, lang_col)
-    scorer = spark.sparkContext.broadcast(Scorer.of(model.collect()))
+    scorer = _scorer(spark, model)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
+        scorer_here = scorer()
         for batch in batches:
-            found = [scorer.value.predict(t.as_py()) for t in batch.column(at)]
+            found = [scorer_here.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
 
     return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, docs.schema)
