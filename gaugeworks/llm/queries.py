@@ -64,7 +64,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .additive_quantisation import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_additive_quantisation": op1_additive_quantisation,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_language_id": op8_language_id,
