@@ -70,7 +70,42 @@ def op1_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def example_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts of ``pages``, made by rule: the tables hold none.
+
+    By the first four hex digits v of the MD5 of its key, a key is added on day v % 300; if v is even it is
+    removed 30 + v % 7 days later, and if v is a multiple of 4 it is added again 60 days after the first time.
+    Listed are a third of the hosts, a fifth of the prefixes and every domain of two labels.
+    """
+    from .url_filter import keys
+
+    found = pages.select(F.explode(keys(F.col("url"))).alias("k")).select("k.kind", "k.key").distinct()
+    v = F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int")
+    labels = F.size(F.split("key", r"\."))
+    listed = (
+        ((F.col("kind") == "host") & (v % 3 == 0)) | ((F.col("kind") == "prefix") & (v % 5 == 0)) | ((F.col("kind") == "domain") & (labels == 2))
+    )
+    day = v % 300
+    log = F.array(
+        F.struct(day.alias("day"), F.lit("add").alias("action")),
+        F.when(v % 2 == 0, F.struct((day + 30 + v % 7).alias("day"), F.lit("remove").alias("action"))),
+        F.when(v % 4 == 0, F.struct((day + 60).alias("day"), F.lit("add").alias("action"))),
+    )
+    return found.where(listed).select("kind", "key", F.explode(log).alias("e")).where("e is not null").select("kind", "key", "e.day", "e.action")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_filter
+
+    pages = _read(spark, sf_dir, "pages")
+    # the table has no time of fetching: page_id decides the day
+    captures = pages.select("page_id", "url", (F.col("page_id") * 37 % 365).cast("int").alias("day"))
+    found = url_filter(captures, example_list(pages), "page_id", "url", "day")
+    return found.select(F.col("id").alias("page_id"), F.col("time").alias("day"), "blocked", "n_matches", "first_match")
+
+
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op1_additive_quantisation": op1_additive_quantisation,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
@@ -82,6 +117,48 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_url_filter": r"""
+        WITH captures AS (
+            SELECT page_id, url, CAST(page_id * 37 % 365 AS INT) AS day,
+                   nullif(regexp_replace(lower(regexp_extract(
+                       url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '^www\.', ''), '') AS host,
+                   regexp_extract(url, '^[^:]+://[^/?#]+/([^/?#]+)', 1) AS segment
+            FROM pages
+        ),
+        labelled AS (SELECT *, string_split(host, '.') AS labels FROM captures),
+        asked AS (
+            SELECT page_id, day, 'host' AS kind, host AS key FROM labelled
+            UNION ALL SELECT page_id, day, 'domain', host FROM labelled
+            UNION ALL SELECT page_id, day, 'prefix', host || '/' || segment FROM labelled WHERE segment <> ''
+            UNION ALL SELECT page_id, day, 'domain', array_to_string(labels[i:], '.')
+                      FROM labelled, unnest(range(2, len(labels))) AS r(i)
+        ),
+        found AS (
+            SELECT DISTINCT kind, key, CAST('0x' || substr(md5(key), 1, 4) AS INT) AS v
+            FROM asked WHERE key IS NOT NULL
+        ),
+        listed AS (
+            SELECT * FROM found
+            WHERE kind = 'host' AND v % 3 = 0 OR kind = 'prefix' AND v % 5 = 0
+               OR kind = 'domain' AND len(string_split(key, '.')) = 2
+        ),
+        log AS (
+            SELECT kind, key, v % 300 AS at, 'add' AS action FROM listed
+            UNION ALL SELECT kind, key, v % 300 + 30 + v % 7, 'remove' FROM listed WHERE v % 2 = 0
+            UNION ALL SELECT kind, key, v % 300 + 60, 'add' FROM listed WHERE v % 4 = 0
+        ),
+        latest AS (
+            SELECT a.page_id, a.kind, a.key, arg_max(l.action, l.at) AS action
+            FROM asked a JOIN log l ON a.kind = l.kind AND a.key = l.key AND l.at <= a.day
+            GROUP BY a.page_id, a.kind, a.key
+        ),
+        matches AS (
+            SELECT page_id, count(*) AS n, min(kind || ' ' || key) AS first_match
+            FROM latest WHERE action = 'add' GROUP BY page_id
+        )
+        SELECT c.page_id, c.day, m.n IS NOT NULL AS blocked, coalesce(m.n, 0) AS n_matches, m.first_match
+        FROM captures c LEFT JOIN matches m ON c.page_id = m.page_id
+    """,
     "op9_line_dedup": """
         WITH lines AS (
             SELECT doc_id, pos, line,
