@@ -104,7 +104,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), F.col("time").alias("day"), "blocked", "n_matches", "first_match")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality
+
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op7_quality_classifier": op7_quality_classifier,
     "op2_url_filter": op2_url_filter,
     "op1_additive_quantisation": op1_additive_quantisation,
     "op5_substring_dedup": op5_substring_dedup,
