@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Classes of code points. Fixed by the pattern 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 OTHER, LETTER, NUMBER, SPACE, WHITE, QUOTE, ONE, LET_R, LET_V, LET_L, LET_E, END = range(12)
@@ -288,10 +290,11 @@ def encode(docs: DataFrame, vocabulary_file: bytes, per_text, schema: str, id_co
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts):
                 rows = [per_text(words, ids) for ids in words.encode(texts[a:b])]
-                columns = [batch.column(0).slice(a, b - a), *map(pa.array, zip(*rows))]
+                columns = [batch.column(0).slice(a, b - a), *map(pa.array, zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["doc_id", *(x.split()[0] for x in schema.split(","))]
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    names, kinds = ["doc_id", *shape.names], shape.types
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))
     return rows.mapInArrow(run, f"doc_id long, {schema}")
 
