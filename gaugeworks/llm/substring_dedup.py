@@ -25,16 +25,17 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ordered_id, written
+from .common import NO_ID, ordered_id, shared_folder, written
 from .minhash_dedup import _powers, mix64
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -126,8 +127,9 @@ def _opened(batch: pa.RecordBatch):
         yield batch.column(0)[i].as_py(), ids, bounds, zstandard.ZstdDecompressor().decompress(batch.column(3)[i].as_py()), batch.column(4)[i]
 
 
-def _sid(passage: bytes) -> bytes:
-    return hashlib.blake2b(passage, digest_size=16).digest()
+def _sid(passage: bytes) -> int:
+    """With the anchor, 128 bits that stand for a passage."""
+    return int.from_bytes(hashlib.blake2b(passage, digest_size=8).digest(), "little", signed=True)
 
 
 def extracted(chunks: DataFrame) -> DataFrame:
@@ -151,12 +153,12 @@ def extracted(chunks: DataFrame) -> DataFrame:
                         known[2] = id_
                 hs, least, most = zip(*found.values()) if found else ((), (), ())
                 columns = [
-                    pa.array(hs, pa.int64()), pa.array(map(_sid, found), pa.binary()), pa.array(list(found), pa.binary()),
+                    pa.array(hs, pa.int64()), pa.array(map(_sid, found), pa.int64()), pa.array(list(found), pa.binary()),
                     pa.array([chunk] * len(found), pa.int64()), pa.array(least, pa.int64()), pa.array(most, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "passage", "chunk", "least", "most"])
 
-    return chunks.mapInArrow(run, "anchor long, sid binary, passage binary, chunk long, least long, most long")
+    return chunks.mapInArrow(run, "anchor long, sid long, passage binary, chunk long, least long, most long")
 
 
 def shard_strings(texts: list[bytes], least: np.ndarray) -> list[int]:
@@ -182,52 +184,72 @@ def shard_strings(texts: list[bytes], least: np.ndarray) -> list[int]:
     return masks
 
 
-def sorted_shards(rows: DataFrame) -> DataFrame:
-    """(sid, least, most, mask) of (anchor, sid, passage, least, most) rows whose anchors lie together in order."""
+def sorted_shards(rows: DataFrame, hot_passages: int) -> DataFrame:
+    """(anchor, sid, least, most, mask) of (anchor, sid, passage, least, most, n) rows whose anchors lie together,
+    n passages each. A passage of a hot anchor is handed on with no mask."""
 
     def run(batches):
-        def out(part):
-            masks = shard_strings([p for _, _, p, _, _ in part], np.array([x for *_, x, _ in part], np.int64))
-            columns = [pa.array([p[1] for p in part], pa.binary()), *(pa.array([p[i] for p in part], pa.int64()) for i in (3, 4)), pa.array(masks, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["sid", "least", "most", "mask"])
+        def out(rows, masks, passages_=None):
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1, 3, 4)]
+            columns += [pa.array(masks, pa.int64()), pa.array(passages_ or [None] * len(rows), pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "least", "most", "mask", "passage"])
+
+        def sort(part):
+            return out(part, shard_strings([r[2] for r in part], np.array([r[3] for r in part], np.int64)))
 
         part, size = [], 0
         for batch in batches:
+            alone, hot = [], []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[5] == 1:
+                    if row[4] > row[3]:
+                        alone.append(row)
+                    continue
+                if row[5] > hot_passages:
+                    hot.append(row)
+                    continue
                 if size >= SHARD_BYTES and row[0] != part[-1][0]:
-                    yield out(part)
+                    yield sort(part)
                     part, size = [], 0
                 part.append(row)
                 size += len(row[2])
+            yield out(alone, [0] * len(alone))
+            yield out(hot, [None] * len(hot), [r[2] for r in hot])
         if part:
-            yield out(part)
+            yield sort(part)
 
-    return rows.select("anchor", "sid", "passage", "least", "most").mapInArrow(run, "sid binary, least long, most long, mask long")
+    return rows.select("anchor", "sid", "passage", "least", "most", "n").mapInArrow(
+        run, "anchor long, sid long, least long, most long, mask long, passage binary"
+    )
 
 
 def _string_by_string(rows: DataFrame) -> DataFrame:
-    """As :func:`sorted_shards`, by grouping each string."""
+    """The masks of hot anchors' passages, by grouping each string."""
+    places = F.sequence(F.lit(1), F.length("passage") - LENGTH + 1)
     strings = rows.select(
-        "sid", "least", "most", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("passage") - LENGTH + 1), lambda i: F.substring("passage", i, F.lit(LENGTH)))).alias("i", "string")
+        "anchor", "sid", "least", F.posexplode(F.transform(places, lambda i: F.substring("passage", i, F.lit(LENGTH)))).alias("i", "string")
     )
     smallest = written(strings.groupBy("string").agg(F.min("least").alias("smallest")), "strings")
     hit = strings.join(smallest.hint("merge"), "string").where("smallest < least")
-    masks = hit.groupBy("sid").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
-    return rows.select("sid", "least", "most").join(masks.hint("merge"), "sid", "left").select("sid", "least", "most", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
+    masks = written(hit.groupBy("anchor", "sid").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask")), "masks")
+    return rows.drop("mask", "passage").join(masks.hint("merge"), ["anchor", "sid"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
 
 
 def decided(found: DataFrame, hot_passages: int = HOT_PASSAGES) -> DataFrame:
-    """(sid, least, most, mask) of the passages that remove something."""
-    distinct = written(
-        found.groupBy("anchor", "sid", "passage").agg(F.min("least").alias("least"), F.max("most").alias("most")), "passages"
-    )
-    per_anchor = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors")
-    shared = distinct.join(per_anchor.hint("merge"), "anchor")
+    """(anchor, sid, least, most, mask) of the passages that remove something."""
     partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = sorted_shards(shared.where(F.col("n") <= hot_passages).repartition(partitions, "anchor").sortWithinPartitions("anchor", "sid"))
-    hot = _string_by_string(shared.where(F.col("n") > hot_passages))
-    alone = distinct.join(per_anchor.hint("merge"), "anchor", "left_anti").select("sid", "least", "most", F.lit(0).cast("long").alias("mask"))
-    return some.unionByName(hot).unionByName(alone).where("mask <> 0 or most > least")
+    distinct = (
+        found.repartition(partitions, "anchor")
+        .groupBy("anchor", "sid", "passage")
+        .agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
+        .sortWithinPartitions("anchor")
+    )
+    all_ = written(sorted_shards(distinct, hot_passages), "decided")
+    some, hot = all_.where("mask is not null").drop("passage"), all_.where("mask is null")
+    if hot.head(1):
+        some = some.unionByName(_string_by_string(hot))
+    return some.where("mask <> 0 or most > least")
 
 
 def removed(chunks: DataFrame) -> DataFrame:
@@ -240,11 +262,15 @@ def removed(chunks: DataFrame) -> DataFrame:
                 cover = np.zeros(len(data) + 1, np.int32)
                 values = decisions.values
                 if values is not None and len(values):
-                    known = dict(zip(values.field("sid").to_pylist(), zip(values.field("least").to_pylist(), values.field("mask").to_pylist())))
+                    parts = (values.field(x).to_numpy() for x in ("anchor", "sid", "least", "mask"))
+                    marked, sids, least, masks = parts
+                    known = dict(zip(zip(marked.tolist(), sids.tolist()), zip(least.tolist(), masks.tolist())))
                     doc, first, last, anchors = passages(data, bounds)
+                    anchors = anchors.astype(np.int64)
+                    at = np.flatnonzero(np.isin(anchors, marked))
                     starts, ends = [], []
-                    for a, b, id_ in zip(first.tolist(), last.tolist(), ids[doc].tolist()):
-                        decision = known.get(_sid(raw[a : b + LENGTH]))
+                    for a, b, id_, h in zip(first[at].tolist(), last[at].tolist(), ids[doc[at]].tolist(), anchors[at].tolist()):
+                        decision = known.get((h, _sid(raw[a : b + LENGTH])))
                         if decision is None:
                             continue
                         if id_ > decision[0]:
@@ -275,22 +301,31 @@ def removed(chunks: DataFrame) -> DataFrame:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_passages: int = HOT_PASSAGES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of ``docs``; ``kept`` is what stays, as bytes."""
-    chunks = written(chunked(docs.select(ordered_id(id_col).alias("id"), F.col(text_col).alias("text"))), "chunks")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = (
-        chunks.select("chunk", F.explode("once").alias("anchor"), F.lit(1).alias("docs"))
-        .unionByName(chunks.select("chunk", F.explode("twice").alias("anchor"), F.lit(2).alias("docs")))
-        .repartition(partitions, "anchor")
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"chunks_{uuid.uuid4().hex}"
+    packed = chunked(docs.select(ordered_id(id_col).alias("id"), F.col(text_col).alias("text")))
+    # bucketed by chunk where they are made: both joins by chunk leave these bytes where they lie
+    packed.write.bucketBy(partitions, "chunk").sortBy("chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    chunks = spark.table(name)
+    held = chunks.select(F.explode("once").alias("anchor"), (F.col("chunk") * 2).alias("tag")).unionByName(
+        chunks.select(F.explode("twice").alias("anchor"), (F.col("chunk") * 2 + 1).alias("tag"))
+    )
+    # one row for each chunk and anchor, so a window holds no more rows than there are chunks
+    docs_of = F.sum(1 + F.col("tag") % 2).over(Window.partitionBy("anchor"))
+    per_chunk = (
+        held.withColumn("docs", docs_of)
+        .where("docs > 1")
+        .groupBy(F.shiftright("tag", 1).alias("chunk"))
+        .agg(F.collect_list("anchor").alias("repeated"))
     )
-    repeated = held.groupBy("anchor").agg(F.sum("docs").alias("docs")).where("docs > 1").select("anchor")
-    per_chunk = held.select("anchor", "chunk").join(repeated.hint("merge"), "anchor").groupBy("chunk").agg(F.collect_list("anchor").alias("repeated"))
-    packed = chunks.select("chunk", "ids", "bounds", "data")
-    found = written(extracted(packed.join(per_chunk.hint("merge"), "chunk")), "extracted")
+    data = chunks.select("chunk", "ids", "bounds", "data")
+    found = written(extracted(data.join(per_chunk.hint("merge"), "chunk")), "extracted")
     decisions = written(decided(found, hot_passages), "decisions")
     back = (
-        found.select("sid", "chunk")
-        .join(decisions.hint("merge"), "sid")
+        found.select("anchor", "sid", "chunk")
+        .join(decisions.hint("merge"), ["anchor", "sid"])
         .groupBy("chunk")
-        .agg(F.collect_list(F.struct("sid", "least", "mask")).alias("decisions"))
+        .agg(F.collect_list(F.struct("anchor", "sid", "least", "mask")).alias("decisions"))
     )
-    return removed(packed.join(back.hint("merge"), "chunk", "left"))
+    return removed(data.join(back.hint("merge"), "chunk", "left"))

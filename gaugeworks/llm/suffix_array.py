@@ -26,17 +26,22 @@ def _smaller(text: np.ndarray) -> np.ndarray:
 
 def _places(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     """The rank of each sorted element among those with its symbol."""
-    first = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-    return np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+    counts = np.bincount(symbols)
+    return np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """A stable order; short integers are sorted by radix."""
+    return np.argsort(symbols.astype(np.uint16) if len(symbols) and symbols.max() < 1 << 16 else symbols, kind="stable")
 
 
 def _induce(text: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, from LMS suffixes in order (or by their first symbols alone)."""
     n, ends = len(text), np.cumsum(sizes)
     starts = ends - sizes
-    array = np.full(n, -1, np.int64)
+    array = np.full(n, -1, np.int32)
     symbols = text[lms]
-    order = np.argsort(symbols, kind="stable")
+    order = _by_symbol(symbols)
     counts = np.bincount(symbols, minlength=len(sizes))
     array[ends[symbols[order]] - counts[symbols[order]] + _places(symbols, order)] = lms[order]
     head, tail = starts.copy(), ends - counts
@@ -46,7 +51,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.nd
         before = before[~smaller[before]]
         if len(before):
             symbols = text[before]
-            order = np.argsort(symbols, kind="stable")
+            order = _by_symbol(symbols)
             array[head[symbols[order]] + _places(symbols, order)] = before[order]
             head[:] += np.bincount(symbols, minlength=len(head))
 
@@ -65,7 +70,7 @@ def _induce(text: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.nd
         before = before[smaller[before]]
         if len(before):
             symbols = text[before]
-            order = np.argsort(symbols, kind="stable")
+            order = _by_symbol(symbols)
             array[tail[symbols[order]] - 1 - _places(symbols, order)] = before[order]
             tail[:] -= np.bincount(symbols, minlength=len(tail))
 
@@ -85,27 +90,34 @@ def _induce(text: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.nd
 
 def _induce_singly(text: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """As :func:`_induce`, suffix by suffix."""
-    t, s, n = text.tolist(), smaller.tolist(), len(text)
-    array, ends = [-1] * n, np.cumsum(sizes).tolist()
-    tail = list(ends)
-    for i in reversed(lms.tolist()):
-        tail[t[i]] -= 1
-        array[tail[t[i]]] = i
-    head = (np.cumsum(sizes) - sizes).tolist()
-    for r in range(n):
-        j = array[r] - 1
-        if j >= 0 and not s[j]:
-            array[head[t[j]]] = j
-            head[t[j]] += 1
-    tail = ends
-    tail[t[-1]] -= 1
-    array[tail[t[-1]]] = n - 1
-    for r in range(n - 1, -1, -1):
-        j = array[r] - 1
-        if j >= 0 and s[j]:
-            tail[t[j]] -= 1
-            array[tail[t[j]]] = j
-    return np.array(array, np.int64)
+    n = len(text)
+    # the symbol of the suffix that each suffix induces in a pass, or -1; the last entry stands for "unknown"
+    induces_larger, induces_smaller = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    induces_larger[1:n] = np.where(smaller[:-1], -1, text[:-1])
+    induces_smaller[1:n] = np.where(smaller[:-1], text[:-1], -1)
+    symbols, ends = text[lms], np.cumsum(sizes)
+    order = np.argsort(symbols, kind="stable")
+    counts = np.bincount(symbols, minlength=len(sizes))
+    array = np.full(n, -1, np.int64)
+    array[ends[symbols[order]] - counts[symbols[order]] + _places(symbols, order)] = lms[order]
+    array, head, tail = array.tolist(), (ends - sizes).tolist(), ends.tolist()
+    symbol = induces_larger.tolist()
+    for i in array:  # grows ahead of the loop
+        c = symbol[i]
+        if c >= 0:
+            at = head[c]
+            array[at] = i - 1
+            head[c] = at + 1
+    tail[text[-1]] -= 1
+    array[tail[text[-1]]] = n - 1
+    symbol = induces_smaller.tolist()
+    for i in reversed(array):
+        c = symbol[i]
+        if c >= 0:
+            at = tail[c] - 1
+            array[at] = i - 1
+            tail[c] = at
+    return np.array(array, np.int32)
 
 
 def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
@@ -129,9 +141,9 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.n
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of non-negative integers that end in a unique smallest one."""
-    text = text.astype(np.int64)
+    text = text.astype(np.int32)
     if len(text) == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     sizes = np.bincount(text)
     induce = _induce if len(sizes) <= WAVE_ALPHABET else _induce_singly
     smaller = _smaller(text)
