@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import heapq
 from functools import lru_cache
 from itertools import chain
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .common import slices, worker_state
+
 #: Classes of code points. Fixed by the pattern 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 OTHER, LETTER, NUMBER, SPACE, WHITE, QUOTE, ONE, LET_R, LET_V, LET_L, LET_E, END = range(12)
 #: States: a token is complete; in letters, in numbers, in others; after a quote that began a token, and
@@ -40,7 +43,7 @@ _LETTERS = (LETTER, ONE, LET_R, LET_V, LET_L, LET_E)
 CHUNK_CHARS = 1 << 20
 BLOCK = 128
 #: Cached pieces of a task; the cache starts anew when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Longer pieces are merged with a heap.
 LONG_PIECE = 64
 
@@ -262,11 +265,6 @@ class Vocabulary:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(2)
-def vocabulary(file: bytes) -> Vocabulary:
-    return Vocabulary(file)
-
-
 def chunks(texts: list[str], chars: int = CHUNK_CHARS):
     """(start, end) of runs of texts with about so many characters."""
     start = size = 0
@@ -284,15 +282,16 @@ def encode(docs: DataFrame, vocabulary_file: bytes, per_text, schema: str, id_co
     file = docs.sparkSession.sparkContext.broadcast(vocabulary_file)  # the vocabulary's size doesn't depend on the input
 
     def run(batches):
-        words = vocabulary(file.value)
+        words = worker_state(token, lambda: Vocabulary(file.value))
         gc.disable()  # no cycles are made, and each collection would walk the cache
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for part in chain.from_iterable(map(slices, batches)):
+            texts = [t or "" for t in part.column(1).to_pylist()]
             for a, b in chunks(texts):
                 rows = [per_text(words, ids) for ids in words.encode(texts[a:b])]
-                columns = [batch.column(0).slice(a, b - a), *map(pa.array, zip(*rows), kinds)]
+                columns = [part.column(0).slice(a, b - a), *map(pa.array, zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    token = f"bpe {hashlib.blake2b(vocabulary_file).hexdigest()}"
     shape = to_arrow_schema(StructType.fromDDL(schema))
     names, kinds = ["doc_id", *shape.names], shape.types
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{text_col}`"].alias("text"))

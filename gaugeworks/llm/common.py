@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +46,25 @@ def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
 def ordered_id(column: str = "doc_id") -> Column:
     """The id as a long for ordering; a null id comes first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+_STATE: dict[str, Any] = {}
+
+
+def worker_state(token: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, made once; only the last operator's is kept."""
+    if token not in _STATE:
+        _STATE.clear()
+        _STATE[token] = make()
+    return _STATE[token]
+
+
+def forget_state() -> None:
+    """Frees what another operator's tasks have left in this Python worker."""
+    _STATE.clear()
+
+
+def slices(batch, rows: int = 512):
+    """A record batch in parts, so that Python copies of a part only are held at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -24,23 +24,20 @@ import gc
 import math
 import re
 import uuid
-from collections import namedtuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import worker_state, written
 
 KNOWN_SHARE = 1e-5
 GRAM_SHARE = 2e-5
 ORDERS = (1, 2, 3, 4, 5)
 UNKNOWN = "und"
 #: Words a task remembers scores of, besides the known ones.
-CACHE_WORDS = 300_000
-_Row = namedtuple("_Row", "lang size token n total")
-_MADE: dict[str, "Scorer"] = {}
+CACHE_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -99,34 +96,17 @@ class _Words(dict):
 class Scorer:
     """Log frequencies by language."""
 
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: dict[int, tuple[str, np.ndarray]]):
+        """``tables``: by size, the tokens with a line end between them and their scores by language."""
         self.langs = langs
-        width = len(langs)
+        none = ("", np.zeros((0, len(langs)), np.float32))
         self.grams, self.gram_scores = {}, {}
         for size in ORDERS:
-            table = tables.get(size, {})
-            self.grams[size] = {gram: i for i, gram in enumerate(table)}
-            self.gram_scores[size] = np.array(list(table.values()), np.float64).reshape(-1, width)
-        known = tables.get(0, {})
-        self.scores = np.array(list(known.values()), np.float64).reshape(-1, width)
-        self.words = _Words(self, known)
-
-    @classmethod
-    def of(cls, rows) -> Scorer:
-        """From rows of :func:`train`."""
-        langs = sorted({r.lang for r in rows})
-        place = {lang: i for i, lang in enumerate(langs)}
-        totals: dict[int, np.ndarray] = {}
-        for r in rows:
-            totals.setdefault(r.size, np.ones(len(langs)))[place[r.lang]] = r.total
-        floors = {size: np.log(0.5 / t) for size, t in totals.items()}
-        tables: dict[int, dict[str, np.ndarray]] = {}
-        for r in rows:
-            table = tables.setdefault(r.size, {})
-            if r.token not in table:
-                table[r.token] = floors[r.size].copy()
-            table[r.token][place[r.lang]] = math.log(r.n / r.total)
-        return cls(langs, tables)
+            tokens, self.gram_scores[size] = tables.get(size, none)
+            self.grams[size] = {gram: i for i, gram in enumerate(tokens.split("\n"))} if tokens else {}
+        tokens, scores = tables.get(0, none)
+        self.scores = scores.astype(np.float64)
+        self.words = _Words(self, tokens.split("\n") if tokens else [])
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean log frequency of the word's longest n-grams that are kept, or 0 for every language."""
@@ -161,20 +141,32 @@ class Scorer:
         return self.langs[best], float(weights[best] / weights.sum())
 
 
+def tabulated(rows) -> tuple[list[str], dict[int, tuple[str, np.ndarray]]]:
+    """Languages and tables for :class:`Scorer`, from rows of :func:`train`."""
+    langs = sorted({r.lang for r in rows})
+    place = {lang: i for i, lang in enumerate(langs)}
+    totals: dict[int, np.ndarray] = {}
+    tokens: dict[int, dict[str, int]] = {}
+    for r in rows:
+        totals.setdefault(r.size, np.ones(len(langs)))[place[r.lang]] = r.total
+        known = tokens.setdefault(r.size, {})
+        known.setdefault(r.token, len(known))
+    scores = {size: np.tile(np.log(0.5 / totals[size]), (len(known), 1)).astype(np.float32) for size, known in tokens.items()}
+    for r in rows:
+        scores[r.size][tokens[r.size][r.token], place[r.lang]] = math.log(r.n / r.total)
+    return langs, {size: ("\n".join(known), scores[size]) for size, known in tokens.items()}
+
+
 def _scorer(spark, model: DataFrame):
-    """The scorer for each task, made once in each Python worker from the model's rows, whose number has a bound."""
-    rows = [tuple(r) for r in model.select("lang", "size", "token", "n", "total").collect()]
-    shared = spark.sparkContext.broadcast(rows)
+    """A function that gives a task its scorer, made once in each Python worker; the model's size has a bound."""
+    shared = spark.sparkContext.broadcast(tabulated(model.select("lang", "size", "token", "n", "total").collect()))
     token = uuid.uuid4().hex
 
-    def get() -> Scorer:
-        if token not in _MADE:
-            _MADE.clear()
-            _MADE[token] = Scorer.of([_Row(*r) for r in shared.value])
-            gc.disable()  # no cycles are made, and each collection would walk the cache
-        return _MADE[token]
+    def make() -> Scorer:
+        gc.disable()  # no cycles are made, and each collection would walk the cache
+        return Scorer(*shared.value)
 
-    return get
+    return lambda: worker_state(token, make)
 
 
 def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,13 +28,14 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACES, ordered_id, written
+from .common import NO_ID, SPACES, forget_state, ordered_id, slices, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -159,8 +160,9 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     """How many (document, shingle) pairs each of the buckets has, and the number of documents with words."""
 
     def run(batches):
+        forget_state()
         counts, total = np.zeros(DF_BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in text_chunks(texts):
                 hashes, _, sizes = bags(texts[a:b])
@@ -187,7 +189,7 @@ def signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
 
     def run(batches):
         table = np.log(shared.value)
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in text_chunks(texts):
                 hashes, counts, sizes = bags(texts[a:b])
@@ -229,7 +231,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = []
             for i, j in text_chunks([x + y for x, y in zip(left, right)]):
