@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, ordered_id, shared_folder, written
-from .minhash_dedup import _powers, mix64
+from .minhash_dedup import mix64
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 50
@@ -44,37 +44,48 @@ ANCHOR = 16
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 HOT_PASSAGES = 20_000
-_LOW = np.uint64(0xFFFFFFFF)
+#: Strings that are looked at together.
+BLOCK = 1 << 16
+_LOW, _SEED = np.uint64(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
 
-def passages(data: np.ndarray, bounds: np.ndarray):
-    """(document, first string, last string, anchor) of every passage of texts that lie end to end."""
-    n = len(data)
-    if n < LENGTH:
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
-    power, inverse = _powers(1 << max(16, n.bit_length()))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
-    hashes = mix64((total[ANCHOR:] - total[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
+def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of ``LENGTH`` bytes of the data: where its anchor starts, and the anchor's hash."""
+    word = data.astype(np.uint64)
+    for width in (1, 2, 4):  # eight bytes from each place on
+        word = word[:-width] | word[width:] << np.uint64(8 * width)
+    hashes = mix64(mix64(word[:-8] + _SEED) + word[8:])
     least = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
     width, done = LENGTH - ANCHOR + 1, 1
     while done < width:
         step = min(done, width - done)
         least = np.minimum(least[:-step], least[step:])
         done += step
-    anchor = (least & _LOW).astype(np.int64)
-    sizes = np.diff(bounds)
-    whole = np.zeros(n - LENGTH + 1, np.int64)  # the document that holds a whole string, from 1
-    long = np.flatnonzero(sizes >= LENGTH)
-    at = np.zeros(n + 2, np.int64)
-    np.add.at(at, bounds[long], long + 1)
-    np.add.at(at, bounds[long + 1] - LENGTH + 1, -(long + 1))
-    whole = np.cumsum(at)[: n - LENGTH + 1]
-    change = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(whole, prepend=-1) != 0))
-    last = np.append(change[1:], len(anchor)) - 1
-    inside = whole[change] > 0
-    first, last = change[inside], last[inside]
-    return whole[first] - 1, first, last, hashes[anchor[first]]
+    at = (least & _LOW).astype(np.int64)
+    return at, hashes[at]
+
+
+def passages(data: np.ndarray, bounds: np.ndarray):
+    """(document, first string, last string, anchor) of every passage of texts that lie end to end.
+
+    The data are walked in blocks that fit the processor's cache. A passage may be cut at a block's end; its
+    strings still have the same anchor.
+    """
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none, np.zeros(0, np.uint64))]
+    edges = np.unique(np.concatenate([bounds, bounds - LENGTH + 1]))
+    for start in range(0, len(data) - LENGTH + 1, BLOCK):
+        at, hashes = _anchors(data[start : start + BLOCK + LENGTH - 1])
+        inside = edges[np.searchsorted(edges, start + 1) : np.searchsorted(edges, start + len(at))] - start
+        change = np.diff(at, prepend=-1) != 0
+        change[inside] = True
+        first = np.flatnonzero(change)
+        last = np.append(first[1:], len(at)) - 1
+        doc = np.searchsorted(bounds, first + start, side="right") - 1
+        whole = first + start + LENGTH <= bounds[doc + 1]
+        first, last = first[whole], last[whole]
+        found.append((doc[whole], first + start, last + start, hashes[first]))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def _pack(ids: list[int], texts: list[bytes], number: int):
