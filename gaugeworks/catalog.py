@@ -790,3 +790,69 @@ def spaced_points(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     points = _events(spark, d).select("user_id", k, (k * 71 % 97).cast("double").alias("x"), (k * 29 % 89).cast("double").alias("y"))
     return sequential.greedy_spacing(points, ["user_id"], ["event_id"], 20.0, 12)
+
+
+# ---------------------------------------------------------------- rasters
+
+
+def drawn_fibres(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as grey images of one dark fibre each, with a hand-drawn line across it."""
+    import numpy as np
+    import pandas as pd
+
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+
+    def draw(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["id"]:
+                image = np.full((60, 120), 235, np.uint8)
+                left, width = 40 + k % 20, 6 + k % 15
+                image[:, left : left + width] = 25
+                out.append((k, image.tobytes(), 120, 60, float(left - 18), 30.0, float(left + width + 18), 30.0, int(width)))
+            yield pd.DataFrame(out, columns=["id", "pixels", "width", "height", "x0", "y0", "x1", "y1", "fibre"])
+
+    return rows.mapInPandas(draw, "id long, pixels binary, width int, height int, x0 double, y0 double, x1 double, y1 double, fibre int")
+
+
+@query("SELECT s_suppkey AS id, 'snapped' AS status, (6 + s_suppkey % 15)::INT AS width FROM supplier")
+def edge_snap(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.raster import edge_snap as snapped
+
+    return snapped(drawn_fibres(spark, d)).select("id", "status", F.round("diameter_px").cast("int").alias("width"))
+
+
+@query("""
+    SELECT s_suppkey AS id, 60 * (6 + s_suppkey % 15) AS area, 1 AS parts, 40 + s_suppkey % 20 AS min_x, 45 + s_suppkey % 20 + s_suppkey % 15 AS max_x FROM supplier
+""")
+def mask_measures(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.raster import mask_measures as measured
+
+    masks = drawn_fibres(spark, d).withColumn("pixels", F.unhex(F.translate(F.hex("pixels"), "EB19", "0011")))
+    return measured(masks).select("id", "area", "parts", "min_x", "max_x")
+
+
+@query("""
+    SELECT s_suppkey AS id, round((235.0 * (120 - w) + 25.0 * w) / 120 + 1e-7, 4) AS mean FROM (SELECT *, 6 + s_suppkey % 15 AS w FROM supplier)
+""")
+def frame_measures(spark: SparkSession, d: str) -> DataFrame:
+    from .operators.raster import frame_measures as measured
+
+    return measured(drawn_fibres(spark, d)).select("id", r4("mean").alias("mean"))
+
+
+@query()
+def ring_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of boxes that hold each other's first corner, by drawing."""
+    from .operators.raster import overlap_pairs
+
+    boxes = _boxes(spark, d).where("shape % 3 = 0")
+    corners = boxes.select(F.col("shape").alias("a"), F.col("min_x").alias("x"), F.col("min_y").alias("y"), F.struct("min_x", "min_y", "max_x", "max_y").alias("box"))
+
+    def rings(b):
+        x0, y0, x1, y1 = b["min_x"], b["min_y"], b["max_x"], b["max_y"]
+        return F.array(F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1)))
+
+    held = spatial.point_box_join(corners, boxes).where("a <> shape")
+    pairs = held.select("a", F.col("shape").alias("b"), rings(F.col("box")).alias("rings_a"), rings(F.struct("min_x", "min_y", "max_x", "max_y")).alias("rings_b"))
+    return overlap_pairs(pairs)

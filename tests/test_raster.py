@@ -1,0 +1,49 @@
+import numpy as np
+import pytest
+
+from gaugeworks.operators import raster as R
+
+
+def test_dark_fibre_snaps():
+    image = np.full((80, 120), 235, np.uint8)
+    image[:, 54:66] = 25
+    status, x0, _, x1, _, width, confidence = R.snap(image, 35.0, 40.0, 85.0, 40.0)
+    assert status == "snapped" and width == pytest.approx(12, abs=1) and x0 < x1 and confidence > 0.8
+
+
+def test_flat_and_short_lines():
+    image = np.full((80, 120), 128, np.uint8)
+    image[:, 54:66] = 126
+    assert R.snap(image, 35.0, 40.0, 85.0, 40.0)[0] == "profile_too_flat"
+    assert R.snap(image, 35.0, 40.0, 36.0, 40.0)[0] == "line_too_short"
+
+
+def test_masks():
+    mask = np.zeros((20, 30), bool)
+    mask[2:12, 3:13] = True
+    mask[5:8, 6:9] = False
+    mask[15:17, 20:22] = True
+    label = R.components(mask)
+    assert label.max() == 2 and R.largest(mask).sum() == 91
+    assert R.fill_holes(mask).sum() == 104 and R.cleaned(mask).sum() == 100
+    assert R.chosen_component(mask, [(20.0, 15.0)], []).sum() == 4
+    assert R.components(np.ones((3, 3), bool)).max() == 1 and R.components(np.zeros((3, 3), bool)).max() == 0
+
+
+def test_overlap_of_rings():
+    square = np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float)
+    assert R.rings_iou([square], [square]) == 1 and R.rings_iou([square], [square + 40]) == 0
+    assert 0.3 < R.rings_iou([square], [square + (5, 0)]) < 0.45
+
+
+def test_frames():
+    rng = np.random.default_rng(1)
+    sharp = rng.integers(0, 255, (64, 64)).astype(np.float64)
+    assert R.focus(sharp) > R.focus((sharp + np.roll(sharp, 1, 0) + np.roll(sharp, 1, 1)) / 3)
+    dx, dy, response = R.shift_between(np.roll(sharp, (3, -5), (0, 1)), sharp)
+    assert (dx, dy) == (-5, 3) and response > 0.1
+    assert R.correlation(sharp, sharp) == pytest.approx(1) and R.correlation(sharp, np.zeros((64, 64))) == -1
+
+
+def test_simplified():
+    assert R.simplified([(0, 0), (1, 0.01), (2, 0), (2, 2)], 0.1) == [(0, 0), (2, 0), (2, 2)]
