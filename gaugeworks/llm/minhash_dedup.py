@@ -8,8 +8,8 @@ chance to agree is the weighted Jaccard similarity; each band of samples is a bu
 Documents with the same shingles and counts (copies) are taken together first: one stands for all. Within a
 bucket of at most ``ALL_PAIRS`` stand-ins every pair is a candidate; in a larger one each is paired with the
 bucket's leader and with its neighbour when sorted by the next band, so pairs grow with the bucket, not with
-its square. A bucket that holds a thousandth of all rows is dealt out by that next band to several tasks,
-whose leaders are paired with the leader of all. Candidates are verified by exact weighted Jaccard
+its square. A bucket that holds a thousandth of all rows is dealt out to several tasks, each of which pairs
+its members with the leader of all and with neighbours. Candidates are verified by exact weighted Jaccard
 similarity. Classes are the connected components of verified pairs, found by minimum labels over links and
 shortcuts through labels. Then buckets that still span several classes are looked at again, and members of
 different classes that stand next to each other are verified, ``ROUNDS`` times or until no class grows.
@@ -43,6 +43,8 @@ BANDS, ROWS = 10, 3
 DF_BUCKETS = 1 << 17
 #: Largest bucket in which every pair of stand-ins is a candidate.
 ALL_PAIRS = 16
+#: A bucket of so many stand-ins, or of a thousandth of all rows if that is more, is dealt out to several tasks.
+HEAVY_ROWS = 128
 #: Later looks at buckets that span several classes.
 ROUNDS = 2
 #: Neighbours of another class that a later look pairs each member with.
@@ -152,8 +154,9 @@ def icws(hashes: np.ndarray, log_weights: np.ndarray, sizes: np.ndarray, samples
 
 
 def idf_table(counts: np.ndarray, total: int) -> np.ndarray:
-    """Positive weights by bucket of document frequency."""
-    return np.log1p(total / np.maximum(counts, 1.0))
+    """Smooth IDF by bucket of document frequency, from 1 (everywhere) to 2: rare shingles count at most twice, so
+    that near copies stay similar however many copies there are."""
+    return 1 + np.log1p(total / np.maximum(counts, 1.0)) / np.log1p(max(total, 1))
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -257,10 +260,10 @@ def _members(nodes: DataFrame, total: int) -> DataFrame:
     )
     groups = every.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("digest").alias("leader")).where("m > 1")
     groups = written(groups, "near-groups")
-    most = max(1000, total // 1000)
-    # at most 1,000 buckets of each band are heavy, so that side has a bound
+    most = max(HEAVY_ROWS, total // 1000)
+    # at most 1,000 buckets of each band hold a thousandth of all rows, so that side has a bound
     large = F.broadcast(groups.where(F.col("m") >= most).withColumn("parts", F.ceil(F.col("m") / most)))
-    in_large = every.join(large, "key").withColumn("part", F.pmod(F.xxhash64("order"), F.col("parts")))
+    in_large = every.join(large, "key").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")))
     in_small = every.join(F.broadcast(groups.where(F.col("m") >= most).select("key")), "key", "left_anti")
     in_small = in_small.join(groups.where(F.col("m") < most).hint("merge"), "key").withColumn("part", F.lit(0).cast("long"))
     columns = ["key", "part", "m", "leader", "order", "digest"]
