@@ -108,7 +108,7 @@ def build_index(rows: DataFrame, sample_size: int = SAMPLE) -> tuple[DataFrame,
     lengths = sample.map(len)
     width = int(lengths.mode().iloc[0]) if len(sample) else 0
     rows = rows.where(F.size("v") == width)
-    points = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width)
+    points = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width) if width else np.zeros((0, 0))
     books = train(points, words=min(WORDS, max(1, len(points) // 2))) if len(points) else np.zeros((1, 1, width), _DTYPE)
     shared = spark.sparkContext.broadcast(books)  # books x words x dimensions
 

@@ -132,9 +132,11 @@ def token_starts(classes: np.ndarray) -> np.ndarray:
 
 def split_texts(texts: list[str]) -> tuple[list[str], list[int]]:
     """The tokens of all texts, and after how many of them each text ends."""
+    if not texts:
+        return [], []
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1
     classes = code_point_classes()[points]
     classes[ends] = END
     starts = np.flatnonzero(token_starts(classes))
