@@ -5,11 +5,12 @@ A byte goes when a string of ``LENGTH`` bytes covers it that also starts in a do
 Shards are made so that equal strings meet. In every string of ``LENGTH`` bytes the 16 bytes with the least
 hash (leftmost on ties) are its anchor, which depends on the string alone. Neighbouring strings share an
 anchor; together they are a passage. Documents are packed into chunks; the anchors of each chunk are shuffled
-by hash, and those that stand in one document only are dropped. The passages of the others are extracted and
-equal ones taken together with the smallest doc_id that holds them. Passages are dealt out by anchor, and each
-shard sorts the suffixes of its passages by induced sorting: runs with permuted common prefixes of ``LENGTH``
-or more are equal strings, and the smallest doc_id of a run decides. An anchor with a single passage needs no
-sorting. The decisions go back to the chunks, which remove what they cover.
+by hash, and those that stand in one document only are dropped. The passages of the others are told apart by
+their hashes, with the smallest doc_id that holds each: larger ids lose a passage whole. Where an anchor has
+several passages, one copy of each is dealt out by anchor, and each shard sorts the suffixes of its passages by
+induced sorting: runs with permuted common prefixes of ``LENGTH`` or more are equal strings, and the smallest
+doc_id of a run decides. An anchor with a single passage needs no sorting. The decisions go back to the chunks,
+which remove what they cover.
 
 An anchor with more than ``HOT_PASSAGES`` different passages would make a shard too large; its strings are
 grouped one by one instead, with partial aggregation, which gives the same decisions.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ordered_id, shared_folder, written
+from .common import NO_ID, forget_state, ordered_id, shared_folder, slices, written
 from .minhash_dedup import mix64
 from .suffix_array import permuted_prefixes, suffix_array
 
@@ -46,6 +48,8 @@ SHARD_BYTES = 2 << 20
 HOT_PASSAGES = 20_000
 #: Strings that are looked at together.
 BLOCK = 1 << 16
+#: 48 bits of an anchor's hash are shuffled; passages that share them by chance are told apart later.
+_SHORT = np.uint64(16)
 _LOW, _SEED = np.uint64(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -72,7 +76,7 @@ def passages(data: np.ndarray, bounds: np.ndarray):
     strings still have the same anchor.
     """
     none = np.zeros(0, np.int64)
-    found = [(none, none, none, np.zeros(0, np.uint64))]
+    found = [(none, none, none, none)]
     edges = np.unique(np.concatenate([bounds, bounds - LENGTH + 1]))
     for start in range(0, len(data) - LENGTH + 1, BLOCK):
         at, hashes = _anchors(data[start : start + BLOCK + LENGTH - 1])
@@ -84,7 +88,7 @@ def passages(data: np.ndarray, bounds: np.ndarray):
         doc = np.searchsorted(bounds, first + start, side="right") - 1
         whole = first + start + LENGTH <= bounds[doc + 1]
         first, last = first[whole], last[whole]
-        found.append((doc[whole], first + start, last + start, hashes[first]))
+        found.append((doc[whole], first + start, last + start, (hashes[first] >> _SHORT).astype(np.int64)))
     return tuple(map(np.concatenate, zip(*found)))
 
 
@@ -94,9 +98,9 @@ def _pack(ids: list[int], texts: list[bytes], number: int):
     doc, _, _, anchors = passages(np.frombuffer(raw, np.uint8), bounds)
     order = np.lexsort((doc, anchors))
     anchors, doc = anchors[order], doc[order]
-    first = np.flatnonzero(np.diff(anchors, prepend=anchors[:1] + np.uint64(1)) != 0)
+    first = np.flatnonzero(np.diff(anchors, prepend=-1) != 0)
     twice = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
-    found = anchors[first].astype(np.int64)
+    found = anchors[first]
     chunk = (TaskContext.get().partitionId() << 32) + number
     return chunk, ids, bounds.astype(np.int64), zstandard.ZstdCompressor(3).compress(raw), found[~twice], found[twice]
 
@@ -143,14 +147,15 @@ def _sid(passage: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(passage, digest_size=8).digest(), "little", signed=True)
 
 
-def extracted(chunks: DataFrame) -> DataFrame:
-    """(anchor, sid, passage, chunk, least, most): each chunk's passages at anchors that repeat (its last column)."""
+def located(chunks: DataFrame) -> DataFrame:
+    """(anchor, sid, chunk, least, most): each chunk's passages at anchors that repeat (its last column), with the
+    smallest and the largest id that holds them there."""
 
     def run(batches):
+        forget_state()
         for batch in batches:
             for chunk, ids, bounds, raw, repeated in _opened(batch):
                 doc, first, last, anchors = passages(np.frombuffer(raw, np.uint8), bounds)
-                anchors = anchors.astype(np.int64)
                 at = np.flatnonzero(np.isin(anchors, repeated.values.to_numpy()))
                 found: dict[bytes, list] = {}
                 for a, b, id_, h in zip(first[at].tolist(), (last[at] + LENGTH).tolist(), ids[doc[at]].tolist(), anchors[at].tolist()):
@@ -163,13 +168,37 @@ def extracted(chunks: DataFrame) -> DataFrame:
                     elif id_ > known[2]:
                         known[2] = id_
                 hs, least, most = zip(*found.values()) if found else ((), (), ())
-                columns = [
-                    pa.array(hs, pa.int64()), pa.array(map(_sid, found), pa.int64()), pa.array(list(found), pa.binary()),
-                    pa.array([chunk] * len(found), pa.int64()), pa.array(least, pa.int64()), pa.array(most, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "passage", "chunk", "least", "most"])
+                values = (hs, list(map(_sid, found)), [chunk] * len(found), least, most)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], ["anchor", "sid", "chunk", "least", "most"])
 
-    return chunks.mapInArrow(run, "anchor long, sid long, passage binary, chunk long, least long, most long")
+    return chunks.mapInArrow(run, "anchor long, sid long, chunk long, least long, most long")
+
+
+def quoted(chunks: DataFrame) -> DataFrame:
+    """(anchor, sid, passage, least, n): the bytes of the passages that the last column asks for."""
+
+    def run(batches):
+        for batch in batches:
+            for _, ids, bounds, raw, asked in _opened(batch):
+                wanted = _by_passage(asked.values, "least", "n")
+                _, first, last, anchors = passages(np.frombuffer(raw, np.uint8), bounds)
+                at = np.flatnonzero(np.isin(anchors, np.array([h for h, _ in wanted], np.int64)))
+                out = []
+                for a, b, h in zip(first[at].tolist(), (last[at] + LENGTH).tolist(), anchors[at].tolist()):
+                    key = (h, _sid(raw[a:b]))
+                    if (found := wanted.pop(key, None)) is not None:
+                        out.append((*key, raw[a:b], *found))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                columns = [pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * 5, kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "passage", "least", "n"])
+
+    return chunks.mapInArrow(run, "anchor long, sid long, passage binary, least long, n long")
+
+
+def _by_passage(values, *names: str) -> dict[tuple[int, int], tuple]:
+    """Fields by (anchor, sid) of an Arrow array of structs; of several with one key the last, and the largest, counts."""
+    columns = [values.field(x).to_numpy().tolist() for x in ("anchor", "sid", *names)]
+    return {(h, sid): rest for h, sid, *rest in zip(*columns)}
 
 
 def shard_strings(texts: list[bytes], least: np.ndarray) -> list[int]:
@@ -195,72 +224,38 @@ def shard_strings(texts: list[bytes], least: np.ndarray) -> list[int]:
     return masks
 
 
-def sorted_shards(rows: DataFrame, hot_passages: int) -> DataFrame:
-    """(anchor, sid, least, most, mask) of (anchor, sid, passage, least, most, n) rows whose anchors lie together,
-    n passages each. A passage of a hot anchor is handed on with no mask."""
+def sorted_shards(rows: DataFrame) -> DataFrame:
+    """(anchor, sid, mask) of (anchor, sid, passage, least) rows whose anchors lie together."""
 
     def run(batches):
-        def out(rows, masks, passages_=None):
-            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1, 3, 4)]
-            columns += [pa.array(masks, pa.int64()), pa.array(passages_ or [None] * len(rows), pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "least", "most", "mask", "passage"])
-
         def sort(part):
-            return out(part, shard_strings([r[2] for r in part], np.array([r[3] for r in part], np.int64)))
+            masks = shard_strings([r[2] for r in part], np.array([r[3] for r in part], np.int64))
+            columns = [pa.array(v, pa.int64()) for v in zip(*((*r[:2], m) for r, m in zip(part, masks) if m))] or [pa.array([], pa.int64())] * 3
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "mask"])
 
         part, size = [], 0
-        for batch in batches:
-            alone, hot = [], []
+        for batch in chain.from_iterable(map(slices, batches)):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[5] == 1:
-                    if row[4] > row[3]:
-                        alone.append(row)
-                    continue
-                if row[5] > hot_passages:
-                    hot.append(row)
-                    continue
                 if size >= SHARD_BYTES and row[0] != part[-1][0]:
                     yield sort(part)
                     part, size = [], 0
                 part.append(row)
                 size += len(row[2])
-            yield out(alone, [0] * len(alone))
-            yield out(hot, [None] * len(hot), [r[2] for r in hot])
         if part:
             yield sort(part)
 
-    return rows.select("anchor", "sid", "passage", "least", "most", "n").mapInArrow(
-        run, "anchor long, sid long, least long, most long, mask long, passage binary"
-    )
+    return rows.select("anchor", "sid", "passage", "least").mapInArrow(run, "anchor long, sid long, mask long")
 
 
-def _string_by_string(rows: DataFrame) -> DataFrame:
-    """The masks of hot anchors' passages, by grouping each string."""
+def string_by_string(rows: DataFrame) -> DataFrame:
+    """As :func:`sorted_shards`, by grouping each string."""
     places = F.sequence(F.lit(1), F.length("passage") - LENGTH + 1)
     strings = rows.select(
         "anchor", "sid", "least", F.posexplode(F.transform(places, lambda i: F.substring("passage", i, F.lit(LENGTH)))).alias("i", "string")
     )
     smallest = written(strings.groupBy("string").agg(F.min("least").alias("smallest")), "strings")
     hit = strings.join(smallest.hint("merge"), "string").where("smallest < least")
-    masks = written(hit.groupBy("anchor", "sid").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask")), "masks")
-    return rows.drop("mask", "passage").join(masks.hint("merge"), ["anchor", "sid"], "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-
-
-def decided(found: DataFrame, hot_passages: int = HOT_PASSAGES) -> DataFrame:
-    """(anchor, sid, least, most, mask) of the passages that remove something."""
-    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = (
-        found.repartition(partitions, "anchor")
-        .groupBy("anchor", "sid", "passage")
-        .agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
-        .sortWithinPartitions("anchor")
-    )
-    all_ = written(sorted_shards(distinct, hot_passages), "decided")
-    some, hot = all_.where("mask is not null").drop("passage"), all_.where("mask is null")
-    if hot.head(1):
-        some = some.unionByName(_string_by_string(hot))
-    return some.where("mask <> 0 or most > least")
+    return hit.groupBy("anchor", "sid").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
 
 
 def removed(chunks: DataFrame) -> DataFrame:
@@ -273,12 +268,9 @@ def removed(chunks: DataFrame) -> DataFrame:
                 cover = np.zeros(len(data) + 1, np.int32)
                 values = decisions.values
                 if values is not None and len(values):
-                    parts = (values.field(x).to_numpy() for x in ("anchor", "sid", "least", "mask"))
-                    marked, sids, least, masks = parts
-                    known = dict(zip(zip(marked.tolist(), sids.tolist()), zip(least.tolist(), masks.tolist())))
+                    known = _by_passage(values, "least", "mask")
                     doc, first, last, anchors = passages(data, bounds)
-                    anchors = anchors.astype(np.int64)
-                    at = np.flatnonzero(np.isin(anchors, marked))
+                    at = np.flatnonzero(np.isin(anchors, values.field("anchor").to_numpy()))
                     starts, ends = [], []
                     for a, b, id_, h in zip(first[at].tolist(), last[at].tolist(), ids[doc[at]].tolist(), anchors[at].tolist()):
                         decision = known.get((h, _sid(raw[a : b + LENGTH])))
@@ -331,12 +323,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.collect_list("anchor").alias("repeated"))
     )
     data = chunks.select("chunk", "ids", "bounds", "data")
-    found = written(extracted(data.join(per_chunk.hint("merge"), "chunk")), "extracted")
-    decisions = written(decided(found, hot_passages), "decisions")
+    same = Window.partitionBy("anchor", "sid")
+    located_ = located(data.join(per_chunk.hint("merge"), "chunk")).repartition(partitions, "anchor")
+    # how often an anchor's passages differ is counted at one chunk of each: the first that holds its least id
+    home = F.min(F.struct("least", "chunk")).over(same)
+    found = (
+        located_.withColumn("most", F.max("most").over(same))
+        .withColumn("home", home)
+        .withColumn("at_least", F.col("least") == F.col("home.least"))
+        .withColumn("is_home", F.col("chunk") == F.col("home.chunk"))
+        .withColumn("least", F.col("home.least"))
+        .drop("home")
+        .withColumn("n", F.sum(F.col("is_home").cast("long")).over(Window.partitionBy("anchor")))
+    )
+    found = written(found.where("n > 1 or most > least"), "passages")
+    several = found.where("n > 1")
+    asked = several.where("is_home").groupBy("chunk").agg(F.collect_list(F.struct("anchor", "sid", "least", "n")).alias("asked"))
+    quotes = quoted(data.join(asked.hint("merge"), "chunk"))
+    hot = several.where(F.col("n") > hot_passages).limit(1).count() > 0
+    if hot:
+        quotes = written(quotes, "quotes")
+    masks = sorted_shards(quotes.where(F.col("n") <= hot_passages).repartition(partitions, "anchor").sortWithinPartitions("anchor"))
+    if hot:
+        masks = masks.unionByName(string_by_string(quotes.where(F.col("n") > hot_passages)))
+    masks = written(masks, "masks")
+    # a mask concerns rows of the least id only, so it goes to the chunks that hold that id
+    marked = several.where("at_least").select("anchor", "sid", "chunk", "least").join(masks.hint("merge"), ["anchor", "sid"])
+    whole = found.where("most > least").select("anchor", "sid", "chunk", "least", F.lit(0).cast("long").alias("mask"))
     back = (
-        found.select("anchor", "sid", "chunk")
-        .join(decisions.hint("merge"), ["anchor", "sid"])
+        whole.unionByName(marked.select(*whole.columns))
         .groupBy("chunk")
-        .agg(F.collect_list(F.struct("anchor", "sid", "least", "mask")).alias("decisions"))
+        .agg(F.sort_array(F.collect_list(F.struct("anchor", "sid", "least", "mask"))).alias("decisions"))
     )
     return removed(data.join(back.hint("merge"), "chunk", "left"))
