@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """(doc_id, score, text_score, meta_score, keep) of every row of ``docs``; ``keep``: the score is 0.5 or more."""
+    """(doc_id, score, text_score, meta_score, kept) of every row of ``docs``; ``kept``: the score is 0.5 or more."""
     rows = docs.select(F.col(id_col).alias("doc_id"), "text", "source", "lang")
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, labelled, pool))  # TEXT_DIMS + META_DIMS weights
 
@@ -206,6 +206,6 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled
                 part = batch.slice(at, 256)
                 found = score(shared.value, *_views(*(part.column(i).to_pylist() for i in (1, 2, 3))))
                 columns = [part.column(0), *(pa.array(x.astype(np.float64)) for x in found), pa.array(found[0] >= 0.5)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "text_score", "meta_score", "keep"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "text_score", "meta_score", "kept"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, text_score double, meta_score double, keep boolean")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, text_score double, meta_score double, kept boolean")

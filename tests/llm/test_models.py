@@ -43,7 +43,7 @@ def test_quality_by_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     found = quality_classifier.quality(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id")
-    right = found.agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("int"))).first()[0]
+    right = found.agg(F.avg((F.col("kept") == (F.col("quality") == 1)).cast("int"))).first()[0]
     assert right >= 0.9
 
 
