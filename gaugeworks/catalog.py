@@ -856,3 +856,175 @@ def ring_overlaps(spark: SparkSession, d: str) -> DataFrame:
     held = spatial.point_box_join(corners, boxes).where("a <> shape")
     pairs = held.select("a", F.col("shape").alias("b"), rings(F.col("box")).alias("rings_a"), rings(F.struct("min_x", "min_y", "max_x", "max_y")).alias("rings_b"))
     return overlap_pairs(pairs)
+
+
+# ---------------------------------------------------------------- more of the same families
+
+
+@query("""
+    WITH RECURSIVE s AS (SELECT user_id, event_id, event_id * 7 % 50 * 1.0 AS x, event_id * 13 % 40 * 1.0 AS y, event_id * 0.011 AS t,
+                                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id < 60),
+    f AS (SELECT user_id, i, event_id, x, y, t, true AS kept FROM s WHERE i = 1
+          UNION ALL
+          SELECT user_id, i, event_id, CASE WHEN k THEN nx ELSE x END, CASE WHEN k THEN ny ELSE y END, CASE WHEN k THEN nt ELSE t END, k
+          FROM (SELECT f.user_id, s.i, s.event_id, f.x, f.y, f.t, s.x AS nx, s.y AS ny, s.t AS nt,
+                       s.t - f.t >= 0.5 AND sqrt((s.x - f.x) * (s.x - f.x) + (s.y - f.y) * (s.y - f.y)) >= 12 AS k
+                FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1))
+    SELECT user_id, count(*) FILTER (WHERE kept)::INT AS n, round(max(t) FILTER (WHERE kept) + 1e-7, 4) AS last FROM f GROUP BY user_id
+""")
+def freehand_thinning(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    p = F.struct(k, (k * 7 % 50).cast("double").alias("x"), (k * 13 % 40).cast("double").alias("y"), (k * 0.011).cast("double").alias("t"))
+    paths = _events(spark, d).where("user_id < 60").groupBy("user_id").agg(F.sort_array(F.collect_list(p)).alias("points"))
+    kept = paths.select("user_id", G.thinned(F.col("points"), 0.5, 12.0).alias("kept"))
+    return kept.select("user_id", F.size("kept").alias("n"), r4(F.element_at("kept", -1)["t"]).alias("last"))
+
+
+@query(f"""
+    WITH {M}
+    SELECT image_id, round(CASE WHEN ppu > 0 THEN 1280 / ppu ELSE 1280 END + 1e-7, 4) AS width,
+           CASE WHEN ppu IS NULL THEN 'px' ELSE 'um' END AS bar_unit, round(coalesce(50 * ppu, 50) * 0.5 + 1e-7, 4) AS bar_px,
+           round(CASE WHEN image_id % 3 > 0 THEN (image_id % 50 + 1) / (image_id % 3)::DOUBLE END + 1e-7, 4) AS line_ppu FROM image
+""")
+def image_scales(spark: SparkSession, d: str) -> DataFrame:
+    ppu, k = F.col("ppu"), F.col("image_id")
+    bar = V.scale_bar(F.lit(50.0), ppu, F.lit("um"), F.lit(0.5))
+    line = V.line_calibration((k % 50 + 1).cast("double"), (k % 3).cast("double"))
+    found = A.images(spark, d).select("image_id", r4(V.to_unit(F.lit(1280.0), ppu)).alias("width"), bar.alias("bar"), r4(line).alias("line_ppu"))
+    return found.select("image_id", "width", F.col("bar.unit").alias("bar_unit"), r4("bar.pixels").alias("bar_px"), "line_ppu")
+
+
+@query("""
+    SELECT o_orderkey AS id, floor(greatest(0.0, least(40.0, x))) + 0.5 AS x, floor(greatest(0.0, least(30.0, y))) + 0.5 AS y
+    FROM (SELECT o_orderkey, CASE WHEN abs(dx) >= abs(dy) THEN ax + dx ELSE ax END AS x, CASE WHEN abs(dx) >= abs(dy) THEN ay ELSE ay + dy END AS y
+          FROM (SELECT o_orderkey, o_orderkey % 60 * 1.0 AS ax, o_custkey % 50 * 1.0 AS ay, o_orderkey % 23 - 11 AS dx, o_custkey % 19 - 9 AS dy FROM orders))
+""")
+def constrained_points(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    a = G.point(k % 60, c % 50)
+    b = G.point(k % 60 + k % 23 - 11, c % 50 + c % 19 - 9)
+    p = G.pixel_center(G.inside_image(G.axis_locked(a, b), F.lit(40), F.lit(30)))
+    return table(spark, d, "orders").select(k.alias("id"), p["x"].alias("x"), p["y"].alias("y"))
+
+
+@query("""
+    SELECT o_custkey, o_orderpriority, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS ids FROM orders GROUP BY 1, 2
+""")
+def values_by_category(spark: SparkSession, d: str) -> DataFrame:
+    rows = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
+    found = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(rows.alias("r"))
+    return found.select("o_custkey", "o_orderpriority", F.array_join(F.transform("r", lambda r: r["o_orderkey"].cast("string")), ",").alias("ids"))
+
+
+@query("SELECT lower(p_brand) || p_size % 7 AS path, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
+def template_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    brand = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    rows = table(spark, d, "part").withColumn("path", F.lower(V.trimmed(F.concat(F.lit(" "), brand, (F.col("p_size") % 7).cast("string")))))
+    return ordinal.first_value_per_key(rows, "path", F.col("p_partkey"), ["p_partkey"]).select("path", "p_partkey")
+
+
+@query("""
+    SELECT s_name AS name, s_acctbal AS a, NULL AS b FROM supplier UNION ALL SELECT r_name, NULL, r_regionkey FROM region
+""")
+def union_of_columns(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.sinks import union_columns
+
+    left = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("a"))
+    return union_columns(left, table(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("b")))
+
+
+@query("""
+    WITH c AS (SELECT DISTINCT o_custkey AS image_id, o_orderpriority AS label FROM orders),
+    h AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) AS number FROM c),
+    w AS (SELECT c_custkey AS image_id, l AS label FROM customer, (VALUES ('1-URGENT'), ('x'), ('y')) t(l)),
+    n AS (SELECT w.image_id, w.label FROM w ANTI JOIN h ON w.image_id = h.image_id AND w.label = h.label)
+    SELECT image_id, label, number::INT AS number FROM h
+    UNION ALL
+    SELECT n.image_id, n.label, (coalesce((SELECT max(number) FROM h WHERE h.image_id = n.image_id), 0) + row_number() OVER (PARTITION BY n.image_id ORDER BY n.label))::INT FROM n
+""")
+def ensure_categories(spark: SparkSession, d: str) -> DataFrame:
+    have = table(spark, d, "orders").select(F.col("o_custkey").alias("image_id"), F.col("o_orderpriority").alias("label")).distinct()
+    have = ordinal.renumber(have.withColumn("number", F.lit(0)), "image_id", ["label"])
+    labels = F.explode(F.array(*map(F.lit, (" 1-URGENT", "x ", "y", "x"))))
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("image_id"), labels.alias("label"))
+    return mutate.ensure_categories(have, wanted)
+
+
+@query("""
+    SELECT c_custkey AS image_id, CASE WHEN c_custkey % 3 = 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN c_custkey END AS active
+    FROM customer
+""")
+def restore_active(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    images = table(spark, d, "customer").select(k.alias("image_id"), F.when(k % 3 == 0, k).otherwise(-k).alias("active_category_id"))
+    categories = table(spark, d, "orders").select(F.col("o_custkey").alias("image_id"), F.col("o_custkey").alias("category_id"))
+    return mutate.restore_active(images, categories).select("image_id", F.col("active_category_id").alias("active"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'edited' ELSE o_orderstatus END AS status FROM orders
+    UNION ALL SELECT -1 - o_orderkey, 'edited' FROM orders WHERE o_orderkey % 100 = 0
+""")
+def edit_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    edits = rows.where("o_orderkey % 8 = 0").unionByName(rows.where("o_orderkey % 100 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey")))
+    return mutate.upsert(rows, edits.withColumn("status", F.lit("edited")), ["o_orderkey"])
+
+
+@query("""
+    WITH p AS (SELECT l_suppkey % 50 AS x, l_partkey % 20 AS y, l_quantity AS v, l_extendedprice AS s, l_orderkey AS f FROM lineitem)
+    SELECT x, y, arg_max(v, struct_pack(s := s, f := -f)) AS v FROM p GROUP BY x, y
+""")
+def focus_fusion(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming.frames import fused
+
+    pixels = table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("x"), (F.col("l_partkey") % 20).alias("y"), F.col("l_quantity").alias("v"), F.col("l_extendedprice").alias("s"), F.col("l_orderkey").alias("f")
+    )
+    return fused(pixels, ["x", "y"], "v", "s", "f")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey FROM orders GROUP BY 1")
+def sharpest_frame(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_totalprice").alias("o_orderkey"))
+
+
+@query("""
+    WITH r AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events)
+    SELECT user_id, event_type, count(*) FILTER (WHERE i <= 3)::INT AS kept, count(*) FILTER (WHERE i > 3) AS excess, max(event_id) FILTER (WHERE i <= 3) AS last
+    FROM r GROUP BY 1, 2
+""")
+def tile_caps(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming.frames import capped_tiles
+
+    return capped_tiles(_events(spark, d), ["user_id", "event_type"], "event_id", 3)
+
+
+@query("""
+    SELECT user_id, count(DISTINCT event_id % 3) AS tiles, count(CASE WHEN value > 80 THEN 1 END) AS edges FROM events
+    GROUP BY user_id HAVING count(DISTINCT event_id % 3) >= 2 AND count(CASE WHEN value > 80 THEN 1 END) >= 1
+""")
+def finish_guard(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming.frames import ready_to_finish
+
+    rows = _events(spark, d).select("user_id", (F.col("event_id") % 3).alias("tile"), F.when(F.col("value") > 80, 1).alias("edge"))
+    return ready_to_finish(rows, "user_id", "tile", "edge")
+
+
+@query("""
+    SELECT id, n FROM (SELECT l_orderkey AS id, count(*)::INT AS n FROM lineitem GROUP BY 1) WHERE n >= 3
+""")
+def valid_detections(spark: SparkSession, d: str) -> DataFrame:
+    return A.outlines(spark, d).where(F.size("points") >= 3).select("id", F.size("points").alias("n"))
+
+
+@query("""
+    SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'a.FDMPROJ' WHEN o_orderkey % 4 = 1 THEN 'dir/b' || o_orderkey % 30 || '.TIF' ELSE 'c' END AS path,
+           CASE WHEN o_orderkey % 4 = 0 THEN 'project' WHEN o_orderkey % 4 = 1 THEN 'image' ELSE 'unsupported' END AS kind FROM orders GROUP BY 1, 2
+""")
+def classified_inputs(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.archive import classify_inputs
+
+    k = F.col("o_orderkey")
+    path = F.when(k % 4 == 0, "a.FDMPROJ").when(k % 4 == 1, F.concat(F.lit("dir/b"), (k % 30).cast("string"), F.lit(".TIF"))).otherwise("c")
+    return classify_inputs(table(spark, d, "orders").select(path.alias("path")))

@@ -242,3 +242,26 @@ def annotation_hit(kind: Column, p: Column, a: Column, b: Column, tolerance) ->
     rx, ry = (x1 - x0) / 2 + tolerance, (y1 - y0) / 2 + tolerance
     u, v = (p["x"] - (x0 + x1) / 2) / F.nullif(rx, F.lit(0.0)), (p["y"] - (y0 + y1) / 2) / F.nullif(ry, F.lit(0.0))
     return F.when(kind == "rect", box).when(kind == "circle", F.coalesce(u * u + v * v <= 1, F.lit(False))).otherwise(segment_distance(p, a, b) <= tolerance)
+
+
+def axis_locked(a: Column, b: Column) -> Column:
+    """The second point moved onto the axis through the first that it is nearer to."""
+    flat = F.abs(b["x"] - a["x"]) >= F.abs(b["y"] - a["y"])
+    return F.when(flat, point(b["x"], a["y"])).otherwise(point(a["x"], b["y"]))
+
+
+def inside_image(p: Column, width: Column, height: Column) -> Column:
+    """The point clamped to an image."""
+    return point(clamp(p["x"], F.lit(0.0), width.cast("double")), clamp(p["y"], F.lit(0.0), height.cast("double")))
+
+
+def thinned(points: Column, least_time: float = 0.075, least_distance: float = 2.0) -> Column:
+    """Points (x, y, t) of a freehand path: the first, then each that is late and far enough from the last kept one."""
+
+    def step(kept: Column, p: Column) -> Column:
+        last = F.element_at(kept, -1)
+        near = (p["t"] - last["t"] < least_time) | (distance(last, p) < least_distance)
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(p)))
+
+    rest = F.slice(points, 2, F.greatest(F.size(points), F.lit(1)))
+    return F.when(F.size(points) == 0, points).otherwise(F.aggregate(rest, F.slice(points, 1, 1), step))

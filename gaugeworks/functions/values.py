@@ -139,3 +139,15 @@ def class_labels(model: Column, aliases: dict[str, str], default: str = UNCATEGO
     parts = F.filter(F.transform(F.split(model, "-"), trimmed), lambda p: p != "")
     names = F.array_distinct(F.transform(parts, lambda p: mapped(p, aliases)))
     return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(default)))
+
+
+def line_calibration(length_px: Column, actual: Column) -> Column:
+    """Pixels per unit of a drawn line whose length is known; null unless both are positive."""
+    return F.when((actual > 0) & (length_px > 0), length_px / F.nullif(actual, F.lit(0.0)))
+
+
+def scale_bar(value: Column, ppu: Column, unit: Column, output_scale: Column) -> Column:
+    """struct (value, unit, pixels) of a scale bar; null for a value that isn't positive."""
+    px = F.when(ppu.isNull(), value * output_scale).otherwise(to_px(value, ppu) * output_scale)
+    bar = F.struct(value.alias("value"), F.when(ppu.isNull(), "px").otherwise(unit).alias("unit"), px.alias("pixels"))
+    return F.when(value > 0, bar)

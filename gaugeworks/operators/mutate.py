@@ -71,3 +71,21 @@ def suppress(images: DataFrame, labels: DataFrame) -> DataFrame:
     every = F.transform(F.concat(F.coalesce("suppressed_labels", none), F.coalesce("_new", none)), trimmed)
     clean = F.array_sort(F.array_distinct(F.filter(every, lambda x: x != "")))
     return images.join(new, "image_id", "left").withColumn("suppressed_labels", clean).drop("_new")
+
+
+def ensure_categories(categories: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Categories (image_id, label, number) with the wanted labels (image_id, label) that an image has not yet,
+    numbered after its largest number in the order of their labels."""
+    clean = wanted.select("image_id", trimmed(F.col("label")).alias("label")).where("label <> ''").distinct()
+    new = clean.join(categories.select("image_id", trimmed(F.col("label")).alias("label")), ["image_id", "label"], "left_anti")
+    most = categories.groupBy("image_id").agg(F.max("number").alias("_most"))
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("label"))
+    numbered = new.join(most, "image_id", "left").withColumn("number", (F.coalesce("_most", F.lit(0)) + place).cast("int")).drop("_most")
+    return categories.select("image_id", "label", "number").unionByName(numbered)
+
+
+def restore_active(images: DataFrame, categories: DataFrame) -> DataFrame:
+    """Images whose active category no longer exists have none."""
+    known = categories.select("image_id", F.col("category_id").alias("active_category_id"), F.lit(True).alias("_known")).distinct()
+    found = images.join(known, ["image_id", "active_category_id"], "left")
+    return found.withColumn("active_category_id", F.when(F.col("_known"), F.col("active_category_id"))).drop("_known")

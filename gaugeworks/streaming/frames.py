@@ -89,3 +89,25 @@ def gate_stable(motions: DataFrame, short_side: float, least_response: float = 0
     return motions.groupBy("session_id").applyInPandasWithState(
         run, "session_id string, seq long, streak int, stable boolean", "newest long, streak int", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def capped_tiles(frames: DataFrame, keys: list[str], order: str, most: int = 3) -> DataFrame:
+    """(keys, kept, excess, last): how many frames each tile keeps and how many come too late."""
+    n = F.count(F.lit(1))
+    # the first few frames of a tile are the smallest of each partial list
+    first = F.slice(F.sort_array(F.collect_list("_first")), 1, most)
+    parts = frames.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(8)))
+    ranked = parts.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)))
+    few = ranked.withColumn("_first", F.when(F.col("_place") <= most, F.col(order))).groupBy(*keys).agg(n.alias("_n"), first.alias("_kept"))
+    return few.select(*keys, F.size("_kept").alias("kept"), (F.col("_n") - F.size("_kept")).alias("excess"), F.element_at("_kept", -1).alias("last"))
+
+
+def ready_to_finish(sessions: DataFrame, key: str, tile: str, edge: str) -> DataFrame:
+    """Sessions with two tiles and an edge between tiles, at least."""
+    found = sessions.groupBy(key).agg(F.count_distinct(tile).alias("tiles"), F.count(edge).alias("edges"))
+    return found.where("tiles >= 2 and edges >= 1")
+
+
+def fused(pixels: DataFrame, keys: list[str], value: str, sharpness: str, order: str) -> DataFrame:
+    """Of each pixel the value in the frame where it is sharpest; the earliest frame on a tie."""
+    return pixels.groupBy(*keys).agg(F.max_by(value, F.struct(F.col(sharpness), -F.col(order))).alias(value))
