@@ -35,14 +35,6 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes tables made by :func:`written` that nothing reads any more."""
-    for frame in frames:
-        for top in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(top)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ordered_id(column: str = "doc_id") -> Column:
     """The id as a long for ordering; a null id comes first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

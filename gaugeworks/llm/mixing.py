@@ -107,7 +107,7 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_budget: in
     return take
 
 
-def _fit_source(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("size")
     rows["extra"] = fit_budget(rows["size"].tolist(), rows["n"].tolist(), int(rows["budget"].iloc[0]))
     return rows[["skey", "size", "n", "extra"]]
