@@ -43,6 +43,8 @@ from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 50
 ANCHOR = 16
+#: A string is its anchor and 34 bytes more, so 17 of them stand on one side at least.
+SIDE = (LENGTH - ANCHOR) // 2
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 HOT_PASSAGES = 20_000
@@ -50,6 +52,7 @@ HOT_PASSAGES = 20_000
 BLOCK = 1 << 16
 #: 48 bits of an anchor's hash are shuffled; passages that share them by chance are told apart later.
 _SHORT = np.uint64(16)
+_PRIME = np.uint64(0x100000001B3)
 _LOW, _SEED = np.uint64(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,13 +73,13 @@ def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(data: np.ndarray, bounds: np.ndarray):
-    """(document, first string, last string, anchor) of every passage of texts that lie end to end.
+    """(document, first string, last string, anchor, its place) of every passage of texts that lie end to end.
 
     The data are walked in blocks that fit the processor's cache. A passage may be cut at a block's end; its
     strings still have the same anchor.
     """
     none = np.zeros(0, np.int64)
-    found = [(none, none, none, none)]
+    found = [(none,) * 5]
     edges = np.unique(np.concatenate([bounds, bounds - LENGTH + 1]))
     for start in range(0, len(data) - LENGTH + 1, BLOCK):
         at, hashes = _anchors(data[start : start + BLOCK + LENGTH - 1])
@@ -88,21 +91,25 @@ def passages(data: np.ndarray, bounds: np.ndarray):
         doc = np.searchsorted(bounds, first + start, side="right") - 1
         whole = first + start + LENGTH <= bounds[doc + 1]
         first, last = first[whole], last[whole]
-        found.append((doc[whole], first + start, last + start, (hashes[first] >> _SHORT).astype(np.int64)))
+        found.append((doc[whole], first + start, last + start, (hashes[first] >> _SHORT).astype(np.int64), at[first] + start))
     return tuple(map(np.concatenate, zip(*found)))
 
 
 def _pack(ids: list[int], texts: list[bytes], number: int):
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     raw = b"".join(texts)
-    doc, _, _, anchors = passages(np.frombuffer(raw, np.uint8), bounds)
-    order = np.lexsort((doc, anchors))
-    anchors, doc = anchors[order], doc[order]
+    doc, _, _, anchors, _ = passages(np.frombuffer(raw, np.uint8), bounds)
+    if len(ids) < 1 << 15:
+        both = np.sort(anchors << 15 | doc)
+        anchors, doc = both >> 15, both & 0x7FFF
+    else:
+        order = np.lexsort((doc, anchors))
+        anchors, doc = anchors[order], doc[order]
     first = np.flatnonzero(np.diff(anchors, prepend=-1) != 0)
     twice = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
     found = anchors[first]
     chunk = (TaskContext.get().partitionId() << 32) + number
-    return chunk, ids, bounds.astype(np.int64), zstandard.ZstdCompressor(3).compress(raw), found[~twice], found[twice]
+    return chunk, ids, bounds.astype(np.int64), zstandard.ZstdCompressor(2).compress(raw), found[~twice], found[twice]
 
 
 _CHUNK = "chunk long, ids array<long>, bounds array<long>, data binary, once array<long>, twice array<long>"
@@ -147,58 +154,70 @@ def _sid(passage: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(passage, digest_size=8).digest(), "little", signed=True)
 
 
+def _context(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """31 bits of a hash of the ``SIDE`` bytes from each place on; places outside the data count as their edge."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(SIDE):
+        out = (out ^ data[np.clip(at + k, 0, len(data) - 1)]) * _PRIME
+    return (mix64(out) >> np.uint64(33)).astype(np.int64)
+
+
 def located(chunks: DataFrame) -> DataFrame:
-    """(anchor, sid, chunk, least, most): each chunk's passages at anchors that repeat (its last column), with the
-    smallest and the largest id that holds them there."""
+    """(anchor, sid, chunk, least, most, sides, place): each chunk's passages at anchors that repeat (its last column),
+    with the smallest and the largest id that holds them there and where one of them starts (and its length).
+
+    ``sides`` are two hashes of the bytes beside the anchor. Strings that are equal agree on ``SIDE`` bytes on one
+    side of their anchor at least.
+    """
 
     def run(batches):
         forget_state()
         for batch in batches:
             for chunk, ids, bounds, raw, repeated in _opened(batch):
-                doc, first, last, anchors = passages(np.frombuffer(raw, np.uint8), bounds)
+                data = np.frombuffer(raw, np.uint8)
+                doc, first, last, anchors, places = passages(data, bounds)
                 at = np.flatnonzero(np.isin(anchors, repeated.values.to_numpy()))
+                sides = _context(data, places[at] - SIDE) << 32 | _context(data, places[at] + ANCHOR)
                 found: dict[bytes, list] = {}
-                for a, b, id_, h in zip(first[at].tolist(), (last[at] + LENGTH).tolist(), ids[doc[at]].tolist(), anchors[at].tolist()):
+                rows = zip(first[at].tolist(), (last[at] + LENGTH).tolist(), ids[doc[at]].tolist(), anchors[at].tolist(), sides.tolist())
+                for a, b, id_, h, side in rows:
                     passage = raw[a:b]
                     known = found.get(passage)
                     if known is None:
-                        found[passage] = [h, id_, id_]
+                        found[passage] = [h, id_, id_, side, a << 8 | b - a]
                     elif id_ < known[1]:
                         known[1] = id_
                     elif id_ > known[2]:
                         known[2] = id_
-                hs, least, most = zip(*found.values()) if found else ((), (), ())
-                values = (hs, list(map(_sid, found)), [chunk] * len(found), least, most)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], ["anchor", "sid", "chunk", "least", "most"])
+                hs, least, most, sides, place = zip(*found.values()) if found else ((),) * 5
+                values = (hs, list(map(_sid, found)), [chunk] * len(found), least, most, sides, place)
+                names = ["anchor", "sid", "chunk", "least", "most", "sides", "place"]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names)
 
-    return chunks.mapInArrow(run, "anchor long, sid long, chunk long, least long, most long")
+    return chunks.mapInArrow(run, "anchor long, sid long, chunk long, least long, most long, sides long, place long")
 
 
 def quoted(chunks: DataFrame) -> DataFrame:
-    """(anchor, sid, passage, least, n): the bytes of the passages that the last column asks for."""
+    """(anchor, sid, passage, least, n): the bytes of the passages that the last column asks for by place."""
 
     def run(batches):
         for batch in batches:
-            for _, ids, bounds, raw, asked in _opened(batch):
-                wanted = _by_passage(asked.values, "least", "n")
-                _, first, last, anchors = passages(np.frombuffer(raw, np.uint8), bounds)
-                at = np.flatnonzero(np.isin(anchors, np.array([h for h, _ in wanted], np.int64)))
-                out = []
-                for a, b, h in zip(first[at].tolist(), (last[at] + LENGTH).tolist(), anchors[at].tolist()):
-                    key = (h, _sid(raw[a:b]))
-                    if (found := wanted.pop(key, None)) is not None:
-                        out.append((*key, raw[a:b], *found))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-                columns = [pa.array(v, t) for v, t in zip(zip(*out) if out else [()] * 5, kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "passage", "least", "n"])
+            for _, _, _, raw, asked in _opened(batch):
+                columns = {x: asked.values.field(x) for x in ("anchor", "sid", "least", "n")}
+                texts = [raw[p >> 8 : (p >> 8) + (p & 0xFF)] for p in asked.values.field("place").to_pylist()]
+                values = [columns["anchor"], columns["sid"], pa.array(texts, pa.binary()), columns["least"], columns["n"]]
+                yield pa.RecordBatch.from_arrays(values, ["anchor", "sid", "passage", "least", "n"])
 
     return chunks.mapInArrow(run, "anchor long, sid long, passage binary, least long, n long")
 
 
-def _by_passage(values, *names: str) -> dict[tuple[int, int], tuple]:
-    """Fields by (anchor, sid) of an Arrow array of structs; of several with one key the last, and the largest, counts."""
-    columns = [values.field(x).to_numpy().tolist() for x in ("anchor", "sid", *names)]
-    return {(h, sid): rest for h, sid, *rest in zip(*columns)}
+def _decisions(values) -> dict[tuple[int, int], tuple[int, int]]:
+    """(least, mask) by (anchor, sid); a passage with two rows has its mask in one of them."""
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for h, sid, least, mask in zip(*(values.field(x).to_numpy().tolist() for x in ("anchor", "sid", "least", "mask"))):
+        if mask or (h, sid) not in out:
+            out[h, sid] = least, mask
+    return out
 
 
 def shard_strings(texts: list[bytes], least: np.ndarray) -> list[int]:
@@ -268,8 +287,8 @@ def removed(chunks: DataFrame) -> DataFrame:
                 cover = np.zeros(len(data) + 1, np.int32)
                 values = decisions.values
                 if values is not None and len(values):
-                    known = _by_passage(values, "least", "mask")
-                    doc, first, last, anchors = passages(data, bounds)
+                    known = _decisions(values)
+                    doc, first, last, anchors, _ = passages(data, bounds)
                     at = np.flatnonzero(np.isin(anchors, values.field("anchor").to_numpy()))
                     starts, ends = [], []
                     for a, b, id_, h in zip(first[at].tolist(), last[at].tolist(), ids[doc[at]].tolist(), anchors[at].tolist()):
@@ -309,7 +328,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = f"chunks_{uuid.uuid4().hex}"
     packed = chunked(docs.select(ordered_id(id_col).alias("id"), F.col(text_col).alias("text")))
     # bucketed by chunk where they are made: both joins by chunk leave these bytes where they lie
-    packed.write.bucketBy(partitions, "chunk").sortBy("chunk").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    packed.write.bucketBy(partitions, "chunk").sortBy("chunk").option("compression", "zstd").option(
+        "path", f"{shared_folder(spark)}/{name}"
+    ).saveAsTable(name)
     chunks = spark.table(name)
     held = chunks.select(F.explode("once").alias("anchor"), (F.col("chunk") * 2).alias("tag")).unionByName(
         chunks.select(F.explode("twice").alias("anchor"), (F.col("chunk") * 2 + 1).alias("tag"))
@@ -325,20 +346,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     data = chunks.select("chunk", "ids", "bounds", "data")
     same = Window.partitionBy("anchor", "sid")
     located_ = located(data.join(per_chunk.hint("merge"), "chunk")).repartition(partitions, "anchor")
-    # how often an anchor's passages differ is counted at one chunk of each: the first that holds its least id
-    home = F.min(F.struct("least", "chunk")).over(same)
+    # strings of two passages can only be equal if the passages agree on one side of the anchor
+    sides = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit((1 << 32) - 1))
+    beside = [Window.partitionBy("anchor", side) for side in sides]
+    alike = [F.min("sid").over(w) != F.max("sid").over(w) for w in beside]
+    # each passage is quoted by one chunk: the first that holds its least id
     found = (
-        located_.withColumn("most", F.max("most").over(same))
-        .withColumn("home", home)
-        .withColumn("at_least", F.col("least") == F.col("home.least"))
-        .withColumn("is_home", F.col("chunk") == F.col("home.chunk"))
-        .withColumn("least", F.col("home.least"))
-        .drop("home")
-        .withColumn("n", F.sum(F.col("is_home").cast("long")).over(Window.partitionBy("anchor")))
-    )
-    found = written(found.where("n > 1 or most > least"), "passages")
-    several = found.where("n > 1")
-    asked = several.where("is_home").groupBy("chunk").agg(F.collect_list(F.struct("anchor", "sid", "least", "n")).alias("asked"))
+        located_.withColumn("near", alike[0] | alike[1])
+        .withColumn("most", F.max("most").over(same))
+        .withColumn("home", F.min(F.struct("least", "chunk")).over(same))
+        .where("near or most > home.least")
+        .select(
+            "anchor", "sid", "chunk", "most", "near", "place",
+            F.col("home.least").alias("least"),
+            (F.col("least") == F.col("home.least")).alias("at_least"),
+            (F.col("chunk") == F.col("home.chunk")).alias("is_home"),
+        )
+        .withColumn("n", F.sum((F.col("is_home") & F.col("near")).cast("long")).over(Window.partitionBy("anchor")))
+    )
+    found = written(found, "passages")
+    several = found.where("near")
+    asked = several.where("is_home").groupBy("chunk").agg(F.collect_list(F.struct("anchor", "sid", "least", "n", "place")).alias("asked"))
     quotes = quoted(data.join(asked.hint("merge"), "chunk"))
     hot = several.where(F.col("n") > hot_passages).limit(1).count() > 0
     if hot:
@@ -353,6 +381,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     back = (
         whole.unionByName(marked.select(*whole.columns))
         .groupBy("chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("anchor", "sid", "least", "mask"))).alias("decisions"))
+        .agg(F.collect_list(F.struct("anchor", "sid", "least", "mask")).alias("decisions"))
     )
     return removed(data.join(back.hint("merge"), "chunk", "left"))
