@@ -111,3 +111,53 @@ def ready_to_finish(sessions: DataFrame, key: str, tile: str, edge: str) -> Data
 def fused(pixels: DataFrame, keys: list[str], value: str, sharpness: str, order: str) -> DataFrame:
     """Of each pixel the value in the frame where it is sharpest; the earliest frame on a tie."""
     return pixels.groupBy(*keys).agg(F.max_by(value, F.struct(F.col(sharpness), -F.col(order))).alias(value))
+
+
+def build_tiles(
+    motions: DataFrame, short_side: float, least_response: float = 0.015, least_streak: int = 2, most_frames: int = 3, least_match: float = 0.5
+) -> DataFrame:
+    """Streaming: the tile map of a moving view. Rows: session_id, seq, x, y (where the view is), response, match.
+
+    A tile starts once the view stands still, takes ``most_frames`` frames, and is frozen when the view has moved
+    max(6, 1.5 % of the short side) from where it began; coming back within 0.65 of that takes the move back. When
+    the view stands still at the new place, the tile there is committed if its registration (``match``, made
+    before) is good enough, else rejected. Emits (session_id, seq, state, tile, n_frames): state is moving,
+    settling, sampling, tile_full, tile_committed or candidate_rejected.
+    """
+    still, freeze = max(2.0, 0.005 * short_side), max(6.0, 0.015 * short_side)
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_x, last_y, streak, tile, x0, y0, n, leaving = state.get if state.exists else (None, None, 0, 0, 0.0, 0.0, 0, False)
+        out = []
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            moved = 0.0 if last_x is None else float(np.hypot(row.x - last_x, row.y - last_y))
+            # inside a tile a weak response is forgiven when the view hardly moved
+            steady = moved <= still and row.response >= least_response or n > 0 and not leaving and moved <= 0.55 * still
+            streak = streak + 1 if steady else 0
+            last_x, last_y = float(row.x), float(row.y)
+            away = float(np.hypot(row.x - x0, row.y - y0)) if n else 0.0
+            if n and away <= 0.65 * freeze:
+                leaving = False
+            if n and away >= freeze and not leaving:
+                leaving, streak = True, int(steady)
+            stable = streak >= least_streak
+            if not stable:
+                name = "settling" if streak else "moving"
+            elif not n:
+                tile, x0, y0, n, name = tile + 1, last_x, last_y, 1, "sampling"
+            elif leaving and row.match >= least_match:
+                tile, x0, y0, n, leaving, name = tile + 1, last_x, last_y, 1, False, "tile_committed"
+            elif leaving:
+                streak, name = 0, "candidate_rejected"
+            elif n < most_frames:
+                n, name = n + 1, "sampling"
+            else:
+                name = "tile_full"
+            out.append((key[0], row.seq, name, tile, n))
+        state.update((last_x, last_y, streak, tile, x0, y0, n, leaving))
+        yield pd.DataFrame(out, columns=["session_id", "seq", "state", "tile", "n_frames"])
+
+    shape = "last_x double, last_y double, streak int, tile int, x0 double, y0 double, n int, leaving boolean"
+    return motions.groupBy("session_id").applyInPandasWithState(
+        run, "session_id string, seq long, state string, tile int, n_frames int", shape, "append", GroupStateTimeout.NoTimeout
+    )

@@ -30,3 +30,14 @@ def test_stability_gate_drops_stale_generations(spark, tmp_path):
     found = run(spark, df, lambda s: frames.gate_stable(s, 320.0), tmp_path, "gated")
     assert [(r.seq, r.streak, r.stable) for r in found] == [(0, 1, False), (1, 2, True), (3, 0, False), (4, 1, False), (5, 1, False)]
 
+
+
+def test_tiles_are_built_where_the_view_stands(spark, tmp_path):
+    places = [(0, 0), (0, 0), (0, 0), (0, 0), (50, 0), (50, 0), (50, 0), (90, 0), (90, 0), (90, 0)]
+    rows = [("s", i, float(x), float(y), 0.5, 0.9 if x < 90 else 0.1) for i, (x, y) in enumerate(places)]
+    df = spark.createDataFrame(rows, "session_id string, seq long, x double, y double, response double, match double")
+    found = run(spark, df, lambda s: frames.build_tiles(s, 320.0), tmp_path, "tiles")
+    assert [r.state for r in found] == [
+        "settling", "sampling", "sampling", "sampling", "moving", "settling", "tile_committed", "moving", "settling", "candidate_rejected",
+    ]
+    assert [r.tile for r in found] == [0, 1, 1, 1, 1, 1, 2, 2, 2, 2] and found[3].n_frames == 3
