@@ -53,23 +53,23 @@ BLOCK = 1 << 16
 #: 48 bits of an anchor's hash are shuffled; passages that share them by chance are told apart later.
 _SHORT = np.uint64(16)
 _PRIME = np.uint64(0x100000001B3)
-_LOW, _SEED = np.uint64(0xFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
+_LOW, _SEED = np.uint32((1 << 17) - 1), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each string of ``LENGTH`` bytes of the data: where its anchor starts, and the anchor's hash."""
+    """For each string of ``LENGTH`` bytes of the data its anchor's place (in the low bits); for each place a hash."""
     word = data.astype(np.uint64)
     for width in (1, 2, 4):  # eight bytes from each place on
         word = word[:-width] | word[width:] << np.uint64(8 * width)
-    hashes = mix64(mix64(word[:-8] + _SEED) + word[8:])
-    least = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
+    hashes = mix64(word[:-8] * _PRIME ^ word[8:] * _SEED)
+    # 15 bits of the hash, then the place, which is below 2**17 in a block
+    least = (hashes >> np.uint64(49)).astype(np.uint32) << np.uint32(17) | np.arange(len(hashes), dtype=np.uint32)
     width, done = LENGTH - ANCHOR + 1, 1
     while done < width:
         step = min(done, width - done)
         least = np.minimum(least[:-step], least[step:])
         done += step
-    at = (least & _LOW).astype(np.int64)
-    return at, hashes[at]
+    return least, hashes
 
 
 def passages(data: np.ndarray, bounds: np.ndarray):
@@ -82,16 +82,18 @@ def passages(data: np.ndarray, bounds: np.ndarray):
     found = [(none,) * 5]
     edges = np.unique(np.concatenate([bounds, bounds - LENGTH + 1]))
     for start in range(0, len(data) - LENGTH + 1, BLOCK):
-        at, hashes = _anchors(data[start : start + BLOCK + LENGTH - 1])
-        inside = edges[np.searchsorted(edges, start + 1) : np.searchsorted(edges, start + len(at))] - start
-        change = np.diff(at, prepend=-1) != 0
+        least, hashes = _anchors(data[start : start + BLOCK + LENGTH - 1])
+        inside = edges[np.searchsorted(edges, start + 1) : np.searchsorted(edges, start + len(least))] - start
+        change = np.ones(len(least), bool)
+        np.not_equal(least[1:], least[:-1], out=change[1:])
         change[inside] = True
         first = np.flatnonzero(change)
-        last = np.append(first[1:], len(at)) - 1
+        last = np.append(first[1:], len(least)) - 1
         doc = np.searchsorted(bounds, first + start, side="right") - 1
         whole = first + start + LENGTH <= bounds[doc + 1]
-        first, last = first[whole], last[whole]
-        found.append((doc[whole], first + start, last + start, (hashes[first] >> _SHORT).astype(np.int64), at[first] + start))
+        doc, first, last = doc[whole], first[whole], last[whole]
+        at = (least[first] & _LOW).astype(np.int64)
+        found.append((doc, first + start, last + start, (hashes[at] >> _SHORT).astype(np.int64), at + start))
     return tuple(map(np.concatenate, zip(*found)))
 
 
