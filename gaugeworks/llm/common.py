@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -46,14 +47,17 @@ _STATE: dict[str, Any] = {}
 def worker_state(token: str, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps between tasks, made once; only the last operator's is kept."""
     if token not in _STATE:
-        _STATE.clear()
+        forget_state()
         _STATE[token] = make()
     return _STATE[token]
 
 
 def forget_state() -> None:
     """Frees what another operator's tasks have left in this Python worker."""
-    _STATE.clear()
+    if _STATE:
+        _STATE.clear()
+        gc.enable()
+        gc.collect()
 
 
 def slices(batch, rows: int = 512):

@@ -24,20 +24,21 @@ import gc
 import math
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_state, written
+from .common import slices, worker_state, written
 
 KNOWN_SHARE = 1e-5
 GRAM_SHARE = 2e-5
 ORDERS = (1, 2, 3, 4, 5)
 UNKNOWN = "und"
 #: Words a task remembers scores of, besides the known ones.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -201,8 +202,8 @@ def keep_languages(docs: DataFrame, least_score: float = 0.4, id_col: str = "doc
 
     def run(batches):
         scorer_here = scorer()
-        for batch in batches:
-            found = [scorer_here.predict(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
+        for part in chain.from_iterable(map(slices, batches)):
+            found = [scorer_here.predict(t.as_py()) for t in part.column(at)]
+            yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
 
     return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, docs.schema)
