@@ -46,7 +46,7 @@ ANCHOR = 16
 #: A string is its anchor and 34 bytes more, so 17 of them stand on one side at least.
 SIDE = (LENGTH - ANCHOR) // 2
 CHUNK_BYTES = 4 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 18
 HOT_PASSAGES = 20_000
 #: Strings that are looked at together.
 BLOCK = 1 << 16
