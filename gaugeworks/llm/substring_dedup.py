@@ -47,7 +47,7 @@ ANCHOR = 16
 SIDE = (LENGTH - ANCHOR) // 2
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 1 << 18
-HOT_PASSAGES = 20_000
+HOT_PASSAGES = 2_000
 #: Strings that are looked at together.
 BLOCK = 1 << 16
 #: 48 bits of an anchor's hash are shuffled; passages that share them by chance are told apart later.
