@@ -95,7 +95,7 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     out = np.zeros(len(first), np.uint64)
     for j in range(words):
         at = np.minimum(first + j, len(word) - 1)
-        out += np.where(first + j < last, mix64(word[at] + np.uint64(j + 1) * _BASE), np.uint64(0))
+        out += np.where(first + j < last, mix64(word[at] + np.uint64((j + 1) * int(_BASE) % 2**64)), np.uint64(0))
     return mix64(out), count
 
 
@@ -140,7 +140,7 @@ def icws(hashes: np.ndarray, log_weights: np.ndarray, sizes: np.ndarray, samples
     log_weights = log_weights.astype(np.float32)
     out = np.empty((len(starts), samples), np.uint64)
     for k in range(samples):
-        bits = mix64(hashes + np.uint64(seed * 1000 + k + 1) * _BASE)
+        bits = mix64(hashes + np.uint64((seed * 1000 + k + 1) * int(_BASE) % 2**64))
         r = gamma[(bits & np.uint64(0xFFFF)).astype(np.intp)]
         log_c = log_gamma[((bits >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.intp)]
         beta = ((bits >> np.uint64(40)).astype(np.float32)) * np.float32(2.0**-24)
