@@ -7,7 +7,7 @@ free. Then that many documents of each length are picked in the order of a seede
 
 Picking is a radix selection: documents of one source and length are counted in 64 hash buckets, whole
 buckets are in or out, and only the bucket at the edge is looked at again (split into 64 once more while it
-is large), so no group is ever gathered in one task.
+is large). Rows that share an id are parted by a hash of their own, so no group is ever gathered in one task.
 
 Defined results
 ---------------
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ordered_id, written
+from .common import written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -37,6 +37,7 @@ SEED = 20_25
 #: A bucket at the edge of a selection is sorted by one task when it has no more rows.
 EDGE_ROWS = 20_000
 _DIGITS = 6
+_DEPTHS = 10
 
 
 def word_count(text: Column) -> Column:
@@ -115,35 +116,42 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
 
 def choose(rows: DataFrame, quota: DataFrame, edge_rows: int = EDGE_ROWS) -> DataFrame:
     """``rows`` (doc_id, skey, size, r, row) with ``pick``, 1 for the ``extra`` rows of each group of ``quota``
-    (skey, size, extra) that come first by (r, row)."""
-    keys, pending, need = ["skey", "size"], rows, quota.select("skey", "size", F.col("extra").alias("need"))
-    done = []
-    for depth in range(10):
-        digit = f"b{depth}"
-        pending = pending.withColumn(digit, F.shiftrightunsigned("r", 64 - _DIGITS * (depth + 1)) % (1 << _DIGITS))
+    (skey, size, extra) that come first by (r, hash of row, row). Every row comes out once."""
+    columns = ["row", "doc_id", "source", "skey", "size", "pick"]
+    keys, need = ["skey", "size"], quota.select("skey", "size", F.col("extra").alias("need"))
+    pending = rows.withColumn("r2", F.xxhash64("row"))
+    depth, depths, done = 0, [(h, d) for h in ("r", "r2") for d in range(_DEPTHS)], []
+    while True:
+        (name, place), digit = depths[depth], f"b{depth}"
+        pending = pending.withColumn(digit, F.shiftrightunsigned(name, 64 - _DIGITS * (place + 1)) % (1 << _DIGITS))
         finer = [*keys, digit]
         upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(digit))
-        counts = pending.groupBy(*finer).agg(F.count(F.lit(1)).alias("c")).join(need, keys)
+        counts = pending.groupBy(*finer).agg(F.count(F.lit(1)).alias("c"), (F.min("r") < F.max("r")).alias("differ")).join(need, keys)
         decided = written(
             counts.withColumn("upto", upto).select(
                 *finer,
                 "c",
+                "differ",
                 F.when(F.col("upto") <= F.col("need"), 1).when(F.col("upto") - F.col("c") >= F.col("need"), 0).alias("pick"),
                 (F.col("need") - F.col("upto") + F.col("c")).alias("need"),
             ),
             "mix-buckets",
         )
-        found = pending.join(decided.select(*finer, "pick", "need").hint("merge"), finer)
-        done.append(found.where("pick is not null").select("row", "doc_id", "source", "skey", "size", "pick"))
-        largest = decided.where("pick is null").agg(F.max("c")).first()[0] or 0
-        if largest <= edge_rows:
-            first = F.row_number().over(Window.partitionBy(*finer).orderBy("r", "row"))
-            edge = found.where("pick is null").withColumn("pick", (first <= F.col("need")).cast("int"))
-            done.append(edge.select("row", "doc_id", "source", "skey", "size", "pick"))
+        found = pending.join(decided.select(*finer, "pick", "need", "c").hint("merge"), finer)
+        done.append(found.where("pick is not null").select(*columns))
+        large = F.lit(False) if depth + 1 == len(depths) else F.col("c") > edge_rows
+        first = F.row_number().over(Window.partitionBy(*finer).orderBy("r", "r2", "row"))
+        edge = found.where(F.col("pick").isNull() & ~large).withColumn("pick", (first <= F.col("need")).cast("int"))
+        done.append(edge.select(*columns))
+        left = decided.where(F.col("pick").isNull() & large)
+        most = left.agg(F.max("differ").alias("differ")).first().differ
+        if most is None:
             break
-        need = decided.where("pick is null").select(*finer, "need")
-        pending = found.where("pick is null").drop("pick", "need")
+        need = left.select(*finer, "need")
+        pending = written(found.where(F.col("pick").isNull() & large).drop("pick", "need", "c"), "mix-pending")
         keys = finer
+        # rows of one id have one r: only their own hash parts them
+        depth = depth + 1 if most or name == "r2" else _DEPTHS
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -182,6 +190,20 @@ def _mix(rows: DataFrame, weights, share, most, seed) -> DataFrame:
     )
 
 
+def _mix_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    """(row, doc_id, source, size) and ``more`` of every row; written, so that ``row`` stays the same."""
+    return written(
+        docs.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            word_count(F.col(text_col)).alias("size"),
+            *more,
+        ),
+        "mix-rows",
+    )
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -194,37 +216,29 @@ def mix(
     keep_source: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken, times."""
-    rows = written(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-        ),
-        "mix-rows",
-    )
+    rows = _mix_rows(docs, id_col, text_col, source_col)
     found = _mix(rows, weights, share, most, seed)
     columns = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"]
     return found.select(*columns, *(["source"] if keep_source else []))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights=WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST_PASSES,
+    seed: int = SEED,
+) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as it is taken."""
-    found = mix(docs, id_col, text_col, source_col, keep_source=True, **options)
-    per_id = found.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id")).agg(
-        F.sort_array(F.collect_list(F.struct("size", "source", "times"))).alias("_times")
-    )
-    # rows that share an id are told apart by their place among them
-    packed = docs.select(
-        ordered_id(id_col).alias("_id"),
-        F.struct(word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source")).alias("_key"),
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
-    )
-    placed = packed.withColumn("_place", F.row_number().over(Window.partitionBy("_id").orderBy("_key")))
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("packed")
+    rows = _mix_rows(docs, id_col, text_col, source_col, packed)
+    found = _mix(rows.drop("packed"), weights, share, most, seed).where("times > 0").select("row", "times")
     return (
-        placed.join(per_id.hint("merge"), "_id")
-        .withColumn("_n", F.element_at("_times", F.col("_place"))["times"])
-        .where("_n > 0")
-        .select("_row", F.explode(F.sequence(F.lit(1), "_n")).alias("_pass"))
-        .select("_row.*")
+        rows.select("row", "packed")
+        .join(found.hint("merge"), "row")
+        .select("packed", F.explode(F.sequence(F.lit(1), "times")).alias("pass"))
+        .select("packed.*")
     )

@@ -65,3 +65,19 @@ def test_choosing_within_a_hot_group(spark):
     quota = spark.createDataFrame([("k", 3, 777)], "skey string, size long, extra long")
     one, two = (mixing.choose(rows, quota, edge_rows=n).where("pick = 1") for n in (10_000, 4))
     assert one.count() == 777 and {r.row for r in one.collect()} == {r.row for r in two.collect()}
+
+
+def test_no_row_of_a_hot_id_is_lost(spark, monkeypatch):
+    rows = spark.range(3000).select(
+        F.col("id").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("k").alias("skey"),
+        F.lit(3).cast("long").alias("size"), F.xxhash64(F.lit(1), F.lit(None).cast("long")).alias("r"),
+    )
+    quota = spark.createDataFrame([("k", 3, 777)], "skey string, size long, extra long")
+    found = mixing.choose(rows, quota, edge_rows=50).collect()
+    assert sorted(r.row for r in found) == list(range(3000)) and sum(r.pick for r in found) == 777
+    monkeypatch.setattr(mixing.choose, "__defaults__", (50,))
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 2).cast("string").alias("source"), "id")
+    out = mixing.mix(docs).collect()
+    assert len(out) == 900
+    kept = mixing.mixed(docs).collect()
+    assert len(kept) == sum(r.times for r in out) and {r.id for r in kept} <= set(range(900))
