@@ -11,8 +11,9 @@ bucket's leader and with its neighbour when sorted by the next band, so pairs gr
 its square. A bucket that holds a thousandth of all rows is dealt out to several tasks, each of which pairs
 its members with the leader of all and with neighbours. Candidates are verified by exact weighted Jaccard
 similarity. Classes are the connected components of verified pairs, found by minimum labels over links and
-shortcuts through labels. Then buckets that still span several classes are looked at again, and members of
-different classes that stand next to each other are verified, ``ROUNDS`` times or until no class grows.
+shortcuts through labels. Then larger buckets that still span several classes are looked at again: ``ROUNDS``
+times neighbours of different classes are verified, which is cheap and joins most; at last every pair of members
+of different classes is, block by block (:func:`open_links`), so no link within a bucket is missed.
 
 Defined results
 ---------------
@@ -45,10 +46,12 @@ DF_BUCKETS = 1 << 17
 ALL_PAIRS = 16
 #: A bucket of so many stand-ins, or of a thousandth of all rows if that is more, is dealt out to several tasks.
 HEAVY_ROWS = 128
-#: Later looks at buckets that span several classes.
+#: Later looks at neighbours in buckets that span several classes, before all their pairs are compared.
 ROUNDS = 2
 #: Neighbours of another class that a later look pairs each member with.
 REACH = 3
+#: Members of a block where all pairs of a bucket are compared, and shingles of it compared at once.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 4096
 SEED = 7
 CHUNK_BYTES = 1 << 20
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -221,14 +224,72 @@ def _similarities(left: list[str], right: list[str], idf: np.ndarray) -> list[fl
     out, n = [], len(left)
     for i in range(n):
         a, b = slice(bounds[i], bounds[i + 1]), slice(bounds[n + i], bounds[n + i + 1])
-        ha, hb, wa, wb = hashes[a], hashes[b], weights[a], weights[b]
-        at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
-        both = hb[at] == ha
-        low = float(np.minimum(wa[both], wb[at[both]]).sum())
-        out.append(low / (float(wa.sum()) + float(wb.sum()) - low))
+        out.append(_similarity(hashes[a], weights[a], hashes[b], weights[b]))
     return out
 
 
+def _similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
+    at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+    both = hb[at] == ha
+    low = float(np.minimum(wa[both], wb[at[both]]).sum())
+    return low / (float(wa.sum()) + float(wb.sum()) - low)
+
+
+def block_links(texts: list[str], labels: list, split: int, idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different labels, enough to join all labels that any link joins. ``split``: texts before
+    it are compared with those from it on; 0: every text with every other.
+
+    The k-th time a shingle occurs counts as a token of its own with the shingle's IDF, so that what two texts share is
+    a product of 0/1 rows; pairs near the threshold or above are then verified as elsewhere."""
+    hashes, counts, sizes = bags(texts)
+    idfs = idf[(hashes % np.uint64(DF_BUCKETS)).astype(np.intp)]
+    weights = counts * idfs
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.repeat(np.repeat(np.arange(len(texts)), sizes), counts)
+    first = np.repeat(np.cumsum(counts) - counts, counts)
+    nth = (np.arange(len(of)) - first).astype(np.uint64)
+    tokens, token_idf = np.repeat(hashes, counts), np.repeat(idfs, counts)
+    order = np.lexsort((nth, tokens))
+    tokens, nth, of, token_idf = tokens[order], nth[order], of[order], token_idf[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (nth[1:] != nth[:-1])
+    token = np.cumsum(new) - 1
+    left, right = (np.arange(split), np.arange(split, len(texts))) if split else (np.arange(len(texts)),) * 2
+    have = np.bincount(token, minlength=new.sum())
+    if split:
+        on_left = np.bincount(token[of < split], minlength=len(have))
+        useful = (on_left > 0) & (have > on_left)
+    else:
+        useful = have > 1
+    keep = useful[token]
+    token, of, token_idf = (np.cumsum(useful) - 1)[token[keep]], of[keep], token_idf[keep]
+    shared = np.zeros((len(left), len(right)))
+    for low in range(0, int(useful.sum()), BLOCK_SHINGLES):
+        a, b = np.searchsorted(token, (low, low + BLOCK_SHINGLES))
+        x, y = np.zeros((len(texts), BLOCK_SHINGLES)), np.zeros((len(texts), BLOCK_SHINGLES))
+        x[of[a:b], token[a:b] - low] = 1
+        y[of[a:b], token[a:b] - low] = token_idf[a:b]
+        shared += x[left] @ y[right].T
+    sums = np.bincount(np.repeat(np.arange(len(texts)), sizes), weights, minlength=len(texts))
+    likely = shared >= (threshold - 1e-9) * (sums[left][:, None] + sums[right][None, :] - shared)
+    found, group = [], {}
+
+    def top(label):
+        while (up := group.get(label, label)) != label:
+            label = up
+        return label
+
+    for i, j in zip(*np.nonzero(likely)):
+        i, j = int(left[i]), int(right[j])
+        if i == j or not sizes[i] or not sizes[j] or (not split and i > j) or (a := top(labels[i])) == (b := top(labels[j])):
+            continue
+        p, q = slice(bounds[i], bounds[i + 1]), slice(bounds[j], bounds[j + 1])
+        if _similarity(hashes[p], weights[p], hashes[q], weights[q]) >= threshold:
+            group[a] = b
+            found.append((i, j))
+    return found
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose texts are similar enough. ``texts``: (digest, text)."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
@@ -298,6 +359,53 @@ def later_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows (a, b) that join the classes of every bucket too large for :func:`first_pairs`: each pair of members of
+    different classes is compared. A bucket is dealt into blocks of about ``block_rows``; a class with more members has
+    blocks of its own, which aren't compared with each other."""
+    large = members.where(F.col("m") > ALL_PAIRS).select("key", "digest").join(labels.hint("merge"), "digest")
+    per_class = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.min("digest").alias("d"))
+    per_class = written(per_class, "near-open")
+    # buckets with the same members need one look
+    open_keys = (
+        per_class.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("m"), F.sum(F.when(F.col("n") < block_rows, F.col("n")).otherwise(0)).alias("few"), F.bit_xor("x").alias("x"), F.min("d").alias("d"))
+        .where("classes > 1")
+        .groupBy("m", "x", "d", "classes")
+        .agg(F.min(F.struct("key", "few")).alias("k"))
+        .select("k.key", "k.few")
+    )
+    plan = written(
+        per_class.join(open_keys.hint("merge"), "key").select(
+            "key", "label", (F.col("n") >= block_rows).alias("solid"),
+            F.when(F.col("n") >= block_rows, F.ceil(F.col("n") / block_rows)).otherwise(F.ceil(F.col("few") / block_rows)).alias("parts"),
+        ),
+        "near-open",
+    )
+    part = F.pmod(F.xxhash64("digest"), F.col("parts"))
+    own = F.when(F.col("solid"), F.col("label"))
+    dealt = written(large.join(plan.hint("merge"), ["key", "label"]).select("key", "digest", "label", own.alias("own"), part.alias("part")), "near-dealt")
+    blocks = dealt.select("key", "own", "part").distinct().withColumn("block", F.xxhash64("key", "own", "part"))
+    blocks = written(blocks, "near-blocks")
+    other = blocks.select("key", F.col("own").alias("own2"), F.col("block").alias("block2"))
+    met = blocks.join(other.hint("merge"), "key").where("block <= block2 and (own is null or not own <=> own2)")
+    sides = F.array(F.struct(F.col("block").alias("b"), F.lit(0).alias("side")), F.when(F.col("block") != F.col("block2"), F.struct(F.col("block2").alias("b"), F.lit(1).alias("side"))))
+    met = met.select(F.xxhash64("block", "block2").alias("task"), F.explode(sides).alias("s")).where("s is not null").select("task", "s.side", F.col("s.b").alias("block"))
+    rows = dealt.withColumn("block", F.xxhash64("key", "own", "part")).select("block", "digest", "label")
+    rows = rows.join(met.hint("merge"), "block").join(texts.hint("merge"), "digest")
+    shared = members.sparkSession.sparkContext.broadcast(idf)  # DF_BUCKETS numbers
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("side", "ascending"), ("digest", "ascending")])
+        digests, words = table["digest"].to_pylist(), table["text"].to_pylist()
+        split = table["side"].to_pylist().count(0) if len(set(table["side"].to_pylist())) > 1 else 0
+        found = block_links(words, table["label"].to_pylist(), split, shared.value, threshold)
+        pairs = [sorted((digests[i], digests[j])) for i, j in found]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return rows.select("task", "side", "digest", "label", "text").groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(digest, label): the smallest digest of each connected component."""
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-links")
@@ -348,6 +456,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         links = links.unionByName(found)
         labels = components(nodes, links)
+    found = written(open_links(members, labels, texts, idf, threshold), "near-links")
+    if found.head(1):
+        labels = components(nodes, links.unionByName(found))
     firsts = nodes.join(labels, "digest").select("digest", "label", "first")
     least = written(firsts.groupBy("label").agg(F.min("first").alias("first")), "near-firsts")
     return signed.select("id", "th", "digest"), written(firsts.select("digest", "label").join(least, "label").select("digest", "first"), "near-classes")

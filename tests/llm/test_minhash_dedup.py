@@ -79,5 +79,61 @@ def test_large_buckets_lose_no_class(spark):
     assert {r.class_id for r in M.near_dedup(docs).collect()} == {0}
 
 
+def brute_classes(texts, idf):
+    """The smallest index that each text is linked to, directly or not."""
+    label = list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(1, len(texts)):
+        for j, s in enumerate(M._similarities([texts[i]] * i, texts[:i], idf)):
+            if s >= 0.8:
+                a, b = top(i), top(j)
+                label[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(texts))]
+
+
+def templates(n):
+    """Texts of one template, most pairs of which are below the threshold; some chains reach it."""
+    rng = np.random.default_rng(5)
+    return [near_words(i, rng.choice(280, 4 if i % 3 else 3, replace=False) + 5) for i in range(n)]
+
+
+def near_words(i, places):
+    words = prose(300, 1).split()
+    for k in places:
+        words[k] = f"n{i}x{k}"
+    return " ".join(words)
+
+
+def test_templates_below_the_threshold_lose_no_link(spark):
+    texts = templates(200)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_classes(texts, M.idf_table(*M.document_frequencies(docs)))
+    assert 1 < len(set(expected)) < len(texts)
+    assert [r.class_id for r in M.near_dedup(docs).orderBy("doc_id").collect()] == expected
+
+
+@pytest.mark.parametrize("split", [0, 40])
+def test_blocks_join_what_brute_force_joins(split):
+    texts = templates(99) + ["", "a b a b a b a b a b a b", "a b a b a b a b a b a b a"]
+    idf = np.linspace(1, 2, M.DF_BUCKETS)
+    links = {tuple(sorted(p)) for p in M.block_links(texts, list(range(len(texts))), split, idf, 0.8)}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if bag(texts[i]) and bag(texts[j]) and (not split or i < split <= j)]
+    good = {p for p, s in zip(pairs, M._similarities([texts[i] for i, _ in pairs], [texts[j] for _, j in pairs], idf)) if s >= 0.8}
+
+    def joined(edges):
+        label = list(range(len(texts)))
+        for _ in texts:
+            for i, j in edges:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    assert links <= good and joined(links) == joined(good)
+
+
 def test_empty(spark):
     assert M.near_dedup(awkward(spark).limit(0)).count() == 0 and M.drop_near_copies(awkward(spark).limit(0)).count() == 0
