@@ -3,8 +3,9 @@
 Training counts every word of every training document by language, and from those counts every character
 n-gram of 1 to 5 characters (words stand between spaces). A word is known to a language when it makes up
 ``KNOWN_SHARE`` of that language's words or more and was seen twice; an n-gram is kept when it makes up
-``GRAM_SHARE`` of its order or more. So the model has at most ``1 / KNOWN_SHARE`` words and
-``5 / GRAM_SHARE`` n-grams for each language, whatever the input, and can be broadcast.
+``GRAM_SHARE`` of its order or more. So each language brings at most ``1 / KNOWN_SHARE`` words and
+``5 / GRAM_SHARE`` n-grams, whatever the input, and the model can be broadcast. What one language brings is kept with
+its counts in all of them.
 
 A known word adds its log frequency in every language. An unseen word falls back to its 5-character n-grams;
 if none of them is kept, to those of 4 characters, and so on.
@@ -74,7 +75,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # six rows for each language
     share = F.when(F.col("size") == 0, KNOWN_SHARE).otherwise(GRAM_SHARE)
     kept = (F.col("n") >= F.col("total") * share) & ((F.col("size") > 0) | (F.col("n") > 1))
-    return every.join(F.broadcast(totals), ["lang", "size"]).where(kept)
+    counted = every.join(F.broadcast(totals), ["lang", "size"])
+    tokens = written(counted.where(kept).select("size", "token").distinct(), "lang-kept")  # the model's, which has a bound
+    return counted.join(F.broadcast(tokens), ["size", "token"], "left_semi")
 
 
 class _Words(dict):

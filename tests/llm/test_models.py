@@ -29,6 +29,17 @@ def test_language_of_awkward_texts(spark):
     assert {r.lang_pred for r in language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_a_kept_token_has_the_counts_of_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "KNOWN_SHARE", 0.1)
+    monkeypatch.setattr(language_id, "GRAM_SHARE", 0.1)
+    rows = [("zed " * 15 + "alpha " * 85, "a"), ("zed " * 5 + "beta " * 95, "b")]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string")).collect()
+    assert {(r.lang, r.token): r.n for r in model if r.size == 0} == {("a", "zed"): 15, ("a", "alpha"): 85, ("b", "zed"): 5, ("b", "beta"): 95}
+    langs, tables = language_id.tabulated(model)
+    tokens, scores = tables[0]
+    assert np.exp(scores[tokens.split("\n").index("zed")]).tolist() == pytest.approx([0.15, 0.05])
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     rows = [("a", 1, c, 5, 20) for c in "abcd"] + [("b", 1, c, 5, 20) for c in "wxyz"]
     shape = [type("R", (), dict(zip(("lang", "size", "token", "n", "total"), r))) for r in rows]
