@@ -846,7 +846,7 @@ def ring_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps of boxes that hold each other's first corner, by drawing."""
     from .operators.raster import overlap_pairs
 
-    boxes = _boxes(spark, d).where("shape % 3 = 0")
+    boxes = _boxes(spark, d)
     corners = boxes.select(F.col("shape").alias("a"), F.col("min_x").alias("x"), F.col("min_y").alias("y"), F.struct("min_x", "min_y", "max_x", "max_y").alias("box"))
 
     def rings(b):
