@@ -113,9 +113,16 @@ def test_url_intervals(spark):
     urls = [(1, "http://www.A.com:80/p", 1), (2, "http://a.com", 4), (3, "http://a.com", 5), (4, "http://a.com", 9), (5, "https://u@x.y.b.org/", 3), (6, "https://b.org", 2),
             (7, None, 3), (8, "no url", 3), (9, "http://d.com/x/y?z", 0), (10, "http://d.com/xx", 0), (11, "http://a.com", None), (2, "http://a.com", 4)]
     captures = spark.createDataFrame([(*u, "clash") for u in urls], "page_id int, url string, day int, key string")
-    for rows in (200_000, 0):
-        found = url_filter.url_filter(captures, entries, "page_id", "url", "day", broadcast_rows=rows).collect()
+    for rows, heavy in ((200_000, 10_000), (0, 10_000), (200_000, 1)):
+        found = url_filter.url_filter(captures, entries, "page_id", "url", "day", broadcast_rows=rows, heavy_rows=heavy).collect()
         assert sorted((r.id, r.first_match) for r in found if r.blocked) == [(1, "host a.com"), (2, "host a.com"), (2, "host a.com"), (5, "domain b.org"), (9, "prefix d.com/x")]
         assert len(found) == 12
     assert url_filter.url_filter(captures, entries.limit(0), "page_id", "url", "day").where("blocked").count() == 0
     assert url_filter.url_filter(captures.limit(0), entries, "page_id", "url", "day").count() == 0
+
+
+def test_url_filter_of_one_key_with_a_long_log(spark):
+    entries = spark.range(20_000).selectExpr("'host' as kind", "'a.com' as key", "id * 3 as day", "if(id % 2 = 0, 'add', 'remove') as action")
+    captures = spark.range(10_000).selectExpr("id as row", "'http://a.com/x' as time", "id * 6 % 60013 as id")
+    found = url_filter.url_filter(captures, entries, "row", "time", "id", heavy_rows=1500).collect()
+    assert len(found) == 10_000 and all(r.blocked == (r.time // 3 % 2 == 0) for r in found if r.time < 59_997)
