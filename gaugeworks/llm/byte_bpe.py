@@ -5,14 +5,15 @@ a transition function over ten states ("in a letter run", "after an apostrophe",
 functions is associative, so states are found by a scan: each block's function, a prefix scan over blocks,
 then the states inside all blocks side by side. A boundary depends on two neighbouring states only; no
 regular expression looks at the text. The slices go through a cache of merged pieces; pieces that are not
-cached are merged together, one lowest-ranked pair of every piece at a time.
+cached are merged together, one lowest-ranked pair of every piece at a time. The byte offset of every token is kept
+beside its id: decoding puts each token's bytes at its offset, all tokens of a text at once.
 
 Defined results
 ---------------
 * A null text is the empty text: no ids. Special tokens are ordinary text.
 * Each row is encoded on its own, whatever its id; ties between equal ranks go to the leftmost pair.
 * Very long texts are taken whole; long pieces without a boundary are merged with a heap.
-* Decoding joins the ids' bytes, so it gives back the text's UTF-8 bytes.
+* Decoding gives back the text's UTF-8 bytes. Null ids decode to no bytes, ids that are no token to null.
 * Extra columns are left out of :func:`encode`; an empty table gives an empty result.
 """
 
@@ -156,6 +157,9 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.texts = list(map(str, range(len(self.tokens))))
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self.sizes = np.array(list(map(len, self.tokens)), np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
         self.of_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -263,8 +267,20 @@ class Vocabulary:
             at = end + 1
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def offsets(self, ids: list[int]) -> np.ndarray:
+        """Where each token begins in the bytes of its text."""
+        sizes = self.sizes[np.array(ids, np.intp)]
+        return np.cumsum(sizes) - sizes
+
+    def decode(self, ids, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes of a text, each token's at its offset."""
+        if not len(ids):
+            return b""
+        ids = np.asarray(ids, np.intp)
+        if offsets is None:
+            offsets = self.offsets(ids)
+        sizes = self.sizes[ids]
+        return self.bytes[np.repeat(self.places[ids] - offsets, sizes) + np.arange(offsets[-1] + sizes[-1])].tobytes()
 
 
 def chunks(texts: list[str], chars: int = CHUNK_CHARS):
@@ -280,7 +296,7 @@ def chunks(texts: list[str], chars: int = CHUNK_CHARS):
 
 
 def encode(docs: DataFrame, vocabulary_file: bytes, per_text, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, and what ``per_text(vocabulary, ids)`` gives, by ``schema``) of every row of ``docs``."""
+    """(doc_id, and what ``per_text(vocabulary, ids, offsets)`` gives, by ``schema``) of every row of ``docs``."""
     file = docs.sparkSession.sparkContext.broadcast(vocabulary_file)  # the vocabulary's size doesn't depend on the input
 
     def run(batches):
@@ -289,7 +305,7 @@ def encode(docs: DataFrame, vocabulary_file: bytes, per_text, schema: str, id_co
         for part in chain.from_iterable(map(slices, batches)):
             texts = [t or "" for t in part.column(1).to_pylist()]
             for a, b in chunks(texts):
-                rows = [per_text(words, ids) for ids in words.encode(texts[a:b])]
+                rows = [per_text(words, ids, words.offsets(ids)) for ids in words.encode(texts[a:b])]
                 columns = [part.column(0).slice(a, b - a), *map(pa.array, zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -301,17 +317,39 @@ def encode(docs: DataFrame, vocabulary_file: bytes, per_text, schema: str, id_co
 
 
 def with_ids(docs: DataFrame, vocabulary_file: bytes, **columns: str) -> DataFrame:
-    """(doc_id, ids): the ids of every whole text."""
-    return encode(docs, vocabulary_file, lambda _, ids: (ids,), "ids array<int>", **columns)
+    """(doc_id, ids, offsets): the ids of every whole text and where their bytes begin in it."""
+    return encode(docs, vocabulary_file, lambda _, ids, offsets: (ids, offsets), "ids array<int>, offsets array<long>", **columns)
+
+
+def decode(tokens: DataFrame, vocabulary_file: bytes, id_col: str = "doc_id", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """(doc_id, bytes): the bytes of every row of ``tokens``, such as :func:`with_ids` gives."""
+    file = tokens.sparkSession.sparkContext.broadcast(vocabulary_file)
+    token = f"bpe {hashlib.blake2b(vocabulary_file).hexdigest()}"
+
+    def run(batches):
+        words = worker_state(token, lambda: Vocabulary(file.value))
+
+        def text(ids, offsets) -> bytes | None:
+            if ids is None or not len(ids):
+                return b""
+            known = 0 <= min(ids) and max(ids) < len(words.tokens)
+            return words.decode(ids, np.array(offsets, np.int64)) if known else None
+
+        for part in chain.from_iterable(map(slices, batches)):
+            found = [text(ids.values and ids.values.to_numpy(), offsets.values and offsets.values.to_numpy()) for ids, offsets in zip(part.column(1), part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "bytes"])
+
+    rows = tokens.select(tokens[f"`{id_col}`"].cast("long").alias("doc_id"), tokens[f"`{ids_col}`"].cast("array<long>"), tokens[f"`{offsets_col}`"].cast("array<long>"))
+    return rows.mapInArrow(run, "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, vocabulary_file: bytes, **columns: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
 
-    def digest(words: Vocabulary, ids: list[int]):
+    def digest(words: Vocabulary, ids: list[int], offsets: np.ndarray):
         from hashlib import sha256
 
         text = " ".join(map(words.texts.__getitem__, ids))
-        return len(ids), sha256(text.encode()).hexdigest(), sha256(words.decode(ids)).hexdigest()
+        return len(ids), sha256(text.encode()).hexdigest(), sha256(words.decode(ids, offsets)).hexdigest()
 
     return encode(docs, vocabulary_file, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", **columns)
