@@ -34,12 +34,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-def _tokens(words: byte_bpe.Vocabulary, ids: list[int]):
-    return len(ids), ids, sha256(words.decode(ids)).hexdigest()
+def _tokens(words: byte_bpe.Vocabulary, ids: list[int], offsets):
+    return len(ids), ids, offsets, sha256(words.decode(ids, offsets)).hexdigest()
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.encode(docs, vocabulary_file(), _tokens, "n_tokens long, ids array<int>, decoded_sha256 string")
+    return byte_bpe.encode(docs, vocabulary_file(), _tokens, "n_tokens long, ids array<int>, offsets array<long>, decoded_sha256 string")
 
 
 STAGES = [
