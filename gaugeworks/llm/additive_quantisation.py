@@ -4,19 +4,22 @@ A vector is approximated by a sum of one codeword from each of ``BOOKS`` codeboo
 Codebooks are trained as residual k-means on a sample of ``SAMPLE`` vectors at most (the smallest hashes of
 their ids) and then refitted together by least squares; encoding keeps the ``BEAM`` best partial sums of each
 vector. The norm of the vector over that of its approximation is stored with the code, and corrects the length
-that quantisation loses. A search scores every code by lookup tables (a query's products with all codewords),
-takes the ``RERANK`` best of each block of vectors and scores them exactly, in double precision.
+that quantisation loses. A search scores every code by lookup tables (a query's products with all codewords), keeps
+the ``RERANK`` best of each block of codes and then of all blocks, and scores those exactly, in double precision, by a
+join with the vectors.
 
-The index is dealt out in blocks of ``BLOCK`` rows at most by a hash of the id, and queries in groups of
-``QUERIES`` rows, so every task holds one block and one group, however many vectors are alike.
+The index is dealt out in blocks of ``BLOCK`` codes at most by a hash of the row, and queries in groups of
+``QUERIES`` rows, so every task holds one block and one group, however many vectors are alike. What goes to every
+group is a code and a norm, of about 50 bytes a vector; vectors move only where they are reranked, ``RERANK`` for each
+query.
 
 Defined results
 ---------------
 * Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a
   null id or with another length than most vectors have.
-* A query's own row is left out by its id; rows that repeat an id are searched as one (the first by value).
+* A query's own row is left out, and only that: rows that repeat an id are queries and candidates of their own.
 * Ties go to the smaller id. With no more than ``k`` candidates a query gets them all.
-* An empty table gives an empty result; extra columns are left out.
+* Very long vectors are taken whole. An empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,24 +31,25 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BOOKS = 16
+BOOKS = 24
 WORDS = 256
 BEAM = 4
 SAMPLE = 8192
-BLOCK = 4096
+BLOCK = 16_384
 QUERIES = 1024
-RERANK = 128
+RERANK = 256
 K = 20
 _DTYPE = np.float32
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v) of the vectors that take part, once for each id."""
+    """(row, id, v) of the vectors that take part; written, so that ``row`` stays the same."""
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
+    )
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return written(rows.where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)), "aq-vectors")
 
 
 def _kmeans(points: np.ndarray, words: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -102,9 +106,9 @@ def encode(points: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarra
 
 
 def build_index(rows: DataFrame, sample_size: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
-    """(id, v, code, norm) of every row of (id, v), and the codebooks. Only the sample reaches the driver."""
+    """(row, id, v, code, norm) of every row of (row, id, v), and the codebooks. Only the sample reaches the driver."""
     spark = rows.sparkSession
-    sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(sample_size).toPandas()["v"]
+    sample = rows.select("v").orderBy(F.xxhash64("row"), "row").limit(sample_size).toPandas()["v"]
     lengths = sample.map(len)
     width = int(lengths.mode().iloc[0]) if len(sample) else 0
     rows = rows.where(F.size("v") == width)
@@ -120,78 +124,70 @@ def build_index(rows: DataFrame, sample_size: int = SAMPLE) -> tuple[DataFrame,
                 codes = encode(points, shared.value)
                 sums = shared.value[np.arange(len(shared.value)), codes].sum(1)
                 norm = np.linalg.norm(points, axis=1) / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
-                yield pd.DataFrame({"id": part["id"], "v": part["v"], "code": [c.astype(np.uint8).tobytes() for c in codes], "norm": norm})
+                yield pd.DataFrame({"row": part["row"], "id": part["id"], "v": part["v"], "code": [c.astype(np.uint8).tobytes() for c in codes], "norm": norm})
 
-    return written(rows.mapInPandas(run, "id long, v array<double>, code binary, norm double"), "aq-index"), books
+    return written(rows.mapInPandas(run, "row long, id long, v array<double>, code binary, norm double"), "aq-index"), books
 
 
-def _search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray, k: int, rerank: int):
-    """(query, place, exact score) of the best of a block: by lookup tables, then exactly. ``ids`` are in order."""
-    rough = np.zeros((len(queries), len(ids)), _DTYPE)
-    small = queries.astype(_DTYPE)
+def _search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray, rerank: int):
+    """(query, place, rough score) of the best of a block, by lookup tables. Rows are in order of their ids, to which
+    ties go; ``own``: the queries' own rows."""
+    rough = np.zeros((len(queries), len(rows)), _DTYPE)
     for b, book in enumerate(books):
-        rough += np.take(small @ book.T, codes[:, b], axis=1)
+        rough += np.take(queries @ book.T, codes[:, b], axis=1)
     rough *= norm.astype(_DTYPE)
-    rough[query_ids[:, None] == ids] = -np.inf
-    keep = min(rerank, len(ids))
-    if keep < len(ids):  # ties at the edge go to the smaller ids
-        edge = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1 : keep]
-        above, at_edge = rough > edge, rough == edge
-        room = keep - above.sum(1, keepdims=True)
-        chosen = above | (at_edge & (np.cumsum(at_edge, 1) <= room))
-        query, place = np.nonzero(chosen)
-    else:
-        query, place = np.nonzero(np.ones_like(rough, bool))
-    own = query_ids[query] == ids[place]
-    query, place = query[~own], place[~own]
-    exact = np.empty(len(query))
-    for at in range(0, len(query), 1 << 15):
-        s = slice(at, at + (1 << 15))
-        exact[s] = np.einsum("ij,ij->i", queries[query[s]], points[place[s]])
-    order = np.lexsort((ids[place], -exact, query))
-    query, place, exact = query[order], place[order], exact[order]
-    rank = np.arange(len(query)) - np.searchsorted(query, query)
-    first = rank < k
-    return query[first], place[first], exact[first]
+    rough[own[:, None] == rows] = -np.inf
+    keep = min(rerank, len(rows))
+    edge = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1 : keep]
+    above, at_edge = rough > edge, rough == edge
+    room = keep - above.sum(1, keepdims=True)
+    query, place = np.nonzero((above | (at_edge & (np.cumsum(at_edge, 1) <= room))) & np.isfinite(rough))
+    return query, place, rough[query, place]
 
 
 def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = K, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` found nearest of each row of ``queries`` (id, v) by inner product."""
+    """(query_id, rank, vec_id, score): the ``k`` found nearest of each row of ``queries`` (row, id, v) by inner product;
+    a query with a row of the index leaves that row out."""
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(books)
-    width = books.shape[2]
+    queries = queries.where(F.size("v") == books.shape[2])
     blocks = max(1, -(-index.count() // (BLOCK * 3 // 4)))
     groups = max(1, -(-queries.count() // (QUERIES * 3 // 4)))
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
-    stored = index.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("*", every_group)
-    asked = queries.where(F.size("v") == width).withColumn("g", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int")).select("id", "v", "g", every_block)
+    stored = index.select("row", "id", "code", F.col("norm").cast("float"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"), every_group)
+    asked = queries.select("row", F.col("v").cast("array<float>"), F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(groups)).cast("int").alias("g"), every_block)
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        left = left.sort_values("id")
-        points, ids = np.array(left["v"].tolist(), np.float64), left["id"].to_numpy()
-        codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
-        parts = []
-        for at in range(0, len(right), 256):
-            some = right.iloc[at : at + 256]
-            query_ids = some["id"].to_numpy()
-            q, place, score = _search(np.array(some["v"].tolist(), np.float64), query_ids, points, ids, codes, left["norm"].to_numpy(), shared.value, k, rerank)
-            parts.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[place], "score": score}))
+        parts = [pd.DataFrame({"q": [], "row": [], "id": [], "rough": []}).astype({"q": "int64", "row": "int64", "id": "int64", "rough": "float32"})]
+        if len(left) and len(right):
+            left, right = left.sort_values(["id", "row"]), right.sort_values("row")
+            rows, ids = left["row"].to_numpy(), left["id"].to_numpy()
+            codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(left), -1)
+            for at in range(0, len(right), 128):
+                some = right.iloc[at : at + 128]
+                own = some["row"].to_numpy()
+                q, place, rough = _search(np.array(some["v"].tolist(), _DTYPE), own, rows, codes, left["norm"].to_numpy(), shared.value, rerank)
+                parts.append(pd.DataFrame({"q": own[q], "row": rows[place], "id": ids[place], "rough": rough}))
         return pd.concat(parts)
 
-    found = (
+    rough = (
         stored.groupBy("b", "g")
         .cogroup(asked.groupBy("b", "g"))
-        .applyInPandas(block, "query_id long, vec_id long, score double")
+        .applyInPandas(block, "q long, row long, id long, rough float")
     )
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "id", "row"))
+    chosen = rough.withColumn("place", place).where(F.col("place") <= rerank).select("q", "row", "id")
+    vectors = index.select("row", "v").hint("merge")
+    mine = queries.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("w")).hint("merge")
+    products = F.zip_with("v", "w", lambda x, y: x * y)
+    score = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    exact = chosen.join(vectors, "row").join(mine, "q").select("q", "query_id", "id", "row", score.alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id", "row"))
+    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def nearest(vectors: DataFrame, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
     """Searches with the rows whose id is divisible by ``every`` against all rows."""
-    rows = written(usable(vectors, id_col, vector_col), "aq-vectors")
-    index, books = build_index(rows)
-    return search(index, books, index.where(F.col("id") % every == 0).select("id", "v"), k)
+    index, books = build_index(usable(vectors, id_col, vector_col))
+    return search(index, books, index.where(F.col("id") % every == 0).select("row", "id", "v"), k)
