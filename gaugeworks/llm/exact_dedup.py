@@ -1,17 +1,22 @@
 """Exact dedup by two-pass Bloom filtering, DataFrame functions only.
 
-Pass one sets, for every text hash, two bits of a blocked Bloom filter and keeps the bits that were set
-more than once. Pass two tests every row against those bits: only rows whose bits were all set twice may
-have a copy, and only they shuffle; the rest pass straight through.
+Pass one sets, for every text hash, two bits of a blocked Bloom filter and keeps the bits that were set more than once.
+It exchanges one 8-byte number for each row, by block; each task then counts the bits of its own blocks. (Bitmaps that
+tasks build and merge would move two bits a row and *task*, which is more from 32 tasks on.) Pass two tests every row
+against those bits: only rows whose bits were all set twice may have a copy, and only they shuffle; the rest pass
+straight through.
 
-The filter has ``BITS_PER_ROW`` bits a row, in blocks of 32,768 bits (the size of Spark's bitmap
-aggregates). It is broadcast up to ``MAX_BROADCAST_BITS``; a larger one is joined by block with a shuffle.
+The filter has ``BITS_PER_ROW`` bits a row, in blocks of 32,768 bits (the size of Spark's bitmap aggregates). It is
+broadcast up to ``MAX_BROADCAST_BITS``. Hashes are tested against a larger one by a join on the block, which moves
+hashes and row numbers, never texts: :func:`drop_exact_copies` reads texts only after the hashes that do repeat are
+known, and tests them against a second filter of those hashes alone, of ``MAX_BROADCAST_BITS`` at most.
 
 Defined results
 ---------------
 * A null text counts as the empty text, so nulls and empty texts are copies of each other.
 * The row with the largest ``doc_id`` of a group stays; a null ``doc_id`` is smaller than any other.
-* Rows that repeat both ``doc_id`` and text are copies too: exactly one of them stays.
+* Of rows that repeat both ``doc_id`` and text exactly one stays; if other columns differ, the one with the largest hash
+  of all its columns, so that reruns agree.
 * Very long texts are hashed whole (SHA-256). An empty table gives an empty result.
 * Extra columns don't matter to :func:`exact_dedup` and are kept by :func:`drop_exact_copies`, whatever
   their names.
@@ -19,8 +24,11 @@ Defined results
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from .common import NO_ID, ordered_id, written
 
@@ -37,43 +45,46 @@ def text_hash(text: str = "text") -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
-def _blocks(rows: int) -> int:
-    return max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
+def _blocks(rows: int, most: int | None = None) -> int:
+    blocks = max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS))
+    return blocks if most is None else min(blocks, max(1, most // BLOCK_BITS))
 
 
-def _block(digest: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(digest)), F.lit(blocks)).cast("long")
+def _block(hash_: Column, blocks: int) -> Column:
+    return F.pmod(hash_, F.lit(blocks)).cast("long")
 
 
-def _bits(digest: str) -> Column:
-    return F.array(*(F.pmod(F.xxhash64(F.lit(seed), F.col(digest)), F.lit(BLOCK_BITS)) for seed in (1, 2)))
+def _bits(hash_: Column) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(F.lit(seed), hash_), F.lit(BLOCK_BITS)) for seed in (1, 2)))
 
 
-def repeated_bits(keys: DataFrame, digest: str, blocks: int) -> DataFrame:
-    """Pass one: (block, bitmap) of the filter bits that were set by two rows or more."""
+def filter_bits(keys: DataFrame, digest: str, blocks: int, least: int) -> DataFrame:
+    """(block, bitmap) of the filter bits that ``least`` rows or more set."""
+    hashes = keys.select(F.xxhash64(digest).alias("h")).withColumn("block", _block(F.col("h"), blocks))
+    partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        keys.select(_block(digest, blocks).alias("block"), F.explode(_bits(digest)).alias("bit"))
+        hashes.repartition(partitions, "block")  # both groupings below keep to it
+        .select("block", F.explode(_bits(F.col("h"))).alias("bit"))
         .groupBy("block", "bit")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        .where(F.col("n") >= least)
         .groupBy("block")
         .agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
     )
 
 
-
-def possibly_repeated(rows: DataFrame, digest: str, filter_bits: DataFrame, blocks: int) -> DataFrame:
-    """Pass two: ``rows`` with ``_maybe``, false for rows that surely have no copy."""
-    side = filter_bits.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))
-    if blocks * BLOCK_BITS <= MAX_BROADCAST_BITS:
-        side = F.broadcast(side)
+def possibly_held(rows: DataFrame, digest: str, bits: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with ``_maybe``, false for rows with a bit that isn't set."""
+    side = bits.select(F.col("block").alias("_block"), F.col("bitmap").alias("_bitmap"))
+    side = F.broadcast(side) if blocks * BLOCK_BITS <= MAX_BROADCAST_BITS else side.hint("merge")
     held = "getbit(cast(conv(hex(substring(_bitmap, cast(b div 8 as int) + 1, 1)), 16, 10) as int), cast(b % 8 as int)) = 1"
     return (
-        rows.withColumn("_block", _block(digest, blocks))
-        .withColumn("_bits", _bits(digest))
+        rows.withColumn("_hash", F.xxhash64(digest))
+        .withColumn("_block", _block(F.col("_hash"), blocks))
+        .withColumn("_bits", _bits(F.col("_hash")))
         .join(side, "_block", "left")
         .withColumn("_maybe", F.expr(f"_bitmap is not null and forall(_bits, b -> {held})"))
-        .drop("_block", "_bits", "_bitmap")
+        .drop("_hash", "_block", "_bits", "_bitmap")
     )
 
 
@@ -89,8 +100,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     total = keys.count()
     blocks = _blocks(total)
-    flags = written(repeated_bits(keys, "text_sha256", blocks), "exact-bits")
-    rows = possibly_repeated(keys, "text_sha256", flags, blocks)
+    bits = written(filter_bits(keys, "text_sha256", blocks, 2), "exact-bits")
+    rows = possibly_held(keys, "text_sha256", bits, blocks)
     single = rows.where("not _maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -119,13 +130,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return single.unionByName(copies)
 
 
+def _hashable(field: StructField) -> Column:
+    """The column, as JSON if it has a type that Spark doesn't hash."""
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column)) if re.search("map<|variant", field.dataType.simpleString()) else column
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    packed = docs.select(text_hash(text_col).alias("_digest"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    digests = written(packed.select("_digest"), "exact-digests")
-    blocks = _blocks(digests.count())
-    flags = written(repeated_bits(digests, "_digest", blocks), "exact-bits")
-    rows = possibly_repeated(packed, "_digest", flags, blocks)
-    last = F.max_by("_row", F.coalesce(F.col(f"_row.`{id_col}`").cast("long"), F.lit(NO_ID))).alias("_row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(
+        text_hash(text_col).alias("_digest"),
+        F.struct(ordered_id(id_col).alias("id"), F.xxhash64(*map(_hashable, docs.schema)).alias("of_all")).alias("_order"),
+        F.struct(*columns).alias("_row"),
+    )
+    keys = written(packed.select("_digest", "_order"), "exact-digests")
+    blocks = _blocks(keys.count())
+    bits = written(filter_bits(keys, "_digest", blocks, 2), "exact-bits")
+    maybe = possibly_held(keys, "_digest", bits, blocks).where("_maybe")
+    groups = written(
+        maybe.groupBy("_digest").agg(F.count(F.lit(1)).alias("n"), F.max("_order").alias("_last")).where("n > 1").drop("n"), "exact-groups"
+    )
+    # the hashes that do repeat, in a filter that can always be broadcast
+    blocks = _blocks(groups.count(), MAX_BROADCAST_BITS)
+    bits = written(filter_bits(groups, "_digest", blocks, 1), "exact-bits")
+    rows = possibly_held(packed, "_digest", bits, blocks)
     once = rows.where("not _maybe").select("_row")
-    return once.unionByName(rows.where("_maybe").groupBy("_digest").agg(last).select("_row")).select("_row.*")
+    # of a repeated text only the rows that may be the last of its group are moved on to the choice of one
+    last = rows.where("_maybe").join(groups.hint("merge"), "_digest", "left").where("_last is null or _order = _last")
+    chosen = last.where("_last is not null").select("_digest", "_row").dropDuplicates(["_digest"]).select("_row")
+    return once.unionByName(last.where("_last is null").select("_row")).unionByName(chosen).select("_row.*")

@@ -34,6 +34,18 @@ def test_heavy_groups_give_the_same(spark, monkeypatch):
     assert len(found) == 1500 and {(r.keep_id, r.group_size) for r in found} == {(2998, 1500)} and sum(r.kept for r in found) == 1
     monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BITS", 0)
     assert exact_dedup.exact_dedup(docs).where("kept").count() == 1501
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BITS", exact_dedup.BLOCK_BITS)
+    more = docs.unionByName(docs.selectExpr("doc_id", "concat('again ', doc_id % 1400) as text"))
+    kept = exact_dedup.drop_exact_copies(more).collect()
+    assert len(kept) == len({r.text for r in kept}) == 1501 + 1400
+    assert {r.doc_id for r in kept if r.text == "copy"} == {2998} and {r.doc_id for r in kept if r.text == "again 3"} == {2803}
+
+
+def test_ties_are_settled_alike(spark):
+    rows = [(1, "same", i) for i in range(20)] + [(1, "same", 3)] * 3 + [(None, None, 5), (None, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    found = {tuple(r) for n in (1, 7) for r in exact_dedup.drop_exact_copies(docs.repartition(n)).collect()}
+    assert len(found) == 2 and exact_dedup.drop_exact_copies(docs).count() == 2
 
 
 def test_drop_exact_copies_keeps_columns(spark):
