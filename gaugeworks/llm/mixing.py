@@ -13,12 +13,12 @@ Defined results
 ---------------
 * The size of a text is its number of runs outside ``[\\x20\\x09-\\x0D]``; a null text has 0.
 * Sources are ordered by code point, a null source last; it is a source like any other.
-* Targets: see :func:`source_targets`. A source of size 0 has target 0.
+* Targets: see :func:`source_plan`. A source of size 0 has target 0.
 * A document is taken whole, 0, 1 or 2 times. A source that can't reach its target exactly stays below it.
 * Rows that repeat a doc_id are documents of their own. Empty tables give empty results; extra columns
   are kept by :func:`mixed` and left out by :func:`mix`.
 
-What is held on the driver is one row for each source.
+The driver holds sums over sources, not the sources themselves.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ DP_BUDGET = 1 << 16
 SEED = 20_25
 #: A bucket at the edge of a selection is sorted by one task when it has no more rows.
 EDGE_ROWS = 20_000
+#: The plan has one row for each source, of some 100 bytes; a longer one is joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 _DIGITS = 6
 _DEPTHS = 10
 
@@ -44,22 +46,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: dict, weights=WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> dict:
-    """Each source's target: ``share`` of all sizes by weight; above ``most`` sizes the excess is shared anew."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, targets = share * sum(sizes.values()), list(order), {}
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] > most * sizes[s]]
-        if not full:
-            targets |= {s: unit * weight[s] for s in open_}
+def source_plan(hist: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_PASSES) -> tuple[DataFrame, int]:
+    """(skey, source_size, target, whole, budget) of each source of ``hist`` (skey, source, size, n), and how many
+    there are. The driver sees sums over sources only.
+
+    Targets are ``unit * weight`` but for the sources that this takes above ``most`` sizes, which stop there; their
+    excess raises the unit of the others, until no further source stops.
+    """
+    spark = hist.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    sums = hist.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    placed = written(sums.repartitionByRange(*order).withColumn("p", F.spark_partition_id()), "mix-sources")
+    before, at = [], 0
+    for p, n in sorted(placed.groupBy("p").count().collect()):  # one row for each partition
+        before.append((p, at))
+        at += n
+    starts = F.broadcast(spark.createDataFrame(before, "p int, before long"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
+    sources = written(placed.join(starts, "p").select("skey", F.col("words").alias("source_size"), weight.alias("weight")), "mix-sources")
+    limit, stopped, unit = most * F.col("source_size"), None, 0.0
+    while True:
+        stops = F.lit(stopped is not None) & (F.lit(unit) * F.col("weight") > limit)
+        now = sources.agg(
+            F.sum("source_size").alias("words"), F.sum(F.when(stops, limit).otherwise(0)).alias("used"),
+            F.sum(F.when(~stops, F.col("weight")).otherwise(0)).alias("open"), F.count_if(stops).alias("stopped"),
+        ).first()
+        if now.stopped == stopped:
             break
-        for s in full:
-            targets[s] = float(most * sizes[s])
-            left -= targets[s]
-            open_.remove(s)
-    return targets
+        stopped = now.stopped
+        if not now.open:
+            break
+        unit = (share * now.words - now.used) / now.open
+    target = F.least(F.lit(unit) * F.col("weight"), limit.cast("double"))
+    whole = F.when(F.col("source_size") > 0, F.floor(target / F.col("source_size"))).otherwise(0)
+    plan = sources.select("skey", "source_size", target.alias("target"), whole.cast("int").alias("whole"))
+    return plan.withColumn("budget", F.rint("target").cast("long") - F.col("whole") * F.col("source_size")), at
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_BUDGET) -> list[int]:
@@ -126,7 +148,7 @@ def choose(rows: DataFrame, quota: DataFrame, edge_rows: int = EDGE_ROWS) -> Dat
         pending = pending.withColumn(digit, F.shiftrightunsigned(name, 64 - _DIGITS * (place + 1)) % (1 << _DIGITS))
         finer = [*keys, digit]
         upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(digit))
-        counts = pending.groupBy(*finer).agg(F.count(F.lit(1)).alias("c"), (F.min("r") < F.max("r")).alias("differ")).join(need, keys)
+        counts = pending.groupBy(*finer).agg(F.count(F.lit(1)).alias("c"), (F.min("r") < F.max("r")).alias("differ")).join(need.hint("merge"), keys)
         decided = written(
             counts.withColumn("upto", upto).select(
                 *finer,
@@ -160,18 +182,13 @@ def choose(rows: DataFrame, quota: DataFrame, edge_rows: int = EDGE_ROWS) -> Dat
 
 def _mix(rows: DataFrame, weights, share, most, seed) -> DataFrame:
     """``rows`` (row, doc_id, source, size) with source_size, target and times."""
-    spark = rows.sparkSession
     rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).withColumn(
         "r", F.xxhash64(F.lit(seed), "doc_id")
     )
     hist = written(rows.groupBy("skey", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-lengths")
-    totals = {(r.skey, r.source): r.words for r in hist.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).toLocalIterator()}
-    targets = source_targets({s: w for (_, s), w in totals.items()}, weights, share, most)
-    plan = []
-    for (skey, source), words in totals.items():
-        whole = int(targets[source] // words) if words else 0
-        plan.append((skey, words, float(targets[source]), whole, round(targets[source]) - whole * words if words else 0))
-    plan = spark.createDataFrame(plan, "skey string, source_size long, target double, whole int, budget long")
+    plan, sources = source_plan(hist, weights, share, most)
+    plan = written(plan, "mix-plan")
+    plan = F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan.hint("merge")
     quota = written(
         hist.where("size > 0")
         .join(plan, "skey")
@@ -181,11 +198,10 @@ def _mix(rows: DataFrame, weights, share, most, seed) -> DataFrame:
         "mix-quota",
     )
     empty = rows.where("size = 0").select("row", "doc_id", "source", "skey", "size", F.lit(0).alias("pick"))
-    # one row for each source
     return (
         choose(rows.where("size > 0"), quota)
         .unionByName(empty)
-        .join(F.broadcast(plan), "skey")
+        .join(plan, "skey")
         .select("row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("pick")).alias("times"))
     )
 

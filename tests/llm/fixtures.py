@@ -22,3 +22,20 @@ def awkward(spark, extra=()):
     ]
     rows = [(i, t, "en" if t else None, None if i == 9 else f"s{(i or 0) % 3}", len(t or ""), "x", 1, "y", 2) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
+
+
+def source_targets(sizes: dict, weights=(5, 2, 1), share: float = 1.5, most: float = 2) -> dict:
+    """Each source's share of 150 % of all sizes by weight, step by step: above twice its size the excess is shared anew."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    left, open_, targets = share * sum(sizes.values()), list(order), {}
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if unit * weight[s] > most * sizes[s]]
+        if not full:
+            return targets | {s: unit * weight[s] for s in open_}
+        for s in full:
+            targets[s] = float(most * sizes[s])
+            left -= targets[s]
+            open_.remove(s)
+    return targets

@@ -6,13 +6,24 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import mixing
 
-from fixtures import awkward
+from fixtures import awkward, source_targets
 
 
-def test_targets():
-    assert mixing.source_targets({"a": 100, "b": 100, None: 100}) == pytest.approx({"a": 200, "b": 450 * 0 + 250 * 2 / 3, None: 250 / 3})
-    assert mixing.source_targets({"a": 0, "b": 10}) == {"a": 0, "b": 15}
-    assert mixing.source_targets({}) == {}
+def test_targets(spark):
+    assert source_targets({"a": 100, "b": 100, None: 100}) == pytest.approx({"a": 200, "b": 500 / 3, None: 250 / 3})
+    rng = random.Random(2)
+    tables = [{"a": 100, "b": 100, None: 100}, {"a": 0, "b": 10}, {"only": 7}, {None: 0}, {}]
+    tables.append({f"s{i}": rng.choice((0, 3, 50, 1000, 10**9)) for i in range(40)} | {None: 5, "é": 9, "Z": 9})
+    for sizes in tables:
+        rows = [("null" if s is None else f"={s}", s, n, 1) for s, n in sizes.items()]
+        plan, n = mixing.source_plan(spark.createDataFrame(rows, "skey string, source string, size long, n long"))
+        expected = source_targets(sizes)
+        found = {r.skey: r for r in plan.collect()}
+        assert n == len(found) == len(sizes)
+        for s, size in sizes.items():
+            r = found["null" if s is None else f"={s}"]
+            assert r.target == pytest.approx(expected[s]) and r.source_size == size
+            assert 0 <= r.budget <= max(size, 1) and r.whole * size + r.budget == pytest.approx(expected[s], abs=0.51)
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -46,7 +57,7 @@ def test_mix(spark):
         (r.doc_id or -1, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in docs.collect()
     )
     sizes = {s: sum(r.size for r in found if r.source == s) for s in {r.source for r in found}}
-    targets = mixing.source_targets(sizes)
+    targets = source_targets(sizes)
     for r in found:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source]) and r.taken in (0, r.size, 2 * r.size)
     for s, size in sizes.items():
@@ -67,6 +78,13 @@ def test_choosing_within_a_hot_group(spark):
     assert one.count() == 777 and {r.row for r in one.collect()} == {r.row for r in two.collect()}
 
 
+def test_many_sources_are_not_broadcast(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('w ', cast(id % 7 as int)) as text", "concat('h', id % 90) as source")
+    few = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == few
+
+
 def test_no_row_of_a_hot_id_is_lost(spark, monkeypatch):
     rows = spark.range(3000).select(
         F.col("id").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("k").alias("skey"),

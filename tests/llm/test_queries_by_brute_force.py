@@ -8,10 +8,10 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from gaugeworks.llm import mixing
 from gaugeworks.llm.byte_bpe import Vocabulary
 from gaugeworks.llm.queries import QUERIES, vocabulary_file
 
+from fixtures import source_targets
 from test_substring_dedup import brute
 
 
@@ -38,7 +38,7 @@ def test_op4(spark, small, docs):
     sizes, taken = defaultdict(int), defaultdict(int)
     for i, n in size.items():
         sizes[source[i]] += n
-    targets = mixing.source_targets(dict(sizes))
+    targets = source_targets(dict(sizes))
     assert len(found) == len(docs) and sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
     for r in found:
         taken[source[r.doc_id]] += r.taken
