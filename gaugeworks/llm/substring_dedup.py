@@ -6,14 +6,16 @@ Shards are made so that equal strings meet. In every string of ``LENGTH`` bytes
 hash (leftmost on ties) are its anchor, which depends on the string alone. Neighbouring strings share an
 anchor; together they are a passage. Documents are packed into chunks; the anchors of each chunk are shuffled
 by hash, and those that stand in one document only are dropped. The passages of the others are told apart by
-their hashes, with the smallest doc_id that holds each: larger ids lose a passage whole. Where an anchor has
-several passages, one copy of each is dealt out by anchor, and each shard sorts the suffixes of its passages by
-induced sorting: runs with permuted common prefixes of ``LENGTH`` or more are equal strings, and the smallest
-doc_id of a run decides. An anchor with a single passage needs no sorting. The decisions go back to the chunks,
-which remove what they cover.
+their hashes, with the smallest doc_id that holds each: larger ids lose a passage whole. Where passages of an anchor
+agree on enough bytes around it to share a string, one copy of each is dealt out by anchor, and each shard sorts the
+suffixes of its passages by induced sorting: runs with permuted common prefixes of ``LENGTH`` or more are equal strings,
+and the smallest doc_id of a run decides. The decisions go back to the chunks, which remove what they cover.
 
-An anchor with more than ``HOT_PASSAGES`` different passages would make a shard too large; its strings are
-grouped one by one instead, with partial aggregation, which gives the same decisions.
+No shard has to hold an anchor: its passages are dealt into parts of about ``PART_PASSAGES``, each part is sorted on
+its own, and the parts of one anchor are merged as sorted runs are: the strings that no other of their part precedes
+meet by hash, and the smallest id of all parts decides. An anchor that stands in more than ``HOT_DOCS`` documents is
+dealt out by passage before anything is done with its rows. Only the first exchange is by bare anchor; it has one row
+for each chunk (``CHUNK_BYTES`` of text) and anchor.
 
 Defined results
 ---------------
@@ -43,11 +45,13 @@ from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH = 50
 ANCHOR = 16
-#: A string is its anchor and 34 bytes more, so 17 of them stand on one side at least.
-SIDE = (LENGTH - ANCHOR) // 2
+#: A string is its anchor and 34 bytes more. However they are split, it holds one of these (bytes before, bytes after).
+AROUND = ((0, 23), (12, 11), (23, 0))
 CHUNK_BYTES = 4 << 20
 SHARD_BYTES = 1 << 18
-HOT_PASSAGES = 2_000
+#: At most some 85 bytes each, so a part has 2 MB.
+PART_PASSAGES = 20_000
+HOT_DOCS, HOT_PARTS = 200_000, 1024
 #: Strings that are looked at together.
 BLOCK = 1 << 16
 #: 48 bits of an anchor's hash are shuffled; passages that share them by chance are told apart later.
@@ -110,11 +114,15 @@ def _pack(ids: list[int], texts: list[bytes], number: int):
     first = np.flatnonzero(np.diff(anchors, prepend=-1) != 0)
     twice = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
     found = anchors[first]
-    chunk = (TaskContext.get().partitionId() << 32) + number
-    return chunk, ids, bounds.astype(np.int64), zstandard.ZstdCompressor(2).compress(raw), found[~twice], found[twice]
+    # an upper bound of the documents that hold each
+    held = np.minimum(np.diff(first, append=len(anchors)), _MOST_DOCS)[twice]
+    chunk = (TaskContext.get().partitionId() << 20) + number
+    several = [{"anchor": a, "docs": n} for a, n in zip(found[twice].tolist(), held.tolist())]
+    return chunk, ids, bounds.astype(np.int64), zstandard.ZstdCompressor(2).compress(raw), found[~twice], several
 
 
-_CHUNK = "chunk long, ids array<long>, bounds array<long>, data binary, once array<long>, twice array<long>"
+_CHUNK = "chunk long, ids array<long>, bounds array<long>, data binary, once array<long>, twice array<struct<anchor:long,docs:int>>"
+_MOST_DOCS, _SIDE_BITS = (1 << 15) - 1, 21
 
 
 def chunked(rows: DataFrame) -> DataFrame:
@@ -125,7 +133,8 @@ def chunked(rows: DataFrame) -> DataFrame:
 
         def out():
             values = _pack(ids, texts, number)
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            longs = pa.list_(pa.int64())
+            types = (pa.int64(), longs, longs, pa.binary(), longs, pa.list_(pa.struct([("anchor", pa.int64()), ("docs", pa.int32())])))
             arrays = [pa.array([v], t) for v, t in zip(values, types)]
             return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "bounds", "data", "once", "twice"])
 
@@ -156,21 +165,26 @@ def _sid(passage: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(passage, digest_size=8).digest(), "little", signed=True)
 
 
-def _context(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """31 bits of a hash of the ``SIDE`` bytes from each place on; places outside the data count as their edge."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(SIDE):
-        out = (out ^ data[np.clip(at + k, 0, len(data) - 1)]) * _PRIME
-    return (mix64(out) >> np.uint64(33)).astype(np.int64)
+def _context(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """A number below 2**21 for the ``size`` bytes from each place on, never 0 (of no use where they aren't all in the data)."""
+    padded = np.zeros((len(start), -(-size // 8) * 8), np.uint8)
+    if len(data) >= size:
+        padded[:, :size] = np.lib.stride_tricks.sliding_window_view(data, size)[np.clip(start, 0, len(data) - size)]
+    out = np.full(len(start), size, np.uint64)
+    for word in padded.view(np.uint64).T:
+        out = mix64(out * _SEED ^ word)
+    return (out >> np.uint64(64 - _SIDE_BITS)).astype(np.int64) | 1
 
 
 def located(chunks: DataFrame) -> DataFrame:
-    """(anchor, sid, chunk, least, most, sides, place): each chunk's passages at anchors that repeat (its last column),
-    with the smallest and the largest id that holds them there and where one of them starts (and its length).
+    """(anchor, salt, sid, chunk, least, most, place, around): each chunk's passages at anchors that repeat (its
+    last column), with the smallest and the largest id that holds them there and where one of them starts (and its
+    length). ``salt`` is 0, or at a hot anchor a number from 1 on that the passage decides.
 
-    ``sides`` are two hashes of the bytes beside the anchor. Strings that are equal agree on ``SIDE`` bytes on one
-    side of their anchor at least.
+    ``around`` has 21 bits for each of ``AROUND``: a hash of these bytes if the passage holds them, else 0.
+    Passages that share a string agree on one of the hashes.
     """
+    names = ["anchor", "salt", "sid", "chunk", "least", "most", "place", "around"]
 
     def run(batches):
         forget_state()
@@ -178,52 +192,59 @@ def located(chunks: DataFrame) -> DataFrame:
             for chunk, ids, bounds, raw, repeated in _opened(batch):
                 data = np.frombuffer(raw, np.uint8)
                 doc, first, last, anchors, places = passages(data, bounds)
-                at = np.flatnonzero(np.isin(anchors, repeated.values.to_numpy()))
-                sides = _context(data, places[at] - SIDE) << 32 | _context(data, places[at] + ANCHOR)
+                known = repeated.values.field("anchor").to_numpy()
+                at = np.flatnonzero(np.isin(anchors, known))
+                hot = np.isin(anchors, known[repeated.values.field("hot").to_numpy(zero_copy_only=False)])
                 found: dict[bytes, list] = {}
-                rows = zip(first[at].tolist(), (last[at] + LENGTH).tolist(), ids[doc[at]].tolist(), anchors[at].tolist(), sides.tolist())
-                for a, b, id_, h, side in rows:
+                rows = zip(at.tolist(), first[at].tolist(), (last[at] + LENGTH).tolist(), ids[doc[at]].tolist())
+                for i, a, b, id_ in rows:
                     passage = raw[a:b]
-                    known = found.get(passage)
-                    if known is None:
-                        found[passage] = [h, id_, id_, side, a << 8 | b - a]
-                    elif id_ < known[1]:
-                        known[1] = id_
-                    elif id_ > known[2]:
-                        known[2] = id_
-                hs, least, most, sides, place = zip(*found.values()) if found else ((),) * 5
-                values = (hs, list(map(_sid, found)), [chunk] * len(found), least, most, sides, place)
-                names = ["anchor", "sid", "chunk", "least", "most", "sides", "place"]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names)
-
-    return chunks.mapInArrow(run, "anchor long, sid long, chunk long, least long, most long, sides long, place long")
+                    seen = found.get(passage)
+                    if seen is None:
+                        found[passage] = [i, id_, id_]
+                    elif id_ < seen[1]:
+                        seen[1] = id_
+                    elif id_ > seen[2]:
+                        seen[2] = id_
+                at, least, most = (np.array(x, np.int64) for x in zip(*found.values())) if found else (np.zeros(0, np.int64),) * 3
+                place, sids = places[at], np.array(list(map(_sid, found)), np.int64)
+                around = np.zeros(len(at), np.int64)
+                for k, (before, after) in enumerate(AROUND):
+                    whole = (first[at] <= place - before) & (place + ANCHOR + after <= last[at] + LENGTH)
+                    around |= np.where(whole, _context(data, place - before, before + ANCHOR + after), 0) << _SIDE_BITS * k
+                salt = np.where(hot[at], 1 + sids % HOT_PARTS, 0)
+                columns = [anchors[at], salt, sids, np.full(len(at), chunk), least, most, first[at] << 8 | (last - first)[at] + LENGTH]
+                columns.append(around)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return chunks.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def quoted(chunks: DataFrame) -> DataFrame:
-    """(anchor, sid, passage, least, n): the bytes of the passages that the last column asks for by place."""
+    """(anchor, salt, part, several, sid, passage, least): the bytes of the passages that the last column asks for."""
+    same = ["anchor", "salt", "part", "several", "sid"]
 
     def run(batches):
         for batch in batches:
             for _, _, _, raw, asked in _opened(batch):
-                columns = {x: asked.values.field(x) for x in ("anchor", "sid", "least", "n")}
                 texts = [raw[p >> 8 : (p >> 8) + (p & 0xFF)] for p in asked.values.field("place").to_pylist()]
-                values = [columns["anchor"], columns["sid"], pa.array(texts, pa.binary()), columns["least"], columns["n"]]
-                yield pa.RecordBatch.from_arrays(values, ["anchor", "sid", "passage", "least", "n"])
+                values = [*map(asked.values.field, same), pa.array(texts, pa.binary()), asked.values.field("least")]
+                yield pa.RecordBatch.from_arrays(values, [*same, "passage", "least"])
 
-    return chunks.mapInArrow(run, "anchor long, sid long, passage binary, least long, n long")
+    return chunks.mapInArrow(run, "anchor long, salt long, part long, several boolean, sid long, passage binary, least long")
 
 
 def _decisions(values) -> dict[tuple[int, int], tuple[int, int]]:
-    """(least, mask) by (anchor, sid); a passage with two rows has its mask in one of them."""
+    """(least, mask) by (anchor, sid); the rows of a passage have its mask between them."""
     out: dict[tuple[int, int], tuple[int, int]] = {}
     for h, sid, least, mask in zip(*(values.field(x).to_numpy().tolist() for x in ("anchor", "sid", "least", "mask"))):
-        if mask or (h, sid) not in out:
-            out[h, sid] = least, mask
+        out[h, sid] = least, mask | out.get((h, sid), (0, 0))[1]
     return out
 
 
-def shard_strings(texts: list[bytes], least: np.ndarray) -> list[int]:
-    """For each passage of a shard, bit i: its i-th string also stands in a passage of a smaller id."""
+def shard_strings(texts: list[bytes], least: np.ndarray) -> tuple[list[int], list[tuple[int, int]]]:
+    """For each passage of a shard, bit i: its i-th string also stands in a passage of a smaller id. And the
+    (passage, i) of the strings of which that is not so."""
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64) + 2
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -236,47 +257,58 @@ def shard_strings(texts: list[bytes], least: np.ndarray) -> list[int]:
     in_text = array < len(data) - 1
     ids = np.where(in_text, least[owner[np.minimum(array, len(owner) - 1)]], np.iinfo(np.int64).max)
     smallest = np.repeat(np.minimum.reduceat(ids, runs), np.diff(runs, append=len(array)))
-    hit = array[smallest < ids]
-    place = hit - starts[owner[hit]]
-    fits = place <= sizes[owner[hit]] - LENGTH
+
+    def strings(hit):
+        place = hit - starts[owner[hit]]
+        fits = place <= sizes[owner[hit]] - LENGTH
+        return zip(owner[hit[fits]].tolist(), place[fits].tolist())
+
     masks = [0] * len(texts)
-    for i, j in zip(owner[hit[fits]].tolist(), place[fits].tolist()):
+    for i, j in strings(array[smallest < ids]):
         masks[i] |= 1 << j
-    return masks
+    return masks, strings(array[(smallest == ids) & in_text])
+
+
+_GROUP = ["anchor", "salt", "part"]
 
 
 def sorted_shards(rows: DataFrame) -> DataFrame:
-    """(anchor, sid, mask) of (anchor, sid, passage, least) rows whose anchors lie together."""
+    """(anchor, sid, least, mask, string, place) of :func:`quoted` rows whose groups lie together. ``mask``: the strings
+    of a passage that also stand in one of a smaller id. Where an anchor has several parts, also a row without a mask
+    for each string that no other precedes: its hash and its place in the passage."""
 
     def run(batches):
         def sort(part):
-            masks = shard_strings([r[2] for r in part], np.array([r[3] for r in part], np.int64))
-            columns = [pa.array(v, pa.int64()) for v in zip(*((*r[:2], m) for r, m in zip(part, masks) if m))] or [pa.array([], pa.int64())] * 3
-            return pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "mask"])
+            masks, heads = shard_strings([r[5] for r in part], np.array([r[6] for r in part], np.int64))
+            out = [(r[0], r[4], r[6], m, None, None) for r, m in zip(part, masks) if m]
+            for i, j in heads:
+                r = part[i]
+                if r[3]:
+                    out.append((r[0], r[4], r[6], None, _sid(r[5][j : j + LENGTH]), j))
+            columns = [pa.array(v, pa.int64()) for v in zip(*out)] or [pa.array([], pa.int64())] * 6
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "sid", "least", "mask", "string", "place"])
 
         part, size = [], 0
         for batch in chain.from_iterable(map(slices, batches)):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= SHARD_BYTES and row[0] != part[-1][0]:
+                if size >= SHARD_BYTES and row[:3] != part[-1][:3]:
                     yield sort(part)
                     part, size = [], 0
                 part.append(row)
-                size += len(row[2])
+                size += len(row[5])
         if part:
             yield sort(part)
 
-    return rows.select("anchor", "sid", "passage", "least").mapInArrow(run, "anchor long, sid long, mask long")
+    columns = [*_GROUP, "several", "sid", "passage", "least"]
+    return rows.select(columns).mapInArrow(run, "anchor long, sid long, least long, mask long, string long, place long")
 
 
-def string_by_string(rows: DataFrame) -> DataFrame:
-    """As :func:`sorted_shards`, by grouping each string."""
-    places = F.sequence(F.lit(1), F.length("passage") - LENGTH + 1)
-    strings = rows.select(
-        "anchor", "sid", "least", F.posexplode(F.transform(places, lambda i: F.substring("passage", i, F.lit(LENGTH)))).alias("i", "string")
-    )
-    smallest = written(strings.groupBy("string").agg(F.min("least").alias("smallest")), "strings")
-    hit = strings.join(smallest.hint("merge"), "string").where("smallest < least")
-    return hit.groupBy("anchor", "sid").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
+def merged_parts(heads: DataFrame) -> DataFrame:
+    """(anchor, sid, mask) of the strings of which another part of their anchor holds a smaller id."""
+    string = ["anchor", "string"]
+    smallest = heads.groupBy(*string).agg(F.min("least").alias("smallest"), F.max("least").alias("largest")).where("smallest < largest")
+    hit = heads.join(smallest.hint("merge"), string).where("smallest < least")
+    return hit.groupBy("anchor", "sid").agg(F.expr("bit_or(shiftleft(1L, cast(place as int)))").alias("mask"))
 
 
 def removed(chunks: DataFrame) -> DataFrame:
@@ -323,7 +355,9 @@ def removed(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_passages: int = HOT_PASSAGES) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_passages: int = PART_PASSAGES, hot_docs: int = HOT_DOCS
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of ``docs``; ``kept`` is what stays, as bytes."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -334,52 +368,55 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "path", f"{shared_folder(spark)}/{name}"
     ).saveAsTable(name)
     chunks = spark.table(name)
-    held = chunks.select(F.explode("once").alias("anchor"), (F.col("chunk") * 2).alias("tag")).unionByName(
-        chunks.select(F.explode("twice").alias("anchor"), (F.col("chunk") * 2 + 1).alias("tag"))
+    # the chunk and, in the low 15 bits, how many of its documents hold the anchor
+    held = chunks.select(F.explode("once").alias("anchor"), (F.shiftleft("chunk", 15) + 1).alias("tag")).unionByName(
+        chunks.select(F.explode("twice").alias("t"), "chunk").select("t.anchor", (F.shiftleft("chunk", 15) + F.col("t.docs")).alias("tag"))
     )
     # one row for each chunk and anchor, so a window holds no more rows than there are chunks
-    docs_of = F.sum(1 + F.col("tag") % 2).over(Window.partitionBy("anchor"))
+    docs_of = F.sum(F.col("tag").bitwiseAND(F.lit(_MOST_DOCS))).over(Window.partitionBy("anchor"))
     per_chunk = (
         held.withColumn("docs", docs_of)
         .where("docs > 1")
-        .groupBy(F.shiftright("tag", 1).alias("chunk"))
-        .agg(F.collect_list("anchor").alias("repeated"))
+        .groupBy(F.shiftright("tag", 15).alias("chunk"))
+        .agg(F.collect_list(F.struct("anchor", (F.col("docs") > hot_docs).alias("hot"))).alias("repeated"))
     )
     data = chunks.select("chunk", "ids", "bounds", "data")
-    same = Window.partitionBy("anchor", "sid")
-    located_ = located(data.join(per_chunk.hint("merge"), "chunk")).repartition(partitions, "anchor")
-    # strings of two passages can only be equal if the passages agree on one side of the anchor
-    sides = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND(F.lit((1 << 32) - 1))
-    beside = [Window.partitionBy("anchor", side) for side in sides]
-    alike = [F.min("sid").over(w) != F.max("sid").over(w) for w in beside]
+    at = located(data.join(per_chunk.hint("merge"), "chunk")).repartition(partitions, "anchor", "salt")
+    group, same = ["anchor", "salt"], Window.partitionBy("anchor", "salt", "sid")
+    # the passages of a hot anchor are in several groups and count as near
+    near = F.col("salt") > 0
+    for k in range(len(AROUND)):
+        side = F.shiftright("around", _SIDE_BITS * k).bitwiseAND(F.lit((1 << _SIDE_BITS) - 1))
+        beside = Window.partitionBy(*group, side)
+        near = near | ((side > 0) & (F.min("sid").over(beside) != F.max("sid").over(beside)))
     # each passage is quoted by one chunk: the first that holds its least id
+    home, is_home = F.col("home"), F.col("chunk") == F.col("home.chunk")
     found = (
-        located_.withColumn("near", alike[0] | alike[1])
+        at.withColumn("near", near)
         .withColumn("most", F.max("most").over(same))
         .withColumn("home", F.min(F.struct("least", "chunk")).over(same))
         .where("near or most > home.least")
+        .withColumn("n", F.sum((is_home & F.col("near")).cast("long")).over(Window.partitionBy(*group)))
         .select(
-            "anchor", "sid", "chunk", "most", "near", "place",
-            F.col("home.least").alias("least"),
-            (F.col("least") == F.col("home.least")).alias("at_least"),
-            (F.col("chunk") == F.col("home.chunk")).alias("is_home"),
+            "anchor", "sid", "chunk", home["least"].alias("least"),
+            (F.col("most") > home["least"]).alias("later"),
+            (F.col("near") & (F.col("least") == home["least"])).alias("at_least"),
+            F.when(F.col("near") & is_home, F.struct("salt", "place", "n")).alias("quote"),
         )
-        .withColumn("n", F.sum((F.col("is_home") & F.col("near")).cast("long")).over(Window.partitionBy("anchor")))
     )
     found = written(found, "passages")
-    several = found.where("near")
-    asked = several.where("is_home").groupBy("chunk").agg(F.collect_list(F.struct("anchor", "sid", "least", "n", "place")).alias("asked"))
+    parts = F.ceil(F.col("n") / part_passages)
+    part = F.pmod(F.xxhash64("sid"), parts).alias("part")
+    several = ((F.col("salt") > 0) | (parts > 1)).alias("several")
+    asked = found.where("quote is not null").select("chunk", "anchor", "sid", "least", "quote.*")
+    asked = asked.select("chunk", F.struct(*group, part, several, "sid", "least", "place").alias("q"))
+    asked = asked.groupBy("chunk").agg(F.collect_list("q").alias("asked"))
     quotes = quoted(data.join(asked.hint("merge"), "chunk"))
-    hot = several.where(F.col("n") > hot_passages).limit(1).count() > 0
-    if hot:
-        quotes = written(quotes, "quotes")
-    masks = sorted_shards(quotes.where(F.col("n") <= hot_passages).repartition(partitions, "anchor").sortWithinPartitions("anchor"))
-    if hot:
-        masks = masks.unionByName(string_by_string(quotes.where(F.col("n") > hot_passages)))
-    masks = written(masks, "masks")
+    shards = written(sorted_shards(quotes.repartition(partitions, *_GROUP).sortWithinPartitions(*_GROUP)), "masks")
+    masks = shards.where("mask is not null").select("anchor", "sid", "mask").unionByName(merged_parts(shards.where("string is not null")))
     # a mask concerns rows of the least id only, so it goes to the chunks that hold that id
-    marked = several.where("at_least").select("anchor", "sid", "chunk", "least").join(masks.hint("merge"), ["anchor", "sid"])
-    whole = found.where("most > least").select("anchor", "sid", "chunk", "least", F.lit(0).cast("long").alias("mask"))
+    marked = found.where("at_least").select("anchor", "sid", "chunk", "least").join(masks.hint("merge"), ["anchor", "sid"])
+    whole = found.where("later").select("anchor", "sid", "chunk", "least", F.lit(0).cast("long").alias("mask"))
     back = (
         whole.unionByName(marked.select(*whole.columns))
         .groupBy("chunk")

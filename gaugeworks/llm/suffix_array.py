@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Larger alphabets are induced one suffix at a time.
-WAVE_ALPHABET = 1 << 12
+#: Larger alphabets have too many small buckets for waves: they are induced one suffix at a time.
+WAVE_ALPHABET = 300
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:

@@ -49,15 +49,18 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot,block", [(20_000, 1 << 16), (1, 1 << 16), (3, 64)])
-def test_substring_dedup_by_brute_force(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize("part,hot,block", [(512, 20_000, 1 << 16), (1, 20_000, 1 << 16), (3, 4, 64), (512, 2, 1 << 16)])
+def test_substring_dedup_by_brute_force(spark, monkeypatch, part, hot, block):
     rng = random.Random(5)
     shared = [prose(20, 100 + i) for i in range(4)]
     extra = [(50 + i, " ".join(rng.choice(shared)[rng.randint(0, 30) :] + prose(3, i) for _ in range(4))) for i in range(40)]
+    # one anchor in every document, with other bytes on either side or on both
+    extra += [(100 + i, prose(4, 300 + i) + shared[0][: 20 + i] + prose(6, 400 + i)) for i in range(30)]
+    extra += [(140 + i, shared[1][i : i + 75] + prose(6, 500 + i)) for i in range(30)]
     extra += [(200 + i, "=" * (40 + i * 7)) for i in range(4)] + [(300, "é" * 60), (301, "é" * 61)]
     docs = awkward(spark, extra)
     monkeypatch.setattr(S, "BLOCK", block)
-    found = sorted((tuple(r[:4]) + (hashlib.sha256(r.kept).hexdigest(),) for r in S.substring_dedup(docs, hot_passages=hot).collect()), key=repr)
+    found = sorted((tuple(r[:4]) + (hashlib.sha256(r.kept).hexdigest(),) for r in S.substring_dedup(docs, part_passages=part, hot_docs=hot).collect()), key=repr)
     assert found == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
