@@ -335,15 +335,17 @@ def polygon_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {E}, s AS (SELECT id, sum(c) AS a, sum((x1 + x2) * c) AS cx, sum((y1 + y2) * c) AS cy,
-                           min(x1) AS lx, max(x1) AS hx, min(y1) AS ly, max(y1) AS hy FROM e GROUP BY id HAVING abs(sum(c)) > 1 OR min(n) < 3)
-    SELECT id, round(CASE WHEN abs(a) < 1e-9 THEN (lx + hx) / 2 ELSE cx / (3 * a) END, 2) AS x,
-           round(CASE WHEN abs(a) < 1e-9 THEN (ly + hy) / 2 ELSE cy / (3 * a) END, 2) AS y FROM s
+    WITH {E}, o AS (SELECT id, x AS ox, y AS oy FROM v WHERE i = 1),
+         r AS (SELECT id, n, x1 - ox AS x1, y1 - oy AS y1, x2 - ox AS x2, y2 - oy AS y2, x1 AS px, y1 AS py, ox, oy FROM e JOIN o USING (id)),
+         s AS (SELECT id, any_value(ox) AS ox, any_value(oy) AS oy, sum(x1 * y2 - x2 * y1) AS a,
+                      sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS cy,
+                      min(px) AS lx, max(px) AS hx, min(py) AS ly, max(py) AS hy FROM r GROUP BY id)
+    SELECT id, round(CASE WHEN abs(a) < 1e-9 THEN (lx + hx) / 2 ELSE ox + cx / (3 * a) END, 2) AS x,
+           round(CASE WHEN abs(a) < 1e-9 THEN (ly + hy) / 2 ELSE oy + cy / (3 * a) END, 2) AS y FROM s
 """)
 def polygon_centroid(spark: SparkSession, d: str) -> DataFrame:
-    c, points = G.polygon_centroid(F.col("points")), F.col("points")
-    rows = A.outlines(spark, d).where((F.abs(G.ring_signed_area(points)) > 0.5) | (F.size(points) < 3))
-    return rows.select("id", F.round(c["x"], 2).alias("x"), F.round(c["y"], 2).alias("y"))
+    c = G.polygon_centroid(F.col("points"))
+    return A.outlines(spark, d).select("id", F.round(c["x"], 2).alias("x"), F.round(c["y"], 2).alias("y"))
 
 
 @query(f"WITH {E} SELECT id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM v GROUP BY id")
@@ -656,9 +658,9 @@ def suppressed_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _report_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Events of a few users as detail rows; event types are categories."""
+    """Events as detail rows; event types are categories."""
     kind = F.when(F.col("event_id") % 3 == 0, "area").otherwise("line")
-    rows = _events(spark, d).where("user_id % 20 = 0").select(
+    rows = _events(spark, d).select(
         F.col("user_id").alias("image_pos"), F.col("event_id").alias("measurement_pos"), F.col("event_type").alias("label"),
         F.col("event_type").alias("category_id"), V.mapped(kind, V.KIND_LABELS).alias("kind_label"),
         F.round("value", 3).alias("display_value"), F.round("value", 1).alias("result"),
@@ -669,7 +671,7 @@ def _report_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 _REPORT = """
     r AS (SELECT user_id AS i, event_id AS p, event_type AS label, CASE WHEN event_id % 3 = 0 THEN 'area' ELSE 'line' END AS kind,
-                 round(value, 3) AS v, round(value, 1) AS result FROM events WHERE user_id % 20 = 0),
+                 round(value, 3) AS v, round(value, 1) AS result FROM events),
     lab AS (SELECT label, row_number() OVER (ORDER BY min(struct_pack(i := i, p := p))) AS place FROM r GROUP BY label)
 """
 
@@ -779,91 +781,129 @@ def throttle(spark: SparkSession, d: str) -> DataFrame:
     return throttled(_events(spark, d), "user_id", "ts", "event_id", "1 hour").select("user_id", "event_id")
 
 
-@query()
+def _detections(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as boxes that a model has found in their customer's image."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x, y = (k * 7 % 60).cast("double"), (k * 3 % 40 + c % 9).cast("double")
+    return table(spark, d, "orders").select(
+        c.alias("image_id"), k.alias("shape"), x.alias("min_x"), y.alias("min_y"), (x + 30 + k % 20).alias("max_x"), (y + 25 + k % 16).alias("max_y")
+    )
+
+
+_DETECTIONS = """
+    det AS (SELECT o_custkey AS image_id, o_orderkey AS shape, (o_orderkey * 7 % 60)::DOUBLE AS x0, (o_orderkey * 3 % 40 + o_custkey % 9)::DOUBLE AS y0,
+                   (o_orderkey * 7 % 60)::DOUBLE + 30 + o_orderkey % 20 AS x1, (o_orderkey * 3 % 40 + o_custkey % 9)::DOUBLE + 25 + o_orderkey % 16 AS y1,
+                   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+"""
+
+
+def _greedy_sql(threshold: float, first: str = "true") -> str:
+    """Boxes one after the other with the list of kept ones; those for which ``first`` is false are there before."""
+    shared = "greatest(least(k.x1, d.x1) - greatest(k.x0, d.x0), 0) * greatest(least(k.y1, d.y1) - greatest(k.y0, d.y0), 0)"
+    union = f"((k.x1 - k.x0) * (k.y1 - k.y0) + (d.x1 - d.x0) * (d.y1 - d.y0) - {shared})"
+    return f"""
+    WITH RECURSIVE {_DETECTIONS},
+    new AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY shape) AS n FROM det WHERE {first}),
+    f AS (SELECT image_id, 0::BIGINT AS n, NULL::BIGINT AS shape, false AS ok,
+                 list(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1)) FILTER (WHERE NOT ({first})) AS kept FROM det GROUP BY image_id
+          UNION ALL
+          SELECT image_id, n, shape, ok, CASE WHEN ok THEN list_append(kept, box) ELSE kept END
+          FROM (SELECT d.image_id, d.n, d.shape, coalesce(f.kept, []) AS kept, struct_pack(x0 := d.x0, y0 := d.y0, x1 := d.x1, y1 := d.y1) AS box,
+                       NOT coalesce(list_bool_or([{shared} / {union} >= {threshold} FOR k IN f.kept]), false) AS ok
+                FROM f JOIN new d ON d.image_id = f.image_id AND d.n = f.n + 1))
+    SELECT image_id, shape FROM f WHERE ok
+    """
+
+
+@query(_greedy_sql(0.55))
 def suppress_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    boxes = _boxes(spark, d).withColumn("scope", F.floor(F.col("min_x") / 200))
-    return sequential.greedy_boxes(boxes, ["scope"], ["shape"], 0.55)
+    return sequential.greedy_boxes(_detections(spark, d), ["image_id"], ["shape"], 0.55).select("image_id", "shape")
+
+
+@query(_greedy_sql(0.7, "shape % 3 <> 0"))
+def accepted_candidates(spark: SparkSession, d: str) -> DataFrame:
+    boxes = _detections(spark, d)
+    found = sequential.greedy_boxes(boxes.where("shape % 3 <> 0"), ["image_id"], ["shape"], 0.7, boxes.where("shape % 3 = 0"))
+    return found.select("image_id", "shape")
 
 
-@query()
+@query("""
+    WITH RECURSIVE p AS (SELECT user_id, event_id, (event_id * 71 % 97)::DOUBLE AS x, (event_id * 29 % 89)::DOUBLE AS y,
+                                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS ok, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept FROM (SELECT DISTINCT user_id FROM p)
+          UNION ALL
+          SELECT user_id, i, event_id, ok, CASE WHEN ok THEN list_append(kept, struct_pack(x := x, y := y)) ELSE kept END
+          FROM (SELECT p.*, f.kept, len(f.kept) < 12 AND NOT coalesce(list_bool_or([sqrt((k.x - p.x) ** 2 + (k.y - p.y) ** 2) < 20 FOR k IN f.kept]), false) AS ok
+                FROM f JOIN p ON p.user_id = f.user_id AND p.i = f.i + 1))
+    SELECT user_id, event_id, p.x, p.y FROM f JOIN p USING (user_id, event_id) WHERE ok
+""")
 def spaced_points(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     points = _events(spark, d).select("user_id", k, (k * 71 % 97).cast("double").alias("x"), (k * 29 % 89).cast("double").alias("y"))
     return sequential.greedy_spacing(points, ["user_id"], ["event_id"], 20.0, 12)
 
 
-# ---------------------------------------------------------------- rasters
-
+@query(f"""
+    WITH {_DETECTIONS},
+    p AS (SELECT a.shape AS a, b.shape AS b, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h,
+                 (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS areas
+          FROM det a JOIN det b ON a.image_id = b.image_id AND a.shape < b.shape)
+    SELECT a, b, round(w * h / (areas - w * h) + 1e-7, 4) AS iou FROM p WHERE w > 0 AND h > 0 AND w * h / (areas - w * h) >= 0.5
+""")
+def ring_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    boxes = _detections(spark, d).withColumnRenamed("shape", "id")
+    return sequential.overlapping(boxes, boxes, ["image_id"], 0.5).where("a < b").select("a", "b", r4("iou").alias("iou"))
 
-def drawn_fibres(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as grey images of one dark fibre each, with a hand-drawn line across it."""
-    import numpy as np
-    import pandas as pd
 
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+# ---------------------------------------------------------------- rasters
 
-    def draw(batches):
-        for pdf in batches:
-            out = []
-            for k in pdf["id"]:
-                image = np.full((60, 120), 235, np.uint8)
-                left, width = 40 + k % 20, 6 + k % 15
-                image[:, left : left + width] = 25
-                out.append((k, image.tobytes(), 120, 60, float(left - 18), 30.0, float(left + width + 18), 30.0, int(width)))
-            yield pd.DataFrame(out, columns=["id", "pixels", "width", "height", "x0", "y0", "x1", "y1", "fibre"])
 
-    return rows.mapInPandas(draw, "id long, pixels binary, width int, height int, x0 double, y0 double, x1 double, y1 double, fibre int")
+def drawn_fibres(spark: SparkSession, d: str) -> DataFrame:
+    """(id, x, y, value, left, width): suppliers as grey images of one dark fibre each."""
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(k.alias("id"), (40 + k % 20).cast("int").alias("left"), (6 + k % 15).cast("int").alias("width"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(119))).alias("x"))
+    return rows.withColumn("value", F.when((F.col("x") >= F.col("left")) & (F.col("x") < F.col("left") + F.col("width")), 25).otherwise(235))
 
 
 @query("SELECT s_suppkey AS id, 'snapped' AS status, (6 + s_suppkey % 15)::INT AS width FROM supplier")
 def edge_snap(spark: SparkSession, d: str) -> DataFrame:
-    from .operators.raster import edge_snap as snapped
+    from .operators.pixels import edge_pair
 
-    return snapped(drawn_fibres(spark, d)).select("id", "status", F.round("diameter_px").cast("int").alias("width"))
+    k = F.col("s_suppkey")
+    left = 40 + k % 20
+    lines = table(spark, d, "supplier").select(
+        k.alias("id"), (left - 18).alias("line_x0"), (left + 6 + k % 15 + 18).alias("line_x1"), F.lit(30.0).alias("line_y")
+    )
+    found = edge_pair(drawn_fibres(spark, d).select("id", "x", "y", "value"), lines)
+    return found.select("id", "status", F.round(F.col("right") - F.col("left")).cast("int").alias("width"))
 
 
 @query("""
     SELECT s_suppkey AS id, 60 * (6 + s_suppkey % 15) AS area, 1 AS parts, 40 + s_suppkey % 20 AS min_x, 45 + s_suppkey % 20 + s_suppkey % 15 AS max_x FROM supplier
 """)
 def mask_measures(spark: SparkSession, d: str) -> DataFrame:
-    from .operators.raster import mask_measures as measured
+    from .operators.pixels import mask_measures as measured
 
-    masks = drawn_fibres(spark, d).withColumn("pixels", F.unhex(F.translate(F.hex("pixels"), "EB19", "0011")))
-    return measured(masks).select("id", "area", "parts", "min_x", "max_x")
+    masks = drawn_fibres(spark, d).withColumn("value", (F.col("value") < 128).cast("int"))
+    return measured(masks.select("id", "x", "y", "value"))
 
 
 @query("""
     SELECT s_suppkey AS id, round((235.0 * (120 - w) + 25.0 * w) / 120 + 1e-7, 4) AS mean FROM (SELECT *, 6 + s_suppkey % 15 AS w FROM supplier)
 """)
 def frame_measures(spark: SparkSession, d: str) -> DataFrame:
-    from .operators.raster import frame_measures as measured
+    from .operators.pixels import frame_measures as measured
 
     return measured(drawn_fibres(spark, d)).select("id", r4("mean").alias("mean"))
 
 
-@query()
-def ring_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Overlaps of boxes that hold each other's first corner, by drawing."""
-    from .operators.raster import overlap_pairs
-
-    boxes = _boxes(spark, d)
-    corners = boxes.select(F.col("shape").alias("a"), F.col("min_x").alias("x"), F.col("min_y").alias("y"), F.struct("min_x", "min_y", "max_x", "max_y").alias("box"))
-
-    def rings(b):
-        x0, y0, x1, y1 = b["min_x"], b["min_y"], b["max_x"], b["max_y"]
-        return F.array(F.array(G.point(x0, y0), G.point(x1, y0), G.point(x1, y1), G.point(x0, y1)))
-
-    held = spatial.point_box_join(corners, boxes).where("a <> shape")
-    pairs = held.select("a", F.col("shape").alias("b"), rings(F.col("box")).alias("rings_a"), rings(F.struct("min_x", "min_y", "max_x", "max_y")).alias("rings_b"))
-    return overlap_pairs(pairs)
-
-
 # ---------------------------------------------------------------- more of the same families
 
 
 @query("""
     WITH RECURSIVE s AS (SELECT user_id, event_id, event_id * 7 % 50 * 1.0 AS x, event_id * 13 % 40 * 1.0 AS y, event_id * 0.011 AS t,
-                                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id < 60),
+                                row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     f AS (SELECT user_id, i, event_id, x, y, t, true AS kept FROM s WHERE i = 1
           UNION ALL
           SELECT user_id, i, event_id, CASE WHEN k THEN nx ELSE x END, CASE WHEN k THEN ny ELSE y END, CASE WHEN k THEN nt ELSE t END, k
@@ -874,10 +914,9 @@ def ring_overlaps(spark: SparkSession, d: str) -> DataFrame:
 """)
 def freehand_thinning(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    p = F.struct(k, (k * 7 % 50).cast("double").alias("x"), (k * 13 % 40).cast("double").alias("y"), (k * 0.011).cast("double").alias("t"))
-    paths = _events(spark, d).where("user_id < 60").groupBy("user_id").agg(F.sort_array(F.collect_list(p)).alias("points"))
-    kept = paths.select("user_id", G.thinned(F.col("points"), 0.5, 12.0).alias("kept"))
-    return kept.select("user_id", F.size("kept").alias("n"), r4(F.element_at("kept", -1)["t"]).alias("last"))
+    points = _events(spark, d).select("user_id", k, (k * 7 % 50).cast("double").alias("x"), (k * 13 % 40).cast("double").alias("y"), (k * 0.011).cast("double").alias("t"))
+    kept = sequential.thinned_path(points, "user_id", ["event_id"], 0.5, 12.0)
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("n"), r4(F.max("t")).alias("last"))
 
 
 @query(f"""
@@ -1028,3 +1067,6 @@ def classified_inputs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     path = F.when(k % 4 == 0, "a.FDMPROJ").when(k % 4 == 1, F.concat(F.lit("dir/b"), (k % 30).cast("string"), F.lit(".TIF"))).otherwise("c")
     return classify_inputs(table(spark, d, "orders").select(path.alias("path")))
+
+
+from . import catalog_records  # noqa: E402, F401  its queries join these

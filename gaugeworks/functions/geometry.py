@@ -83,6 +83,27 @@ def polyline_length(points: Column) -> Column:
     return _sum(_edges(points, False), lambda e: distance(e["a"], e["b"]))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ring_moments(points: Column) -> Column:
+    """struct (a, cx, cy) in one pass: twice the signed area and, times three of it, the centroid's offset from the
+    first vertex. Taken from there, so that flat rings far from the origin keep their digits."""
+    first = F.get(points, F.lit(0))
+
+    def step(acc: Column, p: Column) -> Column:
+        x, y = p["x"] - first["x"], p["y"] - first["y"]
+        c = acc["x"] * y - x * acc["y"]
+        return F.struct(
+            x.alias("x"), y.alias("y"), (acc["a"] + c).alias("a"), (acc["cx"] + (acc["x"] + x) * c).alias("cx"), (acc["cy"] + (acc["y"] + y) * c).alias("cy")
+        )
+
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("x", "y", "a", "cx", "cy")))
+    return F.aggregate(points, zero, step)
+
+
 def ring_signed_area(points: Column) -> Column:
     """Shoelace sum, the ring closed by itself; 0 for fewer than three points."""
     return F.when(F.size(points) < 3, F.lit(0.0)).otherwise(_sum(_edges(points, True), cross) / 2)
@@ -109,14 +130,15 @@ def bounds_center(points: Column) -> Column:
     return point((b["min_x"] + b["max_x"]) / 2, (b["min_y"] + b["max_y"]) / 2)
 
 
+def _centroid(points: Column, m: Column) -> Column:
+    first, safe = F.get(points, F.lit(0)), F.nullif(m["a"], F.lit(0.0)) * 3
+    whole = point(first["x"] + m["cx"] / safe, first["y"] + m["cy"] / safe)
+    return F.when((F.size(points) == 0) | (F.abs(m["a"]) < TINY), bounds_center(points)).otherwise(whole)
+
+
 def polygon_centroid(points: Column) -> Column:
     """Area-weighted; the centre of the bounds when the area vanishes."""
-    edges = _edges(points, True)
-    total = _sum(edges, cross)
-    cx = _sum(edges, lambda e: (e["a"]["x"] + e["b"]["x"]) * cross(e))
-    cy = _sum(edges, lambda e: (e["a"]["y"] + e["b"]["y"]) * cross(e))
-    safe = F.nullif(total, F.lit(0.0)) * 3
-    return F.when((F.size(points) == 0) | (F.abs(total) < TINY), bounds_center(points)).otherwise(point(cx / safe, cy / safe))
+    return bound(ring_moments(points), lambda m: _centroid(points, m))
 
 
 def polyline_centroid(points: Column) -> Column:
@@ -144,19 +166,22 @@ def rings_area(rings: Column) -> Column:
 
 def rings_centroid(rings: Column) -> Column:
     """Centroids weighted by area, holes negative; the centre of all points' bounds when weights vanish."""
-    weighted = F.filter(
-        F.transform(
-            rings,
-            lambda r, i: F.struct(
-                (polygon_area(r) * F.when(i == 0, 1.0).otherwise(-1.0)).alias("w"), polygon_centroid(r).alias("c"), F.size(r).alias("n")
-            ),
+
+    def weigh(r: Column, i: Column) -> Column:
+        sign = F.when(i == 0, 1.0).otherwise(-1.0)
+        return bound(ring_moments(r), lambda m: F.struct((F.abs(m["a"]) / 2 * sign).alias("w"), _centroid(r, m).alias("c"), F.size(r).alias("n")))
+
+    def sums(acc: Column, e: Column) -> Column:
+        w = F.when((e["n"] >= 3) & (F.abs(e["w"]) > TINY), e["w"]).otherwise(0.0)
+        return F.struct((acc["w"] + w).alias("w"), (acc["x"] + e["c"]["x"] * w).alias("x"), (acc["y"] + e["c"]["y"] * w).alias("y"))
+
+    total = F.aggregate(F.transform(rings, weigh), F.struct(*(F.lit(0.0).alias(n) for n in ("w", "x", "y"))), sums)
+    return bound(
+        total,
+        lambda t: F.when(F.abs(t["w"]) < TINY, bounds_center(F.flatten(rings))).otherwise(
+            point(t["x"] / F.nullif(t["w"], F.lit(0.0)), t["y"] / F.nullif(t["w"], F.lit(0.0)))
         ),
-        lambda e: (e["n"] >= 3) & (F.abs(e["w"]) > TINY),
     )
-    total = _sum(weighted, lambda e: e["w"])
-    safe = F.nullif(total, F.lit(0.0))
-    cx, cy = _sum(weighted, lambda e: e["c"]["x"] * e["w"]), _sum(weighted, lambda e: e["c"]["y"] * e["w"])
-    return F.when(F.abs(total) < TINY, bounds_center(F.flatten(rings))).otherwise(point(cx / safe, cy / safe))
 
 
 def near_bounds(p: Column, b: Column, tolerance) -> Column:
@@ -229,9 +254,81 @@ def nearest_endpoint(line: Column, p: Column) -> Column:
 
 def oriented(rings: Column) -> Column:
     """Outer ring with a non-negative signed area, holes with a non-positive one."""
-    return F.transform(
-        rings, lambda r, i: F.when((i == 0) == (ring_signed_area(r) < 0), F.reverse(r)).when((i > 0) & (ring_signed_area(r) > 0), F.reverse(r)).otherwise(r)
-    )
+
+    def turned(r: Column, i: Column) -> Column:
+        wrong = lambda a: ((i == 0) & (a < 0)) | ((i > 0) & (a > 0))
+        return bound(ring_signed_area(r), lambda a: F.when(wrong(a), F.reverse(r)).otherwise(r))
+
+    return F.transform(rings, turned)
+
+
+def clean_ring(points: Column, epsilon: float = 1e-6) -> Column:
+    """A ring without vertices that repeat the one before, that close it, or that lie on the line between their
+    neighbours; if fewer than three would be left, without repeats only."""
+
+    def neighbour(ring: Column, i: Column, by: int) -> Column:
+        n = F.greatest(F.size(ring), F.lit(1))
+        return F.get(ring, F.pmod(i + by, n).cast("int"))
+
+    apart = F.filter(points, lambda p, i: (i == 0) | (distance(F.get(points, i - 1), p) > epsilon))
+    closes = lambda r: (F.size(r) >= 2) & (distance(F.get(r, F.lit(0)), F.element_at(r, -1)) <= epsilon)
+    opened = bound(apart, lambda r: F.when(closes(r), F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r))
+
+    def bends(r: Column) -> Column:
+        return F.filter(r, lambda p, i: segment_distance(p, neighbour(r, i, -1), neighbour(r, i, 1)) > epsilon)
+
+    return bound(opened, lambda r: bound(bends(r), lambda b: F.when((F.size(r) < 3) | (F.size(b) < 3), r).otherwise(b)))
+
+
+def segments_cross(a: Column, b: Column, c: Column, d: Column, epsilon: float = 1e-6) -> Column:
+    """Whether two segments share a point: they cross, or an end of one lies on the other."""
+
+    def side(p: Column, q: Column, r: Column) -> Column:
+        return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+    def opposite(s: Column, t: Column) -> Column:
+        return ((s > epsilon) & (t < -epsilon)) | ((s < -epsilon) & (t > epsilon))
+
+    touch = [segment_distance(c, a, b), segment_distance(d, a, b), segment_distance(a, c, d), segment_distance(b, c, d)]
+    proper = opposite(side(a, b, c), side(a, b, d)) & opposite(side(c, d, a), side(c, d, b))
+    return proper | (F.least(*touch) <= epsilon)
+
+
+def self_intersects(points: Column) -> Column:
+    """Whether two edges of a ring that have no vertex in common share a point."""
+    edges = F.transform(_edges(points, True), lambda e, i: F.struct(e["a"].alias("a"), e["b"].alias("b"), i.alias("i")))
+    n = F.size(points)
+
+    def meets(e: Column, f: Column) -> Column:
+        apart = (f["i"] > e["i"] + 1) & ~((e["i"] == 0) & (f["i"] == n - 1))
+        ends = [distance(p, q) for p in (e["a"], e["b"]) for q in (f["a"], f["b"])]
+        return apart & (F.least(*ends) > 1e-6) & segments_cross(e["a"], e["b"], f["a"], f["b"])
+
+    return (n >= 4) & bound(edges, lambda es: F.exists(es, lambda e: F.exists(es, lambda f: meets(e, f))))
+
+
+def geometry_center(kind: Column, line: Column, polyline: Column, at: Column, rings: Column, polygon: Column) -> Column:
+    """The centre of a measurement by its kind: of its rings or polygon, its path, its point, or its line."""
+    origin = point(F.lit(0.0), F.lit(0.0))
+    area = F.when(F.coalesce(F.size(rings), F.lit(0)) > 0, rings_centroid(rings)).otherwise(polygon_centroid(polygon))
+    found = F.when(kind == "area", area).when(kind == "polyline", polyline_centroid(polyline)).when(kind == "count", at)
+    return F.coalesce(found.when(kind == "line", midpoint(line["start"], line["end"])), origin)
+
+
+def display_geometry(rings: Column, polygon: Column, simple_rings: Column, simple_polygon: Column, selected: Column) -> Column:
+    """struct (outline, rings, bounds) that is drawn: simplified shapes unless the measurement is selected. Rings fall
+    back to the polygon, an outline of fewer than three points to the first ring; without either bounds are null."""
+    own = F.when(F.size(rings) > 0, rings).when(F.size(polygon) >= 3, F.array(polygon)).otherwise(F.slice(F.array(polygon), 1, 0))
+    simple = F.when(F.size(simple_rings) > 0, simple_rings).otherwise(own)
+    fill = F.when(selected, own).otherwise(simple)
+    outline = F.when(selected, polygon).otherwise(simple_polygon)
+
+    def shown(f: Column) -> Column:
+        o = F.when((F.size(outline) < 3) & (F.size(f) > 0), F.get(f, F.lit(0))).otherwise(outline)
+        box = F.when(F.size(f) > 0, bounds(F.flatten(f))).when(F.size(o) >= 3, bounds(o))
+        return F.struct(o.alias("outline"), f.alias("rings"), box.alias("bounds"))
+
+    return bound(fill, shown)
 
 
 def annotation_hit(kind: Column, p: Column, a: Column, b: Column, tolerance) -> Column:
@@ -253,15 +350,3 @@ def axis_locked(a: Column, b: Column) -> Column:
 def inside_image(p: Column, width: Column, height: Column) -> Column:
     """The point clamped to an image."""
     return point(clamp(p["x"], F.lit(0.0), width.cast("double")), clamp(p["y"], F.lit(0.0), height.cast("double")))
-
-
-def thinned(points: Column, least_time: float = 0.075, least_distance: float = 2.0) -> Column:
-    """Points (x, y, t) of a freehand path: the first, then each that is late and far enough from the last kept one."""
-
-    def step(kept: Column, p: Column) -> Column:
-        last = F.element_at(kept, -1)
-        near = (p["t"] - last["t"] < least_time) | (distance(last, p) < least_distance)
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(p)))
-
-    rest = F.slice(points, 2, F.greatest(F.size(points), F.lit(1)))
-    return F.when(F.size(points) == 0, points).otherwise(F.aggregate(rest, F.slice(points, 1, 1), step))

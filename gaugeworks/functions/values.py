@@ -151,3 +151,34 @@ def scale_bar(value: Column, ppu: Column, unit: Column, output_scale: Column) ->
     px = F.when(ppu.isNull(), value * output_scale).otherwise(to_px(value, ppu) * output_scale)
     bar = F.struct(value.alias("value"), F.when(ppu.isNull(), "px").otherwise(unit).alias("unit"), px.alias("pixels"))
     return F.when(value > 0, bar)
+
+
+def result_label(model: Column, label: Column, aliases: dict[str, str], swaps: dict[str, dict[str, str]]) -> Column:
+    """The label of a detection: trimmed, aliased, and swapped for the models that give two labels the wrong way round."""
+    name = trimmed(label)
+    plain = F.when(name == "", UNCATEGORIZED).otherwise(mapped(name, aliases))
+    model, out = F.replace(trimmed(model), F.lit(" "), F.lit("")), None
+    for swapped, table in swaps.items():
+        out = (F if out is None else out).when(model == swapped, mapped(plain, table))
+    return plain if out is None else out.otherwise(plain)
+
+
+def option(value: Column, default: float, low: float, high: float) -> Column:
+    """A model's option: the default where it is missing or 0, then within bounds."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.nullif(value.cast("double"), F.lit(0.0)), F.lit(default))))
+
+
+def hole_area_unit(rings: Column, ppu: Column) -> Column:
+    return area_to_unit(G.rings_hole_area(rings), ppu)
+
+
+def little_endian_float(raw: Column) -> Column:
+    """The number that four bytes hold as a little-endian 32-bit float."""
+    digits = F.hex(raw)
+    bits = F.conv(F.concat(*(F.substring(digits, at, 2) for at in (7, 5, 3, 1))), 16, 10).cast("long")
+    sign = F.when(F.shiftright(bits, 31) == 1, -1.0).otherwise(1.0)
+    exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(255))
+    fraction = bits.bitwiseAND(F.lit((1 << 23) - 1)) / float(1 << 23)
+    normal = (1 + fraction) * F.pow(F.lit(2.0), exponent - 127)
+    number = F.when(exponent == 0, fraction * 2.0**-126).when(exponent < 255, normal).when(fraction == 0, float("inf")).otherwise(float("nan"))
+    return F.when(F.length(raw) == 4, sign * number)

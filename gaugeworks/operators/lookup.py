@@ -66,3 +66,38 @@ def effective_calibration(images: DataFrame, sidecars: DataFrame, project: DataF
     found = images.join(sidecars.select(F.col("image_path").alias("path"), F.col("calibration").alias("_sidecar")), "path", "left")
     found = found.join(project.select("project_id", F.col("calibration").alias("_project")), "project_id", "left")
     return found.withColumn("calibration", F.coalesce("calibration", "_sidecar", "_project")).drop("_sidecar", "_project")
+
+
+def plan_presets(existing: DataFrame, incoming: DataFrame, suffix: str = "导入", tolerance: float = 1e-9) -> DataFrame:
+    """(project_id, pos, action, final_name) of incoming presets (project_id, pos, name, unit, ppu).
+
+    One that equals an existing or an earlier incoming preset in name, unit and scale is skipped. A name that is taken
+    gets a suffix, then a numbered one: the numbers that are free are dealt out in order.
+    """
+    step = max(tolerance * 4, 1e-6)
+    first = existing.select("project_id", F.lit(-1).cast("long").alias("pos"), "name", "unit", "ppu")
+    known = first.unionByName(incoming.select("project_id", F.col("pos").cast("long"), "name", "unit", "ppu"))
+    put = known.select("project_id", F.col("pos").alias("_pos"), "name", "unit", F.col("ppu").alias("_ppu"))
+    put = put.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("_ppu") / step) + d for d in (-1, 0, 1)))))
+    mine = incoming.withColumn("_cell", F.floor(F.col("ppu") / step))
+    same = mine.join(put, ["project_id", "name", "unit", "_cell"]).where((F.abs(F.col("ppu") - F.col("_ppu")) < tolerance) & (F.col("_pos") < F.col("pos")))
+    skipped = same.select("project_id", "pos").distinct().withColumn("_skip", F.lit(True))
+    marked = incoming.join(skipped, ["project_id", "pos"], "left").withColumn("_skip", F.coalesce("_skip", F.lit(False)))
+    number = F.regexp_extract("name", rf" \({suffix}(?: (\d+))?\)$", 1)
+    plain = F.regexp_replace("name", rf" \({suffix}(?: \d+)?\)$", "")
+    n = F.when(plain == F.col("name"), 0).when(number == "", 1).otherwise(number.cast("int"))
+    used = existing.groupBy("project_id", plain.alias("name")).agg(F.collect_set(n).alias("_used"))
+    place = F.row_number().over(Window.partitionBy("project_id", "name", "_skip").orderBy("pos"))
+    taken = F.coalesce("_used", F.array().cast("array<int>"))
+    free = F.array_except(F.sequence(F.lit(0), place + F.size(taken)), taken)
+    found = marked.join(used, ["project_id", "name"], "left").withColumn("_k", F.when(~F.col("_skip"), F.element_at(free, place)))
+    final = F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("name")).when(F.col("_k") == 1, F.concat("name", F.lit(f" ({suffix})")))
+    final = final.otherwise(F.concat("name", F.lit(f" ({suffix} "), F.col("_k").cast("string"), F.lit(")")))
+    action = F.when(F.col("_skip"), "skip").when(F.col("_k") > 0, "rename").otherwise("import")
+    return found.select("project_id", "pos", action.alias("action"), final.alias("final_name"))
+
+
+def with_active_category(images: DataFrame, categories: DataFrame) -> DataFrame:
+    """Images with the label and color of their active category, null without one."""
+    active = categories.select("image_id", F.col("category_id").alias("active_category_id"), F.col("label").alias("active_label"), F.col("color").alias("active_color"))
+    return images.join(active, ["image_id", "active_category_id"], "left")

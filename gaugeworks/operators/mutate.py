@@ -89,3 +89,75 @@ def restore_active(images: DataFrame, categories: DataFrame) -> DataFrame:
     known = categories.select("image_id", F.col("category_id").alias("active_category_id"), F.lit(True).alias("_known")).distinct()
     found = images.join(known, ["image_id", "active_category_id"], "left")
     return found.withColumn("active_category_id", F.when(F.col("_known"), F.col("active_category_id"))).drop("_known")
+
+
+def unsuppress(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Takes labels (image_id, label) from the images' suppressed ones."""
+    gone = labels.groupBy("image_id").agg(F.collect_set(trimmed(F.col("label"))).alias("_gone"))
+    none = F.array().cast("array<string>")
+    left = F.array_except(F.coalesce("suppressed_labels", none), F.coalesce("_gone", none))
+    return images.join(gone, "image_id", "left").withColumn("suppressed_labels", left).drop("_gone")
+
+
+def memberships(measurements: DataFrame, categories: DataFrame) -> DataFrame:
+    """(image_id, category_id, n, first, last): what each category holds, derived anew from the measurements; empty
+    categories stay, dangling ids count nowhere."""
+    keys = ["image_id", "category_id"]
+    held = measurements.groupBy(*keys).agg(
+        F.count_distinct("measurement_id").alias("n"), F.min("measurement_id").alias("first"), F.max("measurement_id").alias("last")
+    )
+    return categories.select(*keys).join(held, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def merge_into(measurements: DataFrame, categories: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(measurements, categories) after ``merges`` (image_id, source, target): measurements move to the target, the
+    source goes, the rest is renumbered. A merge whose source or target is missing, or that has just one, does nothing."""
+    known = categories.select("image_id", F.col("category_id").alias("source"))
+    real = merges.where("source <> target").join(known, ["image_id", "source"], "left_semi")
+    real = real.join(known.withColumnRenamed("source", "target"), ["image_id", "target"], "left_semi")
+    mapping = real.select("image_id", F.col("source").alias("category_id"), F.col("target").alias("kept_id"))
+    return remap_categories(measurements, mapping), renumber(categories.join(mapping.select("image_id", "category_id"), ["image_id", "category_id"], "left_anti"))
+
+
+def edit_template(images: DataFrame, categories: DataFrame, original: str, target: str, color: str) -> tuple[DataFrame, DataFrame]:
+    """(categories, moves): the categories of all images after a project template was renamed from ``original`` to
+    ``target`` and recoloured. ``images``: image_id; ``categories``: image_id, category_id, number, label, color.
+
+    Where an image has both labels the original one is merged into the target (``moves``: image_id, category_id,
+    kept_id); where it has the original only, that is renamed; where it has neither, the target is added with the next
+    number and an id made of the image and the label.
+    """
+    label = trimmed(F.col("label"))
+    first = categories.where(label.isin(original, target)).groupBy("image_id").agg(
+        F.min_by("category_id", F.when(label == target, F.col("number"))).alias("_target"), F.min_by("category_id", F.when(label == original, F.col("number"))).alias("_original")
+    )
+    state = images.select("image_id").join(first, "image_id", "left")
+    moves = state.where("_target is not null and _original is not null and _target <> _original").select(
+        "image_id", F.col("_original").alias("category_id"), F.col("_target").alias("kept_id")
+    )
+    kept = categories.join(moves.select("image_id", "category_id"), ["image_id", "category_id"], "left_anti").join(state, "image_id")
+    chosen = F.col("category_id") == F.coalesce("_target", "_original")
+    kept = kept.withColumns({"label": F.when(chosen, F.lit(target)).otherwise(F.col("label")), "color": F.when(chosen, F.lit(color)).otherwise(F.col("color"))})
+    most = categories.groupBy("image_id").agg(F.max("number").alias("_most"))
+    new = state.where("_target is null and _original is null").join(most, "image_id", "left").select(
+        "image_id", F.concat_ws("/", F.col("image_id").cast("string"), F.lit(target)).alias("category_id"), (F.coalesce("_most", F.lit(0)) + 1).cast("int").alias("number"),
+        F.lit(target).alias("label"), F.lit(color).alias("color"),
+    )
+    columns = ["image_id", "category_id", "number", "label", "color"]
+    return renumber(kept.select(*columns).unionByName(new.select(*columns)), order=["number", "category_id"]), moves
+
+
+def move_annotations(annotations: DataFrame, moves: DataFrame) -> DataFrame:
+    """Annotations (annotation_id, kind, anchor, start, end) moved by ``moves`` (annotation_id, dx, dy): a text by its
+    anchor, a shape by its two points."""
+    found = annotations.join(moves, "annotation_id", "left")
+    dx, dy = F.coalesce("dx", F.lit(0.0)), F.coalesce("dy", F.lit(0.0))
+
+    def moved(column: str) -> Column:
+        p = F.col(column)
+        return F.when(p.isNotNull(), F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
+
+    text = F.col("kind") == "text"
+    new = {"anchor": F.when(text, moved("anchor")).otherwise(F.col("anchor"))}
+    new |= {c: F.when(text, F.col(c)).otherwise(moved(c)) for c in ("start", "end")}
+    return found.withColumns(new).drop("dx", "dy")

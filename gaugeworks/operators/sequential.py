@@ -1,104 +1,142 @@
-"""Order-dependent operators, one group of rows at a time."""
+"""Operators that depend on the order of rows."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..session import written
 
-def _box_iou(a, b) -> float:
-    w = min(a[2], b[2]) - max(a[0], b[0])
-    h = min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    both = w * h
-    return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+_BOX = ["min_x", "min_y", "max_x", "max_y"]
 
 
-def greedy_boxes(rows: DataFrame, keys: list[str], order: list[str], threshold: float = 0.55) -> DataFrame:
-    """Rows (min_x .. max_y) in order, each kept unless it overlaps a kept one of its group by ``threshold`` or more.
+def box_iou(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Intersection over union of two boxes; 0 unless they share an area."""
+    w = F.least(a("max_x"), b("max_x")) - F.greatest(a("min_x"), b("min_x"))
+    h = F.least(a("max_y"), b("max_y")) - F.greatest(a("min_y"), b("min_y"))
+
+    def area(x):
+        return (x("max_x") - x("min_x")) * (x("max_y") - x("min_y"))
+
+    return F.when((w > 0) & (h > 0), w * h / F.nullif(area(a) + area(b) - w * h, F.lit(0.0))).otherwise(0.0)
+
 
-    Groups are the detections of one image (and category), a bounded number.
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(a, b, iou): ids of boxes (keys, id, min_x .. max_y) of one group with an IoU of ``threshold`` (0.5 or more).
+
+    Such boxes differ by less than a factor of two in size. Each box is put into the cells it covers of two grids, of
+    two and four times its size rounded to powers of two; so it has 16 cells at most, however large it is, and boxes
+    meet on equal cells of the larger one's grid. A pair is taken from the cell with the first corner of what they share.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept, at = [], []
-        for i, box in enumerate(pdf[["min_x", "min_y", "max_x", "max_y"]].itertuples(index=False, name=None)):
-            if all(_box_iou(box, other) < threshold for other in kept):
-                kept.append(box)
-                at.append(i)
-        return pdf.iloc[at]
+    def put(df: DataFrame, name: str) -> DataFrame:
+        size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+        level = F.ceil(F.log2(F.greatest(size, F.lit(1e-6))))
+        df = df.where((F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y"))).withColumn("_own", level)
+        df = df.withColumn("_level", F.explode(F.array(F.col("_own"), F.col("_own") + 1))).withColumn("_cell", F.pow(F.lit(2.0), F.col("_level")))
+        for axis in ("x", "y"):
+            low, high = (F.floor(F.col(f"{end}_{axis}") / F.col("_cell")) for end in ("min", "max"))
+            df = df.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
+        box = F.struct("_own", *_BOX).alias(name)
+        return df.select(*keys, "_level", "_cell", "_cx", "_cy", F.col("id").alias(name[0]), box)
+
+    both = put(left, "a_box").join(put(right, "b_box").drop("_cell"), [*keys, "_level", "_cx", "_cy"])
+    a, b = (lambda c: F.col(f"a_box.{c}")), (lambda c: F.col(f"b_box.{c}"))
+    first = [F.floor(F.greatest(a(f"min_{x}"), b(f"min_{x}")) / F.col("_cell")) == F.col(f"_c{x}") for x in ("x", "y")]
+    once = (F.col("_level") == F.greatest(a("_own"), b("_own"))) & first[0] & first[1]
+    return both.where(once).select("a", "b", box_iou(a, b).alias("iou")).where(F.col("iou") >= threshold)
+
+
+def greedy_boxes(rows: DataFrame, keys: list[str], order: list[str], threshold: float = 0.55, existing: DataFrame | None = None) -> DataFrame:
+    """Rows (min_x .. max_y) in order, each kept unless it overlaps a kept one of its group by ``threshold`` or more.
+    ``existing`` rows come before all and stay, but are not returned.
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+    Only pairs that overlap are looked at. In each round the rows without an earlier undecided neighbour are kept, and
+    their later neighbours go; so no group is ever gathered, and there are as many rounds as a chain of overlaps is long.
+    """
+    at = F.struct(*order)
+    rows = written(rows.withColumn("id", F.struct(at.alias("at"), F.monotonically_increasing_id().alias("row"))), "boxes")
+    if existing is not None:
+        old = existing.select(*keys, *_BOX, F.monotonically_increasing_id().alias("id"))
+        taken = overlapping(old, rows, keys, threshold).select(F.col("b").alias("id")).distinct()
+        rows = written(rows.join(taken, "id", "left_anti"), "boxes")
+    pairs = written(overlapping(rows, rows, keys, threshold).where("a < b").select("a", "b"), "box-pairs")
+    kept = rows
+    while pairs.head(1):
+        decided = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = written(decided.select("b").distinct(), "boxes-gone")
+        kept = kept.join(gone.withColumnRenamed("b", "id"), "id", "left_anti")
+        pairs = written(pairs.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"), "box-pairs")
+    return kept.drop("id")
 
 
 def greedy_spacing(rows: DataFrame, keys: list[str], order: list[str], least: float, most: int) -> DataFrame:
-    """Points (x, y) in order, each kept unless a kept one is nearer than ``least``; at most ``most``."""
+    """Points (x, y) in order, each kept unless a kept one is nearer than ``least``; at most ``most`` of each group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        kept, at = [], []
-        for i, (x, y) in enumerate(pdf[["x", "y"]].itertuples(index=False, name=None)):
-            if len(kept) < most and all(math.dist((x, y), k) >= least for k in kept):
-                kept.append((x, y))
-                at.append(i)
-        return pdf.iloc[at]
+    Rows of a group stream by in order; only the kept points, ``most`` at most, are remembered.
+    """
+
+    def decide(state, row):
+        kept = state or []
+        if len(kept) < most and all(math.dist(row, k) >= least for k in kept):
+            return [*kept, row], True
+        return kept, False
+
+    return in_order(rows, keys, order, ["x", "y"], decide)
 
-    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], values: list[str], step, schema: str) -> DataFrame:
+    """``rows`` with what ``step(state, values)`` -> (state, new values) gives for each, group by group in order, from
+    the state None. ``schema`` names the new columns.
+
+    Rows are sorted within partitions and stream through; what is held is one group's state, however long a group is.
+    """
+    columns = StructType.fromDDL(schema)
+    group = [rows.columns.index(k) for k in keys]
+
+    def run(batches):
+        known, state = None, None
+        for pdf in batches:
+            out = []
+            for key, row in zip(zip(*(pdf.iloc[:, i].tolist() for i in group)), zip(*(pdf[v].tolist() for v in values))):
+                if key != known:
+                    known, state = key, None
+                state, new = step(state, row)
+                out.append(new)
+            yield pd.concat([pdf, pd.DataFrame(out, columns=columns.names, index=pdf.index)], axis=1)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, StructType([*rows.schema, *columns]))
+
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str], values: list[str], decide) -> DataFrame:
+    """The rows that ``decide(state, values)`` -> (state, keep) keeps; see :func:`folded`."""
+
+    def step(state, row):
+        state, keep = decide(state, row)
+        return state, (keep,)
+
+    return folded(rows, keys, order, values, step, "_keep boolean").where("_keep").drop("_keep")
 
 
 def last_accepted_filter(rows: DataFrame, key: str, order: list[str], value: str, least: float) -> DataFrame:
     """Rows in order, each kept unless its value is nearer than ``least`` to that of the last kept row."""
-    fields = F.struct(*order, *(c for c in rows.columns if c not in order))
-    sorted_ = F.sort_array(F.collect_list(fields))
-    grouped = rows.groupBy(F.col(key).alias("_key")).agg(sorted_.alias("all"))
-    none = F.slice("all", 1, 0)
-    kept = F.aggregate(
-        "all",
-        none,
-        lambda acc, r: F.when(
-            (F.size(acc) > 0) & (F.abs(r[value] - F.element_at(F.when(F.size(acc) > 0, acc), -1)[value]) < least), acc
-        ).otherwise(F.concat(acc, F.array(r))),
-    )
-    return grouped.select(F.explode(kept).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in rows.columns))
-
-
-def import_presets(existing: list[str], incoming: list[str], suffix: str = "导入") -> list[str]:
-    """Names for incoming presets: a taken name gets a suffix, then a numbered one."""
-    taken, out = set(existing), []
-    for name in incoming:
-        new, n = name, 1
-        while new in taken:
-            new = f"{name} ({suffix})" if n == 1 else f"{name} ({suffix} {n})"
-            n += 1
-        taken.add(new)
-        out.append(new)
-    return out
-
-
-def clean_ring(points: list[tuple[float, float]], epsilon: float = 1e-6) -> list[tuple[float, float]]:
-    """A ring without repeated, closing and collinear vertices; if fewer than three would be left, without repeats only."""
-    kept: list[tuple[float, float]] = []
-    for p in points:
-        if not kept or math.dist(kept[-1], p) > epsilon:
-            kept.append((float(p[0]), float(p[1])))
-    if len(kept) >= 2 and math.dist(kept[0], kept[-1]) <= epsilon:
-        kept.pop()
-    if len(kept) < 3:
-        return kept
-
-    def needed(i: int) -> bool:
-        (x0, y0), (x1, y1), (x2, y2) = kept[i - 1], kept[i], kept[(i + 1) % len(kept)]
-        turn = (x1 - x0) * (y2 - y1) - (y1 - y0) * (x2 - x1)
-        if abs(turn) > epsilon:
-            return True
-        length = (x2 - x0) ** 2 + (y2 - y0) ** 2
-        t = 0.0 if length == 0 else max(0.0, min(1.0, ((x1 - x0) * (x2 - x0) + (y1 - y0) * (y2 - y0)) / length))
-        return math.dist((x1, y1), (x0 + t * (x2 - x0), y0 + t * (y2 - y0))) > epsilon
-
-    bends = [p for i, p in enumerate(kept) if needed(i)]
-    return bends if len(bends) >= 3 else kept
+
+    def decide(last, row):
+        return (last, False) if last is not None and abs(row[0] - last) < least else (row[0], True)
+
+    return in_order(rows, [key], order, [value], decide)
+
+
+def thinned_path(rows: DataFrame, key: str, order: list[str], least_time: float, least_distance: float) -> DataFrame:
+    """Points (x, y, t) of each path, each kept unless it is nearer in time or space to the last kept point."""
+
+    def decide(last, row):
+        near = last is not None and (row[2] - last[2] < least_time or math.dist(row[:2], last[:2]) < least_distance)
+        return (last, False) if near else (row, True)
+
+    return in_order(rows, [key], order, ["x", "y", "t"], decide)

@@ -8,28 +8,31 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 
 CELL = 128.0
-#: A shape over more cells than this in either direction is tested against all points of its image.
-MOST_CELLS = 64
-
-
-def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
+#: A box that is longer than so many cells is put into a grid with cells of twice, four times ... the size.
+MOST_CELLS = 8
 
 
 def point_box_join(points: DataFrame, boxes: DataFrame, scope: list[str] = (), cell: float = CELL, tolerance: float = 0.0) -> DataFrame:
     """Pairs of points (x, y) and boxes (min_x .. max_y, widened by ``tolerance``) that hold them.
 
-    A box is put in every cell it covers and a point in its own, so the join is on equal cells. A point has one
-    cell only, so no pair appears twice.
+    A box is put in every cell it covers and a point in its own, so the join is on equal cells. Boxes of different sizes
+    use grids of different cells, so none has more than (MOST_CELLS + 1) squared; a point is put into each grid that has
+    boxes, some dozens at most. A point has one cell of a grid and a box one grid, so no pair appears twice.
     """
     cell = max(32.0, cell)
     put = boxes.where("max_x >= min_x and max_y >= min_y")
-    put = put.withColumn("_cx", F.explode(_cells(F.col("min_x") - tolerance, F.col("max_x") + tolerance, cell)))
-    put = put.withColumn("_cy", F.explode(_cells(F.col("min_y") - tolerance, F.col("max_y") + tolerance, cell)))
-    at = points.withColumn("_cx", F.floor(F.col("x") / cell).cast("long")).withColumn("_cy", F.floor(F.col("y") / cell).cast("long"))
+    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) + 2 * tolerance
+    put = put.withColumn("_grid", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1.0)) / (cell * MOST_CELLS)))).cast("int"))
+    side = F.lit(cell) * F.pow(F.lit(2.0), F.col("_grid"))
+    for axis in ("x", "y"):
+        low, high = F.floor((F.col(f"min_{axis}") - tolerance) / side), F.floor((F.col(f"max_{axis}") + tolerance) / side)
+        put = put.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
+    grids = [r._grid for r in put.select("_grid").distinct().collect()] or [0]
+    at = points.withColumn("_grid", F.explode(F.array(*map(F.lit, grids))))
+    at = at.withColumn("_cx", F.floor(F.col("x") / side)).withColumn("_cy", F.floor(F.col("y") / side))
     inside = (F.col("x") >= F.col("min_x") - tolerance) & (F.col("x") <= F.col("max_x") + tolerance)
     inside &= (F.col("y") >= F.col("min_y") - tolerance) & (F.col("y") <= F.col("max_y") + tolerance)
-    return at.join(put, [*scope, "_cx", "_cy"]).where(inside).drop("_cx", "_cy")
+    return at.join(put, [*scope, "_grid", "_cx", "_cy"]).where(inside).drop("_grid", "_cx", "_cy")
 
 
 def latest_hit(hits: DataFrame, point_key: str, shape_key: str, order: Column) -> DataFrame:

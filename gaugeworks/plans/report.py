@@ -131,6 +131,19 @@ def report_cells(rules: list[Rule], rows: DataFrame, labels: DataFrame) -> DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+def with_fallback(rules: list[Rule], rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
+    """The cells of all rules and no message; or, where a rule can't be laid out or cells overlap, the results of all
+    rows as a plain list on sheet A, and why."""
+    try:
+        cells = report_cells(rules, rows, labels)
+        if not overlaps(cells).head(1):
+            return cells, ""
+        message = "rules overlap"
+    except ReportError as error:
+        message = str(error)
+    return report_cells([Rule("measurement_field", "A", "A1", field_name="result")], rows, labels), message
+
+
 def overlaps(cells: DataFrame) -> DataFrame:
     """(sheet, row, column) written by more than one rule."""
     return cells.groupBy("sheet", "row", "column").agg(F.count_distinct("rule").alias("n")).where("n > 1")

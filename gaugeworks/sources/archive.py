@@ -5,10 +5,8 @@ Everything is read through Spark's sources, so archives may lie in any file syst
 
 from __future__ import annotations
 
-import struct
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +93,16 @@ def derive(measurement: DataFrame, image: DataFrame) -> DataFrame:
     return units.withColumns({"display_value": value, "display_unit": V.display_unit(kind, F.col("calibration.unit"))})
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """(image_path, calibration, calibration_line) of sidecar files."""
-    return spark.read.schema(SIDECAR).option("multiLine", True).json(path).select("image_path", "calibration", "calibration_line")
+def read_sidecars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(image_path, calibration, calibration_line) of sidecar files; ``lines``: files with one sidecar a line."""
+    return spark.read.schema(SIDECAR).option("multiLine", not lines).json(path).select("image_path", "calibration", "calibration_line")
 
 
 def read_scale_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, ppu, unit, error) of binary scale files: a little-endian float of µm per pixel at byte 0x180."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", SCALE_AT + 1, 4).alias("raw"))
 
-    @F.pandas_udf("double")
-    def number(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: struct.unpack("<f", b)[0] if b is not None and len(b) == 4 else None).astype(float)
-
-    value = F.when(F.col("length") >= SCALE_BYTES, number("raw"))
+    value = F.when(F.col("length") >= SCALE_BYTES, V.little_endian_float(F.col("raw")))
     error = F.when(F.col("length") < SCALE_BYTES, "too short").when(~(F.col("value") > 0) | F.col("value").isNull(), "not positive")
     stem = F.regexp_replace(V.file_name(F.col("path")), r"\.[^.]*$", "")
     found = files.withColumn("value", value).withColumn("error", error)
@@ -116,10 +110,27 @@ def read_scale_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(place, path) of a folder's images by lower-case name; not recursive. File contents aren't read."""
-    files = spark.read.format("binaryFile").load(folder).select("path")
+    """(path, name) of a folder's images by lower-case name; not recursive. File contents aren't read."""
+    return image_files(spark.read.format("binaryFile").load(folder).select("path")).orderBy("name")
+
+
+def image_files(files: DataFrame) -> DataFrame:
+    """Files (path) that are images, with their lower-case name."""
     name = F.lower(V.file_name(F.col("path")))
-    return files.where(F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*IMAGE_SUFFIXES)).withColumn("name", name).orderBy("name")
+    return files.where(F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*IMAGE_SUFFIXES)).withColumn("name", name)
+
+
+def saved_paths(images: DataFrame) -> DataFrame:
+    """Images (source_type, path, folder) with the path and the absolute path that a project file in ``folder`` keeps: a
+    file below the folder is named from there, with its absolute path beside it; others by their absolute path; assets
+    of the project as they are."""
+    path, folder = V.trimmed(F.col("path")), F.regexp_replace("folder", "/+$", "")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, F.lit("/"), path))
+    below = whole.startswith(F.concat(folder, F.lit("/")))
+    file = (F.col("source_type") == "filesystem") & (path != "")
+    short = F.substring(whole, F.length(folder) + 2, F.length(whole))
+    new = F.when(~file, F.col("path")).when(below, short).otherwise(whole)
+    return images.withColumns({"absolute_path": F.when(file & below, whole), "path": new})
 
 
 def classify_inputs(paths: DataFrame) -> DataFrame:

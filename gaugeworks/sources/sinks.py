@@ -22,17 +22,51 @@ def write_scale_json(images: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def project_documents(image: DataFrame, category: DataFrame, measurement: DataFrame) -> DataFrame:
-    """(project_id, image_pos, json): each image with its categories and measurements, in order, as one document."""
+def write_sidecars(images: DataFrame, path: str) -> None:
+    """One JSON line for each image (path, calibration): its sidecar. Images without a calibration have none."""
+    rows = images.where("calibration is not null")
+    rows.select(F.lit("1").alias("version"), F.col("path").alias("image_path"), "calibration").write.mode("overwrite").json(path)
+
+
+def project_documents(image: DataFrame, category: DataFrame, measurement: DataFrame, annotation: DataFrame | None = None) -> DataFrame:
+    """(project_id, documents): each project's images in order, each with its categories, measurements and annotations
+    in order, under the names that project files have."""
     keys = ["project_id", "image_id"]
 
-    def nested(df: DataFrame, order: str, name: str) -> DataFrame:
-        fields = F.struct(order, *(c for c in df.columns if c not in (*keys, order)))
-        return df.groupBy(*keys).agg(F.sort_array(F.collect_list(fields)).alias(name))
+    def nested(df: DataFrame, order: str, name: str, fields: dict[str, str]) -> DataFrame:
+        row = F.struct(order, *(F.col(c).alias(n) for n, c in fields.items()))
+        listed = F.transform(F.sort_array(F.collect_list(row)), lambda r: F.struct(*(r[n].alias(n) for n in fields)))
+        return df.groupBy(*keys).agg(listed.alias(name))
 
-    parts = [nested(category, "category_pos", "fiber_groups"), nested(measurement.drop("image_pos"), "measurement_pos", "measurements")]
+    groups = {"id": "category_id", "number": "number", "label": "label", "color": "color"}
+    rows = {
+        "id": "measurement_id", "fiber_group_id": "category_id", "mode": "mode", "measurement_kind": "measurement_kind", "line_px": "line",
+        "snapped_line_px": "snapped_line", "polyline_px": "polyline", "point_px": "point", "polygon_px": "polygon", "area_rings_px": "area_rings",
+        "exact_area_px": "exact_area_px", "confidence": "confidence", "status": "status", "created_at": "created_at",
+    }
+    parts = [nested(category, "category_pos", "fiber_groups", groups), nested(measurement, "measurement_pos", "measurements", rows)]
+    if annotation is not None:
+        notes = {n: n for n in ("kind", "content", "anchor", "start", "end", "created_at")}
+        parts.append(nested(annotation, "annotation_id", "overlay_annotations", {"id": "annotation_id"} | notes))
     whole = reduce(lambda a, b: a.join(b, keys, "left"), parts, image)
-    return whole.select("project_id", "image_pos", F.to_json(F.struct(*(c for c in whole.columns if c not in ("project_id", "image_pos")))).alias("json"))
+    lists = [c for c in ("fiber_groups", "measurements", "overlay_annotations") if c in whole.columns]
+    document = F.struct(
+        "image_pos", F.col("image_id").alias("id"), "path", "source_type", "absolute_path", F.array("width", "height").alias("image_size"), "calibration",
+        F.col("active_category_id").alias("active_group_id"), F.col("suppressed_labels").alias("suppressed_project_group_labels"), *lists,
+    )
+    return whole.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(document)), lambda d: d.dropFields("image_pos")).alias("documents"))
+
+
+def write_projects(archive, path: str) -> None:
+    """A JSON file for each project of an archive, as :func:`read_projects` reads it."""
+    documents = project_documents(archive.image, archive.category, archive.measurement, archive.annotation)
+    presets = archive.preset.groupBy("project_id").agg(
+        F.sort_array(F.collect_list(F.struct("preset_pos", "name", F.col("ppu").alias("pixels_per_unit"), "unit"))).alias("calibration_presets")
+    )
+    templates = archive.template.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("template_pos", "label", "color"))).alias("project_group_templates"))
+    whole = reduce(lambda a, b: a.join(b, "project_id", "left"), (documents, presets, templates), archive.project)
+    columns = ["version", "documents", "calibration_presets", F.col("calibration").alias("project_default_calibration"), "project_group_templates"]
+    whole.select(*columns).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def union_columns(*frames: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sequential import folded, in_order
+
 
 def drop_stale(frames: DataFrame, key: str, order: str, generation: str) -> DataFrame:
     """Frames whose generation is not older than the newest seen so far in their session."""
@@ -36,6 +38,40 @@ def throttled(frames: DataFrame, key: str, time: str, order: str, every: str) ->
     return frames.groupBy(key, F.window(F.col(time).cast("timestamp"), every).alias("w")).agg(F.min(order).alias(order))
 
 
+def stacked(frames: DataFrame, key: str, order: str, least_light: float, least_sharpness: float) -> DataFrame:
+    """Frames (light, sharpness) with (accepted, n_accepted, best): whether each differs from the last accepted one by
+    ``least_light`` or ``least_sharpness``, how many were accepted so far, and the sharpest of them."""
+
+    def step(state, row):
+        light, sharp, n, best = state or (None, 0.0, 0, float("-inf"))
+        if light is not None and abs(row[0] - light) < least_light and abs(row[1] - sharp) < least_sharpness:
+            return (light, sharp, n, best), (False, n, best)
+        best = max(best, row[1])
+        return (row[0], row[1], n + 1, best), (True, n + 1, best)
+
+    return folded(frames, [key], [order], ["light", "sharpness"], step, "accepted boolean, n_accepted int, best double")
+
+
+def reports(frames: DataFrame, key: str, order: str, time: str, every: int) -> DataFrame:
+    """Frames that a report is made at: the first, and each that comes ``every`` or more after the last report."""
+
+    def decide(last, row):
+        return (row[0], True) if last is None or row[0] - last >= every else (last, False)
+
+    return in_order(frames, [key], [order], [time], decide)
+
+
+def without_cancelled(requests: DataFrame, cancelled: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests of documents that are not in the cancellation set."""
+    return requests.join(cancelled.select(*keys).distinct(), keys, "left_anti")
+
+
+def running_counters(rejected: DataFrame, key: str, order: str, reason: str) -> DataFrame:
+    """Rejected frames with ``n``, how many of their session were rejected for the same reason so far."""
+    w = Window.partitionBy(key, reason).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rejected.withColumn("n", F.count(F.lit(1)).over(w))
+
+
 def accept_changed(frames: DataFrame, least_change: float = 1.2, least_sharpness: float = 0.03) -> DataFrame:
     """Streaming: frames (session_id, seq, sharpness, pixels) that differ from the last accepted one.
 
@@ -68,7 +104,8 @@ def gate_stable(motions: DataFrame, short_side: float, least_response: float = 0
     """Streaming: (session_id, seq, dx, dy, response) with whether the view stands still.
 
     A frame is steady when it moved by at most max(2, 0.5 % of the short side) and its response is high enough;
-    the view is stable from the second steady frame on. State: generation and streak; stale generations are dropped.
+    the view is stable from the second steady frame on. A stable view forgives a weak response while it moves by no more
+    than 0.55 of that. State: generation and streak; stale generations are dropped.
     """
     reach = max(2.0, 0.005 * short_side)
 
@@ -80,7 +117,8 @@ def gate_stable(motions: DataFrame, short_side: float, least_response: float = 0
                 continue
             if row.generation > newest:
                 newest, streak = int(row.generation), 0
-            steady = float(np.hypot(row.dx, row.dy)) <= reach and row.response >= least_response
+            moved = float(np.hypot(row.dx, row.dy))
+            steady = moved <= reach and row.response >= least_response or streak >= least_streak and moved <= 0.55 * reach
             streak = streak + 1 if steady else 0
             out.append((key[0], row.seq, streak, streak >= least_streak))
         state.update((newest, streak))

@@ -15,19 +15,8 @@ def test_query_agrees_with_sql(spark, small, con, name):
     same(catalog.QUERIES[name](spark, small), con, catalog.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_query_without_sql_gives_rows(spark, small, name):
-    assert catalog.QUERIES[name](spark, small).count() > 0
-
-
-def test_ring_overlaps_takes_every_box(spark, small):
-    boxes = catalog._boxes(spark, small).toPandas()
-    expected = set()
-    for b in boxes.itertuples():
-        held = boxes[boxes.min_x.between(b.min_x, b.max_x) & boxes.min_y.between(b.min_y, b.max_y)]
-        expected |= {(a, b.shape) for a in held["shape"] if a != b.shape}
-    found = [(r.a, r.b) for r in catalog.QUERIES["ring_overlaps"](spark, small).collect()]
-    assert sorted(found) == sorted(expected) and any(a % 3 or b % 3 for a, b in found)
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry_point(spark):

@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import geometry as G
-from gaugeworks.operators.sequential import clean_ring, import_presets
 
 SQUARE = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]
 
@@ -57,11 +56,12 @@ def test_area_does_not_change_with_start_and_place(spark, points, k):
     assert areas[1] == pytest.approx(areas[0], abs=1e-6) and areas[2] == pytest.approx(areas[0], abs=1e-6)
 
 
-def test_clean_ring():
-    assert clean_ring([(0, 0), (0, 0), (4, 0), (8, 0), (8, 8), (0, 8), (0, 0)]) == [(0, 0), (8, 0), (8, 8), (0, 8)]
-    assert clean_ring([(0, 0), (1, 1), (2, 2)]) == [(0, 0), (1, 1), (2, 2)]
-    assert clean_ring([]) == []
+def test_clean_ring(spark):
+    rings = [[(0, 0), (0, 0), (4, 0), (8, 0), (8, 8), (0, 8), (0, 0)], [(0, 0), (1, 1), (2, 2)], [], [(0, 0), (0, 0)]]
+    found = [[tuple(p) for p in r[0]] for r in frame(spark, rings).select(G.clean_ring(F.col("p"))).collect()]
+    assert found == [[(0, 0), (8, 0), (8, 8), (0, 8)], [(0, 0), (1, 1), (2, 2)], [], [(0, 0)]]
 
 
-def test_import_presets():
-    assert import_presets(["a"], ["a", "a", "b"]) == ["a (导入)", "a (导入 2)", "b"]
+def test_self_intersection(spark):
+    rings = [SQUARE, [(0, 0), (8, 8), (8, 0), (0, 8)], SQUARE[:3], [(0, 0), (8, 0), (4, 0), (4, 5)]]
+    assert [r[0] for r in frame(spark, rings).select(G.self_intersects(F.col("p"))).collect()] == [False, True, False, True]

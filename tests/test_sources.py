@@ -36,9 +36,11 @@ def test_project_tables(spark, tmp_path):
     assert (found["m1"].mode, found["m1"].status, found["m1"].diameter_unit) == ("fiber_quick", "fiber_quick", 2.5)
     assert (found["m2"].area_unit, found["m3"].area_unit, found["m3"].display_unit) == (4.0, 2.0, "um²")
     assert (found["m4"].display_value, found["m4"].display_unit, found["m4"].diameter_px) == (1.0, "个", None)
-    documents = sinks.project_documents(a.image, a.category, a.measurement).collect()
-    back = json.loads(documents[0]["json"])
-    assert [m["measurement_id"] for m in back["measurements"]] == ["m1", "m2", "m3", "m4"]
+    sinks.write_projects(a, f"file://{tmp_path}/again")
+    b = archive.read_projects(spark, f"file://{tmp_path}/again/*.json")
+    for name in ("image", "category", "measurement", "annotation", "preset", "template"):
+        one, two = (sorted(map(str, getattr(x, name).drop("project_id", "debug_json", "metadata_json").collect())) for x in (a, b))
+        assert one == two, name
 
 
 def test_delete_category_frees_and_renumbers(spark, tmp_path):
