@@ -52,3 +52,9 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this path in the file system that Spark reads it from."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)

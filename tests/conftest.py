@@ -5,7 +5,6 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
