@@ -1,16 +1,16 @@
-"""What the operators share: the shared folder and tables written to cut lineage."""
+"""What the operators share."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import exists, shared_folder, written  # noqa: F401  used by the operators
+
 #: Stands for a null doc_id wherever ids are ordered: smaller than any other.
 NO_ID = -(2**63)
 
@@ -18,24 +18,6 @@ NO_ID = -(2**63)
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a local one, then set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gaugeworks-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ordered_id(column: str = "doc_id") -> Column:
     """The id as a long for ordering; a null id comes first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

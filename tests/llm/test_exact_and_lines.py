@@ -1,5 +1,6 @@
 import hashlib
 import string
+import uuid
 from collections import Counter, defaultdict
 
 import pytest
@@ -86,3 +87,23 @@ def test_line_dedup_by_brute_force(spark, batches):
     docs = awkward(spark, extra)
     found = line_dedup.line_dedup(docs, batches=batches).collect()
     assert Counter(map(tuple, found)) == brute_lines([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_runs_are_kept_under_their_name(spark):
+    name = uuid.uuid4().hex
+    lines = [(i, 100 + i % k, k) for k in (2, 3, 7) for i in range(40)]
+    rows = spark.createDataFrame(lines, "id long, h1 long, h2 long").cache()
+    for b in range(5):
+        runs = line_dedup.LineRuns(spark, name)
+        assert runs.version == b
+        runs.append(rows.where(f"id % 5 = {b}"))
+        runs.close()
+    again = line_dedup.LineRuns(spark, name)
+    assert [len(level) for level in again.levels] == [1, 0, 1]
+    found = {(r.h1, r.h2): (r.n, r.last) for r in again.repeated(6).collect()}
+    holders = defaultdict(set)
+    for i, a, b in lines:
+        holders[a, b].add(i)
+    assert found == {k: (len(v), max(v)) for k, v in holders.items() if len(v) >= 6}
+    again.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
