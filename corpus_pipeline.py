@@ -5,6 +5,15 @@
 3. MinHash near-dedup: of each class of near copies the smallest doc_id stays;
 4. mixing: documents are left out or repeated until each source has its target of words;
 5. byte-level BPE: every remaining row becomes token ids, checked by decoding them.
+
+Defined results
+---------------
+* Null and empty texts, and texts without letters, have no language and go in the first stage. Every other text goes
+  through whole, however long.
+* A null doc_id is an id, smaller than any other; null sources are a source of their own.
+* Of rows that repeat id and text one is left after the second stage; ties of larger groups are settled by all columns.
+* Columns of any name beside doc_id, text, lang and source are carried along unchanged by all stages but the last.
+* An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +23,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeworks.llm import byte_bpe, exact_dedup, language_id, minhash_dedup, mixing
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import exists, shared_folder, written
 from gaugeworks.llm.queries import vocabulary_file
 
 
@@ -54,9 +63,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` through all stages."""
+def run(spark: SparkSession, sf_dir: str, resume: str | None = None) -> DataFrame:
+    """``documents`` through all stages. A run that is given a name keeps its stages under it in the shared folder; the
+    same name takes up after the last stage that was finished."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        folder = f"{shared_folder(spark)}/pipeline-{resume}/{name.replace(' ', '-')}"
+        if resume is None:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            continue
+        if not exists(spark, f"{folder}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        docs = spark.read.parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)
