@@ -11,6 +11,7 @@ from . import analogue as A
 from .analogue import MEASUREMENTS_SQL as M
 from .analogue import VERTICES_SQL as E
 from .functions import geometry as G
+from .functions import text as T
 from .functions import values as V
 from .operators import aggregate, lookup, mutate, ordinal, sequential, spatial
 from .plans import report
@@ -167,7 +168,10 @@ def class_areas(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS deviation FROM events GROUP BY 1")
 def pixel_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy("user_id").agg(r4(F.avg("value")).alias("mean"), r4(F.stddev_pop("value")).alias("deviation"))
+    from .operators.pixels import frame_measures as measured
+
+    found = measured(_events(spark, d).select(F.col("user_id").alias("id"), "value"))
+    return found.select(F.col("id").alias("user_id"), r4("mean").alias("mean"), r4("deviation").alias("deviation"))
 
 
 # ---------------------------------------------------------------- derived values
@@ -557,7 +561,7 @@ def calibration_cascade(spark: SparkSession, d: str) -> DataFrame:
 def load_requests(spark: SparkSession, d: str) -> DataFrame:
     opened = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"))
     wanted = mutate.delete_rows(_events(spark, d), opened, ["user_id"])
-    return wanted.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return ordinal.first_value_per_key(wanted, "user_id", F.col("event_id"), ["event_id"]).select("user_id", "event_id")
 
 
 @query("""
@@ -570,8 +574,13 @@ def similarity_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = rows.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
-    return ordinal.top_k(pairs, ["query_id"], [F.desc("score"), "vec_id"], 12).select("query_id", "vec_id", "place", F.round("score", 6).alias("score"))
+    # queries go to every block of rows; each block cuts its own list before the lists meet
+    blocks = max(1, -(-rows.count() // 4096))
+    placed = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = queries.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    pairs = placed.hint("shuffle_hash").join(asked, "b").where("vec_id <> query_id").select("query_id", "b", "vec_id", score.alias("score"))
+    best = ordinal.top_k(pairs, ["query_id", "b"], [F.desc("score"), "vec_id"], 12).drop("place")
+    return ordinal.top_k(best, ["query_id"], [F.desc("score"), "vec_id"], 12).select("query_id", "vec_id", "place", F.round("score", 6).alias("score"))
 
 
 # ---------------------------------------------------------------- edits
@@ -718,14 +727,14 @@ def export_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, o_orderkey % 97 * 1.5 AS x0, 3 AS n FROM orders
+    SELECT o_orderkey, '[{"x": ' || (o_orderkey % 97 * 1.5)::DOUBLE || ', "y": ' || (o_orderkey % 5)::DOUBLE || '}, {"x": ' || (o_orderkey % 7)::DOUBLE || ', "y": '
+                       || (o_orderkey % 3)::DOUBLE || '}]' AS text, o_orderkey % 97 * 1.5 AS x0, 2 AS n FROM orders
 """)
 def json_vertices(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    points = F.array(G.point(k % 97 * 1.5, k % 5), G.point(k % 7, k % 3), G.point(k % 11, k % 2))
-    text = F.to_json(F.transform(points, lambda p: G.point(F.round(p["x"], 3), F.round(p["y"], 3))))
+    text = T.json_points(F.array(G.point(k % 97 * 1.5, k % 5), G.point(k % 7, k % 3)))
     back = F.from_json(text, f"array<{G.POINT}>")
-    return table(spark, d, "orders").select("o_orderkey", F.get(back, F.lit(0))["x"].alias("x0"), F.size(back).alias("n"))
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"), F.get(back, F.lit(0))["x"].alias("x0"), F.size(back).alias("n"))
 
 
 # ---------------------------------------------------------------- order-dependent and streams in batch form
@@ -950,9 +959,9 @@ def constrained_points(spark: SparkSession, d: str) -> DataFrame:
     SELECT o_custkey, o_orderpriority, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS ids FROM orders GROUP BY 1, 2
 """)
 def values_by_category(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
-    found = table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(rows.alias("r"))
-    return found.select("o_custkey", "o_orderpriority", F.array_join(F.transform("r", lambda r: r["o_orderkey"].cast("string")), ",").alias("ids"))
+    keys = ["o_custkey", "o_orderpriority"]
+    found = aggregate.values_in_order(table(spark, d, "orders"), keys, ["o_orderdate", "o_orderkey"], "o_orderkey")
+    return found.select(*keys, F.array_join(F.col("values").cast("array<string>"), ",").alias("ids"))
 
 
 @query("SELECT lower(p_brand) || p_size % 7 AS path, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
@@ -1025,7 +1034,9 @@ def focus_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey FROM orders GROUP BY 1")
 def sharpest_frame(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", "o_totalprice").alias("o_orderkey"))
+    from .streaming.frames import fused
+
+    return fused(table(spark, d, "orders").withColumn("seq", F.col("o_orderkey")), ["o_custkey"], "o_orderkey", "o_totalprice", "seq")
 
 
 @query("""
@@ -1051,10 +1062,11 @@ def finish_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT id, n FROM (SELECT l_orderkey AS id, count(*)::INT AS n FROM lineitem GROUP BY 1) WHERE n >= 3
+    SELECT id, n, 4 AS n_box FROM (SELECT l_orderkey AS id, count(*)::INT AS n FROM lineitem GROUP BY 1) WHERE n >= 3
 """)
 def valid_detections(spark: SparkSession, d: str) -> DataFrame:
-    return A.outlines(spark, d).where(F.size("points") >= 3).select("id", F.size("points").alias("n"))
+    rows = A.outlines(spark, d).select("id", F.col("points").alias("polygon"), F.array(*map(F.lit, range(6))).alias("bbox"))
+    return lookup.clean_detections(rows).select("id", F.size("polygon").alias("n"), F.size("bbox").alias("n_box"))
 
 
 @query("""

@@ -84,3 +84,10 @@ def median_band(values: DataFrame, key: str, width: str, score: str, least: floa
     near = values.join(median, key).where((off <= F.greatest(F.lit(least), F.col("median") * share)) & (F.col(score) >= least_score))
     first = F.row_number().over(Window.partitionBy(key).orderBy(off, F.desc(score), *ties))
     return near.withColumn("place", first).where("place = 1").drop("place")
+
+
+def values_in_order(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, values): the values of each group in the order of its rows. A group's values become one array, so groups
+    must be lists that somebody reads (a category of one image), not tables."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_value"))))
+    return rows.groupBy(*keys).agg(F.transform(listed, lambda r: r["_value"]).alias("values"))

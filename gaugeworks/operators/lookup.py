@@ -101,3 +101,8 @@ def with_active_category(images: DataFrame, categories: DataFrame) -> DataFrame:
     """Images with the label and color of their active category, null without one."""
     active = categories.select("image_id", F.col("category_id").alias("active_category_id"), F.col("label").alias("active_label"), F.col("color").alias("active_color"))
     return images.join(active, ["image_id", "active_category_id"], "left")
+
+
+def clean_detections(detections: DataFrame) -> DataFrame:
+    """Detections (polygon, bbox) that have a polygon of three points or more, with four numbers of their box."""
+    return detections.where(F.size("polygon") >= 3).withColumn("bbox", F.slice("bbox", 1, 4))
