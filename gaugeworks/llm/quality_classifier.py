@@ -1,51 +1,52 @@
 """Quality classifier by co-training on two views of a document.
 
-The text view sees the text only: hashed byte trigrams. The metadata view sees what a crawl knows of a page
-without reading it: source, language, length, lines, and shares of digits, capitals, marks and repeats. Each view is
-a logistic regression. In every round each view labels the pool documents it is surest of, ``PER_ROUND`` for
-each class in proportion to the classes, and hands them to the other view. At the end both views are
-calibrated (Platt) on labelled rows that took no part in training, and their calibrated log odds are combined
-by a third regression on those rows. All documents are scored.
-
-Fitting uses ``LABELLED`` labelled rows and a pool of ``POOL`` unlabelled ones at most (the smallest hashes of
-their ids), in one task; these bounds don't depend on the input.
+The text view sees the text only: hashed byte trigrams. The metadata view sees the fields beside the text and never the
+text: source, language, both together, and the length that the table states. Each view is a logistic regression, fitted on
+labelled rows and calibrated (Platt) on labelled rows that take no part in training. In every round both views score all documents
+without a label, as a Spark job; each labels the ``PER_ROUND`` it is surest of, for each class in proportion to the
+classes, and hands them to the other view. A view is sure where its calibrated probability is ``SURE`` or more, and would
+be if classes were equally frequent: a view that knows nothing, or just which class is frequent, hands on nothing. At the
+end the calibrated log odds of both are combined by a third regression on those rows. All documents are scored.
+
+Fitting uses ``LABELLED`` labelled rows at most, half of each class as far as there are (the smallest hashes of their
+ids); calibration weighs them back to the shares of all labels. With what the rounds hand over, a fit has
+``LABELLED + 2 * ROUNDS * PER_ROUND`` rows in one task, whatever the input.
 
 Defined results
 ---------------
-* Scores are probabilities of quality 1. A null text is the empty text. Null source or language is a value of
-  its own.
-* Several labels of one document count as the one that most of them give (1 on a tie). Null labels are ignored.
+* Scores are probabilities of quality 1. A null text is the empty text. A null source, language or length is a value of
+  its own; a table without such a column has nulls.
+* Several labels of one document count as the one that most of them give (1 on a tie). Null labels are ignored. Of rows
+  that repeat a labelled doc_id one is learned from: that with the smallest hash of its text.
 * With fewer than ten labels of either class every score is the share of quality 1 among the labels (0.5
   without labels).
-* Each row is scored, repeated rows alike; extra columns are left out; no documents give no rows.
+* Ties between equally sure documents go to the smaller doc_id; sureness counts to six digits.
+* Whole texts are read, however long. Each row is scored, repeated rows alike; extra columns are left out; no documents
+  give no rows.
 """
 
 from __future__ import annotations
 
+import pickle
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, written
 from .minhash_dedup import mix64
 
 LABELLED = 8000
-POOL = 8000
-ROUNDS = 4
+ROUNDS = 3
 PER_ROUND = 400
 #: A view only hands on what it is this sure of.
 SURE = 0.9
 TEXT_DIMS = 2048
-_SOURCES, _LANGS, _PLAIN = 32, 16, 11
-META_DIMS = _SOURCES + _LANGS + _PLAIN
-#: Classes of bytes: letters and others, digits, capitals, marks, blanks, line ends.
-_BYTES = np.zeros(256, np.uint8)
-_BYTES[48:58] = 1
-_BYTES[65:91] = 2
-_BYTES[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
-_BYTES[[32, 9, 11, 12, 13]] = 4
-_BYTES[10] = 5
+_SOURCES, _LANGS, _BOTH, _SIZES = 32, 16, 64, 16
+META_DIMS = _SOURCES + _LANGS + _BOTH + _SIZES + 2
 
 
 def text_features(raw: bytes) -> np.ndarray:
@@ -64,17 +65,20 @@ def _slot(value: str | None, slots: int) -> int:
     return int(mix64(np.array([folded], np.uint64))[0] % np.uint64(slots))
 
 
-def meta_features(raw: bytes, source: str | None, lang: str | None) -> np.ndarray:
+def meta_features(source: str | None, lang: str | None, n_chars: float | None) -> np.ndarray:
+    """What the fields beside the text say."""
     out = np.zeros(META_DIMS, np.float32)
-    n = max(1, len(raw))
-    shares = np.bincount(_BYTES[np.frombuffer(raw, np.uint8)], minlength=6) / n
-    words, lines = raw.split(), raw.split(b"\n")
-    out[:5] = np.log1p(len(raw)) / 10, np.log1p(len(lines)) / 5, np.log1p(n / len(lines)) / 8, np.log1p(len(words)) / 8, 1
-    out[5:9] = shares[1] * 10, shares[2] * 5, shares[3] * 10, shares[4] * 4
-    out[9] = len(set(words)) / max(1, len(words))
-    out[10] = len(set(lines)) / len(lines)
-    out[_PLAIN + _slot(source, _SOURCES)] = 1
-    out[_PLAIN + _SOURCES + _slot(lang, _LANGS)] = 1
+    at = 0
+    both = None if source is None and lang is None else f"{source}\n{lang}"
+    for value, slots in ((source, _SOURCES), (lang, _LANGS), (both, _BOTH)):
+        out[at + _slot(value, slots)] = 1
+        at += slots
+    if n_chars is None or not n_chars >= 0:
+        out[-1] = 1
+    else:
+        size = min(np.log2(1 + n_chars), _SIZES - 1)
+        out[at + int(size)] = 1
+        out[-2] = size / 10
     return out
 
 
@@ -99,53 +103,62 @@ def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slope and offset of calibrated log odds, with smoothed targets; a few Newton steps."""
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slope and offset of calibrated log odds, with smoothed targets; Newton steps that never overshoot."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a = np.array([1.0, 0.0])
-    x = np.stack([z, np.ones_like(z)], 1)
+    unit = max(float(np.std(z)), 1e-9)
+    x, a = np.stack([z / unit, np.ones_like(z)], 1), np.zeros(2)
+
+    def loss(a):
+        m = x @ a
+        return (weight * (np.logaddexp(0, m) - target * m)).sum() + 0.05 * a[0] ** 2
+
     for _ in range(30):
         p = sigmoid(x @ a)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        a = a - np.linalg.solve(hessian, x.T @ (p - target))
-    return a
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.1, 1e-6])
+        step = np.linalg.solve(hessian, x.T @ (weight * (p - target)) + np.array([0.1 * a[0], 0.0]))
+        while loss(a - step) > loss(a) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        a = a - step
+    return a / np.array([unit, 1.0])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> dict:
-    """The model from rows of both views; ``y`` is -1 for the pool. Every fifth labelled row is for calibration."""
-    known = np.flatnonzero(y >= 0)
-    share = float(y[known].mean()) if len(known) else 0.5
-    if min((y == 0).sum(), (y == 1).sum()) < 10:
-        return {"share": share}
+def calibration_rows(y: np.ndarray) -> np.ndarray:
+    """Every fifth labelled row of each class: for calibration, not for training."""
     check = np.zeros(len(y), bool)
     for c in (0, 1):
         check[np.flatnonzero(y == c)[::5]] = True
-    views = (text, meta)
-    labels = [np.where(check, -1, y).astype(np.float64) for _ in views]  # what each view trains on
-    free = y < 0
-    weights = [fit_logistic(x[l >= 0], l[l >= 0]) for x, l in zip(views, labels)]
-    for _ in range(rounds):
-        handed = False
-        for a, b in ((0, 1), (1, 0)):
-            at = np.flatnonzero(free & (labels[b] < 0))
-            if not len(at):
-                continue
-            p = sigmoid(log_odds(views[a][at], weights[a]))
-            for c, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                best = np.argsort(-sure, kind="stable")[: max(1, round(per_round * part))]
-                best = best[sure[best] >= SURE]
-                labels[b][at[best]] = c
-                handed |= len(best) > 0
-        if not handed:
-            break
-        weights = [fit_logistic(x[l >= 0], l[l >= 0]) for x, l in zip(views, labels)]
-    z = [log_odds(x[check], w) for x, w in zip(views, weights)]
-    scales = [platt(v, y[check]) for v in z]
-    both = np.stack([v * s[0] + s[1] for v, s in zip(z, scales)], 1).astype(np.float64)
-    joint = fit_logistic(both, y[check].astype(np.float64), penalty=1e-2, steps=200, rate=0.05)
-    last = platt(log_odds(both, joint), y[check])
-    return {"share": share, "weights": weights, "scales": scales, "joint": joint, "last": last}
+    return check
+
+
+def fit_views(views, y: np.ndarray, handed: np.ndarray, shares: tuple[float, float]) -> dict:
+    """Weights and calibration of both views. ``y``: labels; ``handed``: the view a row was handed to, or -1 for labelled
+    rows; ``shares``: those of the classes among all labels."""
+    check = calibration_rows(np.where(handed < 0, y, -1))
+    rows = [~check & ((handed < 0) | (handed == v)) for v in (0, 1)]
+    weights = [fit_logistic(x[r], y[r].astype(np.float64)) for x, r in zip(views, rows)]
+    of = y[check]
+    weight = np.where(of == 1, shares[1] / (of == 1).mean(), shares[0] / (of == 0).mean())
+    scales = [platt(log_odds(x[check], w), of, weight) for x, w in zip(views, weights)]
+    both = np.stack(calibrated(views, weights, scales), 1)[check]
+    joint = fit_logistic(both, of.astype(np.float64), penalty=1e-2, steps=200, rate=0.05)
+    return {"weights": weights, "scales": scales, "joint": joint, "last": platt(log_odds(both, joint), of, weight), "shares": shares}
+
+
+def calibrated(views, weights, scales) -> list[np.ndarray]:
+    """The calibrated log odds of each view."""
+    return [log_odds(x, w).astype(np.float64) * s[0] + s[1] for x, w, s in zip(views, weights, scales)]
+
+
+def sureness(views, model: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view how sure it is of class 0 and of class 1, to six digits."""
+    prior = np.log(model["shares"][1] / model["shares"][0])
+    out = []
+    for z in calibrated(views, model["weights"], model["scales"]):
+        p, even = sigmoid(z), sigmoid(z - prior)
+        out.append((np.round(1 - np.maximum(p, even), 6), np.round(np.minimum(p, even), 6)))
+    return out
 
 
 def score(model: dict, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,59 +166,119 @@ def score(model: dict, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray,
     if "weights" not in model:
         same = np.full(len(text), model["share"])
         return same, same, same
-    both = np.stack([log_odds(x, w) * s[0] + s[1] for x, w, s in zip((text, meta), model["weights"], model["scales"])], 1)
-    z = log_odds(both.astype(np.float64), model["joint"])
+    both = np.stack(calibrated((text, meta), model["weights"], model["scales"]), 1)
+    z = log_odds(both, model["joint"])
     return sigmoid(z * model["last"][0] + model["last"][1]), sigmoid(both[:, 0]), sigmoid(both[:, 1])
 
 
-def _views(texts, sources, langs) -> tuple[np.ndarray, np.ndarray]:
+def _views(texts, sources, langs, sizes) -> tuple[np.ndarray, np.ndarray]:
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    return np.array([text_features(r) for r in raws]).reshape(-1, TEXT_DIMS), np.array([meta_features(*r) for r in zip(raws, sources, langs)]).reshape(-1, META_DIMS)
+    text = np.array([text_features(r) for r in raws]).reshape(-1, TEXT_DIMS)
+    return text, np.array(list(map(meta_features, sources, langs, sizes))).reshape(-1, META_DIMS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict:
-    """The model; ``docs`` has doc_id, text, source, lang and ``labels`` doc_id, quality."""
-    import pickle
+_FIELDS = ["text", "source", "lang", "n_chars"]
 
-    rows = docs.select("doc_id", "text", "source", "lang")
-    known = (
-        labels.where("quality in (0, 1) and doc_id is not null")
-        .groupBy("doc_id")
-        .agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    )
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    others = rows.select("doc_id").where("doc_id is not null").join(known.hint("merge"), "doc_id", "left_anti").distinct()
-    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("y", F.lit(-1))
-    # labelled + pool rows at most
-    sample = rows.join(F.broadcast(few.unionByName(others)), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text")
+
+def _fields(docs: DataFrame, id_col: str) -> DataFrame:
+    """(doc_id, text, source, lang, n_chars)."""
+    kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "double"}
+    has = set(docs.columns)
+    return docs.select(F.col(id_col).alias("doc_id"), *((F.col(c) if c in has else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+
+
+def _features(rows: DataFrame, schema: str) -> DataFrame:
+    """(doc_id, y, handed) of ``rows`` with the features of both views, one row for each doc_id."""
+    one = rows.groupBy("doc_id", "y", "handed").agg(F.min_by(F.struct(*_FIELDS), F.xxhash64("text")).alias("f"))
+
+    def run(batches):
+        for part in chain.from_iterable(map(slices, batches)):
+            columns = [part.column(i).to_pylist() for i in range(3, 7)]
+            features = [pa.array([row.tobytes() for row in x], pa.binary()) for x in _views(*columns)]
+            yield pa.RecordBatch.from_arrays([*map(part.column, range(3)), *features], ["doc_id", "y", "handed", "t", "m"])
+
+    return one.select("doc_id", "y", "handed", "f.*").mapInArrow(run, schema)
+
+
+def _fitted(train: DataFrame, make) -> object:
+    """What ``make(views, y, handed)`` gives for the rows of ``train``, a bounded number, in one task."""
+
+    def run(batches):
+        rows = pd.concat(list(batches)).sort_values(["handed", "doc_id"])
+        views = [np.frombuffer(b"".join(rows[c]), np.float32).reshape(len(rows), -1) for c in ("t", "m")]
+        yield pd.DataFrame({"model": [pickle.dumps(make(views, rows["y"].to_numpy(), rows["handed"].to_numpy()))]})
+
+    return pickle.loads(train.repartition(1).mapInPandas(run, "model binary").first().model)
+
+
+def _sure(rows: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, text_hash, s00, s01, s10, s11): how sure each view is of each class, for every document."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        parts = [(*_views(p["text"], p["source"], p["lang"]), p["y"].to_numpy()) for p in batches if len(p)]
-        if parts:
-            text, meta, y = (np.concatenate(x) for x in zip(*parts))
-            yield pd.DataFrame({"model": [pickle.dumps(co_train(text, meta, y))]})
+        for part in chain.from_iterable(map(slices, batches)):
+            found = sureness(_views(*(part.column(i).to_pylist() for i in range(2, 6))), shared.value)
+            columns = [pa.array(s) for view in found for s in view]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_hash", "s00", "s01", "s10", "s11"])
+
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, s00 double, s01 double, s10 double, s11 double"
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), *_FIELDS).mapInArrow(run, schema)
 
-    def small(p):
-        return p.where(p.notna(), None)
 
-    def cleaned(batches):
-        yield from run(small(p) for p in batches)
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> dict:
+    """The model; ``docs`` as :func:`_fields` gives it and ``labels`` doc_id, quality."""
+    known = written(
+        labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y")),
+        "quality-labels",
+    )
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+    few = [known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(labelled // 2, labelled - counts.get(1 - c, 0))) for c in (0, 1)]
+    few = few[0].unionByName(few[1]).withColumn("handed", F.lit(-1))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, y int, handed int, t binary, m binary"
+    train = written(_features(docs.join(F.broadcast(few), "doc_id"), schema), "quality-rows")  # labelled rows at most
+    by_class = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(by_class.get(0, 0), by_class.get(1, 0)) < 10:
+        return {"share": share}
+    shares = (1 - share, share)
 
-    found = sample.select("text", "source", "lang", "y").mapInPandas(cleaned, "model binary").collect()
-    return pickle.loads(found[0].model) if found else {"share": 0.5}
+    def views_of(views, y, handed):
+        return fit_views(views, y, handed, shares)
+
+    model, picked = _fitted(train, views_of), known.select("doc_id").limit(0).withColumn("handed", F.lit(0))
+    for _ in range(rounds):
+        sure = _sure(docs.where("doc_id is not null"), model).where(f"greatest(s00, s01, s10, s11) >= {SURE}")
+        sure = written(sure.join(known.hint("merge"), "doc_id", "left_anti"), "quality-sure")
+        picks = None
+        for view in (0, 1):
+            free = sure.join(F.broadcast(picked.where(F.col("handed") == 1 - view)), "doc_id", "left_anti")
+            for c in (0, 1):
+                s = F.col(f"s{view}{c}")
+                best = free.where(s >= SURE).groupBy("doc_id").agg(F.max(F.struct(s.alias("s"), "text_hash")).alias("b"))
+                best = best.orderBy(F.desc("b.s"), "doc_id").limit(max(1, round(per_round * shares[c])))
+                best = best.select("doc_id", "b.text_hash", F.lit(c).alias("y"), F.lit(1 - view).alias("handed"))
+                picks = best if picks is None else picks.unionByName(best)
+        picks = written(picks, "quality-picks")  # 2 * per_round rows or so
+        if not picks.head(1):
+            break
+        picked = picked.unionByName(picks.select("doc_id", "handed"))
+        chosen = docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(picks), ["doc_id", "text_hash"])
+        train = train.unionByName(written(_features(chosen, schema), "quality-rows"))
+        model = _fitted(train, views_of)
+    return {"share": share} | model
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND
+) -> DataFrame:
     """(doc_id, score, text_score, meta_score, kept) of every row of ``docs``; ``kept``: the score is 0.5 or more."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), "text", "source", "lang")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, labelled, pool))  # TEXT_DIMS + META_DIMS weights
+    rows = _fields(docs, id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, labelled, rounds, per_round))  # TEXT_DIMS + META_DIMS weights
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = score(shared.value, *_views(*(part.column(i).to_pylist() for i in (1, 2, 3))))
-                columns = [part.column(0), *(pa.array(x.astype(np.float64)) for x in found), pa.array(found[0] >= 0.5)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "text_score", "meta_score", "kept"])
+        for part in chain.from_iterable(map(slices, batches)):
+            found = score(shared.value, *_views(*(part.column(i).to_pylist() for i in range(1, 5))))
+            columns = [part.column(0), *(pa.array(x.astype(np.float64)) for x in found), pa.array(found[0] >= 0.5)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "text_score", "meta_score", "kept"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, text_score double, meta_score double, kept boolean")
