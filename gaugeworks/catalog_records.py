@@ -595,3 +595,65 @@ def report_fallback(spark: SparkSession, d: str) -> DataFrame:
     labels = report.category_labels(rows.select("image_pos", F.col("measurement_pos").alias("number"), "label"), rows)
     cells, message = report.with_fallback([report.Rule("measurement_field", "X", "A1", "B1", "vertical", "result")], rows, labels)
     return cells.select("rule", "sheet", "row", F.col("column").alias("col"), F.col("value").cast("double").alias("value"), F.lit(message != "").alias("fallback"))
+
+
+@query("""
+    WITH RECURSIVE s AS (SELECT user_id, event_id, event_id // 200 - CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS g, event_id % 4 * 0.9 AS dx,
+                                CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 0.5 END AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, -1::BIGINT AS newest, 0 AS streak, false AS ok FROM (SELECT DISTINCT user_id FROM s)
+          UNION ALL
+          SELECT user_id, i, event_id, greatest(newest, g), CASE WHEN g < newest THEN streak WHEN dx <= 2 AND r >= 0.015 OR was >= 2 AND dx <= 1.1 THEN was + 1 ELSE 0 END, g >= newest
+          FROM (SELECT s.*, f.newest, f.streak, CASE WHEN s.g > f.newest THEN 0 ELSE f.streak END AS was FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1))
+    SELECT user_id, event_id, streak::INT AS streak, streak >= 2 AS stable FROM f WHERE ok AND i > 0
+""")
+def stability_states(spark: SparkSession, d: str) -> DataFrame:
+    """When a view stands still, with stale generations and weak responses."""
+    from .streaming.frames import gated
+
+    k = F.col("event_id")
+    rows = _events(spark, d).select(
+        "user_id", k, (F.floor(k / 200) - F.when(k % 10 == 0, 1).otherwise(0)).alias("generation"), (k % 4 * 0.9).cast("double").alias("dx"), F.lit(0.0).alias("dy"),
+        F.when(k % 3 == 0, 0.0).otherwise(0.5).alias("response"),
+    )
+    return gated(rows, "user_id", "event_id", 320.0).select("user_id", "event_id", "streak", "stable")
+
+
+@query("""
+    WITH RECURSIVE s AS (SELECT user_id, event_id, floor(value / 30) * 8.0 AS x, event_id % 3 / 2.0 AS m, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::DOUBLE AS last, 0 AS streak, 0 AS tile, 0.0::DOUBLE AS x0, 0 AS n, false AS leaving, NULL::VARCHAR AS state
+          FROM (SELECT DISTINCT user_id FROM s)
+          UNION ALL
+          SELECT user_id, i, event_id, x, CASE WHEN state = 'candidate_rejected' THEN 0 ELSE streak END, CASE WHEN fresh THEN tile + 1 ELSE tile END, CASE WHEN fresh THEN x ELSE x0 END,
+                 CASE WHEN fresh THEN 1 WHEN state = 'sampling' THEN n + 1 ELSE n END, leaving AND state <> 'tile_committed', state
+          FROM (SELECT *, state = 'tile_committed' OR state = 'sampling' AND n = 0 AS fresh
+                FROM (SELECT *, CASE WHEN streak = 0 THEN 'moving' WHEN streak < 2 THEN 'settling' WHEN n = 0 THEN 'sampling' WHEN leaving AND m >= 0.5 THEN 'tile_committed'
+                                     WHEN leaving THEN 'candidate_rejected' WHEN n < 3 THEN 'sampling' ELSE 'tile_full' END AS state
+                      FROM (SELECT user_id, i, event_id, x, m, tile, x0, n, leaving OR starts AS leaving, CASE WHEN starts THEN steady::INT WHEN steady THEN streak + 1 ELSE 0 END AS streak
+                            FROM (SELECT *, n > 0 AND away >= 6 AND NOT leaving AS starts
+                                  FROM (SELECT *, was AND NOT (n > 0 AND away <= 3.9) AS leaving, moved <= 2 OR n > 0 AND NOT was AND moved <= 1.1 AS steady
+                                        FROM (SELECT s.user_id, s.i, s.event_id, s.x, s.m, f.streak, f.tile, f.x0, f.n, f.leaving AS was, coalesce(abs(s.x - f.last), 0) AS moved,
+                                                     CASE WHEN f.n > 0 THEN abs(s.x - f.x0) ELSE 0 END AS away
+                                              FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)))))))
+    SELECT user_id, event_id, state, tile::INT AS tile, n::INT AS n_frames FROM f WHERE i > 0
+""")
+def tile_states(spark: SparkSession, d: str) -> DataFrame:
+    """The tile map of a moving view."""
+    from .streaming.frames import tiles
+
+    k = F.col("event_id")
+    rows = _events(spark, d).select("user_id", k, (F.floor(F.col("value") / 30) * 8.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.5).alias("response"), (k % 3 / 2.0).alias("match"))
+    return tiles(rows, "user_id", "event_id", 320.0).select("user_id", "event_id", "state", "tile", "n_frames")
+
+
+@query("""
+    SELECT p_partkey AS id, min(s_suppkey) OVER (PARTITION BY p_partkey) AS template, c.label IS NOT NULL AS used
+    FROM part JOIN supplier ON s_suppkey = p_partkey % 50 + 1 LEFT JOIN (SELECT DISTINCT p_size % 5 AS label FROM part WHERE p_size < 3) c ON c.label = p_size % 5
+""")
+def template_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Templates found by their path without regard to case, and whether a label is in use."""
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    asked = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Dir/Straße"), (F.col("p_partkey") % 50 + 1).cast("string")).alias("path"), (F.col("p_size") % 5).alias("label"))
+    known = supplier.where("s_suppkey <= 50").select(F.concat(F.lit("DIR/STRASSE"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_suppkey").alias("template"))
+    found = lookup.by_folded_path(asked, known)
+    labels = part.where("p_size < 3").select((F.col("p_size") % 5).alias("label"))
+    return lookup.in_use(found, labels, "label").select("id", "template", "used")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folded_case
 from ..functions.values import PALETTE, UNCATEGORIZED, UNCATEGORIZED_COLOR, trimmed
 
 
@@ -106,3 +107,15 @@ def with_active_category(images: DataFrame, categories: DataFrame) -> DataFrame:
 def clean_detections(detections: DataFrame) -> DataFrame:
     """Detections (polygon, bbox) that have a polygon of three points or more, with four numbers of their box."""
     return detections.where(F.size("polygon") >= 3).withColumn("bbox", F.slice("bbox", 1, 4))
+
+
+def by_folded_path(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """``rows`` (path) with the columns of the template (path, ...) whose path is the same without regard to case."""
+    known = templates.withColumn("_path", folded_case(F.col("path"))).drop("path")
+    return rows.withColumn("_path", folded_case(F.col("path"))).join(known, "_path").drop("_path")
+
+
+def in_use(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``rows`` with ``used``: whether ``labels`` has their label."""
+    known = labels.select(label).distinct().withColumn("used", F.lit(True))
+    return rows.join(known, label, "left").withColumn("used", F.coalesce("used", F.lit(False)))

@@ -107,21 +107,15 @@ def gate_stable(motions: DataFrame, short_side: float, least_response: float = 0
     the view is stable from the second steady frame on. A stable view forgives a weak response while it moves by no more
     than 0.55 of that. State: generation and streak; stale generations are dropped.
     """
-    reach = max(2.0, 0.005 * short_side)
+    step = _gate(short_side, least_response, least_streak)
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, streak = state.get if state.exists else (-1, 0)
-        out = []
+        known, out = state.get if state.exists else None, []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            if row.generation < newest:
-                continue
-            if row.generation > newest:
-                newest, streak = int(row.generation), 0
-            moved = float(np.hypot(row.dx, row.dy))
-            steady = moved <= reach and row.response >= least_response or streak >= least_streak and moved <= 0.55 * reach
-            streak = streak + 1 if steady else 0
-            out.append((key[0], row.seq, streak, streak >= least_streak))
-        state.update((newest, streak))
+            known, (streak, stable) = step(known, (row.generation, row.dx, row.dy, row.response))
+            if stable is not None:
+                out.append((key[0], row.seq, streak, stable))
+        state.update(known)
         yield pd.DataFrame(out, columns=["session_id", "seq", "streak", "stable"])
 
     return motions.groupBy("session_id").applyInPandasWithState(
@@ -129,6 +123,31 @@ def gate_stable(motions: DataFrame, short_side: float, least_response: float = 0
     )
 
 
+def _gate(short_side: float, least_response: float, least_streak: int):
+    reach = max(2.0, 0.005 * short_side)
+
+    def step(state, row):
+        newest, streak = state or (-1, 0)
+        generation, dx, dy, response = row
+        if generation < newest:
+            return (newest, streak), (0, None)
+        if generation > newest:
+            newest, streak = int(generation), 0
+        moved = float(np.hypot(dx, dy))
+        steady = moved <= reach and response >= least_response or streak >= least_streak and moved <= 0.55 * reach
+        streak = streak + 1 if steady else 0
+        return (newest, streak), (streak, streak >= least_streak)
+
+    return step
+
+
+def gated(motions: DataFrame, key: str, order: str, short_side: float, least_response: float = 0.015, least_streak: int = 2) -> DataFrame:
+    """As :func:`gate_stable`, of all rows of a table."""
+    step = _gate(short_side, least_response, least_streak)
+    found = folded(motions, [key], [order], ["generation", "dx", "dy", "response"], step, "streak int, stable boolean")
+    return found.where("stable is not null")
+
+
 def capped_tiles(frames: DataFrame, keys: list[str], order: str, most: int = 3) -> DataFrame:
     """(keys, kept, excess, last): how many frames each tile keeps and how many come too late."""
     n = F.count(F.lit(1))
@@ -162,40 +181,58 @@ def build_tiles(
     before) is good enough, else rejected. Emits (session_id, seq, state, tile, n_frames): state is moving,
     settling, sampling, tile_full, tile_committed or candidate_rejected.
     """
-    still, freeze = max(2.0, 0.005 * short_side), max(6.0, 0.015 * short_side)
+    step = _tiles(short_side, least_response, least_streak, most_frames, least_match)
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_x, last_y, streak, tile, x0, y0, n, leaving = state.get if state.exists else (None, None, 0, 0, 0.0, 0.0, 0, False)
-        out = []
+        known, out = state.get if state.exists else None, []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            moved = 0.0 if last_x is None else float(np.hypot(row.x - last_x, row.y - last_y))
-            # inside a tile a weak response is forgiven when the view hardly moved
-            steady = moved <= still and row.response >= least_response or n > 0 and not leaving and moved <= 0.55 * still
-            streak = streak + 1 if steady else 0
-            last_x, last_y = float(row.x), float(row.y)
-            away = float(np.hypot(row.x - x0, row.y - y0)) if n else 0.0
-            if n and away <= 0.65 * freeze:
-                leaving = False
-            if n and away >= freeze and not leaving:
-                leaving, streak = True, int(steady)
-            stable = streak >= least_streak
-            if not stable:
-                name = "settling" if streak else "moving"
-            elif not n:
-                tile, x0, y0, n, name = tile + 1, last_x, last_y, 1, "sampling"
-            elif leaving and row.match >= least_match:
-                tile, x0, y0, n, leaving, name = tile + 1, last_x, last_y, 1, False, "tile_committed"
-            elif leaving:
-                streak, name = 0, "candidate_rejected"
-            elif n < most_frames:
-                n, name = n + 1, "sampling"
-            else:
-                name = "tile_full"
-            out.append((key[0], row.seq, name, tile, n))
-        state.update((last_x, last_y, streak, tile, x0, y0, n, leaving))
+            known, new = step(known, (row.x, row.y, row.response, row.match))
+            out.append((key[0], row.seq, *new))
+        state.update(known)
         yield pd.DataFrame(out, columns=["session_id", "seq", "state", "tile", "n_frames"])
 
     shape = "last_x double, last_y double, streak int, tile int, x0 double, y0 double, n int, leaving boolean"
     return motions.groupBy("session_id").applyInPandasWithState(
         run, "session_id string, seq long, state string, tile int, n_frames int", shape, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def _tiles(short_side: float, least_response: float, least_streak: int, most_frames: int, least_match: float):
+    still, freeze = max(2.0, 0.005 * short_side), max(6.0, 0.015 * short_side)
+
+    def step(state, row):
+        last_x, last_y, streak, tile, x0, y0, n, leaving = state or (None, None, 0, 0, 0.0, 0.0, 0, False)
+        x, y, response, match = row
+        moved = 0.0 if last_x is None else float(np.hypot(x - last_x, y - last_y))
+        # inside a tile a weak response is forgiven when the view hardly moved
+        steady = moved <= still and response >= least_response or n > 0 and not leaving and moved <= 0.55 * still
+        streak = streak + 1 if steady else 0
+        last_x, last_y = float(x), float(y)
+        away = float(np.hypot(x - x0, y - y0)) if n else 0.0
+        if n and away <= 0.65 * freeze:
+            leaving = False
+        if n and away >= freeze and not leaving:
+            leaving, streak = True, int(steady)
+        if streak < least_streak:
+            name = "settling" if streak else "moving"
+        elif not n:
+            tile, x0, y0, n, name = tile + 1, last_x, last_y, 1, "sampling"
+        elif leaving and match >= least_match:
+            tile, x0, y0, n, leaving, name = tile + 1, last_x, last_y, 1, False, "tile_committed"
+        elif leaving:
+            streak, name = 0, "candidate_rejected"
+        elif n < most_frames:
+            n, name = n + 1, "sampling"
+        else:
+            name = "tile_full"
+        return (last_x, last_y, streak, tile, x0, y0, n, leaving), (name, tile, n)
+
+    return step
+
+
+def tiles(
+    motions: DataFrame, key: str, order: str, short_side: float, least_response: float = 0.015, least_streak: int = 2, most_frames: int = 3, least_match: float = 0.5
+) -> DataFrame:
+    """As :func:`build_tiles`, of all rows of a table."""
+    step = _tiles(short_side, least_response, least_streak, most_frames, least_match)
+    return folded(motions, [key], [order], ["x", "y", "response", "match"], step, "state string, tile int, n_frames int")
