@@ -344,12 +344,12 @@ def polygon_area(spark: SparkSession, d: str) -> DataFrame:
          s AS (SELECT id, any_value(ox) AS ox, any_value(oy) AS oy, sum(x1 * y2 - x2 * y1) AS a,
                       sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS cx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS cy,
                       min(px) AS lx, max(px) AS hx, min(py) AS ly, max(py) AS hy FROM r GROUP BY id)
-    SELECT id, round(CASE WHEN abs(a) < 1e-9 THEN (lx + hx) / 2 ELSE ox + cx / (3 * a) END, 2) AS x,
-           round(CASE WHEN abs(a) < 1e-9 THEN (ly + hy) / 2 ELSE oy + cy / (3 * a) END, 2) AS y FROM s
+    SELECT id, round(CASE WHEN abs(a) < 1e-9 THEN (lx + hx) / 2 ELSE ox + cx / (3 * a) END + 1e-7, 2) AS x,
+           round(CASE WHEN abs(a) < 1e-9 THEN (ly + hy) / 2 ELSE oy + cy / (3 * a) END + 1e-7, 2) AS y FROM s
 """)
 def polygon_centroid(spark: SparkSession, d: str) -> DataFrame:
     c = G.polygon_centroid(F.col("points"))
-    return A.outlines(spark, d).select("id", F.round(c["x"], 2).alias("x"), F.round(c["y"], 2).alias("y"))
+    return A.outlines(spark, d).select("id", F.round(c["x"] + 1e-7, 2).alias("x"), F.round(c["y"] + 1e-7, 2).alias("y"))
 
 
 @query(f"WITH {E} SELECT id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM v GROUP BY id")

@@ -300,12 +300,34 @@ def detection_options(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(k.alias("id"), V.option(threshold, 0.15, 0.0, 1.0).alias("threshold"), V.option(top, 200, 1, 1000).cast("int").alias("top_k"), named.alias("label"))
 
 
+def _x(p: str) -> str:
+    return f"{p}x"
+
+
+def _y(p: str) -> str:
+    return "b_y" if p == "b" else f"{p}y"  # by is a word of SQL
+
+
+def _to_segment(p: str, a: str, b: str) -> str:
+    """SQL for the distance of a point to a segment; points are named by letters, with columns such as ax and ay."""
+    ux, uy, vx, vy = f"({_x(p)} - {_x(a)})", f"({_y(p)} - {_y(a)})", f"({_x(b)} - {_x(a)})", f"({_y(b)} - {_y(a)})"
+    t = f"greatest(0.0, least(1.0, coalesce(({ux} * {vx} + {uy} * {vy}) / nullif({vx} * {vx} + {vy} * {vy}, 0), 0)))"
+    return f"sqrt(({ux} - {t} * {vx}) ** 2 + ({uy} - {t} * {vy}) ** 2)"
+
+
+def _apart(p: str, q: str) -> str:
+    return f"sqrt(({_x(p)} - {_x(q)}) ** 2 + ({_y(p)} - {_y(q)}) ** 2)"
+
+
 @query(f"""
-    WITH {E}, p AS (SELECT a.id, a.x1 AS ax, a.y1 AS ay, a.x2 AS bx, a.y2 AS by_, b.x1 AS cx, b.y1 AS cy, b.x2 AS dx, b.y2 AS dy
+    WITH {E}, p AS (SELECT a.id, a.x1 AS ax, a.y1 AS ay, a.x2 AS bx, a.y2 AS b_y, b.x1 AS cx, b.y1 AS cy, b.x2 AS dx, b.y2 AS dy
                     FROM e a JOIN e b ON a.id = b.id AND b.i > a.i + 1 AND NOT (a.i = 1 AND b.i = b.n)),
-         s AS (SELECT id, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS s1, (bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax) AS s2,
-                      (dx - cx) * (ay - cy) - (dy - cy) * (ax - cx) AS s3, (dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx) AS s4 FROM p),
-         x AS (SELECT DISTINCT id FROM s WHERE ((s1 > 1e-6 AND s2 < -1e-6) OR (s1 < -1e-6 AND s2 > 1e-6)) AND ((s3 > 1e-6 AND s4 < -1e-6) OR (s3 < -1e-6 AND s4 > 1e-6)))
+         s AS (SELECT id, (bx - ax) * (cy - ay) - (b_y - ay) * (cx - ax) AS s1, (bx - ax) * (dy - ay) - (b_y - ay) * (dx - ax) AS s2,
+                      (dx - cx) * (ay - cy) - (dy - cy) * (ax - cx) AS s3, (dx - cx) * (b_y - cy) - (dy - cy) * (bx - cx) AS s4,
+                      least({_apart("a", "c")}, {_apart("a", "d")}, {_apart("b", "c")}, {_apart("b", "d")}) AS ends,
+                      least({_to_segment("c", "a", "b")}, {_to_segment("d", "a", "b")}, {_to_segment("a", "c", "d")}, {_to_segment("b", "c", "d")}) AS touch FROM p),
+         x AS (SELECT DISTINCT id FROM s WHERE ends > 1e-6 AND (touch <= 1e-6 OR ((s1 > 1e-6 AND s2 < -1e-6) OR (s1 < -1e-6 AND s2 > 1e-6))
+                                                                  AND ((s3 > 1e-6 AND s4 < -1e-6) OR (s3 < -1e-6 AND s4 > 1e-6))))
     SELECT DISTINCT v.id, x.id IS NOT NULL AS crossed FROM v LEFT JOIN x ON v.id = x.id
 """)
 def self_crossings(spark: SparkSession, d: str) -> DataFrame:
@@ -313,20 +335,17 @@ def self_crossings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 4 END AS n_outline, CASE WHEN p_partkey % 5 = 0 THEN 2.0 * p_size ELSE p_size::DOUBLE END AS max_x,
-           CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE 4 END AS n_cleaned
-    FROM (SELECT p_partkey * 1 AS p_partkey, p_size FROM part) WHERE false
-    UNION ALL
-    SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 4 END, p_size::DOUBLE, 4 FROM part
+    SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 4 END AS n_outline, p_size::DOUBLE AS max_x, 4 AS n_cleaned FROM part
 """)
 def display_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Rings with repeated and collinear vertices: as they are when selected, else simplified."""
     w = F.col("p_size").cast("double")
     zero = F.lit(0.0)
     ring = F.array(G.point(zero, zero), G.point(zero, zero), G.point(w / 2, zero), G.point(w, zero), G.point(w, w), G.point(zero, w))
-    clean = G.clean_ring(ring)
-    shown = G.display_geometry(F.array(ring), ring, F.array(clean), clean, F.col("p_partkey") % 2 == 0)
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), shown.alias("s"), F.size(clean).alias("n_cleaned"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), ring.alias("ring")).withColumn("clean", G.clean_ring(F.col("ring")))
+    ring, clean = F.col("ring"), F.col("clean")
+    shown = G.display_geometry(F.array(ring), ring, F.array(clean), clean, F.col("id") % 2 == 0)
+    rows = rows.select("id", shown.alias("s"), F.size("clean").alias("n_cleaned"))
     return rows.select("id", F.size("s.outline").alias("n_outline"), F.col("s.bounds.max_x").alias("max_x"), "n_cleaned")
 
 
