@@ -1,7 +1,8 @@
 """Language ID by word-first backoff.
 
 Training counts every word of every training document by language, and from those counts every character
-n-gram of 1 to 5 characters (words stand between spaces). A word is known to a language when it makes up
+n-gram of 1 to 5 characters (words stand between spaces). Words are runs of letters in lower case; learning and scoring
+find them with the same function (:func:`words_of`). A word is known to a language when it makes up
 ``KNOWN_SHARE`` of that language's words or more and was seen twice; an n-gram is kept when it makes up
 ``GRAM_SHARE`` of its order or more. So each language brings at most ``1 / KNOWN_SHARE`` words and
 ``5 / GRAM_SHARE`` n-grams, whatever the input, and the model can be broadcast. What one language brings is kept with
@@ -17,18 +18,20 @@ Defined results
 * Documents with a null lang are not learned from. Ties go to the smallest lang by code point.
 * The score is the posterior probability of the language under equal priors.
 * Whole texts are read, however long. Repeated rows count each time. Extra columns are left out.
+* An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-import re
 import uuid
+from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,14 @@ ORDERS = (1, 2, 3, 4, 5)
 UNKNOWN = "und"
 #: Words a task remembers scores of, besides the known ones.
 CACHE_WORDS = 100_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
+#: Distinct tokens that a task counts before it hands them on.
+COUNTED = 200_000
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters (Unicode categories L*) of the lower-cased text."""
+    return _WORD.findall(text.lower())
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -50,28 +60,44 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, size, token, n, total): the model. size 0: words; else n-grams of so many characters."""
-    words = F.split(F.lower(F.col(text_col)), r"\P{L}+")
-    counts = written(
-        docs.where(F.col(lang_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.explode(words).alias("token"))
-        .where("token <> ''")
-        .groupBy("lang", "token")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "lang-words",
-    )
-
-    def grams(size: int) -> Column:
-        padded = F.concat(F.lit(" "), F.col("token"), F.lit(" "))
-        last = F.char_length(padded) - size + 1
-        every = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.lit(size).alias("size"), F.substring(padded, i, F.lit(size)).alias("gram")))
-        return F.when(last >= 1, every).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
-
-    parts = (
-        counts.select("lang", "n", F.explode(F.concat(*map(grams, ORDERS))).alias("g"))
-        .groupBy("lang", F.col("g.size").alias("size"), F.col("g.gram").alias("token"))
-        .agg(F.sum("n").alias("n"))
-    )
-    every = written(counts.select("lang", F.lit(0).alias("size"), "token", "n").unionByName(parts), "lang-model")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(lang: str, size: int, counts: dict[str, int]) -> pa.RecordBatch:
+        n = len(counts)
+        columns = [pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32())]
+        columns += [pa.array(list(counts), pa.string()), pa.array(counts.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "token", "n"])
+
+    def count_words(batches):
+        found = defaultdict(Counter)
+        for part in chain.from_iterable(map(slices, batches)):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
+                found[lang].update(words_of(text.as_py()))
+                if len(found[lang]) > COUNTED:
+                    yield counted(lang, 0, found.pop(lang))
+        for lang, counts in found.items():
+            yield counted(lang, 0, counts)
+
+    def count_grams(batches):
+        found = defaultdict(dict)
+        for part in chain.from_iterable(map(slices, batches)):
+            for lang, token, n in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
+                padded = f" {token} "
+                for size in ORDERS:
+                    counts = found[lang, size]
+                    for i in range(len(padded) - size + 1):
+                        gram = padded[i : i + size]
+                        counts[gram] = counts.get(gram, 0) + n
+            for key in [k for k, counts in found.items() if len(counts) > COUNTED]:
+                yield counted(*key, found.pop(key))
+        for key, counts in found.items():
+            yield counted(*key, counts)
+
+    rows, schema, same = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "lang string, size int, token string, n long", ["lang", "size", "token"]
+    counts = rows.where("lang is not null and text is not null").mapInArrow(count_words, schema)
+    counts = written(counts.groupBy(*same).agg(F.sum("n").alias("n")), "lang-words")
+    parts = counts.repartition(partitions, *same).mapInArrow(count_grams, schema).groupBy(*same).agg(F.sum("n").alias("n"))
+    every = written(counts.unionByName(parts), "lang-model")
     totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # six rows for each language
     share = F.when(F.col("size") == 0, KNOWN_SHARE).otherwise(GRAM_SHARE)
     kept = (F.col("n") >= F.col("total") * share) & ((F.col("size") > 0) | (F.col("n") > 1))
@@ -130,8 +156,8 @@ class Scorer:
         return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = _WORD.findall(text.lower()) if text else []
-        if not self.langs or not any(c.isalpha() for w in found for c in w):
+        found = words_of(text) if text else []
+        if not self.langs or not found:
             return UNKNOWN, 0.0
         words, total = self.words, np.zeros(len(self.langs))
         for start in range(0, len(found), 1 << 15):
@@ -155,7 +181,8 @@ def tabulated(rows) -> tuple[list[str], dict[int, tuple[str, np.ndarray]]]:
         totals.setdefault(r.size, np.ones(len(langs)))[place[r.lang]] = r.total
         known = tokens.setdefault(r.size, {})
         known.setdefault(r.token, len(known))
-    scores = {size: np.tile(np.log(0.5 / totals[size]), (len(known), 1)).astype(np.float32) for size, known in tokens.items()}
+    # a language in which a token was never seen: half a sighting in the most that any language has, whatever its own
+    scores = {size: np.full((len(known), len(langs)), math.log(0.5 / totals[size].max()), np.float32) for size, known in tokens.items()}
     for r in rows:
         scores[r.size][tokens[r.size][r.token], place[r.lang]] = math.log(r.n / r.total)
     return langs, {size: ("\n".join(known), scores[size]) for size, known in tokens.items()}
