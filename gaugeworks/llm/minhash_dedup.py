@@ -11,7 +11,8 @@ bucket's leader and with its neighbour when sorted by the next band, so pairs gr
 its square. A bucket that holds a thousandth of all rows is dealt out to several tasks, each of which pairs
 its members with the leader of all and with neighbours. Candidates are verified by exact weighted Jaccard
 similarity. Classes are the connected components of verified pairs, found by minimum labels over links and
-shortcuts through labels. Then larger buckets that still span several classes are looked at again: ``ROUNDS``
+shortcuts through labels; minima are partly taken before a shuffle, and the joins by label and by linked document have
+one row on one side, so adaptive execution can split a large class or a document with many links. Then larger buckets that still span several classes are looked at again: ``ROUNDS``
 times neighbours of different classes are verified, which is cheap and joins most; at last every pair of members
 of different classes is, block by block (:func:`open_links`), so no link within a bucket is missed.
 
@@ -21,6 +22,7 @@ Defined results
   each is a class of its own.
 * Two documents are linked when their similarity is ``THRESHOLD`` or more. The class id is the smallest
   doc_id of the class; a null doc_id is smaller than any other (its class id is null).
+* An empty table gives an empty result.
 * Repeated rows are copies of each other. Ties between samples go to the smallest shingle hash.
 * Whole texts are used, however long. Extra columns are left out of :func:`near_dedup`.
 """
@@ -42,6 +44,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 DF_BUCKETS = 1 << 17
+#: How much more a rare shingle weighs than one in every document, and from which share of the documents on it is rare.
+IDF_RANGE, RARE_SHARE = 0.5, 1e-3
 #: Largest bucket in which every pair of stand-ins is a candidate.
 ALL_PAIRS = 16
 #: A bucket of so many stand-ins, or of a thousandth of all rows if that is more, is dealt out to several tasks.
@@ -157,9 +161,13 @@ def icws(hashes: np.ndarray, log_weights: np.ndarray, sizes: np.ndarray, samples
 
 
 def idf_table(counts: np.ndarray, total: int) -> np.ndarray:
-    """Smooth IDF by bucket of document frequency, from 1 (everywhere) to 2: rare shingles count at most twice, so
-    that near copies stay similar however many copies there are."""
-    return 1 + np.log1p(total / np.maximum(counts, 1.0)) / np.log1p(max(total, 1))
+    """IDF by bucket of document frequency: 1 for a shingle that stands everywhere, rising with the logarithm to
+    ``1 + IDF_RANGE`` for those in ``RARE_SHARE`` of the documents or fewer.
+
+    What rare shingles put into every bucket alike is taken off, so weights don't depend on the size of the table. The
+    range has an end so that near copies stay similar however many of them there are: what they share becomes frequent."""
+    frequent = np.maximum(counts - np.median(counts), max(1.0, RARE_SHARE * total))
+    return 1 + IDF_RANGE * np.clip(np.log(max(total, 1) / frequent) / -np.log(RARE_SHARE), 0, 1)
 
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:

@@ -117,6 +117,29 @@ def test_templates_below_the_threshold_lose_no_link(spark):
     assert [r.class_id for r in M.near_dedup(docs).orderBy("doc_id").collect()] == expected
 
 
+@pytest.mark.parametrize("common", [14, 26])
+def test_pairs_in_a_crowd_lose_no_link(spark, common):
+    texts = []
+    for i in range(200):
+        own = prose(300, 1) + " " + prose(common, 1000 + i // 2, "ijklmnop") + " " + prose(20, 5000 + i, "qrstuvwx")
+        texts.append(own)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_classes(texts, M.idf_table(*M.document_frequencies(docs)))
+    assert [r.class_id for r in M.near_dedup(docs).orderBy("doc_id").collect()] == expected
+
+
+def test_weights_do_not_depend_on_the_size_of_the_table():
+    rng = np.random.default_rng(1)
+    tables = []
+    for total in (50_000, 5_000_000):
+        counts = rng.poisson(total * 300 / M.DF_BUCKETS, M.DF_BUCKETS).astype(float)
+        counts[7] += total / 3
+        counts[9] += total / 100
+        tables.append(M.idf_table(counts, total))
+        assert np.median(tables[-1]) == tables[-1].max() == 1 + M.IDF_RANGE
+    assert tables[0][[7, 9]] == pytest.approx(tables[1][[7, 9]], abs=0.01) and 1 < tables[0][7] < tables[0][9] < 1 + M.IDF_RANGE
+
+
 @pytest.mark.parametrize("split", [0, 40])
 def test_blocks_join_what_brute_force_joins(split):
     texts = templates(99) + ["", "a b a b a b a b a b a b", "a b a b a b a b a b a b a"]
