@@ -42,7 +42,7 @@ from .common import NO_ID, SPACES, forget_state, ordered_id, slices, written
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 3
 DF_BUCKETS = 1 << 17
 #: How much more a rare shingle weighs than one in every document, and from which share of the documents on it is rare.
 IDF_RANGE, RARE_SHARE = 0.5, 1e-3
