@@ -145,18 +145,22 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.struct(*columns).alias("_row"),
     )
     keys = written(packed.select("_digest", "_order"), "exact-digests")
-    blocks = _blocks(keys.count())
+    total = keys.count()
+    blocks = _blocks(total)
     bits = written(filter_bits(keys, "_digest", blocks, 2), "exact-bits")
     maybe = possibly_held(keys, "_digest", bits, blocks).where("_maybe")
     groups = written(
-        maybe.groupBy("_digest").agg(F.count(F.lit(1)).alias("n"), F.max("_order").alias("_last")).where("n > 1").drop("n"), "exact-groups"
+        maybe.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.max("_order").alias("_last")).where("_n > 1"), "exact-groups"
     )
     # the hashes that do repeat, in a filter that can always be broadcast
     blocks = _blocks(groups.count(), MAX_BROADCAST_BITS)
     bits = written(filter_bits(groups, "_digest", blocks, 1), "exact-bits")
     rows = possibly_held(packed, "_digest", bits, blocks)
     once = rows.where("not _maybe").select("_row")
-    # of a repeated text only the rows that may be the last of its group are moved on to the choice of one
-    last = rows.where("_maybe").join(groups.hint("merge"), "_digest", "left").where("_last is null or _order = _last")
+    # of a repeated text only the rows that may be the last of its group are moved on to the choice of one; the copies of a
+    # heavy group, of which there are 1,000 at most, are told where they lie
+    large = F.broadcast(groups.where(F.col("_n") >= max(1000, total // HEAVY_SHARE)).select("_digest", F.col("_last").alias("_heavy")))
+    maybe = rows.where("_maybe").join(large, "_digest", "left").where("_heavy is null or _order = _heavy").drop("_heavy")
+    last = maybe.join(groups.drop("_n").hint("merge"), "_digest", "left").where("_last is null or _order = _last")
     chosen = last.where("_last is not null").select("_digest", "_row").dropDuplicates(["_digest"]).select("_row")
     return once.unionByName(last.where("_last is null").select("_row")).unionByName(chosen).select("_row.*")
