@@ -29,12 +29,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
-def vocabulary_file(path: str | None = None) -> bytes:
-    """The rank file that the BPE query uses; ``path`` names another one."""
+def vocabulary_file(path: str | None = None, name: str = "byte_bpe_50k.tiktoken") -> bytes:
+    """The file of a public tokenizer by its name, the rank file of the byte-level BPE at first; ``path`` names another one."""
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        path = public_tokenizers.path(name)
     with open(path, "rb") as file:
         return file.read()
 
@@ -45,6 +45,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_read(spark, sf_dir, "documents"), vocabulary_file())
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_bpe import digests
+
+    return digests(_read(spark, sf_dir, "documents"), vocabulary_file(name="word_bpe_49k.json"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import periodic_runs, repeated_tails
 
@@ -133,6 +139,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_word_bpe": op12_word_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
