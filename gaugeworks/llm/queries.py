@@ -45,6 +45,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_read(spark, sf_dir, "documents"), vocabulary_file())
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_alignment import align
+
+    files = vocabulary_file(name="byte_bpe_50k.json"), vocabulary_file(name="piece_bpe_32k.model")
+    return align(_read(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .word_bpe import digests
 
@@ -139,6 +148,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_word_bpe": op12_word_bpe,
     "op13_periodic_runs": op13_periodic_runs,
 }
