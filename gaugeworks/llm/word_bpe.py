@@ -39,6 +39,7 @@ from pyspark.sql.types import StructType
 
 from .byte_bpe import chunks
 from .common import shared_folder, slices, worker_state
+from .token_alignment import byte_letters
 from .transducer import Lexicon, compile_lexicon
 
 #: Words in the lexicon at most, which bounds what the driver compiles and every executor holds.
@@ -48,9 +49,13 @@ COUNTED_PARTS = 200_000
 #: Characters that are encoded together.
 CHUNK_CHARS = 1 << 22
 #: Unseen words whose ids a task keeps; it starts anew when they are more.
-UNSEEN_WORDS = 100_000
-#: Pieces of printable ASCII; the file's own pre-tokeniser takes all else.
+UNSEEN_WORDS = 300_000
+#: Longer words are merged with a heap.
+LONG_WORD = 48
+#: Pieces of printable ASCII, and of Latin letters with marks, which composing leaves as they are; the file's own
+#: pre-tokeniser takes all else.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LATIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\u024f]+")
 _SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Python takes these for white space, Unicode and the library don't.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -82,11 +87,17 @@ class WordBpe:
         for token, number in chain(vocabulary.items(), self.special.items()):
             self.tokens[number] = token
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.merges = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {}  # of each pair of ids that can merge
+        self.merged = []  # what the merge of each rank gives
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocabulary[a] << 32 | vocabulary[b]] = rank
+            self.merged.append(vocabulary[a + b])
         theirs = Tokenizer.from_str(file.decode())
         self.normalizer, self.pre_tokenizer = theirs.normalizer, theirs.pre_tokenizer
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.known_split = split["pattern"].get("Regex") == _SPLITS
+        self.pieces = regex.compile(_SPLITS)
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.unseen: dict[str, tuple[int, ...]] = {}
 
     def words(self, part: str) -> list[str | int]:
@@ -101,6 +112,8 @@ class WordBpe:
             return out + (self.words(part[at:]) if at < len(part) else [])
         if self.known_split and part.isascii() and part.isprintable():
             return _PIECES.findall(part.lower())
+        if self.known_split and _LATIN.fullmatch(part):
+            return [w.encode().decode("latin-1").translate(self.letters) for w in self.pieces.findall(part.lower())]
         return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
 
     def merge(self, word: str) -> tuple[int, ...]:
@@ -108,21 +121,37 @@ class WordBpe:
         letters = list(word)
         letters[-1] += self.suffix
         ids = list(map(self.vocabulary.__getitem__, letters))
-        n, merges = len(ids), self.merges
+        if len(ids) > LONG_WORD:
+            return self._merge_long(ids)
+        none, get, merged = len(self.merged), self.ranks.get, self.merged
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i] = merged[rank]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+        return tuple(ids)
+
+    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same with a heap of (rank, place)."""
+        n, get = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or (m := merges.get((ids[i], ids[j]))) is None or m[0] != rank:
+            if ids[i] < 0 or j >= n or get(ids[i] << 32 | ids[j]) != rank:
                 continue
-            ids[i], ids[j], after[i] = m[1], -1, after[j]
+            ids[i], ids[j], after[i] = self.merged[rank], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (m := merges.get((ids[k], ids[after[k]]))):
-                    heapq.heappush(heap, (m[0], k))
+                if k >= 0 and after[k] < n and (r := get(ids[k] << 32 | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k))
         return tuple(x for x in ids if x >= 0)
 
     def word_ids(self, words: list[str], lexicon: Lexicon | None) -> dict[str, tuple[int, ...]]:
