@@ -263,19 +263,30 @@ def oriented(rings: Column) -> Column:
 
 
 def clean_ring(points: Column, epsilon: float = 1e-6) -> Column:
-    """A ring without vertices that repeat the one before, that close it, or that lie on the line between their
-    neighbours; if fewer than three would be left, without repeats only."""
+    """A ring without vertices that repeat the last kept one, that close it, or that lie on the line between their
+    neighbours, by the area they span and by their distance; if fewer than three would be left, without repeats only."""
 
     def neighbour(ring: Column, i: Column, by: int) -> Column:
         n = F.greatest(F.size(ring), F.lit(1))
         return F.get(ring, F.pmod(i + by, n).cast("int"))
 
-    apart = F.filter(points, lambda p, i: (i == 0) | (distance(F.get(points, i - 1), p) > epsilon))
+    def take(kept: Column, p: Column) -> Column:
+        """``p`` after the points kept so far, unless it repeats the last of them."""
+        near = (F.size(kept) > 0) & (distance(F.get(kept, F.size(kept) - 1), p) <= epsilon)
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(p)))
+
+    repeats = F.exists(_edges(points, False), lambda e: distance(e["a"], e["b"]) <= epsilon)
+    apart = F.when(repeats, F.aggregate(points, F.slice(points, 1, 0), take)).otherwise(points)
     closes = lambda r: (F.size(r) >= 2) & (distance(F.get(r, F.lit(0)), F.element_at(r, -1)) <= epsilon)
     opened = bound(apart, lambda r: F.when(closes(r), F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r))
 
+    def straight(r: Column, p: Column, i: Column) -> Column:
+        before, after = neighbour(r, i, -1), neighbour(r, i, 1)
+        cross = (p["x"] - before["x"]) * (after["y"] - p["y"]) - (p["y"] - before["y"]) * (after["x"] - p["x"])
+        return (F.abs(cross) <= epsilon) & (segment_distance(p, before, after) <= epsilon)
+
     def bends(r: Column) -> Column:
-        return F.filter(r, lambda p, i: segment_distance(p, neighbour(r, i, -1), neighbour(r, i, 1)) > epsilon)
+        return F.filter(r, lambda p, i: ~straight(r, p, i))
 
     return bound(opened, lambda r: bound(bends(r), lambda b: F.when((F.size(r) < 3) | (F.size(b) < 3), r).otherwise(b)))
 
