@@ -1,8 +1,8 @@
 """A lexicon as a minimal acyclic transducer: words to sequences of numbers.
 
-Words are put in order, then taken in one by one. The states of the newest word's path stay open; what the next word doesn't share is frozen: a state that
-equals a frozen one (same arcs, targets and outputs) becomes that state, so equal endings exist once. Outputs stand as
-near to the root as they can: an arc carries what all words behind it have in common, which leaves the endings without
+Words are put in order, then taken in one by one. The states of the newest word's path stay open; what the next word
+doesn't share is frozen: a state that equals a frozen one (same arcs, targets and outputs) becomes that state, so equal
+endings exist once. Outputs stand as near to the root as they can: an arc carries what all words behind it have in common, which leaves the endings without
 outputs and lets them be shared. Every word ends with a mark, so none is the beginning of another and there is one
 final state. The finished automaton is one block of bytes: sorted arcs, their targets and outputs. Readers map the block
 into memory and look up many words side by side, one letter of each at a time.
@@ -99,10 +99,10 @@ class Lexicon:
         with open(path, "rb") as file:
             return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def look_up(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """The numbers of each word, None where the lexicon hasn't got it."""
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(found, numbers, bounds): whether the lexicon has each word, and its numbers between bounds[i] and bounds[i + 1]."""
         if not words or not len(self.keys):
-            return [None] * len(words)
+            return np.zeros(len(words), bool), np.empty(0, np.int32), np.zeros(len(words) + 1, np.int64)
         ended = bytes([MARK])
         letters = np.frombuffer(ended.join(words) + ended, np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -127,8 +127,9 @@ class Lexicon:
         by = np.concatenate(said_by)
         order = np.argsort(by, kind="stable")  # by word, in the order of its letters
         by, arc = by[order], np.concatenate(said)[order]
+        keep = found[by]  # what was said on a way that failed doesn't count
+        by, arc = by[keep], arc[keep]
         count = self.places[arc + 1] - self.places[arc]
         ends = np.cumsum(count)
-        numbers = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.places[arc] - (ends - count), count)].tolist()
-        bounds = np.concatenate([[0], ends])[np.searchsorted(by, np.arange(len(words) + 1))].tolist()
-        return [tuple(numbers[a:b]) if ok else None for ok, a, b in zip(found.tolist(), bounds, bounds[1:])]
+        numbers = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.places[arc] - (ends - count), count)]
+        return found, numbers, np.concatenate([[0], ends])[np.searchsorted(by, np.arange(len(words) + 1))]

@@ -20,9 +20,11 @@ Defined results
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
+import os
 import re
 import uuid
 from collections import Counter
@@ -43,14 +45,14 @@ from .token_alignment import byte_letters
 from .transducer import Lexicon, compile_lexicon
 
 #: Words in the lexicon at most, which bounds what the driver compiles and every executor holds.
-LEXICON_WORDS = 1 << 16
+LEXICON_WORDS = 1 << 17
 #: Distinct parts a task counts before it hands them on.
 COUNTED_PARTS = 200_000
 #: Characters that are encoded together.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 23
 #: Unseen words whose ids a task keeps; it starts anew when they are more.
 UNSEEN_WORDS = 300_000
-#: Longer words are merged with a heap.
+#: Longer words are merged one by one with a heap, the others together.
 LONG_WORD = 48
 #: Pieces of printable ASCII, and of Latin letters with marks, which composing leaves as they are; the file's own
 #: pre-tokeniser takes all else.
@@ -83,26 +85,35 @@ class WordBpe:
         self.suffix, self.vocabulary = suffix, vocabulary
         self.special = {t["content"]: t["id"] for t in special}
         self.special_split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
+        self.special_mark = os.path.commonprefix(list(self.special))
         self.tokens: list[str | None] = [None] * (max(chain(vocabulary.values(), self.special.values())) + 1)
         for token, number in chain(vocabulary.items(), self.special.items()):
             self.tokens[number] = token
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.ranks = {}  # of each pair of ids that can merge
-        self.merged = []  # what the merge of each rank gives
+        merged = []  # what the merge of each rank gives
         for rank, (a, b) in enumerate(pairs):
             self.ranks[vocabulary[a] << 32 | vocabulary[b]] = rank
-            self.merged.append(vocabulary[a + b])
+            merged.append(vocabulary[a + b])
+        self.merged = np.array(merged, np.int64)
+        keys = np.array(list(self.ranks), np.int64)
+        self.by_key = np.argsort(keys)  # ranks by their pairs
+        self.keys = keys[self.by_key]
+        points = max((ord(t) for t in vocabulary if len(t) == 1), default=0) + 1
+        self.letter, self.last = (np.array([vocabulary.get(chr(c) + end, -1) for c in range(points)], np.int64) for end in ("", suffix))
         theirs = Tokenizer.from_str(file.decode())
         self.normalizer, self.pre_tokenizer = theirs.normalizer, theirs.pre_tokenizer
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.known_split = split["pattern"].get("Regex") == _SPLITS
         self.pieces = regex.compile(_SPLITS)
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
-        self.unseen: dict[str, tuple[int, ...]] = {}
+        self.unseen: dict[str, bytes] = {}
 
     def words(self, part: str) -> list[str | int]:
         """The words of a part, spelled in the vocabulary's letters; a special token is its id."""
-        if self.special_split.search(part):
+        if part.isascii() and part.isalpha() and self.known_split:
+            return [part.lower()]
+        if self.special_mark in part and self.special_split.search(part):
             out: list[str | int] = []
             at = 0
             for found in self.special_split.finditer(part):
@@ -116,27 +127,65 @@ class WordBpe:
             return [w.encode().decode("latin-1").translate(self.letters) for w in self.pieces.findall(part.lower())]
         return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(part))]
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """The ids of one word: the pair of lowest rank merges, the leftmost of several, until no pair can."""
-        letters = list(word)
-        letters[-1] += self.suffix
-        ids = list(map(self.vocabulary.__getitem__, letters))
-        if len(ids) > LONG_WORD:
-            return self._merge_long(ids)
-        none, get, merged = len(self.merged), self.ranks.get, self.merged
-        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (rank := min(ranks)) < none:
-            i = ranks.index(rank)
-            ids[i] = merged[rank]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
-        return tuple(ids)
-
-    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
-        """The same with a heap of (rank, place)."""
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: its pair of lowest rank merges, the leftmost of several, until no pair can."""
+        out = dict.fromkeys(words)
+        short = [w for w in out if len(w) <= LONG_WORD]
+        ids, bounds = self._merge_short(short)
+        raw, bounds = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+        for word, a, b in zip(short, bounds, bounds[1:]):
+            out[word] = raw[a:b]
+        for word, ids in out.items():
+            if ids is None:
+                letters = [*word[:-1], word[-1] + self.suffix]
+                out[word] = np.array(self._merge_long(list(map(self.vocabulary.__getitem__, letters))), "<u4").tobytes()
+        return list(out.values())
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge; that of no merge is larger than all."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.by_key[at], len(self.keys))
+
+    def _merge_short(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of distinct words; in every round each word that still can merges one pair."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        ids = self.letter[points]
+        ends = np.cumsum(sizes) - 1
+        ids[ends] = self.last[points[ends]]
+        if len(ids) and ids.min() < 0:
+            raise ValueError("a letter is in no token")
+        owner, none = np.repeat(np.arange(len(words)), sizes), len(self.keys)
+        rank = np.full(len(ids), none)  # of each element's merge with the next one
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inner] = self._rank(ids[inner], ids[inner + 1])
+        done = []
+        while len(ids):
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), first)
+            going = best >> 32 < none
+            stay = np.repeat(~going, np.diff(first, append=len(ids)))
+            done.append((owner[stay], ids[stay]))
+            left = best[going] & 0xFFFFFFFF
+            ids[left] = self.merged[rank[left]]
+            keep = ~stay
+            keep[left + 1] = False
+            place = np.cumsum(keep) - 1
+            left = place[left]
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            # the merged element's pairs with its neighbours are new
+            at = np.concatenate([left[left > 0] - 1, left])
+            rank[at] = none
+            at = at[at + 1 < len(ids)]
+            at = at[owner[at] == owner[at + 1]]
+            rank[at] = self._rank(ids[at], ids[at + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done)) if done else (ids, ids)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same of one word with a heap of (rank, place)."""
         n, get = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
@@ -146,37 +195,38 @@ class WordBpe:
             j = after[i]
             if ids[i] < 0 or j >= n or get(ids[i] << 32 | ids[j]) != rank:
                 continue
-            ids[i], ids[j], after[i] = self.merged[rank], -1, after[j]
+            ids[i], ids[j], after[i] = int(self.merged[rank]), -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
                 if k >= 0 and after[k] < n and (r := get(ids[k] << 32 | ids[after[k]])) is not None:
                     heapq.heappush(heap, (r, k))
-        return tuple(x for x in ids if x >= 0)
+        return [x for x in ids if x >= 0]
 
-    def word_ids(self, words: list[str], lexicon: Lexicon | None) -> dict[str, tuple[int, ...]]:
+    def word_ids(self, words: list[str], lexicon: Lexicon | None) -> dict[str, bytes]:
         """The ids of distinct words."""
         if len(self.unseen) > UNSEEN_WORDS:
             self.unseen = {}
         out = {}
-        found = lexicon.look_up([w.encode() for w in words]) if lexicon else [None] * len(words)
-        for word, ids in zip(words, found):
-            if ids is None:
-                ids = self.unseen.get(word)
-                if ids is None:
-                    ids = self.unseen[word] = self.merge(word)
-            out[word] = ids
+        if lexicon:
+            found, numbers, bounds = lexicon.look_up([w.encode() for w in words])
+            raw, bounds = numbers.astype("<u4").tobytes(), (4 * bounds).tolist()
+            for word, ok, a, b in zip(words, found.tolist(), bounds, bounds[1:]):
+                if ok:
+                    out[word] = raw[a:b]
+        missing = [w for w in words if w not in out]
+        new = [w for w in missing if w not in self.unseen]
+        self.unseen.update(zip(new, self.merge(new)))
+        out.update(zip(missing, map(self.unseen.__getitem__, missing)))
         return out
 
     def encode(self, texts: list[str], lexicon: Lexicon | None = None) -> list[np.ndarray]:
         """The ids of every text."""
         parts = [split_parts(t) for t in texts]
         words = {part: self.words(part) for part in set(chain.from_iterable(parts))}
-        known = self.word_ids(list({w for ws in words.values() for w in ws if isinstance(w, str)}), lexicon)
-        raw = {
-            part: np.array(list(chain.from_iterable((w,) if isinstance(w, int) else known[w] for w in ws)), "<u4").tobytes()
-            for part, ws in words.items()
-        }
+        known: dict[str | int, bytes] = {i: i.to_bytes(4, "little") for i in self.special.values()}
+        known.update(self.word_ids(list({w for ws in words.values() for w in ws if isinstance(w, str)}), lexicon))
+        raw = {part: known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for part, ws in words.items()}
         return [np.frombuffer(b"".join(map(raw.__getitem__, p)), "<u4") for p in parts]
 
     def decode(self, ids) -> str | None:
@@ -207,6 +257,7 @@ def word_counts(docs: DataFrame, file: bytes, text_col: str = "text") -> DataFra
 
     def run(batches):
         bpe = worker_state(token, lambda: WordBpe(shared.value))
+        gc.disable()
         parts: Counter = Counter()
         for part in chain.from_iterable(map(slices, batches)):
             parts.update(chain.from_iterable(split_parts(t or "") for t in part.column(0).to_pylist()))
@@ -223,7 +274,8 @@ def lexicon_block(docs: DataFrame, file: bytes, text_col: str = "text", words: i
     """The compiled lexicon of the most frequent words of ``docs``."""
     top = word_counts(docs, file, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()  # bounded by ``words``
     bpe = WordBpe(file)
-    return compile_lexicon((r.word.encode(), bpe.merge(r.word)) for r in top)
+    words = [r.word for r in top]
+    return compile_lexicon((w.encode(), tuple(np.frombuffer(ids, "<u4").tolist())) for w, ids in zip(words, bpe.merge(words)))
 
 
 def share_file(spark: SparkSession, name: str, block: bytes) -> str:
@@ -248,7 +300,8 @@ def encode(docs: DataFrame, file: bytes, per_text, schema: str, id_col: str = "d
 
     def run(batches):
         bpe, mapped = worker_state(f"{token} {lexicon}", lambda: (WordBpe(shared.value), Lexicon.mapped(SparkFiles.get(lexicon))))
-        for part in chain.from_iterable(map(lambda b: slices(b, 2048), batches)):
+        gc.disable()  # no cycles are made, and each collection would walk what is held
+        for part in chain.from_iterable(map(lambda b: slices(b, 4096), batches)):
             texts = [t or "" for t in part.column(1).to_pylist()]
             for a, b in chunks(texts, CHUNK_CHARS):
                 rows = [per_text(bpe, ids) for ids in bpe.encode(texts[a:b], mapped)]

@@ -46,6 +46,11 @@ def test_long_words():
         assert OURS.encode([text])[0].tolist() == theirs(text)
 
 
+def looked(lexicon, words):
+    found, numbers, bounds = lexicon.look_up(words)
+    return [tuple(numbers[a:b].tolist()) if ok else None for ok, a, b in zip(found, bounds, bounds[1:])]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_lexicon_holds_what_was_put_in_and_shares_endings(seed):
     rng = random.Random(seed)
@@ -54,7 +59,7 @@ def test_lexicon_holds_what_was_put_in_and_shares_endings(seed):
     lexicon = Lexicon(compile_lexicon(entries.items()))
     asked = words + [bytes(rng.choices(b"abcd", k=rng.randint(0, 8))) for _ in range(600)]
     rng.shuffle(asked)
-    assert lexicon.look_up(asked) == [entries.get(w) for w in asked]
+    assert looked(lexicon, asked) == [entries.get(w) for w in asked]
 
 
 def test_automaton_is_minimal():
@@ -63,7 +68,7 @@ def test_automaton_is_minimal():
     lexicon = Lexicon(compile_lexicon(entries))
     # ed, ing and s end alike: 8 arcs for first letters, 48 for second ones, then e, i, s, d, n, g and the mark behind s, d, g
     assert len(lexicon.keys) == 8 + 48 + 3 + 3 + 1 and lexicon.root == 8 + 6
-    assert Lexicon(compile_lexicon([])).look_up([b"a", b""]) == [None, None]
+    assert looked(Lexicon(compile_lexicon([])), [b"a", b""]) == [None, None]
     with pytest.raises(ValueError):
         compile_lexicon([(b"a", (1,)), (b"a", (2,))])
 
