@@ -1081,4 +1081,4 @@ def classified_inputs(spark: SparkSession, d: str) -> DataFrame:
     return classify_inputs(table(spark, d, "orders").select(path.alias("path")))
 
 
-from . import catalog_masks, catalog_records  # noqa: E402, F401  their queries join these
+from . import catalog_masks, catalog_pixels, catalog_records  # noqa: E402, F401  their queries join these
