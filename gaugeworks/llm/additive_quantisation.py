@@ -4,7 +4,8 @@ A vector is approximated by a sum of one codeword from each of ``BOOKS`` codeboo
 Codebooks are trained as residual k-means on a sample of ``SAMPLE`` vectors at most (the smallest hashes of
 their ids) and then refitted together by least squares; encoding keeps the ``BEAM`` best partial sums of each
 vector. The norm of the vector over that of its approximation is stored with the code, and corrects the length
-that quantisation loses. A search scores every code by lookup tables (a query's products with all codewords), keeps
+that quantisation loses. All that is quantised are directions: a vector is scaled to length one in double precision first, so
+components of any size take part alike, and its length is kept as a number and a power of two. A search scores every code by lookup tables (a query's products with all codewords), keeps
 the best of each block of codes and of these the ``RERANK`` best of all blocks, and scores those exactly, in double
 precision, by a join with the vectors. Rows are dealt to blocks by hash, so of the ``RERANK`` best each of B blocks has
 m = ``RERANK`` / B give or take; it hands on m + 6 sqrt(m) + 10, which is too few once in a billion times.
@@ -20,6 +21,7 @@ Defined results
   null id or with another length than most vectors have.
 * A query's own row is left out, and only that: rows that repeat an id are queries and candidates of their own.
 * Ties go to the smaller id. With no more than ``k`` candidates a query gets them all.
+* Components may be as large or small as doubles are. A score is the sum of products in double precision, be it infinite.
 * Very long vectors are taken whole. An empty table gives an empty result; extra columns are left out.
 """
 
@@ -55,6 +57,14 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return written(rows.where(F.col("id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)), "aq-vectors")
 
 
+def directions(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(directions, lengths, powers): each vector (not zero) is its direction times its length times two to its power."""
+    _, power = np.frexp(np.abs(points).max(1))
+    scaled = np.ldexp(points, -power[:, None])
+    length = np.linalg.norm(scaled, axis=1)
+    return scaled / length[:, None], length, power
+
+
 def _kmeans(points: np.ndarray, words: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     centres = points[rng.choice(len(points), words, replace=len(points) < words)]
     for _ in range(rounds):
@@ -109,27 +119,27 @@ def encode(points: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarra
 
 
 def build_index(rows: DataFrame, sample_size: int = SAMPLE) -> tuple[DataFrame, np.ndarray]:
-    """(row, id, v, code, norm) of every row of (row, id, v), and the codebooks. Only the sample reaches the driver."""
+    """(row, id, v, code, norm, power) of every row of (row, id, v), and the codebooks. Only the sample reaches the driver."""
     spark = rows.sparkSession
     sample = rows.select("v").orderBy(F.xxhash64("row"), "row").limit(sample_size).toPandas()["v"]
     lengths = sample.map(len)
     width = int(lengths.mode().iloc[0]) if len(sample) else 0
     rows = rows.where(F.size("v") == width)
     points = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width) if width else np.zeros((0, 0))
-    books = train(points, words=min(WORDS, max(1, len(points) // 2))) if len(points) else np.zeros((1, 1, width), _DTYPE)
+    books = train(directions(points)[0], words=min(WORDS, max(1, len(points) // 2))) if len(points) else np.zeros((1, 1, width), _DTYPE)
     shared = spark.sparkContext.broadcast(books)  # books x words x dimensions
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
-                points = np.array(part["v"].tolist(), np.float64)
+                points, length, power = directions(np.array(part["v"].tolist(), np.float64))
                 codes = encode(points, shared.value)
                 sums = shared.value[np.arange(len(shared.value)), codes].sum(1)
-                norm = np.linalg.norm(points, axis=1) / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
-                yield pd.DataFrame({"row": part["row"], "id": part["id"], "v": part["v"], "code": [c.astype(np.uint8).tobytes() for c in codes], "norm": norm})
+                norm = length / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
+                yield pd.DataFrame({"row": part["row"], "id": part["id"], "v": part["v"], "code": [c.astype(np.uint8).tobytes() for c in codes], "norm": norm, "power": power})
 
-    return written(rows.mapInPandas(run, "row long, id long, v array<double>, code binary, norm double"), "aq-index"), books
+    return written(rows.mapInPandas(run, "row long, id long, v array<double>, code binary, norm double, power int"), "aq-index"), books
 
 
 def _search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, codes: np.ndarray, norm: np.ndarray, books: np.ndarray, rerank: int):
@@ -138,7 +148,7 @@ def _search(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, codes: np.nd
     rough = np.zeros((len(queries), len(rows)), _DTYPE)
     for b, book in enumerate(books):
         rough += np.take(queries @ book.T, codes[:, b], axis=1)
-    rough *= norm.astype(_DTYPE)
+    rough = rough * norm
     rough[own[:, None] == rows] = -np.inf
     keep = min(rerank, len(rows))
     edge = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1 : keep]
@@ -160,11 +170,14 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = K,
     of_block = min(rerank, math.ceil(mean + 6 * math.sqrt(mean) + 10))
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g")
     every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
-    stored = index.select("row", "id", "code", F.col("norm").cast("float"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"), every_group)
-    asked = queries.select("row", F.col("v").cast("array<float>"), F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(groups)).cast("int").alias("g"), every_block)
+    largest = index.agg(F.max("power")).first()[0] or 0  # lengths are taken relative to the longest one's power
+    norm = F.col("norm") * F.pow(F.lit(2.0), F.col("power") - largest)
+    stored = index.select("row", "id", "code", norm.alias("norm"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("b"), every_group)
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    asked = queries.select("row", F.transform("v", lambda x: x / top).cast("array<float>").alias("v"), F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(groups)).cast("int").alias("g"), every_block)
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"q": [], "row": [], "id": [], "rough": []}).astype({"q": "int64", "row": "int64", "id": "int64", "rough": "float32"})]
+        parts = [pd.DataFrame({"q": [], "row": [], "id": [], "rough": []}).astype({"q": "int64", "row": "int64", "id": "int64", "rough": "float64"})]
         if len(left) and len(right):
             left, right = left.sort_values(["id", "row"]), right.sort_values("row")
             rows, ids = left["row"].to_numpy(), left["id"].to_numpy()
@@ -179,7 +192,7 @@ def search(index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = K,
     rough = (
         stored.groupBy("b", "g")
         .cogroup(asked.groupBy("b", "g"))
-        .applyInPandas(block, "q long, row long, id long, rough float")
+        .applyInPandas(block, "q long, row long, id long, rough double")
     )
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "id", "row"))
     chosen = rough.withColumn("place", place).where(F.col("place") <= rerank).select("q", "row", "id")

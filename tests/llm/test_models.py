@@ -248,3 +248,27 @@ def test_url_filter_of_one_key_with_a_long_log(spark):
     captures = spark.range(10_000).selectExpr("id as row", "'http://a.com/x' as time", "id * 6 % 60013 as id")
     found = url_filter.url_filter(captures, entries, "row", "time", "id", heavy_rows=1500).collect()
     assert len(found) == 10_000 and all(r.blocked == (r.time // 3 % 2 == 0) for r in found if r.time < 59_997)
+
+
+@pytest.mark.parametrize("power", [0, 150, 200, -150, -200, None])
+def test_search_takes_components_of_any_size(spark, power):
+    """Every finite vector takes part; scores are those of a plain double product, and the order is theirs."""
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(200, 12))
+    size = np.full(200, 10.0**power) if power is not None else 10.0 ** rng.choice([-150, 0, 140], 200)
+    points *= size[:, None]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    found = Q.nearest(df).collect()
+    assert len(found) == 200  # ten queries of twenty
+    for q in range(0, 200, 20):
+        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        scores = {}
+        for i, p in enumerate(points):
+            total = 0.0
+            for x, y in zip(p.tolist(), points[q].tolist()):
+                total += x * y
+            scores[i] = total
+        assert all(r.score == scores[r.vec_id] or math.isnan(r.score) and math.isnan(scores[r.vec_id]) for r in mine)
+        if power != 200:  # there products are infinite
+            best = sorted((i for i in scores if i != q), key=lambda i: (-scores[i], i))[:20]
+            assert [r.vec_id for r in mine] == best
