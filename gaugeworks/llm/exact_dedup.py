@@ -60,13 +60,15 @@ def _bits(hash_: Column) -> Column:
 
 def filter_bits(keys: DataFrame, digest: str, blocks: int, least: int) -> DataFrame:
     """(block, bitmap) of the filter bits that ``least`` rows or more set."""
-    hashes = keys.select(F.xxhash64(digest).alias("h")).withColumn("block", _block(F.col("h"), blocks))
+    # equal hashes are counted where they lie first, so a text that many rows hold is a row of each task when they are dealt out
+    counted = keys.groupBy(F.xxhash64(digest).alias("h")).agg(F.least(F.count(F.lit(1)), F.lit(least)).alias("n"))
+    hashes = counted.withColumn("block", _block(F.col("h"), blocks))
     partitions = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         hashes.repartition(partitions, "block")  # both groupings below keep to it
-        .select("block", F.explode(_bits(F.col("h"))).alias("bit"))
+        .select("block", "n", F.explode(_bits(F.col("h"))).alias("bit"))
         .groupBy("block", "bit")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= least)
         .groupBy("block")
         .agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))

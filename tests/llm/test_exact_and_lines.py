@@ -107,3 +107,20 @@ def test_runs_are_kept_under_their_name(spark):
     assert found == {k: (len(v), max(v)) for k, v in holders.items() if len(v) >= 6}
     again.close()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_a_text_in_half_of_the_rows_is_dealt_out_evenly(spark):
+    """No task that builds the filter gets the copies of one text."""
+    from pyspark.sql import functions as F
+
+    from gaugeworks.llm import exact_dedup
+
+    keys = spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 2 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("digest"))
+    blocks = exact_dedup._blocks(40_000)
+    bits = exact_dedup.filter_bits(keys, "digest", blocks, 2)
+    plan = bits._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "partial_count" in first  # counted before the first exchange
+    assert bits.count() > 0
+    held = exact_dedup.possibly_held(keys, "digest", bits, blocks)
+    assert held.where("digest = 'same' and not _maybe").count() == 0
