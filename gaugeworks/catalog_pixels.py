@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import query, r4
-from .operators import snap
+from .operators import focus, snap, tiles
 from .session import table
 
 WIDTH, HEIGHT = 120, 44
@@ -105,3 +105,69 @@ def snapped_lines(spark: SparkSession, d: str) -> DataFrame:
     found = snap.snapped_lines(*small_images(spark, d))
     sure = F.when(F.col("status").isin(snap.REVIEW, snap.SNAPPED), r4("confidence")).otherwise(0.0)
     return found.select("line", "status", r4("diameter").alias("diameter"), sure.alias("confidence"), "polarity", "fallback")
+
+
+#: Images of 24 x 18 pixels by supplier, and what a stencil of 3 x 3 and a blur make of them; beyond the border they are mirrored.
+_FOCUS_SQL = f"""
+    px AS (SELECT s_suppkey AS id, x, y, ((x * x * 7 + y * y * 5 + x * y * (s_suppkey % 7 + 1)) % 256)::DOUBLE AS v FROM supplier, unnest(range(0, 24)) AS t(x), unnest(range(0, 18)) AS u(y)),
+    k3 AS (SELECT * FROM (VALUES (-1, -1, 2, -1, -1), (0, -1, 0, 0, -2), (1, -1, 2, 1, -1), (-1, 0, 0, -2, 0), (0, 0, -8, 0, 0), (1, 0, 0, 2, 0), (-1, 1, 2, -1, 1), (0, 1, 0, 0, 2), (1, 1, 2, 1, 1)) t(dx, dy, l, gx, gy)),
+    d AS (SELECT a.id, a.x, a.y, abs(sum(b.v * l)) + 0.35 * sqrt(sum(b.v * gx) * sum(b.v * gx) + sum(b.v * gy) * sum(b.v * gy)) AS s FROM px a, k3, px b
+          WHERE b.id = a.id AND b.x = CASE WHEN abs(a.x + dx) > 23 THEN 46 - abs(a.x + dx) ELSE abs(a.x + dx) END
+            AND b.y = CASE WHEN abs(a.y + dy) > 17 THEN 34 - abs(a.y + dy) ELSE abs(a.y + dy) END GROUP BY a.id, a.x, a.y),
+    k9 AS (SELECT * FROM (VALUES {", ".join(f"({i - 4}, {t!r}::DOUBLE)" for i, t in enumerate(focus.gaussian(1.0)))}) t(o, t)),
+    h AS (SELECT a.id, a.x, a.y, sum(b.s * t) AS s FROM d a, k9, d b WHERE b.id = a.id AND b.y = a.y AND b.x = CASE WHEN abs(a.x + o) > 23 THEN 46 - abs(a.x + o) ELSE abs(a.x + o) END GROUP BY ALL),
+    f AS (SELECT a.id, a.x, a.y, sum(b.s * t) AS s FROM h a, k9, h b WHERE b.id = a.id AND b.x = a.x AND b.y = CASE WHEN abs(a.y + o) > 17 THEN 34 - abs(a.y + o) ELSE abs(a.y + o) END GROUP BY ALL)
+"""
+
+
+@query(f"""
+    WITH {_FOCUS_SQL} SELECT id, y, round(avg(s) + 1e-7, 4) AS mean, round(max(s) + 1e-7, 4) AS sharpest FROM f GROUP BY id, y
+""")
+def focus_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The sharpness of each line of the suppliers' images."""
+    k, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
+    rows = table(spark, d, "supplier").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    pixels = rows.select(k.alias("id"), "x", "y", ((x * x * 7 + y * y * 5 + x * y * (k % 7 + 1)) % 256).alias("value"))
+    found = focus.sharpness(focus.image_lines(pixels))
+    mean = F.aggregate("focus", F.lit(0.0), lambda a, v: a + v) / F.size("focus")
+    return found.select("id", "y", r4(mean).alias("mean"), r4(F.array_max("focus")).alias("sharpest"))
+
+
+@query("""
+    SELECT o_custkey AS map, o_orderkey AS tile, round(x - first_value(x) OVER w + 1e-7, 4) AS x, round(y - first_value(y) OVER w + 1e-7, 4) AS y
+    FROM (SELECT *, o_orderkey * 37 % 500 + o_totalprice % 1 AS x, o_orderkey * 53 % 400 * 0.5 AS y FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+""")
+def tile_places(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as tiles of a map, placed by what the edges between neighbours in three orders say."""
+    k = F.col("o_orderkey")
+    x, y = k * 37 % 500 + F.col("o_totalprice").cast("double") % 1, k * 53 % 400 * 0.5
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("map"), k.alias("tile"), x.alias("x"), y.alias("y"), F.col("o_totalprice").alias("p"))
+    edges = None
+    for order in (["tile"], ["p", "tile"], ["x", "tile"]):
+        w = Window.partitionBy("map").orderBy(*order)
+        found = rows.select("map", F.lag("tile").over(w).alias("source"), F.col("tile").alias("target"), (F.col("x") - F.lag("x").over(w)).alias("dx"), (F.col("y") - F.lag("y").over(w)).alias("dy"))
+        found = found.where("source is not null").withColumn("weight", 0.4 + F.col("target") % 5 * 0.1)
+        edges = found if edges is None else edges.unionByName(found)
+    placed = tiles.tile_positions(rows, edges)
+    return placed.select("map", "tile", r4("x").alias("x"), r4("y").alias("y"))
+
+
+@query("""
+    WITH t AS (SELECT s_suppkey // 4 AS map, s_suppkey AS tile, s_suppkey % 4 * 13.4 + s_suppkey % 3 * 0.25 - 2.1 AS x, s_suppkey % 2 * 7.7 AS y, 20 AS width, 16 AS height FROM supplier),
+    o AS (SELECT map, floor(min(x)) AS x0, floor(min(y)) AS y0 FROM t GROUP BY map),
+    p AS (SELECT t.map, round_even(x - x0, 0)::BIGINT + px AS x, round_even(y - y0, 0)::BIGINT + py AS y, (tile * 31 + px * 7 + py * 11) % 256 AS v,
+                 greatest(0.12, least(1.0, 8 * least(px / 19.0::DOUBLE, 1 - px / 19.0::DOUBLE, py / 15.0::DOUBLE, 1 - py / 15.0::DOUBLE))) AS w
+          FROM t JOIN o ON t.map = o.map, unnest(range(0, 20)) AS a(px), unnest(range(0, 16)) AS b(py)),
+    m AS (SELECT map, x, y, floor(greatest(0, least(255, sum(v * w) / sum(w))) + 1e-6)::BIGINT AS v FROM p GROUP BY map, x, y)
+    SELECT map, y, count(*) AS n, sum(v)::BIGINT AS total, max(x) AS last FROM m GROUP BY map, y
+""")
+def mosaics(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of maps of four suppliers' tiles each."""
+    k = F.col("s_suppkey")
+    tile = table(spark, d, "supplier").select(
+        F.floor(k / 4).alias("map"), k.alias("tile"), (k % 4 * 13.4 + k % 3 * 0.25 - 2.1).alias("x"), (k % 2 * 7.7).alias("y"), F.lit(20).alias("width"), F.lit(16).alias("height")
+    )
+    places = tile.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    pixels = places.select("map", "tile", "px", "py", ((F.col("tile") * 31 + F.col("px") * 7 + F.col("py") * 11) % 256).alias("value"))
+    found = tiles.mosaic(pixels, tile)
+    return found.groupBy("map", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("x").alias("last"))
