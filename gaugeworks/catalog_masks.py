@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, r4
 from .functions import geometry as G
-from .operators import contours, masks
+from .operators import contours, masks, sequential
 from .session import table
 
 #: Masks of 24 x 16 pixels, one for each supplier, and what is taken off them; for DuckDB.
@@ -213,6 +213,23 @@ def ring_iou(spark: SparkSession, d: str) -> DataFrame:
     return found.select("a", "b", "common", r4("iou").alias("iou"))
 
 
+@query(f"""
+    WITH RECURSIVE {_RINGS_SQL}, n AS (SELECT id, count(*) AS n FROM shape GROUP BY id),
+    o AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM shape a JOIN shape b ON a.id // 8 = b.id // 8 AND a.id <> b.id AND a.x = b.x AND a.y = b.y GROUP BY ALL),
+    t AS (SELECT a, list(b) AS near FROM o JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE common / (p.n + q.n - common)::DOUBLE >= 0.5 GROUP BY a),
+    s AS (SELECT p_partkey AS id, p_partkey // 8 AS image, coalesce(near, []) AS near, row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_size DESC, p_partkey) AS i
+          FROM part LEFT JOIN t ON a = p_partkey),
+    g AS (SELECT DISTINCT image, 0::BIGINT AS i, []::BIGINT[] AS kept FROM s
+          UNION ALL SELECT g.image, s.i, CASE WHEN list_has_any(g.kept, s.near) THEN g.kept ELSE list_append(g.kept, s.id) END FROM g JOIN s ON s.image = g.image AND s.i = g.i + 1)
+    SELECT image, unnest(kept) AS id FROM g WHERE i = (SELECT max(i) FROM s WHERE s.image = g.image)
+""")
+def suppress_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Of the shapes of an image those that overlap no larger kept one by half."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (-F.col("p_size")).alias("first"))
+    rows = _rings(table(spark, d, "part")).join(parts, "id").select(F.floor(F.col("id") / 8).alias("image"), F.col("id").alias("part"), "first", "rings")
+    return sequential.greedy_shapes(rows, ["image"], ["first", "part"], 0.5).select("image", F.col("part").alias("id"))
+
+
 @query(f"""
     WITH RECURSIVE {PIXELS_SQL}, {PARTS_SQL.format("a")}, {OUTSIDE_SQL.replace("hole AS", "hollow AS")},
     q AS (SELECT id, y * 100 + x AS seed, x, y FROM hollow
@@ -277,3 +294,39 @@ def simplified_rings(spark: SparkSession, d: str) -> DataFrame:
     rings = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(e.alias("e")).select("id", points.alias("points"))
     found = contours.simplified(rings, ["id"], contours.display_epsilon(F.col("points")))
     return rings.select("id", F.size("points").alias("n_before")).join(found.select("id", F.size("points").alias("n_after")), "id")
+
+
+def _grown_sql(name: str, source: str, reach: int) -> str:
+    """A mask dilated by pixels of an image of 24 x 16, as far as the image goes."""
+    return f"""{name} AS (SELECT DISTINCT id, x + i AS x, y + j AS y FROM {source}, unnest(range(-{reach}, {reach + 1})) AS t(i), unnest(range(-{reach}, {reach + 1})) AS u(j)
+              WHERE x + i BETWEEN 0 AND 23 AND y + j BETWEEN 0 AND 15)"""
+
+
+def _shrunk_sql(name: str, source: str, reach: int) -> str:
+    return f"""{name} AS (SELECT p.id, p.x, p.y FROM {source} p JOIN {source} q ON q.id = p.id AND abs(q.x - p.x) <= {reach} AND abs(q.y - p.y) <= {reach} GROUP BY p.id, p.x, p.y
+              HAVING count(*) = (least(p.x + {reach}, 23) - greatest(p.x - {reach}, 0) + 1) * (least(p.y + {reach}, 15) - greatest(p.y - {reach}, 0) + 1))"""
+
+
+@query(f"""
+    WITH {PIXELS_SQL}, {_grown_sql("g", "b", 1)}, {_shrunk_sql("c", "g", 1)}, {_shrunk_sql("s", "c", 1)}, {_grown_sql("o", "s", 1)}
+    SELECT n.id, n.area, (SELECT count(*) FROM c WHERE c.id = n.id) AS closed, (SELECT count(*) FROM o WHERE o.id = n.id) AS opened FROM (SELECT id, count(*) AS area FROM b GROUP BY id) n
+""")
+def mask_morphology(spark: SparkSession, d: str) -> DataFrame:
+    _, b = _pixels(spark, d)
+    sizes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"))
+    closed = masks.closed(b, sizes, 1)
+    found = masks.measures(b).select("id", "area").join(masks.measures(closed).select("id", F.col("area").alias("closed")), "id")
+    opened = masks.measures(masks.opened(closed, sizes, 1)).select("id", F.col("area").alias("opened"))
+    return found.join(opened, "id", "left").fillna(0, ["opened"])
+
+
+@query(f"""
+    WITH {PIXELS_SQL}, {_grown_sql("g", "a", 1)},
+    f AS (SELECT id, x, y FROM (SELECT DISTINCT id FROM a), unnest(range(-1, 25)) AS t(x), unnest(range(-1, 17)) AS u(y) EXCEPT SELECT id, x, y FROM g),
+    m AS (SELECT g.id, g.x, g.y, min((g.x - f.x) * (g.x - f.x) + (g.y - f.y) * (g.y - f.y)) AS square FROM g JOIN f ON g.id = f.id GROUP BY g.id, g.x, g.y)
+    SELECT id, count(*) AS n, sum(square)::BIGINT AS total, max(square) AS largest FROM m GROUP BY id
+""")
+def mask_distances(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(24).alias("width"), F.lit(16).alias("height"))
+    found = masks.distances(masks.dilated(_pixels(spark, d)[0], sizes, 1, 1))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("square").alias("total"), F.max("square").alias("largest"))

@@ -188,6 +188,24 @@ def capture_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("captures/capture_"), stamp, F.lit("_"), digits, F.lit(".png")).alias("path"))
 
 
+@query("""
+    WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    t AS (SELECT DISTINCT o_custkey, o_orderkey * 7 % 12 + 1 AS n FROM orders WHERE o_orderkey % 3 = 0),
+    c AS (SELECT o_custkey, n FROM (SELECT o_custkey, count(*) + 12 AS most FROM orders GROUP BY 1), unnest(range(1, most + 1)) AS u(n)),
+    f AS (SELECT c.o_custkey, c.n, row_number() OVER (PARTITION BY c.o_custkey ORDER BY c.n) AS i FROM c ANTI JOIN t ON t.o_custkey = c.o_custkey AND t.n = c.n)
+    SELECT r.o_orderkey, 'capture_' || printf('%02d', f.n) || '.png' AS name FROM r JOIN f ON r.o_custkey = f.o_custkey AND r.i = f.i
+""")
+def free_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names that no file has yet: some numbers of each customer's are taken."""
+    from .operators.ordinal import free_numbers
+
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    taken = rows.where("o_orderkey % 3 = 0").select("o_custkey", (F.col("o_orderkey") * 7 % 12 + 1).alias("number"))
+    n = F.col("number").cast("string")
+    name = F.concat(F.lit("capture_"), F.lpad(n, F.greatest(F.length(n), F.lit(2)), "0"), F.lit(".png"))
+    return free_numbers(rows, taken, ["o_custkey"], ["o_orderkey"]).select("o_orderkey", name.alias("name"))
+
+
 # ---------------------------------------------------------------- records and derived values
 
 
@@ -260,10 +278,11 @@ def hole_areas(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey AS id, printf('%.2f', o_orderkey % 1000 / 8.0 + 0.001) || ' um' AS label FROM orders
+    SELECT o_orderkey AS id, printf('%.2f', o_orderkey % 1000 / 8.0::DOUBLE) || ' um' AS label, printf('%.4f', o_totalprice / 7 - 9000) || ' px' AS signed FROM orders
 """)
 def label_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), V.label_text(F.col("o_orderkey") % 1000 / 8.0 + 0.001, F.lit("um"), 2).alias("label"))
+    halves, any_ = F.col("o_orderkey") % 1000 / 8.0, F.col("o_totalprice").cast("double") / 7 - 9000
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), V.label_text(halves, F.lit("um"), 2).alias("label"), V.label_text(any_, F.lit("px")).alias("signed"))
 
 
 @query("""

@@ -109,8 +109,33 @@ def display_unit(kind: Column, unit: Column) -> Column:
     return F.when(kind == "area", F.concat(unit, F.lit("²"))).when(kind == "count", F.lit("个")).otherwise(unit)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double with ``digits`` decimals, rounded as the binary number stands, exact halves to the even digit.
+
+    The product with the power of ten is taken with its error, so it is known on which side of a half a value lies.
+    """
+    power, size = float(10**digits), F.abs(value.cast("double"))
+
+    def halves(v: Column | float) -> tuple:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+
+    (a, b), (c, d) = halves(size), halves(power)
+    product = size * power
+    error = a * c - product + a * d + b * c + b * d
+    whole = F.floor(product)
+    over = product - whole - 0.5  # exact; its sign counts, then the error's, then whether the number is odd
+    up = (over > 0) & ~((over <= 1e-9) & (error < -over)) | (over == 0) & ((error > 0) | (error == 0) & (whole % 2 == 1)) | (over < 0) & (error > -over)
+    n = whole + F.when(up, 1).otherwise(0)
+    text = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(digits + 1)), "0")
+    places = F.length(text) - digits
+    number = text if digits == 0 else F.concat(F.substring(text, F.lit(1), places), F.lit("."), F.substring(text, places + 1, F.lit(digits)))
+    sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
+    return F.when(product < 4503599627370496.0, F.concat(sign, number)).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+
+
 def label_text(value: Column, unit: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%.{max(0, min(8, digits))}f %s", value, unit)
+    return F.concat(fixed(value, max(0, min(8, digits))), F.lit(" "), F.coalesce(unit, F.lit("null")))
 
 
 def calibration_info(mode: Column, source: Column) -> Column:

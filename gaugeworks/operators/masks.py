@@ -307,3 +307,71 @@ def run_overlaps(left: DataFrame, right: DataFrame, within: Sequence[str] = (),
     areas = [r.groupBy(*within, F.col("id").alias(side)).agg(F.sum(F.expr("x1 - x0 + 1")).alias(f"{side}_area")) for r, side in ((left, "a"), (right, "b"))]
     found = common.join(areas[0], [*within, "a"]).join(areas[1], [*within, "b"])
     return found.select(*within, "a", "b", "common", (F.col("common") / (F.col("a_area") + F.col("b_area") - F.col("common"))).alias("iou"))
+
+
+def dilated(runs: DataFrame, sizes: DataFrame, along: int, across: int, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """The mask and all within ``along`` columns and ``across`` lines of it, inside the image; ``sizes`` has (keys, width, height)."""
+    keys = list(keys)
+    lines = F.explode(F.sequence(F.greatest(F.col("y") - across, F.lit(0)), F.least(F.col("y") + across, F.col("height") - 1)))
+    x0, x1 = F.greatest(F.col("x0") - along, F.lit(0)), F.least(F.col("x1") + along, F.col("width") - 1)
+    wide = runs.join(sizes, keys).select(*keys, lines.alias("y"), x0.cast("long").alias("x0"), x1.cast("long").alias("x1"))
+    return merged(wide, keys)
+
+
+def eroded(runs: DataFrame, sizes: DataFrame, along: int, across: int, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """The pixels of a mask that has all within ``along`` columns and ``across`` lines of them, as far as the image goes.
+
+    Each line's runs are shortened and laid over the lines beside it; a pixel stays where as many lines cover it as there are.
+    """
+    keys = list(keys)
+    safe_unions(runs.sparkSession)
+    x0 = F.when(F.col("x0") <= 0, F.lit(0)).otherwise(F.col("x0") + along)
+    x1 = F.when(F.col("x1") >= F.col("width") - 1, F.col("width") - 1).otherwise(F.col("x1") - along)
+    lines = F.explode(F.sequence(F.greatest(F.col("y") - across, F.lit(0)), F.least(F.col("y") + across, F.col("height") - 1)))
+    short = runs.join(sizes, keys).select(*keys, "height", lines.alias("y"), x0.cast("long").alias("x0"), x1.cast("long").alias("x1")).where("x0 <= x1")
+    there = F.least(F.col("y") + across, F.col("height") - 1) - F.greatest(F.col("y") - across, F.lit(0)) + 1
+    ends = F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("by")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("by")))
+    each = short.select(*keys, "y", there.alias("_there"), F.explode(ends).alias("e")).select(*keys, "y", "_there", "e.x", "e.by")
+    w = _line(keys).orderBy("x")
+    depth = each.select(*keys, "y", "_there", "x", F.sum("by").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("_deep"), F.lead("x").over(w).alias("_next"))
+    kept = depth.where((F.col("_next") > F.col("x")) & (F.col("_deep") == F.col("_there")))
+    return merged(kept.select(*keys, "y", F.col("x").alias("x0"), (F.col("_next") - 1).alias("x1")), keys)
+
+
+def closed(runs: DataFrame, sizes: DataFrame, reach: int, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """Gaps up to twice ``reach`` wide closed: dilated, then eroded by squares."""
+    return eroded(dilated(runs, sizes, reach, reach, keys), sizes, reach, reach, keys)
+
+
+def opened(runs: DataFrame, sizes: DataFrame, reach: int, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """What is narrower than twice ``reach`` and one taken away: eroded, then dilated by squares."""
+    return dilated(eroded(runs, sizes, reach, reach, keys), sizes, reach, reach, keys)
+
+
+def tidy(runs: DataFrame, sizes: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """A mask closed by 5 x 5 and opened by 3 x 3, without holes, of which the largest part is kept."""
+    return largest_part(filled(opened(closed(runs, sizes, 2, keys), sizes, 1, keys), keys), keys).select(*keys, "y", "x0", "x1")
+
+
+def distances(runs: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """(keys, x, y, square): the square of each set pixel's distance to the nearest one that isn't set; beyond the image none is.
+
+    A run gives the distance along its line. Then each column's stretches of set pixels are one array each, in which a pixel
+    looks at the lines that may be nearer, as many as its distance along the line.
+    """
+    keys = list(keys)
+    flat = F.least(F.col("x") - F.col("x0"), F.col("x1") - F.col("x")) + 1
+    pixels = runs.select(*keys, "y", "x0", "x1", F.explode(F.sequence("x0", "x1")).alias("x")).select(*keys, "x", "y", flat.alias("g"))
+    stretch = F.col("y") - F.row_number().over(Window.partitionBy(*keys, "x").orderBy("y"))
+    columns = pixels.withColumn("_run", stretch).groupBy(*keys, "x", "_run").agg(F.min("y").alias("_y"), F.transform(F.sort_array(F.collect_list(F.struct("y", "g"))), lambda p: p["g"]).alias("_g"))
+    n = F.size("_g")
+
+    def nearest(g: Column, i: Column) -> Column:
+        free = F.least(i + 1, n - i)  # to the pixels beyond the stretch
+        reach = F.least(g, free.cast("long"))
+        low, high = F.greatest(i - reach, F.lit(0)), F.least(i + reach, n - 1)
+        beside = F.transform(F.sequence(low, high), lambda j: F.get(F.col("_g"), j.cast("int")) * F.get(F.col("_g"), j.cast("int")) + (i - j) * (i - j))
+        return F.least(free.cast("long") * free, F.array_min(beside))
+
+    each = columns.select(*keys, "x", "_y", F.posexplode(F.transform("_g", nearest)).alias("_i", "square"))
+    return each.select(*keys, "x", (F.col("_y") + F.col("_i")).alias("y"), "square")

@@ -50,3 +50,16 @@ def renumber(categories: DataFrame, image: str = "image_id", order: list = ("num
     """Numbers categories 1..n in each image: those with a priority first, by it, then the rest in order."""
     by = [priority.asc_nulls_last(), *order] if priority is not None else list(order)
     return categories.withColumn("number", F.row_number().over(Window.partitionBy(image).orderBy(*by)))
+
+
+def free_numbers(rows: DataFrame, taken: DataFrame, keys: list[str], order: list[str], number: str = "number") -> DataFrame:
+    """``rows`` with ``number``: in order, the numbers from 1 that no row of ``taken`` (keys, number) has in their group.
+
+    The k-th smallest taken number t has t - k free ones before it, so the i-th row goes past those with t - k < i.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    known = taken.where(F.col(number) >= 1).groupBy(*keys).agg(F.array_sort(F.collect_set(F.col(number).cast("long"))).alias("_taken"))
+    before = known.select(*keys, F.transform("_taken", lambda t, k: t - k - 1).alias("_free_before"))
+    passed = F.size(F.filter("_free_before", lambda f: f < F.col("_place")))
+    found = rows.withColumn("_place", place).join(before, keys, "left")
+    return found.withColumn(number, F.col("_place") + F.coalesce(passed, F.lit(0))).drop("_place", "_free_before")

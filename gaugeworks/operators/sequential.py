@@ -65,16 +65,37 @@ def greedy_boxes(rows: DataFrame, keys: list[str], order: list[str], threshold:
         old = existing.select(*keys, *_BOX, F.monotonically_increasing_id().alias("id"))
         taken = overlapping(old, rows, keys, threshold).select(F.col("b").alias("id")).distinct()
         rows = written(rows.join(taken, "id", "left_anti"), "boxes")
-    pairs = written(overlapping(rows, rows, keys, threshold).where("a < b").select("a", "b"), "box-pairs")
-    kept = rows
+    return greedy_kept(rows, overlapping(rows, rows, keys, threshold))
+
+
+def greedy_kept(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` without ``id``, in the order of their ids, each kept unless a kept one stands with it in ``pairs`` (a, b).
+
+    What goes in a round is a table of its own, and all of them are taken off at once at the end, so plans stay flat however
+    many rounds there are.
+    """
+    pairs = written(pairs.where("a < b").select("a", "b"), "box-pairs")
+    gone = None
     while pairs.head(1):
         decided = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = written(decided.select("b").distinct(), "boxes-gone")
-        kept = kept.join(gone.withColumnRenamed("b", "id"), "id", "left_anti")
-        pairs = written(pairs.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"), "box-pairs")
+        now = written(decided.select("b").distinct(), "boxes-gone")
+        gone = now if gone is None else gone.unionByName(now)
+        pairs = written(pairs.join(now, "b", "left_anti").join(now.withColumnRenamed("b", "a"), "a", "left_anti"), "box-pairs")
+    kept = rows if gone is None else rows.join(gone.withColumnRenamed("b", "id"), "id", "left_anti")
     return kept.drop("id")
 
 
+def greedy_shapes(rows: DataFrame, keys: list[str], order: list[str], threshold: float = 0.55) -> DataFrame:
+    """Rows with ``rings`` in order, each kept unless the pixels that its rings cover overlap those of a kept one of its group
+    by ``threshold`` or more (intersection over union)."""
+    from .masks import run_overlaps, shape_runs
+
+    id_ = F.struct(F.struct(*order).alias("at"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows.withColumn("id", id_), "shapes")
+    runs = written(shape_runs(rows, [*keys, "id"]), "shape-runs")
+    return greedy_kept(rows, run_overlaps(runs, runs, keys).where(F.col("iou") >= threshold))
+
+
 def greedy_spacing(rows: DataFrame, keys: list[str], order: list[str], least: float, most: int) -> DataFrame:
     """Points (x, y) in order, each kept unless a kept one is nearer than ``least``; at most ``most`` of each group.
 

@@ -45,6 +45,8 @@ def cell(name: str) -> tuple[int, int]:
     column = 0
     for letter in found[1].upper():
         column = column * 26 + ord(letter) - 64
+    if int(found[2]) < 1:
+        raise ReportError(f"rows count from 1: {name!r}")
     return int(found[2]), column
 
 
@@ -136,7 +138,7 @@ def with_fallback(rules: list[Rule], rows: DataFrame, labels: DataFrame) -> tupl
     rows as a plain list on sheet A, and why."""
     try:
         cells = report_cells(rules, rows, labels)
-        if not overlaps(cells).head(1):
+        if not overlaps(cells, rules).head(1):
             return cells, ""
         message = "rules overlap"
     except ReportError as error:
@@ -144,9 +146,15 @@ def with_fallback(rules: list[Rule], rows: DataFrame, labels: DataFrame) -> tupl
     return report_cells([Rule("measurement_field", "A", "A1", field_name="result")], rows, labels), message
 
 
-def overlaps(cells: DataFrame) -> DataFrame:
-    """(sheet, row, column) written by more than one rule."""
-    return cells.groupBy("sheet", "row", "column").agg(F.count_distinct("rule").alias("n")).where("n > 1")
+def overlaps(cells: DataFrame, rules: list[Rule] = ()) -> DataFrame:
+    """(sheet, row, column, n) taken by more than one rule: written, or in the range of one of ``rules`` that keeps its whole
+    range for distinct values, however many there are."""
+    taken = cells.select("sheet", "row", "column", "rule")
+    for i, rule in enumerate(rules):
+        if rule.data_source == "unique_field_range":
+            whole = cells.sparkSession.range(capacity(rule)).withColumn("value", F.lit(None).cast("string"))
+            taken = taken.unionByName(_placed(whole, rule, F.lit(0), F.col("id")).select("sheet", "row", "column", F.lit(i).alias("rule")))
+    return taken.groupBy("sheet", "row", "column").agg(F.count_distinct("rule").alias("n")).where("n > 1")
 
 
 def planned_outputs(images: DataFrame, kinds: list[str], per_image: list[str]) -> DataFrame:

@@ -174,3 +174,36 @@ def test_rings_and_shapes(spark):
     overlaps = {(r.a, r.b): (r.common, r.iou) for r in K.run_overlaps(found, found, cell=8).collect()}
     expected = {(i, j): (len(p & q), pytest.approx(len(p & q) / len(p | q))) for i, p in expected.items() for j, q in expected.items() if p & q}
     assert overlaps == expected
+
+
+def test_dilation_erosion_and_distances(spark):
+    a = images(9, n=3, width=18, height=20, share=0.7)
+    a = {i: {p for p in ps if p[1] >= 0} for i, ps in a.items()}
+    sizes = spark.createDataFrame([(i, 18, 20) for i in a], "id long, width int, height int")
+    square = lambda x, y, a, b: {(u, v) for u in range(x - a, x + a + 1) for v in range(y - b, y + b + 1) if 0 <= u < 18 and 0 <= v < 20}
+    grow = lambda ps, a, b: set().union(*(square(x, y, a, b) for x, y in ps)) if ps else set()
+    shrink = lambda ps, a, b: {(x, y) for x, y in ps if square(x, y, a, b) <= ps}
+    left = runs(spark, a)
+    some = lambda d: {i: p for i, p in d.items() if p}
+    assert back(K.dilated(left, sizes, 2, 1)) == {i: grow(p, 2, 1) for i, p in a.items()}
+    assert back(K.eroded(left, sizes, 1, 0)) == some({i: shrink(p, 1, 0) for i, p in a.items()})
+    assert back(K.eroded(left, sizes, 1, 1)) == some({i: shrink(p, 1, 1) for i, p in a.items()})
+    close = {i: shrink(grow(p, 1, 1), 1, 1) for i, p in a.items()}
+    assert back(K.closed(left, sizes, 1)) == close
+    assert back(K.opened(K.closed(left, sizes, 1), sizes, 1)) == some({i: grow(shrink(p, 1, 1), 1, 1) for i, p in close.items()})
+    a = images(10, n=3, width=18, height=20, share=0.9)
+    a[3] = {(x, y) for x in range(15) for y in range(11)}
+    far = {}
+    for i, ps in a.items():
+        x0, x1, y0, y1 = min(x for x, _ in ps) - 1, max(x for x, _ in ps) + 1, min(y for _, y in ps) - 1, max(y for _, y in ps) + 1
+        free = [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) if (x, y) not in ps]
+        far |= {(i, x, y): min((x - u) ** 2 + (y - v) ** 2 for u, v in free) for x, y in ps}
+    assert {(r.id, r.x, r.y): r.square for r in K.distances(runs(spark, a)).collect()} == far
+
+
+def test_tidy_masks(spark):
+    """A large square with a hole and a slit, and a speck beside it."""
+    square = {(x, y) for x in range(5, 25) for y in range(5, 20)}
+    a = {1: square - {(10, 10), (11, 10)} - {(x, 14) for x in range(5, 12)} | {(27, 2)}}
+    sizes = spark.createDataFrame([(1, 30, 25)], "id long, width int, height int")
+    assert back(K.tidy(runs(spark, a), sizes)) == {1: square}

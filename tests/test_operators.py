@@ -53,3 +53,38 @@ def test_values(spark):
         V.file_name(F.lit("C:\\a\\b.png")).alias("j"),
     ).first()
     assert list(row) == [2.5, 4.0, 10.0, "x", ["a", "c"], "px²", "标定预设 / lens", "10x", "2.50 um", "b.png"]
+
+
+def test_rules_that_meet_in_the_free_part_of_a_range(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeworks.plans import report
+
+    rows = spark.createDataFrame([(1, 1, "a", 1, "线段", 2.0, 2.0)], "image_pos long, measurement_pos long, label string, category_id long, kind_label string, display_value double, result double")
+    labels = report.category_labels(rows.select("image_pos", F.col("measurement_pos").alias("number"), "label"), rows)
+    unique = report.Rule("unique_field_range", "X", "A1", "A9", "vertical", "label")
+    for start, message in (("A5", "rules overlap"), ("A10", ""), ("B5", "")):
+        cells, said = report.with_fallback([unique, report.Rule("diameter_result", "X", start)], rows, labels)
+        assert said == message and cells.count() == (1 if message else 2)
+    cells, said = report.with_fallback([report.Rule("diameter_result", "X", "A0")], rows, labels)
+    assert "A0" in said and cells.count() == 1
+
+
+def test_fixed_decimals_are_those_of_the_binary_number(spark):
+    import random
+
+    from gaugeworks.functions import values as V
+
+    rng = random.Random(1)
+    numbers = [0.125, 2.675, 1.005, 0.5, 1.5, 2.5, -0.125, -0.001, 0.0, -0.0, 1e15, 123456.7895, 0.045, 1e-9, 4.35, 1e300]
+    numbers += [rng.uniform(-1e4, 1e4) for _ in range(500)] + [round(rng.uniform(0, 100), 3) + 0.0005 for _ in range(500)] + [rng.randint(0, 4000) / 32 for _ in range(300)]
+    frame = spark.createDataFrame([(x,) for x in numbers], "x double")
+    for digits in (0, 1, 2, 3, 4):
+        found = frame.select("x", V.fixed(F_col("x"), digits).alias("t")).collect()
+        assert [(r.x, r.t) for r in found if r.x < 1e100] == [(x, f"{x:.{digits}f}") for x in numbers if x < 1e100]
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
