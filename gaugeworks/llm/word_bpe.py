@@ -13,7 +13,7 @@ Defined results
 * A null text is the empty text: no ids, and decoded the empty text.
 * As in the library, the strings of special tokens within a text become those tokens.
 * Each row is encoded on its own, whatever its id. Texts and words are taken whole, however long. Pairs of equal rank
-  merge from the left; words of equal frequency enter the lexicon in order of their bytes.
+  merge from the left; words of about equal frequency enter the lexicon together or not at all.
 * Decoding joins the tokens' strings by one space. Null ids decode to the empty text, ids that are no token to null.
 * Extra columns are left out; an empty table gives an empty result.
 """
@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .byte_bpe import chunks
-from .common import shared_folder, slices, worker_state
+from .common import shared_folder, slices, worker_state, written
 from .token_alignment import byte_letters
 from .transducer import Lexicon, compile_lexicon
 
@@ -271,11 +271,20 @@ def word_counts(docs: DataFrame, file: bytes, text_col: str = "text") -> DataFra
 
 
 def lexicon_block(docs: DataFrame, file: bytes, text_col: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the most frequent words of ``docs``."""
-    top = word_counts(docs, file, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()  # bounded by ``words``
-    bpe = WordBpe(file)
-    words = [r.word for r in top]
-    return compile_lexicon((w.encode(), tuple(np.frombuffer(ids, "<u4").tolist())) for w, ids in zip(words, bpe.merge(words)))
+    """The compiled lexicon of the most frequent words of ``docs``.
+
+    Words are put into classes of about equal frequency, eight to a doubling; the most frequent classes that have no more
+    than ``words`` words together are taken, so no more than these reach the driver, from however many tasks.
+    """
+    counts = written(word_counts(docs, file, text_col), "word-counts")
+    level = F.floor(F.log2("n") * 8)
+    room, least = words, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 512 rows at most
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r.level
+    found = [] if least is None else [r.word for r in counts.where(level >= least).select("word").collect()]
+    return compile_lexicon((w.encode(), tuple(np.frombuffer(ids, "<u4").tolist())) for w, ids in zip(found, WordBpe(file).merge(found)))
 
 
 def share_file(spark: SparkSession, name: str, block: bytes) -> str:
