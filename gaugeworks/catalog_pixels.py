@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import query, r4
-from .operators import focus, snap, tiles
+from .operators import correlation, focus, snap, tiles
 from .session import table
 
 WIDTH, HEIGHT = 120, 44
@@ -171,3 +171,24 @@ def mosaics(spark: SparkSession, d: str) -> DataFrame:
     pixels = places.select("map", "tile", "px", "py", ((F.col("tile") * 31 + F.col("px") * 7 + F.col("py") * 11) % 256).alias("value"))
     found = tiles.mosaic(pixels, tile)
     return found.groupBy("map", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("x").alias("last"))
+
+
+@query("""
+    WITH a AS (SELECT s_suppkey AS id, x, y, ((x * x * 7 + y * y * 5 + x * y * (s_suppkey % 7 + 1)) % 256)::DOUBLE AS v FROM supplier, unnest(range(0, 14)) AS t(x), unnest(range(0, 10)) AS u(y)),
+    b AS (SELECT id, x - 2 AS x, y - 1 AS y, v + (x * 3 + y) % 5 * 4 AS v FROM a WHERE x >= 2 AND y >= 1),
+    s AS (SELECT dx, dy FROM unnest(range(-3, 4)) AS t(dx), unnest(range(-3, 4)) AS u(dy)),
+    m AS (SELECT a.id, dx, dy, count(*) AS n, corr(a.v, b.v) AS ncc, stddev_pop(a.v) AS texture FROM s, a JOIN b ON a.id = b.id AND a.x = b.x + dx AND a.y = b.y + dy GROUP BY a.id, dx, dy)
+    SELECT id, dx, dy, round(n / 108.0::DOUBLE + 1e-7, 4) AS ratio, round(ncc + 1e-7, 4) AS ncc, round(texture + 1e-7, 4) AS texture FROM m
+""")
+def shifted_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier's image and a part of it, with some noise, over all shifts up to three pixels."""
+    k, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
+    steps = lambda n, first=0: F.explode(F.sequence(F.lit(first), F.lit(n)))
+    rows = table(spark, d, "supplier").withColumn("x", steps(13)).withColumn("y", steps(9))
+    a = rows.select(k.alias("id"), "x", "y", ((x * x * 7 + y * y * 5 + x * y * (k % 7 + 1)) % 256).alias("value"))
+    b = a.where("x >= 2 and y >= 1").select("id", (x - 2).alias("x"), (y - 1).alias("y"), (F.col("value") + (x * 3 + y) % 5 * 4).alias("value"))
+    ids = table(spark, d, "supplier").select(k.alias("id"))
+    sizes = ids.select("id", F.lit(14).alias("width_a"), F.lit(10).alias("height_a"), F.lit(12).alias("width_b"), F.lit(9).alias("height_b"))
+    shifts = ids.withColumn("dx", steps(3, -3)).withColumn("dy", steps(3, -3))
+    found = correlation.shifted_agreement(a, b, sizes, shifts)
+    return found.select("id", "dx", "dy", *(r4(c).alias(c) for c in ("ratio", "ncc", "texture")))
