@@ -164,5 +164,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     large = F.broadcast(groups.where(F.col("_n") >= max(1000, total // HEAVY_SHARE)).select("_digest", F.col("_last").alias("_heavy")))
     maybe = rows.where("_maybe").join(large, "_digest", "left").where("_heavy is null or _order = _heavy").drop("_heavy")
     last = maybe.join(groups.drop("_n").hint("merge"), "_digest", "left").where("_last is null or _order = _last")
+    last = written(last.select("_digest", "_last", "_row"), "exact-last")  # read twice below; its texts are sorted once
     chosen = last.where("_last is not null").select("_digest", "_row").dropDuplicates(["_digest"]).select("_row")
     return once.unionByName(last.where("_last is null").select("_row")).unionByName(chosen).select("_row.*")
