@@ -2,14 +2,20 @@
 
 Training counts every word of every training document by language, and from those counts every character
 n-gram of 1 to 5 characters (words stand between spaces). Words are runs of letters in lower case; learning and scoring
-find them with the same function (:func:`words_of`). A word is known to a language when it makes up
-``KNOWN_SHARE`` of that language's words or more and was seen twice; an n-gram is kept when it makes up
-``GRAM_SHARE`` of its order or more. So each language brings at most ``1 / KNOWN_SHARE`` words and
-``5 / GRAM_SHARE`` n-grams, whatever the input, and the model can be broadcast. What one language brings is kept with
-its counts in all of them.
+find them with the same function (:func:`words_of`). Nothing that was seen is left out, however rare.
 
-A known word adds its log frequency in every language. An unseen word falls back to its 5-character n-grams;
-if none of them is kept, to those of 4 characters, and so on.
+A word seen in training adds its log frequency in every language. An unseen word falls back to its 5-character n-grams,
+the mean of those that were seen; if none was, to those of 4 characters, and so on. A language in which a word or n-gram
+was never seen counts it as half a sighting in the most that any language has of its size. That floor is the same for
+all languages, so what is stored and summed are gains over it, and only for the languages that have the token. Gains are
+whole numbers of 2**-26, so sums don't depend on their order and reruns agree.
+
+How it scales: the most frequent words go to all tasks, ``CACHED_WORDS`` at most and no more than ``CACHED_CELLS`` divided by
+the number of languages; which these are decides what is quick, not what comes out. A task adds up those words and hands on
+the others of each document with their counts. They are looked up in the full counts by a join, once for each distinct word;
+words that aren't found there are cut into n-grams, which are looked up in the full counts of n-grams. Tokens that hold
+a share of all rows of a look-up, 1 / ``HEAVY`` or more, are joined by broadcast (``HEAVY`` at most), so none of them gathers in one
+task. The driver holds the cached words, the languages and their six totals each.
 
 Defined results
 ---------------
@@ -17,35 +23,41 @@ Defined results
 * A null doc_id counts as the empty text for the split into training and held-out documents.
 * Documents with a null lang are not learned from. Ties go to the smallest lang by code point.
 * The score is the posterior probability of the language under equal priors.
-* Whole texts are read, however long. Repeated rows count each time. Extra columns are left out.
+* Whole texts are read, however long. Repeated rows count each time. Extra columns are left out by :func:`language_id` and kept
+  by :func:`keep_languages`, whatever their names.
 * An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gc
-import math
 import uuid
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, worker_state, written
 
-KNOWN_SHARE = 1e-5
-GRAM_SHARE = 2e-5
 ORDERS = (1, 2, 3, 4, 5)
 UNKNOWN = "und"
-#: Words a task remembers scores of, besides the known ones.
-CACHE_WORDS = 100_000
-_WORD = regex.compile(r"\p{L}+")
+#: Words that every task holds, and words x languages.
+CACHED_WORDS = 200_000
+CACHED_CELLS = 4_000_000
+#: Longer words are never sent to all tasks.
+LONGEST = 64
+#: Tokens with one part in so many of a look-up's rows are joined by broadcast.
+HEAVY = 20_000
 #: Distinct tokens that a task counts before it hands them on.
-COUNTED = 200_000
+COUNTED = 500_000
+#: What a gain of 1 is stored as.
+UNIT = 1 << 26
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str) -> list[str]:
@@ -58,25 +70,40 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, size, token, n, total): the model. size 0: words; else n-grams of so many characters."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+@dataclass
+class Model:
+    """``langs`` in order; ``tokens``: (size, token, lang, gain) with lang a place in them. size 0: words; else n-grams of so
+    many characters. ``known``: the cached words and their gains, words x languages."""
+
+    langs: list[str]
+    tokens: DataFrame
+    known: tuple[str, np.ndarray]
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Counts the words and n-grams of all rows with a text and a language."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def counted(lang: str, size: int, counts: dict[str, int]) -> pa.RecordBatch:
-        n = len(counts)
-        columns = [pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32())]
-        columns += [pa.array(list(counts), pa.string()), pa.array(counts.values(), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "size", "token", "n"])
+    def counted(found):
+        for (lang, size), counts in found.items():
+            n = len(counts)
+            columns = [pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32())]
+            columns += [pa.array(list(counts), pa.string()), pa.array(counts.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "token", "n"])
 
     def count_words(batches):
-        found = defaultdict(Counter)
+        found, held = defaultdict(Counter), 0
         for part in chain.from_iterable(map(slices, batches)):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
-                found[lang].update(words_of(text.as_py()))
-                if len(found[lang]) > COUNTED:
-                    yield counted(lang, 0, found.pop(lang))
-        for lang, counts in found.items():
-            yield counted(lang, 0, counts)
+                counts = found[lang, 0]
+                held -= len(counts)
+                counts.update(words_of(text.as_py()))
+                held += len(counts)
+                if held > COUNTED:
+                    yield from counted(found)
+                    found, held = defaultdict(Counter), 0
+        yield from counted(found)
 
     def count_grams(batches):
         found = defaultdict(dict)
@@ -88,133 +115,164 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
                     for i in range(len(padded) - size + 1):
                         gram = padded[i : i + size]
                         counts[gram] = counts.get(gram, 0) + n
-            for key in [k for k, counts in found.items() if len(counts) > COUNTED]:
-                yield counted(*key, found.pop(key))
-        for key, counts in found.items():
-            yield counted(*key, counts)
+            if sum(map(len, found.values())) > COUNTED:
+                yield from counted(found)
+                found = defaultdict(dict)
+        yield from counted(found)
 
     rows, schema, same = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "lang string, size int, token string, n long", ["lang", "size", "token"]
     counts = rows.where("lang is not null and text is not null").mapInArrow(count_words, schema)
     counts = written(counts.groupBy(*same).agg(F.sum("n").alias("n")), "lang-words")
     parts = counts.repartition(partitions, *same).mapInArrow(count_grams, schema).groupBy(*same).agg(F.sum("n").alias("n"))
-    every = written(counts.unionByName(parts), "lang-model")
-    totals = every.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # six rows for each language
-    share = F.when(F.col("size") == 0, KNOWN_SHARE).otherwise(GRAM_SHARE)
-    kept = (F.col("n") >= F.col("total") * share) & ((F.col("size") > 0) | (F.col("n") > 1))
-    counted = every.join(F.broadcast(totals), ["lang", "size"])
-    tokens = written(counted.where(kept).select("size", "token").distinct(), "lang-kept")  # the model's, which has a bound
-    return counted.join(F.broadcast(tokens), ["size", "token"], "left_semi")
+    every = counts.unionByName(written(parts, "lang-grams"))
+    totals = [tuple(r) for r in every.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()]  # six rows for each language
+    langs = sorted({lang for lang, _, _ in totals})
+    most = {size: max(total for _, s, total in totals if s == size) for _, size, _ in totals}
+    scale = [(lang, size, langs.index(lang), 2.0 * most[size] / total) for lang, size, total in totals]
+    scale = spark.createDataFrame(scale, "lang string, size int, place int, scale double")
+    gain = F.round(F.log(F.col("n") * F.col("scale")) * UNIT).cast("long")
+    tokens = every.join(F.broadcast(scale), ["lang", "size"]).select("size", "token", F.col("place").alias("lang"), gain.alias("gain"))
+    return Model(langs, tokens, _cached(counts, tokens, len(langs)))
+
+
+def _cached(counts: DataFrame, tokens: DataFrame, n_langs: int) -> tuple[str, np.ndarray]:
+    """The most frequent words with a line end between them and their gains, by classes of frequency as far as there is room."""
+    room = min(CACHED_WORDS, CACHED_CELLS // max(1, n_langs))
+    short = counts.where(F.length("token") <= LONGEST).groupBy("token").agg(F.sum("n").alias("n"))
+    short = short.select("token", F.floor(F.log2("n") * 8).alias("class"))
+    least = None
+    for cls, n in sorted(map(tuple, short.groupBy("class").count().collect()), reverse=True):  # a few hundred rows
+        room -= n
+        if room < 0:
+            break
+        least = cls
+    if least is None:
+        return "", np.zeros((0, n_langs), np.int64)
+    chosen = tokens.where("size = 0").join(short.where(F.col("class") >= int(least)), "token", "left_semi")
+    found = chosen.groupBy("token").agg(F.collect_list(F.struct("lang", "gain")).alias("gains")).collect()
+    gains = np.zeros((len(found), n_langs), np.int64)
+    for i, r in enumerate(found):
+        for lang, gain in r.gains:
+            gains[i, lang] = gain
+    return "\n".join(r.token for r in found), gains
 
 
-class _Words(dict):
-    """Rows of scores by word. A word that isn't known gets a row of its own when it is first looked up."""
-
-    def __init__(self, scorer: Scorer, known):
-        super().__init__((word, i) for i, word in enumerate(known))
-        self.scorer, self.known = scorer, len(self)
-
-    def __missing__(self, word: str) -> int:
-        row = self[word] = self.scorer.add_unseen(word, len(self) - self.known)
-        return row
-
-    def forget(self) -> None:
-        """Keeps the known words only."""
-        for word in [w for w, i in self.items() if i >= self.known]:
-            del self[word]
+class Scorer:
+    """Adds up the cached words of a text."""
 
+    def __init__(self, tokens: str, gains: np.ndarray):
+        self.place = {word: i for i, word in enumerate(tokens.split("\n"))} if tokens else {}
+        self.gains = np.concatenate([gains, np.zeros((1, gains.shape[1]), np.int64)])  # the last row: words that aren't cached
 
-class Scorer:
-    """Log frequencies by language."""
-
-    def __init__(self, langs: list[str], tables: dict[int, tuple[str, np.ndarray]]):
-        """``tables``: by size, the tokens with a line end between them and their scores by language."""
-        self.langs = langs
-        none = ("", np.zeros((0, len(langs)), np.float32))
-        self.grams, self.gram_scores = {}, {}
-        for size in ORDERS:
-            tokens, self.gram_scores[size] = tables.get(size, none)
-            self.grams[size] = {gram: i for i, gram in enumerate(tokens.split("\n"))} if tokens else {}
-        tokens, scores = tables.get(0, none)
-        self.scores = scores.astype(np.float64)
-        self.words = _Words(self, tokens.split("\n") if tokens else [])
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the word's longest n-grams that are kept, or 0 for every language."""
-        padded = f" {word} "
-        for size in reversed(ORDERS):
-            get = self.grams[size].get
-            found = [row for i in range(len(padded) - size + 1) if (row := get(padded[i : i + size])) is not None]
-            if found:
-                return np.add.reduce(self.gram_scores[size][found]) / len(found)
-        return np.zeros(len(self.langs))
-
-    def add_unseen(self, word: str, place: int) -> int:
-        at = self.words.known + place
-        if at >= len(self.scores):
-            self.scores = np.concatenate([self.scores, np.empty((max(4096, len(self.scores) // 2), len(self.langs)))])
-        self.scores[at] = self.unseen(word)
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text) if text else []
-        if not self.langs or not found:
-            return UNKNOWN, 0.0
-        words, total = self.words, np.zeros(len(self.langs))
+    def read(self, text: str | None) -> tuple[bool, list[int], Counter]:
+        """Whether the text has letters, its cached words' gains by language, and how often each other word stands in it."""
+        found, total, others = words_of(text) if text else [], np.zeros(self.gains.shape[1], np.int64), Counter()
+        get, none = self.place.get, len(self.place)
         for start in range(0, len(found), 1 << 15):
             part = found[start : start + (1 << 15)]
-            if len(words) - words.known > CACHE_WORDS:
-                words.forget()
-            at = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
-            total += np.add.reduce(self.scores[at])
-        weights = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.langs[best], float(weights[best] / weights.sum())
-
-
-def tabulated(rows) -> tuple[list[str], dict[int, tuple[str, np.ndarray]]]:
-    """Languages and tables for :class:`Scorer`, from rows of :func:`train`."""
-    langs = sorted({r.lang for r in rows})
-    place = {lang: i for i, lang in enumerate(langs)}
-    totals: dict[int, np.ndarray] = {}
-    tokens: dict[int, dict[str, int]] = {}
-    for r in rows:
-        totals.setdefault(r.size, np.ones(len(langs)))[place[r.lang]] = r.total
-        known = tokens.setdefault(r.size, {})
-        known.setdefault(r.token, len(known))
-    # a language in which a token was never seen: half a sighting in the most that any language has, whatever its own
-    scores = {size: np.full((len(known), len(langs)), math.log(0.5 / totals[size].max()), np.float32) for size, known in tokens.items()}
-    for r in rows:
-        scores[r.size][tokens[r.size][r.token], place[r.lang]] = math.log(r.n / r.total)
-    return langs, {size: ("\n".join(known), scores[size]) for size, known in tokens.items()}
-
-
-def _scorer(spark, model: DataFrame):
-    """A function that gives a task its scorer, made once in each Python worker; the model's size has a bound."""
-    shared = spark.sparkContext.broadcast(tabulated(model.select("lang", "size", "token", "n", "total").collect()))
-    token = uuid.uuid4().hex
+            at = np.fromiter((get(word, none) for word in part), np.int64, len(part))
+            total += np.add.reduce(self.gains[at])
+            others.update(part[i] for i in np.flatnonzero(at == none))
+        return bool(found), total.tolist(), others
 
-    def make() -> Scorer:
-        gc.disable()  # no cycles are made, and each collection would walk the cache
-        return Scorer(*shared.value)
 
-    return lambda: worker_state(token, make)
+_READ = "struct<uid: bigint, letters: boolean, gains: array<bigint>, others: array<struct<token: string, n: bigint>>>"
+_READ_ARROW = pa.struct(
+    [("uid", pa.int64()), ("letters", pa.bool_()), ("gains", pa.list_(pa.int64())), ("others", pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))]
+)
 
 
-def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
-    spark = docs.sparkSession
-    scorer = _scorer(spark, model)
+def _read(rows: DataFrame, model: Model, text_at: int, keep: list[int], name: str) -> DataFrame:
+    """The columns of ``rows`` at ``keep`` and a column ``name`` of what :meth:`Scorer.read` says of the text, written."""
+    spark = rows.sparkSession
+    shared, token = spark.sparkContext.broadcast(model.known), uuid.uuid4().hex
+    names = [rows.columns[i] for i in keep]
+    shape = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in (rows.schema[i] for i in keep))
 
-    def run(batches):
-        scorer_here = scorer()
-        for batch in batches:
-            found = [scorer_here.predict(t.as_py()) for t in batch.column(2)]
-            langs, scores = zip(*found) if found else ((), ())
-            columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+    def make() -> Scorer:
+        gc.disable()  # no cycles are made, and each collection would walk the words
+        return Scorer(*shared.value)
 
+    def run(batches):
+        scorer = worker_state(token, make)
+        for part in chain.from_iterable(map(slices, batches)):
+            found = []
+            for uid, text in zip(part.column(part.num_columns - 1).to_pylist(), part.column(text_at)):
+                letters, gains, others = scorer.read(text.as_py())
+                found.append({"uid": uid, "letters": letters, "gains": gains, "others": [{"token": w, "n": n} for w, n in others.items()]})
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(found, _READ_ARROW)], [*names, name])
+
+    numbered = rows.withColumn(f"{name}_uid", F.monotonically_increasing_id())
+    return written(numbered.mapInArrow(run, f"{shape}, `{name}` {_READ}" if keep else f"`{name}` {_READ}"), "lang-read")
+
+
+def _looked_up(rows: DataFrame, counts: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``table`` (unique by ``keys``; a look-up's frequent keys by broadcast). ``counts``: (keys, rows)."""
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    frequent = (F.col("rows") >= max(2, total / HEAVY)) & (F.length("token") <= LONGEST)
+    heavy = F.broadcast(written(counts.where(frequent).select(*keys), "lang-heavy"))  # HEAVY at most
+    beside = rows.join(heavy, keys, "left_anti").join(table, keys)
+    return beside.unionByName(rows.join(F.broadcast(table.join(heavy, keys, "left_semi")), keys))
+
+
+def _gains() -> Column:
+    return F.collect_list(F.struct("lang", "gain")).alias("gains")  # one for each language at most
+
+
+def _others(read: DataFrame, model: Model) -> DataFrame:
+    """(uid, more): what the words that weren't cached add to each language, of rows (uid, others)."""
+    rows = read.select("uid", F.explode("others").alias("o")).select("uid", "o.token", "o.n")
+    counts = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "lang-others")
+    words = model.tokens.where("size = 0")
+    seen = counts.select("token").join(words.select("token", "lang", "gain"), "token")
+    unseen = counts.select("token").join(words.select("token").distinct(), "token", "left_anti")
+    padded = F.concat(F.lit(" "), "token", F.lit(" "))
+    sizes = unseen.select(F.col("token").alias("word"), padded.alias("padded"), F.explode(F.array(*map(F.lit, ORDERS))).alias("size"))
+    sizes = sizes.where(F.col("size") <= F.length("padded"))
+    places = F.explode(F.sequence(F.lit(1), F.length("padded") - F.col("size") + 1))
+    grams = sizes.select("word", "size", "padded", places.alias("i")).select("word", "size", F.substring("padded", F.col("i"), F.col("size")).alias("token"))
+    grams = written(grams.groupBy("word", "size", "token").agg(F.count(F.lit(1)).alias("n")), "lang-unseen")
+    kept = model.tokens.where("size > 0").groupBy("size", "token").agg(_gains())
+    hits = _looked_up(grams, grams.groupBy("size", "token").agg(F.count(F.lit(1)).alias("rows")), kept, ["size", "token"])
+    # a language of its own, -1, counts the n-grams found
+    each = F.explode(F.concat("gains", F.array(F.struct(F.lit(-1).alias("lang"), F.lit(1).cast("long").alias("gain"))))).alias("g")
+    sums = hits.select("word", "size", "n", each).groupBy("word", "size", F.col("g.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("g.gain")).alias("sum"))
+    longest = F.max("size").over(Window.partitionBy("word"))  # five sizes of each language at most
+    found = F.max(F.when(F.col("lang") == -1, F.col("sum"))).over(Window.partitionBy("word", "size"))
+    means = sums.withColumn("longest", longest).withColumn("found", found).where("size = longest and lang >= 0")
+    means = means.select(F.col("word").alias("token"), "lang", F.round(F.col("sum") / F.col("found")).cast("long").alias("gain"))
+    scores = written(seen.unionByName(means).groupBy("token").agg(_gains()), "lang-others-gains")
+    more = _looked_up(rows, counts, scores, ["token"]).select("uid", "n", F.explode("gains").alias("g"))
+    more = more.groupBy("uid", F.col("g.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("g.gain")).alias("gain"))
+    return more.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("more"))
+
+
+def _with(gains: Column, more: Column) -> Column:
+    return F.transform(gains, lambda x, i: x + F.coalesce(F.try_element_at(more, i), F.lit(0)))
+
+
+def _score(gains: Column) -> Column:
+    """The posterior of the best language."""
+    over = F.transform(gains, lambda x: F.exp((x - F.array_max(gains)) / F.lit(float(UNIT))))
+    return 1 / F.aggregate(over, F.lit(0.0), lambda a, x: a + x)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double")
+    if not model.langs:
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    read = _read(rows, model, 2, [0, 1], "read").select("doc_id", "held_out", "read.*")
+    done, open_ = read.where(F.size("others") == 0), read.where(F.size("others") > 0)
+    more = open_.drop("others").join(_others(open_.select("uid", "others"), model), "uid", "left")
+    settled = done.select("doc_id", "held_out", "letters", "gains").unionByName(more.select("doc_id", "held_out", "letters", _with(F.col("gains"), F.col("more")).alias("gains")))
+    best = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("gains", F.array_max("gains")).cast("int"))
+    return settled.select(
+        "doc_id",
+        "held_out",
+        F.when(F.col("letters"), best).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("letters"), _score(F.col("gains"))).otherwise(0.0).alias("score"),
+    )
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -224,16 +282,30 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_languages(docs: DataFrame, least_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` with a language that scores ``least_score`` or more, with all their columns."""
-    spark = docs.sparkSession
-    model = train(docs.where(~held_out(id_col)), text_col, lang_col)
-    scorer = _scorer(spark, model)
-    at, names = docs.columns.index(text_col), docs.columns
+    """The rows of ``docs`` with a language that scores ``least_score`` or more, with all their columns.
 
-    def run(batches):
-        scorer_here = scorer()
-        for part in chain.from_iterable(map(slices, batches)):
-            found = [scorer_here.predict(t.as_py()) for t in part.column(at)]
-            yield part.filter(pa.array([lang != UNKNOWN and score >= least_score for lang, score in found], pa.bool_()))
-
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, docs.schema)
+    Other words are looked up only where they could change that: where the score would fall short if each of them went to all
+    languages but the best with the largest gain there is. Only those rows are joined with what the look-up finds.
+    """
+    model = train(docs.where(~held_out(id_col)), text_col, lang_col)
+    if not model.langs:
+        return docs.limit(0)
+    name = "read"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    rows = docs.select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+    read = _read(rows, model, docs.columns.index(text_col), list(range(len(docs.columns))), name).where(f"{name}.letters")
+    gains, others = F.col(f"{name}.gains"), F.col(f"{name}.others")
+    most = model.tokens.agg(F.max("gain")).first()[0] or 0
+    words = F.aggregate(others, F.lit(0).cast("long"), lambda a, o: a + o["n"])
+    best = F.array_position(gains, F.array_max(gains)).cast("int") - 1
+    worst = F.transform(gains, lambda x, i: x + F.when(i == best, F.lit(0)).otherwise(words * F.lit(most)))
+    # scores of the best language there, which need not be the best of all any more
+    share = F.exp((F.array_max(gains) - F.array_max(worst)) / F.lit(float(UNIT))) * _score(worst)
+    sure = (F.size(others) == 0) & (_score(gains) >= least_score) | (F.size(others) > 0) & (share >= least_score)
+    open_ = read.where((F.size(others) > 0) & ~sure)
+    more = _others(open_.select(f"{name}.uid", f"{name}.others"), model)
+    late = open_.withColumn(f"{name}_uid", F.col(f"{name}.uid")).join(more.withColumnsRenamed({"uid": f"{name}_uid", "more": f"{name}_more"}), f"{name}_uid", "left")
+    late = late.where(_score(_with(gains, F.col(f"{name}_more"))) >= least_score)
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return read.where(sure).select(*columns).unionAll(late.select(*columns))

@@ -49,8 +49,7 @@ def plain_language_id(rows):
                 for i in range(len(w) + 3 - k):
                     table[k][lang][f" {w} "[i : i + k]] += n
     total = {k: {lang: sum(t[lang].values()) for lang in langs} for k, t in table.items()}
-    least = {k: language_id.GRAM_SHARE if k else language_id.KNOWN_SHARE for k in table}
-    kept = {k: {x for lang in langs for x, n in t[lang].items() if n >= total[k][lang] * least[k] and (k or n > 1)} for k, t in table.items()}
+    kept = {k: {x for lang in langs for x in t[lang]} for k, t in table.items()}
 
     def logs(k, token):
         seen = [(table[k][lang][token], total[k][lang]) for lang in langs]
@@ -94,25 +93,40 @@ def test_ties_go_to_the_smallest_language(spark):
     assert {(r.lang_pred, r.score) for r in found} == {("a", 0.5)}
 
 
-def test_a_kept_token_has_the_counts_of_all_languages(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "KNOWN_SHARE", 0.1)
-    monkeypatch.setattr(language_id, "GRAM_SHARE", 0.1)
-    rows = [("zed " * 15 + "alpha " * 85, "a"), ("zed " * 5 + "beta " * 95, "b")]
-    model = language_id.train(spark.createDataFrame(rows, "text string, lang string")).collect()
-    assert {(r.lang, r.token): r.n for r in model if r.size == 0} == {("a", "zed"): 15, ("a", "alpha"): 85, ("b", "zed"): 5, ("b", "beta"): 95}
-    langs, tables = language_id.tabulated(model)
-    tokens, scores = tables[0]
-    assert np.exp(scores[tokens.split("\n").index("zed")]).tolist() == pytest.approx([0.15, 0.05])
-
-
-def test_a_full_cache_changes_nothing(monkeypatch):
-    rows = [("a", 1, c, 5, 20) for c in "abcd"] + [("b", 1, c, 5, 20) for c in "wxyz"]
-    shape = [type("R", (), dict(zip(("lang", "size", "token", "n", "total"), r))) for r in rows]
-    text = " ".join(prose(200, 1, "abcd").split())
-    whole = language_id.Scorer(*language_id.tabulated(shape)).predict(text)
-    monkeypatch.setattr(language_id, "CACHE_WORDS", 3)
-    few = language_id.Scorer(*language_id.tabulated(shape))
-    assert few.predict(text) == few.predict(text) == whole and whole[0] == "a"
+@pytest.mark.parametrize("cached", [0, 3])
+def test_what_is_cached_changes_nothing(spark, small, monkeypatch, cached):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole = {tuple(r) for r in language_id.language_id(docs).collect()}
+    kept = sorted(r.doc_id for r in language_id.keep_languages(docs).collect())
+    monkeypatch.setattr(language_id, "CACHED_WORDS", cached)
+    assert {tuple(r) for r in language_id.language_id(docs).collect()} == whole
+    assert sorted(r.doc_id for r in language_id.keep_languages(docs).collect()) == kept
+
+
+def test_a_word_seen_once_has_its_counts_in_all_languages(spark):
+    rows = [("zed " * 15 + "alpha " * 85, "a"), ("zed " * 5 + "once " + "beta " * 94, "b")]
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    words = {(model.langs[r.lang], r.token): np.exp(r.gain / language_id.UNIT) for r in model.tokens.where("size = 0").collect()}
+    assert words == {k: pytest.approx(2 * n) for k, n in {("a", "zed"): 15, ("a", "alpha"): 85, ("b", "zed"): 5, ("b", "once"): 1, ("b", "beta"): 94}.items()}
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CACHED_CELLS", 20_000)  # 100 words of 200 languages
+    rows = [(200 * j + i, " ".join(f"{chr(0x4E00 + i)}{c}" for c in "abcdefgh"), f"l{i:03}") for i in range(200) for j in range(4)]
+    found = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    by = {r.doc_id: r.lang_pred for r in found.collect()}
+    assert len(by) == 800 and all(by[i] == lang for i, _, lang in rows if lang in learned)
+
+
+def test_a_frequent_unseen_word_is_looked_up_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "HEAVY", 4)
+    rows = [(i, "plain words here", "a") for i in range(20)] + [(20 + i, "autres mots ici", "b") for i in range(20)]
+    rows += [(100 + i, "motsici wort" if i % 3 else "hereplain", None) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language_id.language_id(table).collect()}
+    for (i, *_), (lang, score) in zip(rows, plain_language_id(rows)):
+        assert found[i].lang_pred == lang and found[i].score == pytest.approx(score, abs=1e-6)
 
 
 def test_quality_by_held_out_accuracy(spark):
