@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import query, r4
 from .operators import correlation, focus, snap, tiles
-from .session import table
+from .session import shared_folder, table
+from .sources import images
 
 WIDTH, HEIGHT = 120, 44
 
@@ -192,3 +195,46 @@ def shifted_frames(spark: SparkSession, d: str) -> DataFrame:
     shifts = ids.withColumn("dx", steps(3, -3)).withColumn("dy", steps(3, -3))
     found = correlation.shifted_agreement(a, b, sizes, shifts)
     return found.select("id", "dx", "dy", *(r4(c).alias(c) for c in ("ratio", "ncc", "texture")))
+
+
+def _hex(value: Column, n_bytes: int) -> Column:
+    """A whole number as hex digits, its lowest byte first."""
+    return F.concat(*(F.lpad(F.hex(F.shiftright(value, 8 * i).bitwiseAND(255)), 2, "0") for i in range(n_bytes)))
+
+
+def _image_files(suppliers: DataFrame, folder: str) -> None:
+    """A bitmap of each supplier as a file of its own; every seventh is text and no image."""
+    k, w, h = F.col("s_suppkey"), F.col("w"), F.col("h")
+    size = w * 3 + (4 - w * 3 % 4) % 4  # lines are filled up to four bytes
+    value = lambda x, y, c: _hex((k * 7 + x * 13 + y * 29 + c * 61) % 256, 1)
+    pixel = lambda x, y: F.concat(*(value(x, y, c) for c in (2, 1, 0)))
+    line = lambda y: F.rpad(F.array_join(F.transform(F.sequence(F.lit(0), w - 1), lambda x: pixel(x, y)), ""), size * 2, "0")
+    body = F.array_join(F.transform(F.sequence(h - 1, F.lit(0), F.lit(-1)), line), "")
+    four = [h * size + 54, F.lit(0), F.lit(54), F.lit(40), w, h]
+    head = F.concat(F.lit("424D"), *(_hex(c, 4) for c in four), F.lit("01001800"), F.repeat(F.lit("00"), 24))
+    content = F.when(k % 7 == 0, F.lit("no image")).otherwise(F.unhex(F.concat(head, body)).cast("string"))
+    suppliers.select("s_suppkey", content.alias("value")).write.partitionBy("s_suppkey").text(folder)
+
+
+@query("""
+    WITH s AS (SELECT s_suppkey AS k, (3 + s_suppkey % 5)::INT AS w, (2 + s_suppkey % 3)::INT AS h FROM supplier),
+    p AS (SELECT k, x, y, (((k * 7 + x * 13 + y * 29) % 256) * 11 + ((k * 7 + x * 13 + y * 29 + 61) % 256) * 16 + ((k * 7 + x * 13 + y * 29 + 122) % 256) * 5) // 32 AS g
+          FROM s, unnest(range(0, w)) AS t(x), unnest(range(0, h)) AS u(y) WHERE k % 7 <> 0)
+    SELECT s.k AS supplier, CASE WHEN s.k % 7 <> 0 THEN s.w END AS width, CASE WHEN s.k % 7 <> 0 THEN s.h END AS height,
+           CASE WHEN s.k % 7 = 0 THEN 'unreadable image' END AS error, count(g) AS n, sum(g)::BIGINT AS total, sum(g * (y * s.w + x))::BIGINT AS weighted
+    FROM s LEFT JOIN p ON s.k = p.k GROUP BY s.k, s.w, s.h
+""")
+def decoded_images(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' image files, good ones and others, in one read, and their grey values in place."""
+    k = F.col("s_suppkey")
+    suppliers = table(spark, d, "supplier").select("s_suppkey", (3 + k % 5).cast("int").alias("w"), (2 + k % 3).cast("int").alias("h"))
+    folder = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    _image_files(suppliers, folder)
+    files = images.read_images(spark, folder)
+    lines = images.grey_lines(files)
+    n, placed = F.size("line"), F.transform("line", lambda v, x: v.cast("long") * (F.col("y") * F.size("line") + x))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    sums = lines.groupBy("path").agg(F.sum(n).alias("n"), F.sum(add(F.col("line"))).alias("total"), F.sum(add(placed)).alias("weighted"))
+    supplier = F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("supplier")
+    found = files.drop("data").join(sums, "path", "left")
+    return found.select(supplier, "width", "height", "error", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "total", "weighted")

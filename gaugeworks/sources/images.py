@@ -15,7 +15,7 @@ UNREADABLE = "unreadable image"
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, channels, data, error) of each file below a folder or of one file, by Spark's image source (BMP, PNG,
     JPEG, GIF). A file that can't be decoded has an error and nulls beside its path; the others are read all the same.
-    Turning by the camera's orientation mark isn't done."""
+    Files of no bytes give no row, as Spark's file sources leave them out. Turning by the camera's orientation mark isn't done."""
     image = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select("image.*")
     good = (F.col("height") > 0) & (F.col("width") > 0)
     values = [F.when(good, F.col(c)).alias(name) for c, name in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))]
