@@ -13,7 +13,7 @@ whole numbers of 2**-26, so sums don't depend on their order and reruns agree.
 How it scales: the most frequent words go to all tasks, ``CACHED_WORDS`` at most and no more than ``CACHED_CELLS`` divided by
 the number of languages; which these are decides what is quick, not what comes out. A task adds up those words and hands on
 the others of each document with their counts. They are looked up in the full counts by a join, once for each distinct word;
-words that aren't found there are cut into n-grams, which are looked up in the full counts of n-grams. Tokens that hold
+words that aren't found there are cut into n-grams, the longest first, which are looked up in the full counts of n-grams. Tokens that hold
 a share of all rows of a look-up, 1 / ``HEAVY`` or more, are joined by broadcast (``HEAVY`` at most), so none of them gathers in one
 task. The driver holds the cached words, the languages and their six totals each.
 
@@ -51,8 +51,9 @@ CACHED_WORDS = 200_000
 CACHED_CELLS = 4_000_000
 #: Longer words are never sent to all tasks.
 LONGEST = 64
-#: Tokens with one part in so many of a look-up's rows are joined by broadcast.
-HEAVY = 20_000
+#: Tokens with one part in so many of a look-up's rows are joined by broadcast; they are sought in so many buckets.
+HEAVY = 1_000
+BUCKETS = 16_384
 #: Distinct tokens that a task counts before it hands them on.
 COUNTED = 500_000
 #: What a gain of 1 is stored as.
@@ -206,11 +207,25 @@ def _read(rows: DataFrame, model: Model, text_at: int, keep: list[int], name: st
     return written(numbered.mapInArrow(run, f"{shape}, `{name}` {_READ}" if keep else f"`{name}` {_READ}"), "lang-read")
 
 
-def _looked_up(rows: DataFrame, counts: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` joined with ``table`` (unique by ``keys``; a look-up's frequent keys by broadcast). ``counts``: (keys, rows)."""
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    frequent = (F.col("rows") >= max(2, total / HEAVY)) & (F.length("token") <= LONGEST)
-    heavy = F.broadcast(written(counts.where(frequent).select(*keys), "lang-heavy"))  # HEAVY at most
+def _heavy(rows: DataFrame) -> list[tuple]:
+    """The tokens (size, token) that each have one part in ``HEAVY`` of all rows, or more, so ``HEAVY`` at most. Counted by buckets
+    first, so that what is counted exactly are those buckets' rows only."""
+    bucket = F.pmod(F.xxhash64("size", "token"), F.lit(BUCKETS))
+    sizes = rows.groupBy(bucket.alias("bucket")).count().collect()  # BUCKETS rows at most
+    least = max(2, sum(r["count"] for r in sizes) / HEAVY)
+    full = [r.bucket for r in sizes if r["count"] >= least]
+    if not full:
+        return []
+    counts = rows.where(bucket.isin(full) & (F.length("token") <= LONGEST)).groupBy("size", "token").count()
+    return [(r["size"], r["token"]) for r in counts.where(F.col("count") >= least).collect()]
+
+
+def _looked_up(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (unique by size and token), frequent tokens by broadcast."""
+    keys, frequent = ["size", "token"], _heavy(rows)
+    if not frequent:
+        return rows.join(table, keys)
+    heavy = F.broadcast(rows.sparkSession.createDataFrame(frequent, "size int, token string"))
     beside = rows.join(heavy, keys, "left_anti").join(table, keys)
     return beside.unionByName(rows.join(F.broadcast(table.join(heavy, keys, "left_semi")), keys))
 
@@ -219,31 +234,38 @@ def _gains() -> Column:
     return F.collect_list(F.struct("lang", "gain")).alias("gains")  # one for each language at most
 
 
-def _others(read: DataFrame, model: Model) -> DataFrame:
-    """(uid, more): what the words that weren't cached add to each language, of rows (uid, others)."""
-    rows = read.select("uid", F.explode("others").alias("o")).select("uid", "o.token", "o.n")
-    counts = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("rows")), "lang-others")
-    words = model.tokens.where("size = 0")
-    seen = counts.select("token").join(words.select("token", "lang", "gain"), "token")
-    unseen = counts.select("token").join(words.select("token").distinct(), "token", "left_anti")
+def _by_grams(words: DataFrame, model: Model, sizes: tuple[int, ...], partitions: int) -> DataFrame:
+    """(id, lang, gain) of the rows (id, token) of ``words`` that have n-grams of these sizes that were seen: the means
+    of the longest."""
     padded = F.concat(F.lit(" "), "token", F.lit(" "))
-    sizes = unseen.select(F.col("token").alias("word"), padded.alias("padded"), F.explode(F.array(*map(F.lit, ORDERS))).alias("size"))
-    sizes = sizes.where(F.col("size") <= F.length("padded"))
-    places = F.explode(F.sequence(F.lit(1), F.length("padded") - F.col("size") + 1))
-    grams = sizes.select("word", "size", "padded", places.alias("i")).select("word", "size", F.substring("padded", F.col("i"), F.col("size")).alias("token"))
-    grams = written(grams.groupBy("word", "size", "token").agg(F.count(F.lit(1)).alias("n")), "lang-unseen")
-    kept = model.tokens.where("size > 0").groupBy("size", "token").agg(_gains())
-    hits = _looked_up(grams, grams.groupBy("size", "token").agg(F.count(F.lit(1)).alias("rows")), kept, ["size", "token"])
+    rows = words.select("id", padded.alias("padded"), F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(F.col("size") <= F.length("padded"))
+    rows = rows.select("id", "size", "padded", F.explode(F.sequence(F.lit(1), F.length("padded") - F.col("size") + 1)).alias("i"))
+    rows = rows.select("id", "size", F.substring("padded", F.col("i"), F.col("size")).alias("token"))
+    kept = model.tokens.where(F.col("size").isin(*sizes)).groupBy("size", "token").agg(_gains())
+    hits = _looked_up(rows, kept).select("id", "size", "gains").repartition(partitions, "id")  # what follows stays where it lies
     # a language of its own, -1, counts the n-grams found
     each = F.explode(F.concat("gains", F.array(F.struct(F.lit(-1).alias("lang"), F.lit(1).cast("long").alias("gain"))))).alias("g")
-    sums = hits.select("word", "size", "n", each).groupBy("word", "size", F.col("g.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("g.gain")).alias("sum"))
-    longest = F.max("size").over(Window.partitionBy("word"))  # five sizes of each language at most
-    found = F.max(F.when(F.col("lang") == -1, F.col("sum"))).over(Window.partitionBy("word", "size"))
+    sums = hits.select("id", "size", each).groupBy("id", "size", F.col("g.lang").alias("lang")).agg(F.sum("g.gain").alias("sum"))
+    longest = F.max("size").over(Window.partitionBy("id"))  # five sizes of each language at most
+    found = F.max(F.when(F.col("lang") == -1, F.col("sum"))).over(Window.partitionBy("id", "size"))
     means = sums.withColumn("longest", longest).withColumn("found", found).where("size = longest and lang >= 0")
-    means = means.select(F.col("word").alias("token"), "lang", F.round(F.col("sum") / F.col("found")).cast("long").alias("gain"))
-    scores = written(seen.unionByName(means).groupBy("token").agg(_gains()), "lang-others-gains")
-    more = _looked_up(rows, counts, scores, ["token"]).select("uid", "n", F.explode("gains").alias("g"))
-    more = more.groupBy("uid", F.col("g.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("g.gain")).alias("gain"))
+    return means.select("id", "lang", F.round(F.col("sum") / F.col("found")).cast("long").alias("gain"))
+
+
+def _others(read: DataFrame, model: Model) -> DataFrame:
+    """(uid, more): what the words that weren't cached add to each language, of rows (uid, others)."""
+    partitions = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = read.select("uid", F.explode("others").alias("o")).select("uid", F.lit(0).alias("size"), "o.token", "o.n")
+    words = model.tokens.where("size = 0").groupBy("token").agg(_gains())
+    distinct = rows.select("token").distinct().join(words, "token", "left").withColumn("id", F.monotonically_increasing_id())
+    distinct = written(distinct, "lang-others")
+    unseen = distinct.where("gains is null").select("id", "token")
+    long = written(_by_grams(unseen, model, ORDERS[-1:], partitions).groupBy("id").agg(_gains()), "lang-grams-long")
+    short = _by_grams(unseen.join(long, "id", "left_anti"), model, ORDERS[:-1], partitions).groupBy("id").agg(_gains())
+    means = unseen.join(long.unionByName(short), "id").select("token", "gains")
+    scores = written(distinct.where("gains is not null").select("token", "gains").unionByName(means), "lang-others-gains")
+    more = _looked_up(rows, scores.withColumn("size", F.lit(0))).select("uid", "n", "gains").repartition(partitions, "uid")
+    more = more.select("uid", "n", F.explode("gains").alias("g")).groupBy("uid", F.col("g.lang").alias("lang")).agg(F.sum(F.col("n") * F.col("g.gain")).alias("gain"))
     return more.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("more"))
 
 
