@@ -146,13 +146,17 @@ def simplified(rings: DataFrame, keys: Sequence[str], epsilon: Column, points: s
     safe_unions(rings.sparkSession)
     cleaned = written(rings.select(*keys, G.clean_ring(F.col(points), clean).alias("points")), "rings")
     n = F.greatest(F.size("points"), F.lit(1))
-    # the point farthest from the point that is farthest from the first one, and the one farthest from that
+    # the point farthest from the point that is farthest from the first one, and the one farthest from that; each is worked
+    # out once and the table written, as a filter would repeat them for every vertex of every vertex
     pts = F.col("points")
-    one = G.bound(_farthest(pts, F.lit(0)), lambda a: _farthest(pts, a["i"])["i"])
-    far = cleaned.where(n >= 3).select(*keys, "points", epsilon.alias("_eps"), one.alias("_one")).withColumn("_two", _farthest(pts, F.col("_one")))
-    far = far.where(F.col("_two.d") > F.col("_eps") * F.col("_eps"))
-    turned = F.transform(F.sequence(F.lit(0), n), lambda j: F.get(pts, F.pmod(j + F.col("_one"), n)))
-    far = far.select(*keys, "_eps", turned.alias("p"), F.pmod(F.col("_two.i") - F.col("_one"), n).alias("m"))
+
+    def turned(one: Column, two: Column) -> Column:
+        from_one = F.transform(F.sequence(F.lit(0), n), lambda j: F.get(pts, F.pmod(j + one, n)))
+        return F.struct(two["d"].alias("d"), F.pmod(two["i"] - one, n).alias("m"), from_one.alias("p"))
+
+    cut = G.bound(_farthest(pts, F.lit(0)), lambda a: G.bound(_farthest(pts, a["i"])["i"], lambda one: G.bound(_farthest(pts, one), lambda two: turned(one, two))))
+    far = written(cleaned.where(n >= 3).select(*keys, epsilon.alias("_eps"), cut.alias("_cut")), "turned-rings")
+    far = far.where(F.col("_cut.d") > F.col("_eps") * F.col("_eps")).select(*keys, "_eps", "_cut.p", "_cut.m")
     ends = [F.struct(F.lit(0).alias("i"), F.get("p", F.lit(0)).alias("p")), F.struct(F.col("m").alias("i"), F.get("p", F.col("m")).alias("p"))]
     cuts = [written(far.select(*keys, F.explode(F.array(*ends)).alias("v")).select(*keys, "v.i", "v.p"), "cuts")]
     open_ = far.select(*keys, "_eps", "m", "p", F.posexplode("p").alias("i", "v")).where((F.col("i") > 0) & (F.col("i") < F.size("p") - 1) & (F.col("i") != F.col("m")))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -110,3 +111,13 @@ def test_simplified_rings(spark):
     assert sum(map(len, found.values())) < sum(map(len, rings.values())) / 3
     e = frame.where("id = 40").select(C.display_epsilon(F.col("points")).alias("a"), C.outline_epsilon(F.col("points")).alias("b")).first()
     assert (e.a, e.b) == (1.0, 0.35)
+
+
+def test_long_rings_are_cut_in_time(spark):
+    """The far points of a ring are worked out once, not for every vertex of every vertex."""
+    n = 4000
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct((100 * F.cos(k * (2 * math.pi / n))).alias("x"), (80 * F.sin(k * (2 * math.pi / n)) + k % 3 * 0.01).alias("y")))
+    start = time.monotonic()
+    found = C.simplified(spark.range(1).select("id", ring.alias("points")), ["id"], F.lit(1.0)).first()
+    assert 8 <= len(found.points) < 80
+    assert time.monotonic() - start < 60
