@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, r4
 from .operators import correlation, focus, snap, tiles
-from .session import shared_folder, table
+from .session import shared_folder, spread, table
 from .sources import images
 
 WIDTH, HEIGHT = 120, 44
@@ -77,7 +77,7 @@ def small_images(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Pixels (id, x, y, value) of one image for each supplier, and a line across it."""
     k = F.col("s_suppkey")
     rows = table(spark, d, "supplier").select(k.alias("id"), (k % 7).alias("m"), (40 + k % 20).alias("l"), (10 + k % 15).alias("w"))
-    places = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))))
+    places = spread(rows, "id").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))))
     pixels = places.select("id", "x", "y", _value(F.col("m")).alias("value"))
     m, left = F.col("m"), F.col("l").cast("double")
     lines = rows.select(
@@ -129,7 +129,7 @@ _FOCUS_SQL = f"""
 def focus_measures(spark: SparkSession, d: str) -> DataFrame:
     """The sharpness of each line of the suppliers' images."""
     k, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
-    rows = table(spark, d, "supplier").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    rows = spread(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(17))))
     pixels = rows.select(k.alias("id"), "x", "y", ((x * x * 7 + y * y * 5 + x * y * (k % 7 + 1)) % 256).alias("value"))
     found = focus.sharpness(focus.image_lines(pixels))
     mean = F.aggregate("focus", F.lit(0.0), lambda a, v: a + v) / F.size("focus")
@@ -170,7 +170,7 @@ def mosaics(spark: SparkSession, d: str) -> DataFrame:
     tile = table(spark, d, "supplier").select(
         F.floor(k / 4).alias("map"), k.alias("tile"), (k % 4 * 13.4 + k % 3 * 0.25 - 2.1).alias("x"), (k % 2 * 7.7).alias("y"), F.lit(20).alias("width"), F.lit(16).alias("height")
     )
-    places = tile.withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    places = spread(tile, "tile").withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("py", F.explode(F.sequence(F.lit(0), F.lit(15))))
     pixels = places.select("map", "tile", "px", "py", ((F.col("tile") * 31 + F.col("px") * 7 + F.col("py") * 11) % 256).alias("value"))
     found = tiles.mosaic(pixels, tile)
     return found.groupBy("map", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("x").alias("last"))
@@ -187,7 +187,7 @@ def shifted_frames(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier's image and a part of it, with some noise, over all shifts up to three pixels."""
     k, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
     steps = lambda n, first=0: F.explode(F.sequence(F.lit(first), F.lit(n)))
-    rows = table(spark, d, "supplier").withColumn("x", steps(13)).withColumn("y", steps(9))
+    rows = spread(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").withColumn("x", steps(13)).withColumn("y", steps(9))
     a = rows.select(k.alias("id"), "x", "y", ((x * x * 7 + y * y * 5 + x * y * (k % 7 + 1)) % 256).alias("value"))
     b = a.where("x >= 2 and y >= 1").select("id", (x - 2).alias("x"), (y - 1).alias("y"), (F.col("value") + (x * 3 + y) % 5 * 4).alias("value"))
     ids = table(spark, d, "supplier").select(k.alias("id"))

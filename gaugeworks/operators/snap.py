@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..session import few, many
 
 #: Distance of samples along a line, and how many lines of samples lie on either side of it.
 STEP, BAND = 0.5, 2
@@ -24,7 +25,8 @@ def profiles(pixels: DataFrame, lines: DataFrame) -> DataFrame:
     each, sampled between pixels and averaged over its band. Samples beyond the image take its border's value; pixels that
     have no row are 255.
 
-    Each sample meets the four pixels around it in one join; a line's samples come back as one array.
+    Each sample meets the four pixels around it in one join, to which no image brings more than its lines' box; a line's samples
+    come back as one array.
     """
     length = F.sqrt((F.col("bx") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("by") - F.col("ay")) * (F.col("by") - F.col("ay")))
     n = F.greatest(F.lit(7), F.ceil(F.col("length") / STEP).cast("int") + 1)
@@ -44,7 +46,14 @@ def profiles(pixels: DataFrame, lines: DataFrame) -> DataFrame:
     corners = [(x0, y0, (1 - wx) * (1 - wy)), (x1, y0, wx * (1 - wy)), (x0, y1, (1 - wx) * wy), (x1, y1, wx * wy)]
     around = F.explode(F.array(*(F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), w.alias("w")) for x, y, w in corners))).alias("c")
     wanted = each.select("line", "id", "length", "i", around).select("line", "id", "length", "i", "c.x", "c.y", "c.w").where("w > 0")
-    met = wanted.join(pixels.select("id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "value"), ["id", "x", "y"], "left")
+    # of each image only the pixels of its lines' box are dealt out
+    ends = lambda c: F.array(F.col(f"a{c}"), F.col(f"b{c}"))
+    low = lambda c, size: F.min(F.least(F.col(size) - 1.0, F.array_min(ends(c)) - BAND - 1))
+    high = lambda c: F.max(F.greatest(F.lit(0.0), F.array_max(ends(c)) + BAND + 1))
+    box = long.groupBy("id").agg(low("x", "width").alias("_x0"), high("x").alias("_x1"), low("y", "height").alias("_y0"), high("y").alias("_y1"))
+    near = pixels.select("id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "value").join(few(box), "id")
+    near = near.where("x between _x0 and _x1 and y between _y0 and _y1").select("id", "x", "y", "value")
+    met = wanted.join(many(near), ["id", "x", "y"], "left")
     samples = met.groupBy("line", "length", "i").agg((F.sum(F.col("w") * F.coalesce(F.col("value").cast("double"), F.lit(255.0))) / (2 * BAND + 1)).alias("v"))
     whole = F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
     return samples.groupBy("line", "length").agg(whole.alias("profile"))
@@ -143,7 +152,7 @@ def snapped_lines(pixels: DataFrame, lines: DataFrame, review: float = 0.45) ->
     symmetry = F.greatest(F.lit(0.0), 1 - F.abs((F.col("from") + F.col("to")) / 2 - half) / F.greatest(half, F.lit(1.0)))
     contrast = F.abs("inner")
     sure = F.least(F.lit(1.0), strength / 20) * 0.45 + symmetry * 0.25 + F.least(F.lit(1.0), contrast / 24) * 0.3
-    joined = lines.join(found.withColumns({"sure": G.clamp(sure, 0.01, 0.99), "contrast": contrast}), "line", "left")
+    joined = lines.join(many(found.withColumns({"sure": G.clamp(sure, 0.01, 0.99), "contrast": contrast})), "line", "left")
     status = (
         F.when(F.col("length").isNull(), TOO_SHORT)
         .when((F.col("steep") < 3) & (F.col("contrast") < 4), FLAT)
