@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import few, many
+
 
 def frame_measures(pixels: DataFrame) -> DataFrame:
     """(id, mean, deviation) of each image's pixels."""
@@ -20,7 +22,7 @@ def edge_pair(pixels: DataFrame, lines: DataFrame, band: int = 2) -> DataFrame:
     Rows within ``band`` are averaged, smoothed by five binomial taps and differentiated; the left edge is where the
     grey value falls fastest, the right one where it rises fastest, each placed between pixels by a parabola.
     """
-    near = pixels.join(lines, "id").where(f"abs(y - floor(line_y)) <= {band} and x between line_x0 and line_x1")
+    near = pixels.join(few(lines), "id").where(f"abs(y - floor(line_y)) <= {band} and x between line_x0 and line_x1")
     w = Window.partitionBy("id").orderBy("x")
 
     def beside(column: str, k: int):
@@ -42,7 +44,7 @@ def edge_pair(pixels: DataFrame, lines: DataFrame, band: int = 2) -> DataFrame:
     )
     flat = (F.col("steep") < 3) & (F.col("contrast") < 4)
     status = F.when(F.col("n") < 4, "line_too_short").when(flat, "profile_too_flat").when(F.col("right") <= F.col("left"), "edge_pair_not_found").otherwise("snapped")
-    return lines.select("id").join(found, "id", "left").select("id", F.coalesce(status, F.lit("line_too_short")).alias("status"), "left", "right")
+    return lines.select("id").join(many(found), "id", "left").select("id", F.coalesce(status, F.lit("line_too_short")).alias("status"), "left", "right")
 
 
 def mask_measures(pixels: DataFrame) -> DataFrame:
