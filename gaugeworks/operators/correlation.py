@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import few, many
+
 IMAGE = ("id",)
 
 
@@ -31,7 +33,7 @@ def rectangle_sums(table: DataFrame, rectangles: DataFrame, keys: Sequence[str]
     corners = F.array(*(corner(x, y) for x in ("x0", "x1") for y in ("y0", "y1")))
     wanted = rectangles.select(*keys, "rectangle", F.explode(corners).alias("c")).select(*keys, "rectangle", "c.x", "c.y", "c.sign")
     known = table.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "s", "s2")
-    met = wanted.join(known, [*keys, "x", "y"], "left")  # before the first line or column there is nothing to take off
+    met = wanted.join(many(known), [*keys, "x", "y"], "left")  # before the first line or column there is nothing to take off
     return met.groupBy(*keys, "rectangle").agg(*(F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0.0)).alias(c) for c in ("s", "s2")))
 
 
@@ -50,7 +52,7 @@ def shifted_agreement(a: DataFrame, b: DataFrame, sizes: DataFrame, shifts: Data
     Shifts are rounded half to even. Sums of one image come from its summed-area table; only products meet pixel by pixel.
     """
     keys = list(keys)
-    sized = shifts.join(sizes, keys).withColumns({"ix": F.bround("dx").cast("long"), "iy": F.bround("dy").cast("long")})
+    sized = shifts.join(few(sizes), keys).withColumns({"ix": F.bround("dx").cast("long"), "iy": F.bround("dy").cast("long")})
     ratio = overlap_ratio(F.col("width_a"), F.col("height_a"), F.col("width_b"), F.col("height_b"), F.col("dx"), F.col("dy"))
     ax, ay = F.greatest(F.lit(0), F.col("ix")), F.greatest(F.lit(0), F.col("iy"))
     bx, by = F.greatest(F.lit(0), -F.col("ix")), F.greatest(F.lit(0), -F.col("iy"))
@@ -66,8 +68,8 @@ def shifted_agreement(a: DataFrame, b: DataFrame, sizes: DataFrame, shifts: Data
         return found.select(*keys, "rectangle.dx", "rectangle.dy", F.col("s").alias(f"s_{side}"), F.col("s2").alias(f"q_{side}"))
 
     pixel = lambda df, v: df.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("value").cast("double").alias(v))
-    laid = pixel(b, "v").join(some.select(*keys, "dx", "dy", "ix", "iy"), keys).select(*keys, "dx", "dy", (F.col("x") + F.col("ix")).alias("x"), (F.col("y") + F.col("iy")).alias("y"), "v")
-    products = laid.join(pixel(a, "u"), [*keys, "x", "y"]).groupBy(*keys, "dx", "dy").agg(F.sum(F.col("u") * F.col("v")).alias("p"))
+    laid = pixel(b, "v").join(many(some.select(*keys, "dx", "dy", "ix", "iy")), keys).select(*keys, "dx", "dy", (F.col("x") + F.col("ix")).alias("x"), (F.col("y") + F.col("iy")).alias("y"), "v")
+    products = laid.join(many(pixel(a, "u")), [*keys, "x", "y"]).groupBy(*keys, "dx", "dy").agg(F.sum(F.col("u") * F.col("v")).alias("p"))
     at = [*keys, "dx", "dy"]
     met = cut.join(sums(a, "a"), at, "left").join(sums(b, "b"), at, "left").join(products, at, "left")
     n = F.col("w") * F.col("h")
