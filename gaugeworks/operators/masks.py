@@ -100,6 +100,24 @@ def _joined(pdf: pd.DataFrame, group: np.ndarray, reach: int) -> np.ndarray:
     return top
 
 
+def whole_groups(columns: list[str], use):
+    """A step for ``mapInPandas`` over rows sorted by ``columns``: ``use`` gets whole groups, as many as a batch ends."""
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf[columns] == pdf[columns].iloc[-1]).all(axis=1).to_numpy()
+            start = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # of the group that may go on
+            if start:
+                yield use(pdf.iloc[:start].reset_index(drop=True))
+            held = pdf.iloc[start:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield use(held)
+
+    return run
+
+
 def components(runs: DataFrame, keys: Sequence[str] = IMAGE, corners: bool = True, band: int = BAND) -> DataFrame:
     """``runs`` with (part_y, part_x): the place of the first pixel, by line, of the connected part each run is of.
 
@@ -118,18 +136,7 @@ def components(runs: DataFrame, keys: Sequence[str] = IMAGE, corners: bool = Tru
         top = _joined(pdf, group, 1 if corners else 0)
         return pdf.assign(part_y=pdf["y"].to_numpy()[top], part_x=pdf["x0"].to_numpy()[top])
 
-    def run(batches):
-        held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = (pdf[[*keys, "_band"]] == pdf[[*keys, "_band"]].iloc[-1]).all(axis=1).to_numpy()
-            start = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0  # of the group that may go on
-            if start:
-                yield named(pdf.iloc[:start].reset_index(drop=True))
-            held = pdf.iloc[start:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield named(held)
-
+    run = whole_groups([*keys, "_band"], named)
     local = written(placed.mapInPandas(run, schema), "bands")
     name = F.struct(*keys, "part_y", "part_x")
     border = local.where(F.pmod(F.col("y"), F.lit(band)) == 0).groupBy(*keys, "y", "x0").agg(F.min(name).alias("a"), F.max(name).alias("b"))
