@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded_case
 from ..functions.values import PALETTE, UNCATEGORIZED, UNCATEGORIZED_COLOR, trimmed
+from ..session import safe_unions
 
 
 def with_category(measurements: DataFrame, categories: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,12 +19,24 @@ def with_category(measurements: DataFrame, categories: DataFrame, keys: list[str
 def match_preset(calibrations: DataFrame, presets: DataFrame, id_col: str, tolerance: float = 1e-9) -> DataFrame:
     """For each calibration (id, name, unit, ppu) the first preset (preset_pos, name, unit, ppu) of its unit and
     scale; one with the same name comes before the others. Calibrations without a match stay."""
-    p = presets.select("preset_pos", F.col("name").alias("preset_name"), "unit", F.col("ppu").alias("preset_ppu"))
+    # of presets alike in unit, scale and name only the first can win, and without regard to name only the first of a scale; so
+    # a calibration meets two rows for each scale within the tolerance, however many presets there are
+    scale = ["unit", "ppu"]
+    first = presets.groupBy(*scale, "name").agg(F.min("preset_pos").alias("preset_pos"))
+    lowest = first.groupBy(*scale).agg(F.min(F.struct("preset_pos", "name")).alias("_low"))
+    lowest = lowest.select(*scale, "_low.preset_pos", F.col("_low.name").alias("preset_name"))
+    p = lowest.select("preset_pos", "preset_name", "unit", F.col("ppu").alias("preset_ppu"))
+    named = first.select("preset_pos", F.col("name").alias("preset_name"), "unit", F.col("ppu").alias("preset_ppu"))
     near = F.abs(F.col("ppu") - F.col("preset_ppu")) < tolerance
     # scales as multiples of a wider step meet in their own or a neighbouring cell, so the join is on equal keys
     step = max(tolerance * 4, 1e-6)
-    put = p.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("preset_ppu") / step) + d for d in (-1, 0, 1)))))
-    pairs = calibrations.withColumn("_cell", F.floor(F.col("ppu") / step)).join(put, ["unit", "_cell"]).where(near)
+    cells = F.explode(F.array(*(F.floor(F.col("preset_ppu") / step) + d for d in (-1, 0, 1))))
+    placed = calibrations.withColumn("_cell", F.floor(F.col("ppu") / step))
+    any_name = placed.join(p.withColumn("_cell", cells), ["unit", "_cell"]).where(near)
+    same_name = placed.withColumn("preset_name", F.col("name")).join(named.withColumn("_cell", cells), ["unit", "_cell", "preset_name"]).where(near)
+    columns = [id_col, "name", "preset_name", "preset_pos"]
+    safe_unions(calibrations.sparkSession)
+    pairs = any_name.select(*columns).unionByName(same_name.select(*columns))
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.when(F.col("name") == F.col("preset_name"), 0).otherwise(1), "preset_pos"))
     best = pairs.withColumn("_rank", rank).where("_rank = 1").select(id_col, "preset_pos", "preset_name")
     return calibrations.join(best, id_col, "left")
