@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import trimmed
+from .values import rounded, trimmed
 
 
 def plain_number(value: Column) -> Column:
@@ -54,6 +54,6 @@ def json_points(points: Column) -> Column:
     """``[{"x": 1.0, "y": 2.5}, ...]`` with three places and blanks after colons and commas."""
     one = F.transform(
         points,
-        lambda p: F.concat(F.lit('{"x": '), F.round(p["x"], 3).cast("string"), F.lit(', "y": '), F.round(p["y"], 3).cast("string"), F.lit("}")),
+        lambda p: F.concat(F.lit('{"x": '), rounded(p["x"], 3).cast("string"), F.lit(', "y": '), rounded(p["y"], 3).cast("string"), F.lit("}")),
     )
     return F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]"))

@@ -60,6 +60,13 @@ def mapped(code: Column, labels: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, code), code)
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """A number to some places, halves away from zero, of the number times a power of ten, as SQL engines that work in binary do;
+    Spark's own takes the shortest decimal text, by which 47.3705 + 27 is less than 74.3705."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value * float(10**places), 0) / float(10**places)
+
+
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at both ends; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")

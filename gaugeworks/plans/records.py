@@ -37,18 +37,18 @@ def record_rows(measurements: DataFrame, categories: DataFrame) -> DataFrame:
     name = F.when(F.col("number").isNotNull(), V.display_name(F.col("number"), F.col("label"))).otherwise(F.col("label"))
 
     def end(a, b):
-        return F.round(F.when(is_line, a).when(is_path, b), 3)
+        return V.rounded(F.when(is_line, a).when(is_path, b), 3)
 
     def zero(column):
-        return F.round(F.coalesce(column, F.lit(0.0)), 6)
+        return V.rounded(F.coalesce(column, F.lit(0.0)), 6)
 
     cells = [
-        name, V.mapped(kind, V.KIND_LABELS), F.round(value, 6), V.display_unit(kind, F.col("unit")), V.calibration_info(F.col("calibration_mode"), F.col("calibration_source")),
-        V.mapped(F.col("mode"), V.MODE_LABELS), V.mapped(F.col("status"), V.STATUS_LABELS), F.round("confidence", 4), F.col("_by_kind"), F.col("_by_label"),
+        name, V.mapped(kind, V.KIND_LABELS), V.rounded(value, 6), V.display_unit(kind, F.col("unit")), V.calibration_info(F.col("calibration_mode"), F.col("calibration_source")),
+        V.mapped(F.col("mode"), V.MODE_LABELS), V.mapped(F.col("status"), V.STATUS_LABELS), V.rounded("confidence", 4), F.col("_by_kind"), F.col("_by_label"),
         end(line["start"]["x"], first["x"]), end(line["start"]["y"], first["y"]), end(line["end"]["x"], last["x"]), end(line["end"]["y"], last["y"]),
         F.when(is_line | is_path, zero(F.col("diameter_px"))), F.when(is_area, F.size("polygon")), F.when(is_area, T.json_points(F.col("polygon"))).otherwise(""),
         F.when(is_path, F.size(path)), F.when(is_path, T.json_points(path)).otherwise(""),
-        F.round(F.when(is_count, F.col("point.x")), 3), F.round(F.when(is_count, F.col("point.y")), 3),
+        V.rounded(F.when(is_count, F.col("point.x")), 3), V.rounded(F.when(is_count, F.col("point.y")), 3),
         F.when(is_area, zero(F.col("area_px"))), F.when(is_area, zero(hole)), F.col("created_at"), F.col("image_path"), F.col("image_id"), F.col("measurement_id"),
         F.coalesce(F.col("category_id"), F.lit("")), F.col("number"), F.col("number"), F.col("label"), F.col("color"),
     ]
