@@ -31,12 +31,16 @@ class Archive:
 
 
 def read_projects(spark: SparkSession, path: str) -> Archive:
-    """Projects below a path or glob. Unknown keys are ignored, missing ones take defaults, old codes are renewed."""
+    """Projects below a path or glob. Unknown keys are ignored, missing ones take defaults, old codes are renewed. A project is
+    named by its file, one in parts by its folder and the name that its parts give."""
     files = spark.read.schema(PROJECT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    projects = files.withColumn("project_id", F.col("_metadata.file_path"))
-    documents = projects.select("project_id", F.posexplode("documents").alias("image_pos", "d"))
-    image_id = F.col("d.id").alias("image_id")
-    image = documents.select(
+    file = F.col("_metadata.file_path")
+    parts = F.concat(F.regexp_replace(file, "[^/]*$", ""), F.col("part.project"))
+    projects = files.withColumn("project_id", F.coalesce(parts, file))
+    documents = projects.select("project_id", F.posexplode("documents").alias("_at", "d"))
+    documents = documents.select("project_id", F.coalesce("d.image_pos", "_at").alias("image_pos"), "d")
+    image_id, first = F.col("d.id").alias("image_id"), F.coalesce("d.first_measurement", F.lit(0))
+    image = documents.where(first == 0).select(
         "project_id", image_id, "image_pos", "d.path", F.coalesce("d.source_type", F.lit("filesystem")).alias("source_type"), "d.absolute_path",
         F.get("d.image_size", F.lit(0)).alias("width"), F.get("d.image_size", F.lit(1)).alias("height"), "d.calibration",
         F.col("d.active_group_id").alias("active_category_id"),
@@ -46,7 +50,8 @@ def read_projects(spark: SparkSession, path: str) -> Archive:
         "project_id", "image_id", F.col("g.id").alias("category_id"), "category_pos",
         F.coalesce("g.number", F.col("category_pos") + 1).alias("number"), V.trimmed(F.coalesce("g.label", "g.name")).alias("label"), "g.color",
     )
-    m = documents.select("project_id", image_id, "image_pos", F.posexplode("d.measurements").alias("measurement_pos", "m"))
+    m = documents.select("project_id", image_id, "image_pos", first.alias("_first"), F.posexplode("d.measurements").alias("_at", "m"))
+    m = m.withColumn("measurement_pos", F.col("_first") + F.col("_at"))
     measurement = m.select(
         "project_id", "image_id", "image_pos", F.col("m.id").alias("measurement_id"), "measurement_pos", F.col("m.fiber_group_id").alias("category_id"),
         F.coalesce("m.measurement_kind", F.lit("line")).alias("measurement_kind"),
@@ -68,7 +73,8 @@ def read_projects(spark: SparkSession, path: str) -> Archive:
     listed = listed.select("project_id", "template_pos", V.trimmed(F.col("t.label")).alias("label"), "t.color").where("label <> ''")
     first = F.row_number().over(Window.partitionBy("project_id", "label").orderBy("template_pos"))
     template = listed.withColumn("_first", first).where("_first = 1").drop("_first")
-    project = projects.select("project_id", "version", F.col("project_default_calibration").alias("calibration"), F.col("metadata").alias("metadata_json"))
+    whole = F.coalesce("part.number", F.lit(0)) == 0
+    project = projects.where(whole).select("project_id", "version", F.col("project_default_calibration").alias("calibration"), F.col("metadata").alias("metadata_json"))
     return Archive(project, image, category, measurement, annotation, preset, template)
 
 

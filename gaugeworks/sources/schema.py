@@ -18,12 +18,14 @@ TEMPLATE = "struct<label:string,color:string>"
 DOCUMENT = (
     f"struct<id:string,path:string,source_type:string,absolute_path:string,image_size:array<int>,calibration:{CALIBRATION},"
     f"fiber_groups:array<{GROUP}>,measurements:array<{MEASUREMENT}>,overlay_annotations:array<{ANNOTATION}>,"
-    f"text_annotations:array<{ANNOTATION}>,metadata:string,active_group_id:string,suppressed_project_group_labels:array<string>>"
+    f"text_annotations:array<{ANNOTATION}>,metadata:string,active_group_id:string,suppressed_project_group_labels:array<string>,"
+    "image_pos:int,first_measurement:int>"
 )
-#: A project file.
+#: A project file. One of a project in parts says which part it is; its images then say where they stand, and an image with
+#: many measurements is listed again with the further ones.
 PROJECT = (
     f"version string, documents array<{DOCUMENT}>, calibration_presets array<{PRESET}>, project_default_calibration {CALIBRATION}, "
-    f"project_group_templates array<{TEMPLATE}>, metadata string"
+    f"project_group_templates array<{TEMPLATE}>, metadata string, part struct<project:string,number:int>"
 )
 #: A calibration sidecar beside an image.
 SIDECAR = f"version string, image_path string, calibration {CALIBRATION}, calibration_line {_LINE}, updated_at string"

@@ -43,6 +43,20 @@ def test_project_tables(spark, tmp_path):
         assert one == two, name
 
 
+def test_a_large_project_is_written_in_parts(spark, tmp_path):
+    project(tmp_path)
+    a = archive.read_projects(spark, f"file://{tmp_path}/*.fdmproj")
+    sinks.write_projects(a, f"file://{tmp_path}/parts", part_rows=2)  # one image of four measurements
+    files = [json.loads(f.read_text("utf-8")) for f in (tmp_path / "parts").glob("*.json")]
+    held = [len(d.get("measurements", [])) for f in files for d in f.get("documents", [])]
+    assert held == [2, 2] and len([f for f in files if "calibration_presets" in f]) == 1
+    b = archive.read_projects(spark, f"file://{tmp_path}/parts/*.json")
+    for name in ("project", "image", "category", "measurement", "annotation", "preset", "template"):
+        one, two = (sorted(map(str, getattr(x, name).drop("project_id", "debug_json", "metadata_json").collect())) for x in (a, b))
+        assert one == two, name
+    assert b.image.select("project_id").union(b.preset.select("project_id")).distinct().count() == 1
+
+
 def test_delete_category_frees_and_renumbers(spark, tmp_path):
     project(tmp_path)
     a = archive.read_projects(spark, f"file://{tmp_path}/*.fdmproj")
