@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import written
+from ..session import few, written
 
 _BOX = ["min_x", "min_y", "max_x", "max_y"]
+#: Boxes of a group that are all compared with each other.
+SMALL_GROUP = 32
 
 
 def box_iou(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
@@ -29,26 +31,39 @@ def box_iou(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(a, b, iou): ids of boxes (keys, id, min_x .. max_y) of one group with an IoU of ``threshold`` (0.5 or more).
 
-    Such boxes differ by less than a factor of two in size. Each box is put into the cells it covers of two grids, of
-    two and four times its size rounded to powers of two; so it has 16 cells at most, however large it is, and boxes
-    meet on equal cells of the larger one's grid. A pair is taken from the cell with the first corner of what they share.
+    Such boxes differ by less than a factor of two in size. In groups of up to ``SMALL_GROUP`` boxes on the right all meet. In
+    others each box is put into the cells it covers of two grids, of two and four times its size rounded to powers of two; so it
+    has 16 cells at most, however large it is, and boxes meet on equal cells of the larger one's grid. A pair is taken from the
+    cell with the first corner of what they share.
     """
+    large = written(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL_GROUP).select(*keys), "large-groups")
+    large = few(large.withColumn("_large", F.lit(True)))
+
+    def place(level: Column, x: Column, y: Column) -> Column:
+        """A cell's number; 0 is that of a small group."""
+        return F.xxhash64(level, x, y).bitwiseOR(F.lit(1))
+
+    def level(box: Callable[[str], Column]) -> Column:
+        size = F.greatest(box("max_x") - box("min_x"), box("max_y") - box("min_y"))
+        return F.ceil(F.log2(F.greatest(size, F.lit(1e-6))))
 
     def put(df: DataFrame, name: str) -> DataFrame:
-        size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-        level = F.ceil(F.log2(F.greatest(size, F.lit(1e-6))))
-        df = df.where((F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y"))).withColumn("_own", level)
-        df = df.withColumn("_level", F.explode(F.array(F.col("_own"), F.col("_own") + 1))).withColumn("_cell", F.pow(F.lit(2.0), F.col("_level")))
-        for axis in ("x", "y"):
-            low, high = (F.floor(F.col(f"{end}_{axis}") / F.col("_cell")) for end in ("min", "max"))
-            df = df.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
-        box = F.struct("_own", *_BOX).alias(name)
-        return df.select(*keys, "_level", "_cell", "_cx", "_cy", F.col("id").alias(name[0]), box)
-
-    both = put(left, "a_box").join(put(right, "b_box").drop("_cell"), [*keys, "_level", "_cx", "_cy"])
-    a, b = (lambda c: F.col(f"a_box.{c}")), (lambda c: F.col(f"b_box.{c}"))
-    first = [F.floor(F.greatest(a(f"min_{x}"), b(f"min_{x}")) / F.col("_cell")) == F.col(f"_c{x}") for x in ("x", "y")]
-    once = (F.col("_level") == F.greatest(a("_own"), b("_own"))) & first[0] & first[1]
+        df = df.where((F.col("max_x") > F.col("min_x")) & (F.col("max_y") > F.col("min_y"))).select(*keys, "id", *_BOX).join(large, keys, "left")
+
+        def cells(at: Column) -> Column:
+            cell = F.pow(F.lit(2.0), at)
+            x, y = (F.sequence(F.floor(F.col(f"min_{axis}") / cell), F.floor(F.col(f"max_{axis}") / cell)) for axis in ("x", "y"))
+            return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: place(at, i, j))))
+
+        own = level(F.col)
+        at = F.when(F.col("_large"), F.concat(cells(own), cells(own + 1))).otherwise(F.array(F.lit(0).cast("long")))
+        return df.select(*keys, F.explode(at).alias("_at"), F.col("id").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in _BOX))
+
+    both = put(left, "a").join(put(right, "b"), [*keys, "_at"])
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    larger = F.greatest(level(a), level(b))
+    first = [F.floor(F.greatest(a(f"min_{x}"), b(f"min_{x}")) / F.pow(F.lit(2.0), larger)) for x in ("x", "y")]
+    once = (F.col("_at") == 0) | (F.col("_at") == place(larger, *first))
     return both.where(once).select("a", "b", box_iou(a, b).alias("iou")).where(F.col("iou") >= threshold)
 
 
