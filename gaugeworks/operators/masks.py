@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -260,41 +261,88 @@ def ring_runs(rings: DataFrame, keys: Sequence[str] = IMAGE, points: str = "poin
     one all pixels are set. An edge itself sets one pixel for each step along its longer axis, the one nearest to it (of two
     equally near ones that nearer to its left end). Rings of fewer than three points have none.
     """
+    return shape_runs(rings.select(*keys, F.array(points).alias("rings")), keys)
+
+
+def shape_runs(shapes: DataFrame, keys: Sequence[str] = IMAGE, rings: str = "rings", band: int = BAND) -> DataFrame:
+    """The runs of shapes (keys, rings): the first ring filled as by :func:`ring_runs`, less the fillings of the others.
+
+    What meets are the edges of a shape that reach into a band of lines; no task holds more of a shape than a band.
+    """
     keys = list(keys)
-    p = F.transform(points, lambda v: F.struct(F.bround(v["x"]).cast("long").alias("x"), F.bround(v["y"]).cast("long").alias("y")))
-    closed = rings.where(F.size(points) >= 3).select(*keys, p.alias("p"))
+    vertex = lambda v: F.struct(F.bround(v["x"]).cast("long").alias("x"), F.bround(v["y"]).cast("long").alias("y"))
+    each = shapes.select(*keys, F.posexplode(rings).alias("_ring", "p")).where(F.size("p") >= 3).select(*keys, "_ring", F.transform("p", vertex).alias("p"))
     pairs = F.transform("p", lambda a, i: F.struct(a.alias("a"), F.get(F.col("p"), (i + 1) % F.size("p")).alias("b")))
-    edges = closed.select(*keys, F.explode(pairs).alias("e")).select(*keys, *(F.col(f"e.{v}.{c}").alias(f"{v}{c}") for v in "ab" for c in "xy"))
-    # lines that an edge crosses, its lower end left out
-    low, high = F.least("ay", "by"), F.greatest("ay", "by")
-    crossed = edges.where("ay <> by").withColumn("y", F.explode(F.sequence(low, high - 1)))
-    cut = F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    w = _line(keys).orderBy("cut")
-    cuts = crossed.select(*keys, "y", cut.alias("cut")).withColumn("n", F.row_number().over(w)).withColumn("end", F.lead("cut").over(w))
-    inside = cuts.where("n % 2 = 1").select(*keys, "y", F.ceil("cut").alias("x0"), F.floor("end").alias("x1")).where("x0 <= x1")
-    # the outline's pixels, from each edge's left end
-    turn = (F.col("bx") < F.col("ax")) | ((F.col("bx") == F.col("ax")) & (F.col("by") < F.col("ay")))
-    from_left = edges.select(
-        *keys, *(F.when(turn, F.col(f"b{c}")).otherwise(F.col(f"a{c}")).alias(c) for c in "xy"),
-        (F.greatest("ax", "bx") - F.least("ax", "bx")).alias("dx"), (F.when(turn, F.col("ay") - F.col("by")).otherwise(F.col("by") - F.col("ay"))).alias("dy"),
-    )
-    long = F.greatest("dx", F.abs("dy"))
-    steps = from_left.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), long)))
-    near = lambda d: F.when(long == 0, F.lit(0)).otherwise(F.ceil((2 * F.col("k") * d - long) / F.nullif(2 * long, F.lit(0))))  # noqa: E731  k * d / long, halves down
-    flat = F.col("dx") >= F.abs("dy")
-    x = F.when(flat, F.col("x") + F.col("k")).otherwise(F.col("x") + near(F.col("dx")))
-    y = F.when(flat, F.col("y") + F.signum("dy").cast("long") * near(F.abs("dy"))).otherwise(F.col("y") + F.signum("dy").cast("long") * F.col("k"))
-    outline = runs_of(steps.select(*keys, x.alias("x"), y.alias("y")), keys)
-    return union(inside.select(*keys, "y", "x0", "x1"), outline, keys)
-
-
-def shape_runs(shapes: DataFrame, keys: Sequence[str] = IMAGE, rings: str = "rings") -> DataFrame:
-    """The runs of shapes (keys, rings): the first ring filled, less the fillings of the others."""
-    keys = list(keys)
-    each = shapes.select(*keys, F.posexplode(rings).alias("_ring", "points"))
-    outer, inner = each.where("_ring = 0").drop("_ring"), each.where("_ring > 0")
-    gone = merged(ring_runs(inner, [*keys, "_ring"]).drop("_ring"), keys)
-    return difference(ring_runs(outer, keys), gone, keys)
+    edge = F.struct(F.col("_ring").cast("long").alias("ring"), *(F.col(f"e.{v}.{c}").alias(f"{v}{c}") for v in "ab" for c in "xy"))
+    bands = F.sequence(F.floor(F.least("e.a.y", "e.b.y") / band), F.floor(F.greatest("e.a.y", "e.b.y") / band))
+    edges = each.select(*keys, "_ring", F.explode(pairs).alias("e")).select(*keys, F.explode(bands).alias("_band"), edge.alias("e"))
+    held = edges.groupBy(*keys, "_band").agg(F.collect_list("e").alias("e"))
+    out = ["y", "x0", "x1"]
+
+    def runs(batches):
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                lists = batch.column(len(keys) + 1)
+                owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                parts = lists.flatten().flatten()
+                if any(c.null_count for c in parts):  # edges of points without a place
+                    good = ~np.any([c.is_null().to_numpy(zero_copy_only=False) for c in parts], axis=0)
+                    owner, parts = owner[good], [c.filter(pa.array(good)) for c in parts]
+                low = batch.column(len(keys)).to_numpy(zero_copy_only=False)[owner] * band
+                at, *found = _shape_runs(owner, *(c.to_numpy(zero_copy_only=False) for c in parts), low, low + band - 1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at)) for i in range(len(keys))), *map(pa.array, found)], [*keys, *out])
+
+    schema = StructType([*(shapes.schema[k] for k in keys), *(StructField(c, LongType()) for c in out)])
+    return held.mapInArrow(runs, schema)
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, value) of all whole numbers from each ``first`` to its ``last``."""
+    n = np.maximum(last - first + 1, 0)
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[which]
+
+
+def _shape_runs(owner, ring, ax, ay, bx, by, low, high) -> tuple[np.ndarray, ...]:
+    """(owner, y, x0, x1) of the filled shapes whose edges these are, within their lines ``low`` to ``high``."""
+    # from each odd cut of a line to the next one; an edge's lower end is left out
+    which, y = _spread(np.where(ay == by, high + 1, np.maximum(np.minimum(ay, by), low)), np.minimum(np.maximum(ay, by) - 1, high))
+    cut = ax[which] + (y - ay[which]) * (bx - ax)[which] / (by - ay)[which]
+    of, turn = owner[which], ring[which]
+    order = np.lexsort((cut, y, turn, of))
+    cut, y, of, turn = cut[order], y[order], of[order], turn[order]
+    new = np.ones(len(cut), bool)
+    new[1:] = (np.diff(of) != 0) | (np.diff(turn) != 0) | (np.diff(y) != 0)
+    place = np.arange(len(cut)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(cut) else np.empty(0, np.int64)
+    odd = np.flatnonzero((place[:-1] % 2 == 0) & ~new[1:])
+    found = [(of[odd], turn[odd], y[odd], np.ceil(cut[odd]).astype(np.int64), np.floor(cut[odd + 1]).astype(np.int64))]
+    # the outline's pixels, from each edge's left end: k * short / long, halves down
+    back = (bx < ax) | (bx == ax) & (by < ay)
+    x, top, dx, dy = np.where(back, bx, ax), np.where(back, by, ay), np.abs(bx - ax), np.where(back, ay - by, by - ay)
+    up, size = np.sign(dy), np.abs(dy)
+    first = np.where(up < 0, top - high, low - top)  # lines from the left end on that are in the band
+    last = np.where(up < 0, top - low, high - top)
+    first, last = np.where(up == 0, np.where((low <= top) & (top <= high), 0, 1), np.maximum(first, 0)), np.where(up == 0, 0, np.minimum(last, size))
+    which, line = _spread(first, last)
+    long, short, flat = dx[which], size[which], (dx >= size)[which]
+    twice = np.maximum(2 * short, 1)
+    begin = np.where(flat, np.where(short == 0, 0, np.maximum(long * (2 * line - 1) // twice + 1, 0)), -((short - 2 * line * long) // twice))
+    end = np.where(flat, np.where(short == 0, long, np.minimum(long * (2 * line + 1) // twice, long)), begin)
+    found.append((owner[which], ring[which], top[which] + up[which] * line, x[which] + begin, x[which] + end))
+    of, turn, y, x0, x1 = map(np.concatenate, zip(*found))
+    good = x0 <= x1
+    of, turn, y, x0, x1 = of[good], turn[good], y[good], x0[good], x1[good]
+    # set where the first ring covers and no other: a sweep over the ends of runs
+    by_a = np.where(turn == 0, 1, 0)
+    of, y, x, a, b = np.tile(of, 2), np.tile(y, 2), np.concatenate([x0, x1 + 1]), np.concatenate([by_a, -by_a]), np.concatenate([1 - by_a, by_a - 1])
+    order = np.lexsort((x, y, of))
+    of, y, x, a, b = of[order], y[order], x[order], np.cumsum(a[order]), np.cumsum(b[order])
+    final = np.ones(len(x), bool)  # of the ends at a place
+    final[:-1] = (np.diff(of) != 0) | (np.diff(y) != 0) | (np.diff(x) != 0)
+    of, y, x, on = of[final], y[final], x[final], ((a > 0) & (b == 0))[final]
+    before = np.concatenate([[False], on[:-1]])
+    start, stop = np.flatnonzero(on & ~before), np.flatnonzero(~on & before)
+    return of[start], y[start], x[start], x[stop] - 1
 
 
 def run_overlaps(left: DataFrame, right: DataFrame, within: Sequence[str] = (), cell: int = 256) -> DataFrame:
