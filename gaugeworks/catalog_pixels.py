@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, r4
 from .operators import correlation, focus, snap, tiles
-from .session import shared_folder, spread, table
+from .session import shared_folder, spread, table, written
 from .sources import images
 
 WIDTH, HEIGHT = 120, 44
@@ -213,7 +213,9 @@ def _image_files(suppliers: DataFrame, folder: str) -> None:
     four = [h * size + 54, F.lit(0), F.lit(54), F.lit(40), w, h]
     head = F.concat(F.lit("424D"), *(_hex(c, 4) for c in four), F.lit("01001800"), F.repeat(F.lit("00"), 24))
     content = F.when(k % 7 == 0, F.lit("no image")).otherwise(F.unhex(F.concat(head, body)).cast("string"))
-    suppliers.select("s_suppkey", content.alias("value")).write.partitionBy("s_suppkey").text(folder)
+    rows = spread(suppliers.select("s_suppkey", content.alias("value")), "s_suppkey", 100)
+    # tasks move their own files; the driver would move one after the other
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").text(folder)
 
 
 @query("""
@@ -230,7 +232,7 @@ def decoded_images(spark: SparkSession, d: str) -> DataFrame:
     suppliers = table(spark, d, "supplier").select("s_suppkey", (3 + k % 5).cast("int").alias("w"), (2 + k % 3).cast("int").alias("h"))
     folder = f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
     _image_files(suppliers, folder)
-    files = images.read_images(spark, folder)
+    files = written(images.read_images(spark, folder), "decoded")  # each file is opened once
     lines = images.grey_lines(files)
     n, placed = F.size("line"), F.transform("line", lambda v, x: v.cast("long") * (F.col("y") * F.size("line") + x))
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)

@@ -43,3 +43,12 @@ def test_a_broken_and_a_good_file_in_one_read(spark, tmp_path):
         ("opacity.png", 0, 0): 255,
     }
     found.unpersist()
+
+
+def test_image_files_are_written_by_several_tasks(spark, tmp_path):
+    from gaugeworks.catalog_pixels import _image_files
+
+    suppliers = spark.range(1, 202, numPartitions=1).selectExpr("id as s_suppkey", "3 as w", "2 as h")
+    _image_files(suppliers, f"file://{tmp_path}/files")
+    files = list((tmp_path / "files").glob("s_suppkey=*/part-*"))
+    assert len(files) == 201 and len({f.name[:10] for f in files}) > 1
