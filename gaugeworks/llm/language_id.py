@@ -150,12 +150,12 @@ def _cached(counts: DataFrame, tokens: DataFrame, n_langs: int) -> tuple[str, np
     if least is None:
         return "", np.zeros((0, n_langs), np.int64)
     chosen = tokens.where("size = 0").join(short.where(F.col("class") >= int(least)), "token", "left_semi")
-    found = chosen.groupBy("token").agg(F.collect_list(F.struct("lang", "gain")).alias("gains")).collect()
-    gains = np.zeros((len(found), n_langs), np.int64)
-    for i, r in enumerate(found):
-        for lang, gain in r.gains:
-            gains[i, lang] = gain
-    return "\n".join(r.token for r in found), gains
+    # columns, as a row object for each word and gain would be many times their size
+    found = chosen.select("token", "lang", "gain").toArrow()
+    words = found["token"].combine_chunks().dictionary_encode()
+    gains = np.zeros((len(words.dictionary), n_langs), np.int64)
+    gains[words.indices.to_numpy(), found["lang"].to_numpy()] = found["gain"].to_numpy()
+    return "\n".join(words.dictionary.to_pylist()), gains
 
 
 class Scorer:

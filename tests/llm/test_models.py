@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -110,6 +111,18 @@ def test_a_word_seen_once_has_its_counts_in_all_languages(spark):
     assert words == {k: pytest.approx(2 * n) for k, n in {("a", "zed"): 15, ("a", "alpha"): 85, ("b", "zed"): 5, ("b", "once"): 1, ("b", "beta"): 94}.items()}
 
 
+def test_cached_words_come_to_the_driver_as_columns(spark):
+    docs = spark.range(20).selectExpr("transform(sequence(0, 1999), i -> translate(format_number(id * 2000 + i, 0), '0123456789,', 'abcdefghij')) AS w", "concat('l', id % 4) AS lang")
+    docs = docs.selectExpr("array_join(w, ' ') AS text", "lang").unionByName(docs.selectExpr("array_join(w, ' ') AS text", "'l9' AS lang"))
+    language_id.train(docs.limit(0))  # imports
+    tracemalloc.start()
+    words, gains = language_id.train(docs).known
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words.split("\n")) == len(gains) == 40_000 and ((gains != 0).sum(1) == 2).all()
+    assert most < 300 * len(gains)  # bytes of Python objects; row objects take over 1,000
+
+
 def test_many_languages(spark, monkeypatch):
     monkeypatch.setattr(language_id, "CACHED_CELLS", 20_000)  # 100 words of 200 languages
     rows = [(200 * j + i, " ".join(f"{chr(0x4E00 + i)}{c}" for c in "abcdefgh"), f"l{i:03}") for i in range(200) for j in range(4)]
