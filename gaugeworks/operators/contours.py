@@ -4,87 +4,159 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 from ..session import safe_unions, written
-from .masks import IMAGE, PART, components, difference
+from .masks import BAND, IMAGE, PART, _spread, components, whole_groups
 
 #: Directions of an edge: right, down, left, up; the mask lies on its right.
 RIGHT, DOWN, LEFT, UP = range(4)
 
 
-def boundary_edges(runs: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """(keys, e, end, pixel): the unit edges between a mask and its background. ``e`` is struct (y, x, turn), where an edge
-    begins and its direction; ``end`` where it ends; ``pixel`` the mask's pixel beside it."""
-    keys = list(keys)
-    safe_unions(runs.sparkSession)
-    runs = written(runs.select(*keys, "y", "x0", "x1"), "runs")
-
-    def corner(x: Column, y: Column) -> Column:
-        return F.struct(y.cast("long").alias("y"), x.cast("long").alias("x"))
-
-    def edges(rows: DataFrame, x: Column, y: Column, direction: int) -> DataFrame:
-        """Of each pixel (x, y) the side that faces up, right, down or left."""
-        sx, sy = x + int(direction in (DOWN, LEFT)), y + int(direction in (LEFT, UP))
-        ex, ey = sx + int(direction == RIGHT) - int(direction == LEFT), sy + int(direction == DOWN) - int(direction == UP)
-        e = F.struct(sy.cast("long").alias("y"), sx.cast("long").alias("x"), F.lit(direction).alias("turn"))
-        return rows.select(*keys, e.alias("e"), corner(ex, ey).alias("end"), corner(x, y).alias("pixel"))
-
-    y = F.col("y")
-    out = edges(runs, F.col("x0"), y, UP).unionByName(edges(runs, F.col("x1"), y, DOWN))
-    for by, direction in ((1, RIGHT), (-1, LEFT)):
-        free = difference(runs, runs.withColumn("y", y + by), keys)  # no pixel above, then below
-        out = out.unionByName(edges(free.withColumn("x", F.explode(F.sequence("x0", "x1"))), F.col("x"), y, direction))
-    return out
-
-
-def loops(edges: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """The edges with (loop, place): the first edge of the closed line each is on, and its place on it, from 0.
-
-    An edge is followed by one that begins where it ends; where two do, by the one to the left, which joins pixels that touch
-    by a corner. Places come from pointer doubling: in each round every edge learns the first edge among twice as many
-    followers, and how far it is; so a loop of n edges takes log2(n) rounds, and no loop is gathered.
+def _edges(group, base, y, x0, x1, band: int) -> tuple[np.ndarray, ...]:
+    """(group, y, x, turn, pixel's y, pixel's x) of the unit edges between masks and background that begin in the ``band`` lines
+    from each group's ``base`` on, sorted. Runs come by group, line and place, those of the line above the band included."""
+    found = [(group, y + 1, x0, np.full_like(y, UP), y, x0), (group, y, x1 + 1, np.full_like(y, DOWN), y, x1)]
+    wide = x1.max() - x0.min() + 3
+    line = (group * (band + 4) + y - base[group] + 2) * wide - x0.min()
+    for by, turn in ((-1, RIGHT), (1, LEFT)):
+        # what the next line's runs leave free of a run lies before, between and after those that meet it
+        first = np.searchsorted(line + x1, line + by * wide + x0)
+        met = np.maximum(np.searchsorted(line + x0, line + by * wide + x1, "right") - first, 0)
+        of, k = _spread(np.zeros_like(met), met)
+        beside = first[of] + k
+        left = np.where(k == 0, x0[of], x1[np.maximum(beside - 1, 0)] + 1)
+        right = np.where(k == met[of], x1[of], x0[np.minimum(beside, len(y) - 1)] - 1)
+        at, x = _spread(left, right)
+        at = of[at]
+        found.append((group[at], y[at] + (turn == LEFT), x + (turn == LEFT), np.full_like(x, turn), y[at], x))
+    edges = np.array([np.concatenate(c) for c in zip(*found)])
+    edges = edges[:, (edges[1] >= base[edges[0]]) & (edges[1] < base[edges[0]] + band)]
+    return tuple(edges[:, np.lexsort(edges[3::-1])])
+
+
+def _pieces(group, base, y, x0, x1, band: int) -> tuple:
+    """(edges, ends, order, first, closed): the edges and where they end, their order by pieces of lines, where each piece begins
+    in it, and whether it is a whole closed line. That begins with its first edge; others are cut before their first edge."""
+    g, sy, sx, turn, *_ = edges = _edges(group, base, y, x0, x1, band)
+    n = len(g)
+    ey, ex = sy + (turn == DOWN) - (turn == UP), sx + (turn == RIGHT) - (turn == LEFT)
+    wide = x1.max() - x0.min() + 3
+    code = lambda y, x: (g * (band + 4) + y - base[g] + 2) * wide + x - x0.min()
+    starts, stops = code(sy, sx), code(ey, ex)
+    one, beyond = np.searchsorted(starts, stops), np.searchsorted(starts, stops, "right")
+    follower = np.where(beyond > one, one, n)
+    two = np.flatnonzero(beyond - one == 2)
+    sharper = (turn[one[two] + 1] - turn[two] + 1) % 4 < (turn[one[two]] - turn[two] + 1) % 4  # left 0, straight 1, right 2
+    follower[two[sharper]] += 1
+    # the first edge among those ahead, twice as many in each round; n stands for what lies in other bands
+    best, ahead = np.arange(n + 1), np.append(follower, n)
+    while True:
+        better, further = np.minimum(best, best[ahead]), ahead[ahead]
+        done = np.array_equal(better, best) and np.count_nonzero(further == n) == np.count_nonzero(ahead == n)
+        best, ahead = better, further
+        if done:
+            break
+    closed, before = ahead[:n] != n, np.full(n + 1, -1)
+    before[follower] = np.arange(n)
+    before = before[:n]
+    before[best[:n][closed | (before < 0)]] = -1
+    root, away = np.where(before < 0, np.arange(n), before), (before >= 0).astype(np.int64)
+    while not np.array_equal(root, root[root]):
+        root, away = root[root], away + away[root]
+    order = np.lexsort((away, root))
+    first = np.flatnonzero(away[order] == 0)
+    return edges, (ey, ex), order, first, closed[order[first]]
+
+
+def pieces(runs: DataFrame, keys: Sequence[str] = IMAGE, band: int = BAND) -> DataFrame:
+    """(keys, closed, e, end, n, area, p): the lines around masks, which lie on their right, cut where they leave a band of lines.
+
+    ``e`` is struct (y, x, turn), where the first edge begins and its direction, ``end`` where the last one ends and its direction,
+    ``n`` the number of edges, ``area`` their share of twice the signed area and ``p`` the mask's pixels along them. An edge is
+    followed by one that begins where it ends; where two do, by the one to the left, which joins pixels that touch by a corner.
+    A task holds one band and the line above it, whatever a mask's size. Runs without a key give none.
     """
     keys = list(keys)
-    follower = edges.select(*keys, F.struct(F.col("e.y"), F.col("e.x")).alias("end"), F.col("e").alias("next"))
-    turn = F.pmod(F.col("next.turn") - F.col("e.turn") + 1, F.lit(4))  # left 0, straight 1, right 2
-    linked = edges.join(follower, [*keys, "end"]).groupBy(*keys, "e").agg(F.min_by("next", turn).alias("next"), F.first("pixel").alias("pixel"))
-    known = written(linked.select(*keys, "e", "next", "pixel", F.col("e").alias("loop"), F.lit(0).cast("long").alias("away")), "edges")
-    steps = 1
+    y = F.col("y")
+    bands = F.explode(F.array_distinct(F.array(F.floor(y / band), F.floor((y + 1) / band))))
+    placed = runs.dropna(subset=keys).select(*keys, bands.alias("_band"), *(F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1")))
+    own = [*keys, "_band"]
+    placed = placed.repartition(*own).sortWithinPartitions(*own, "y", "x0")
+    corner = pa.struct([("y", pa.int64()), ("x", pa.int64()), ("turn", pa.int32())])
+
+    def drawn(pdf: pd.DataFrame) -> pa.RecordBatch:
+        new = (pdf[own] != pdf[own].shift()).any(axis=1).to_numpy()
+        start = np.flatnonzero(new)
+        base = pdf["_band"].to_numpy(np.int64)[start] * band
+        (g, sy, sx, turn, py, px), (ey, ex), order, first, closed = _pieces(new.cumsum() - 1, base, *(pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1")), band)
+        bounds = np.append(first, len(order))
+        head, tail = order[first], order[bounds[1:] - 1]
+        struct = lambda at, y, x: pa.StructArray.from_arrays([pa.array(y[at]), pa.array(x[at]), pa.array(turn[at].astype(np.int32))], fields=list(corner))
+        part = np.where(turn == RIGHT, -sy, np.where(turn == LEFT, sy, 0))[order]
+        py, px = py[order], px[order]
+        walked = np.ones(len(order), bool)
+        walked[1:] = (np.diff(py) != 0) | (np.diff(px) != 0)
+        walked[first] = True
+        pixels = pa.StructArray.from_arrays([pa.array(py[walked]), pa.array(px[walked])], ["y", "x"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, walked.cumsum())[bounds], pa.int32()), pixels)
+        of = pa.RecordBatch.from_pandas(pdf[keys].iloc[start[g[head]]], preserve_index=False).columns
+        found = [pa.array(closed), struct(head, sy, sx), struct(tail, ey, ex), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(part, first)), lists]
+        return pa.RecordBatch.from_arrays([*of, *found], [*keys, "closed", "e", "end", "n", "area", "p"])
+
+    place = "struct<y: bigint, x: bigint, turn: int>"
+    shape = StructType.fromDDL(f"closed boolean, e {place}, end {place}, n bigint, area bigint, p array<struct<y: bigint, x: bigint>>")
+    shape = StructType([*(placed.schema[k] for k in keys), *shape.fields])
+    return placed.mapInArrow(lambda batches: whole_groups(own, drawn)(b.to_pandas() for b in batches), shape)
+
+
+def _lines(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, e, loop, away): for each piece the first edge of its closed line, and how many edges on that is. Places come from
+    pointer doubling: in each round a piece learns the first edge among twice as many pieces, so no line is gathered."""
+    begins = open_.select(*keys, F.struct("e.y", "e.x").alias("_at"), F.col("e").alias("next"))
+    ends = open_.select(*keys, F.struct("end.y", "end.x").alias("_at"), "e", "end.turn", "n")
+    turn = F.pmod(F.col("next.turn") - F.col("turn") + 1, F.lit(4))
+    linked = ends.join(begins, [*keys, "_at"]).groupBy(*keys, "e").agg(F.min_by("next", turn).alias("next"), F.first("n").alias("n"))
+    known = written(linked.select(*keys, "e", "next", "n", F.col("e").alias("loop"), F.lit(0).cast("long").alias("away")), "lines")
     while True:
-        ahead = known.select(*keys, F.col("e").alias("next"), F.col("next").alias("_next"), F.col("loop").alias("_loop"), F.col("away").alias("_away"))
+        ahead = known.select(*keys, F.col("e").alias("next"), *(F.col(c).alias(f"_{c}") for c in ("next", "n", "loop", "away")))
         better = F.col("_loop") < F.col("loop")
         known = written(
             known.join(ahead, [*keys, "next"]).select(
-                *keys, "e", F.col("_next").alias("next"), "pixel", F.when(better, F.col("_loop")).otherwise(F.col("loop")).alias("loop"),
-                F.when(better, F.col("_away") + steps).otherwise(F.col("away")).alias("away"), better.alias("_moved"),
-            ), "edges",
+                *keys, "e", F.col("_next").alias("next"), (F.col("n") + F.col("_n")).alias("n"), F.when(better, F.col("_loop")).otherwise(F.col("loop")).alias("loop"),
+                F.when(better, F.col("n") + F.col("_away")).otherwise(F.col("away")).alias("away"), better.alias("_moved"),
+            ), "lines",
         )
         if known.where("_moved").isEmpty():
-            break
-        known, steps = known.drop("_moved"), steps * 2
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "loop"))
-    return known.select(*keys, "e", "pixel", "loop", F.pmod(n - F.col("away"), n).alias("place"))
+            return known.select(*keys, "e", "loop", "away")
+        known = known.drop("_moved")
 
 
-def contours(runs: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
+def contours(runs: DataFrame, keys: Sequence[str] = IMAGE, band: int = BAND) -> DataFrame:
     """(keys, loop, hole, n_edges, points): each closed line as the centres of the mask's pixels along it, in order from the
-    first by line; outer ones clockwise (y down), those around holes the other way."""
+    first by line; outer ones clockwise (y down), those around holes the other way. ``loop`` is struct (y, x, turn), its first edge."""
     keys = list(keys)
-    each = loops(boundary_edges(runs, keys), keys)
-    e = F.col("e")
-    # twice the signed area that the edges enclose: holes are negative
-    part = F.when(e["turn"] == RIGHT, -e["y"]).when(e["turn"] == LEFT, e["y"]).otherwise(0)
-    found = each.groupBy(*keys, "loop").agg(
-        (F.sum(part) < 0).alias("hole"), F.count(F.lit(1)).alias("n_edges"), F.sort_array(F.collect_list(F.struct("place", "pixel"))).alias("p")
-    )
+    safe_unions(runs.sparkSession)
+    drawn = written(pieces(runs, keys, band), "pieces")
+    found, open_ = drawn.where("closed").select(*keys, F.col("e").alias("loop"), "area", "n", "p"), drawn.where("not closed")
+    if not open_.isEmpty():
+        parts = F.sort_array(F.collect_list(F.struct((F.col("away") > 0).alias("later"), (-F.col("away")).alias("place"), "p")))
+        joined = open_.join(_lines(open_, keys), [*keys, "e"]).groupBy(*keys, "loop")
+        joined = joined.agg(F.sum("area").alias("area"), F.sum("n").alias("n"), F.flatten(F.transform(parts, lambda v: v["p"])).alias("p"))
+        found = found.unionByName(joined)
     before = lambda i: F.get(F.col("p"), i - 1)
-    walked = F.filter("p", lambda v, i: (i == 0) | (v["pixel"] != before(i)["pixel"]))
+    walked = F.filter("p", lambda v, i: (i == 0) | (v != before(i)))
     # edges at the end may be of the first pixel again
-    again = G.bound(walked, lambda w: F.when((F.size(w) > 1) & (F.element_at(w, -1)["pixel"] == F.get(w, F.lit(0))["pixel"]), F.slice(w, 1, F.size(w) - 1)).otherwise(w))
-    return found.select(*keys, "loop", "hole", "n_edges", F.transform(again, lambda v: G.point(v["pixel"]["x"], v["pixel"]["y"])).alias("points"))
+    again = G.bound(walked, lambda w: F.when((F.size(w) > 1) & (F.element_at(w, -1) == F.get(w, F.lit(0))), F.slice(w, 1, F.size(w) - 1)).otherwise(w))
+    points = F.transform(again, lambda v: G.point(v["x"], v["y"]))
+    # holes enclose negative areas
+    return found.select(*keys, "loop", (F.col("area") < 0).alias("hole"), F.col("n").alias("n_edges"), points.alias("points"))
 
 
 def mask_rings(runs: DataFrame, keys: Sequence[str] = IMAGE, epsilon: float = 1e-4) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import contours as C
@@ -51,6 +52,21 @@ def test_loops(spark):
     assert {r.id: r["count"] for r in holes} == {i: n for i in a if (n := sum(r.hole for r in found if r.id == i))}
 
 
+@pytest.mark.parametrize("band", [1, 2, 5])
+def test_lines_over_bands(spark, band):
+    a = images(6, n=3, width=14, height=12, share=0.6)
+    a[8] = {(x, y - 7) for x in range(9) for y in range(12)} - {(x, y - 7) for x in range(2, 7) for y in range(3, 9)}
+    expected = {(i, *s): v for i, p in a.items() for s, v in plain_loops(p).items()}
+    found = C.contours(runs(spark, a), band=band).collect()
+    assert {(r.id, *r.loop): ([(p.x, p.y) for p in r.points], r.n_edges) for r in found} == expected
+    assert sorted(r.hole for r in found if r.id == 8) == [False, True]
+
+
+def test_a_line_within_a_band_is_one_row(spark):
+    a = {i: {(x, y) for x in range(30) for y in range(20)} for i in range(3)}
+    assert sorted(C.pieces(runs(spark, a)).select("id", "closed", "n").collect()) == [(i, True, 100) for i in range(3)]
+
+
 def test_rings_give_the_mask_back(spark):
     rng = random.Random(3)
     a = {}
