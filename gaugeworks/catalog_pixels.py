@@ -129,7 +129,9 @@ _FOCUS_SQL = f"""
 def focus_measures(spark: SparkSession, d: str) -> DataFrame:
     """The sharpness of each line of the suppliers' images."""
     k, x, y = F.col("s_suppkey"), F.col("x"), F.col("y")
-    rows = spread(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(17))))
+    # a task sorts its images' pixels, then lines with an array for each stencil: about 100,000 pixels at a time
+    suppliers = spread(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 250)
+    rows = suppliers.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(17))))
     pixels = rows.select(k.alias("id"), "x", "y", ((x * x * 7 + y * y * 5 + x * y * (k % 7 + 1)) % 256).alias("value"))
     found = focus.sharpness(focus.image_lines(pixels))
     mean = F.aggregate("focus", F.lit(0.0), lambda a, v: a + v) / F.size("focus")

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from gaugeworks.catalog_pixels import focus_measures
 from gaugeworks.operators import focus as S
 
 
@@ -83,3 +85,9 @@ def test_sharpening(spark, stack):
     assert (back(S.sharpened(lines, 0).collect()) == stack[2]).all()
     pixels = S.image_pixels(lines)
     assert (back(S.image_lines(pixels).collect()) == stack[2]).all()
+
+
+def test_no_task_holds_many_images(spark, tmp_path):
+    spark.range(1, 1501).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    tasks = focus_measures(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count_distinct("id").alias("n")).collect()
+    assert sum(t.n for t in tasks) == 1500 and max(t.n for t in tasks) <= 400
