@@ -89,7 +89,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     def counted(found):
         for (lang, size), counts in found.items():
             n = len(counts)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32())]
+            columns = [pa.array([lang] * n, pa.int32()), pa.array([size] * n, pa.int32())]
             columns += [pa.array(list(counts), pa.string()), pa.array(counts.values(), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "token", "n"])
 
@@ -97,7 +97,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         found, held = defaultdict(Counter), 0
         for part in chain.from_iterable(map(slices, batches)):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
-                counts = found[lang, 0]
+                counts = found[place[lang], 0]
                 held -= len(counts)
                 counts.update(words_of(text.as_py()))
                 held += len(counts)
@@ -121,18 +121,24 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
                 found = defaultdict(dict)
         yield from counted(found)
 
-    rows, schema, same = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "lang string, size int, token string, n long", ["lang", "size", "token"]
+    rows, schema, same = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "lang int, size int, token string, n long", ["lang", "size", "token"]
+    labels = sorted(r.lang for r in rows.select("lang").where("lang is not null").distinct().collect())
+    place = {lang: i for i, lang in enumerate(labels)}
     counts = rows.where("lang is not null and text is not null").mapInArrow(count_words, schema)
     counts = written(counts.groupBy(*same).agg(F.sum("n").alias("n")), "lang-words")
     parts = counts.repartition(partitions, *same).mapInArrow(count_grams, schema).groupBy(*same).agg(F.sum("n").alias("n"))
     every = counts.unionByName(written(parts, "lang-grams"))
     totals = [tuple(r) for r in every.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()]  # six rows for each language
-    langs = sorted({lang for lang, _, _ in totals})
+    used = sorted({lang for lang, _, _ in totals})  # languages whose texts have words
     most = {size: max(total for _, s, total in totals if s == size) for _, size, _ in totals}
-    scale = [(lang, size, langs.index(lang), 2.0 * most[size] / total) for lang, size, total in totals]
-    scale = spark.createDataFrame(scale, "lang string, size int, place int, scale double")
-    gain = F.round(F.log(F.col("n") * F.col("scale")) * UNIT).cast("long")
-    tokens = every.join(F.broadcast(scale), ["lang", "size"]).select("size", "token", F.col("place").alias("lang"), gain.alias("gain"))
+    width = len(ORDERS) + 1
+    scale, at = [0.0] * max(1, len(labels) * width), [used.index(i) if i in used else -1 for i in range(max(1, len(labels)))]
+    for lang, size, total in totals:
+        scale[lang * width + size] = 2.0 * most[size] / total
+    # looked up by place, as a join would send the same few numbers again to each use of the tokens
+    gain = F.round(F.log(F.col("n") * F.get(F.lit(scale), F.col("lang") * width + F.col("size"))) * UNIT).cast("long")
+    tokens = every.select("size", "token", F.get(F.lit(at), F.col("lang")).alias("lang"), gain.alias("gain"))
+    langs = [labels[i] for i in used]
     return Model(langs, tokens, _cached(counts, tokens, len(langs)))
 
 
@@ -204,7 +210,9 @@ def _read(rows: DataFrame, model: Model, text_at: int, keep: list[int], name: st
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(found, _READ_ARROW)], [*names, name])
 
     numbered = rows.withColumn(f"{name}_uid", F.monotonically_increasing_id())
-    return written(numbered.mapInArrow(run, f"{shape}, `{name}` {_READ}" if keep else f"`{name}` {_READ}"), "lang-read")
+    found = written(numbered.mapInArrow(run, f"{shape}, `{name}` {_READ}" if keep else f"`{name}` {_READ}"), "lang-read")
+    shared.destroy()  # the driver and the executors hold the words no longer than that
+    return found
 
 
 def _heavy(rows: DataFrame) -> list[tuple]:

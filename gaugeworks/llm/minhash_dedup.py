@@ -11,7 +11,7 @@ bucket's leader and with its neighbour when sorted by the next band, so pairs gr
 its square. A bucket that holds a thousandth of all rows is dealt out to several tasks, each of which pairs
 its members with the leader of all and with neighbours. Candidates are verified by exact weighted Jaccard
 similarity. Classes are the connected components of verified pairs, found by minimum labels over links and
-shortcuts through labels; minima are partly taken before a shuffle, and the joins by label and by linked document have
+shortcuts through labels, by digests that have links only; links found later join classes, not documents; minima are partly taken before a shuffle, and the joins by label and by linked document have
 one row on one side, so adaptive execution can split a large class or a document with many links. Then larger buckets that still span several classes are looked at again: ``ROUNDS``
 times neighbours of different classes are verified, which is cheap and joins most; at last every pair of members
 of different classes is, block by block (:func:`open_links`), so no link within a bucket is missed.
@@ -414,24 +414,32 @@ def open_links(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: np.
     return rows.select("task", "side", "digest", "label", "text").groupBy("task").applyInArrow(run, "a binary, b binary").distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(digest, label): the smallest digest of each connected component."""
+def components(links: DataFrame) -> DataFrame:
+    """(digest, label): the smallest digest of each connected component, for every digest of ``links``."""
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-links")
-    labels = written(nodes.select("digest", F.col("digest").alias("label")), "near-labels")
+    told = both.select(F.col("a").alias("digest"), F.least("a", "b").alias("label"), F.col("a").alias("old"))
     while True:
-        told = (
-            both.join(labels.select(F.col("digest").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("digest"))
-            .agg(F.min("label").alias("least"))
-        )
-        lower = written(
-            labels.join(told, "digest", "left").select("digest", F.col("label").alias("old"), F.least("label", "least").alias("label")), "near-labels"
-        )
+        lower = written(told.groupBy("digest").agg(F.min("label").alias("label"), F.max("old").alias("old")), "near-labels")
         parent = lower.select(F.col("digest").alias("label"), F.col("label").alias("up"))
         labels = written(lower.join(parent, "label").select("digest", F.col("up").alias("label"), (F.col("up") != F.col("old")).alias("moved")), "near-labels")
         if not labels.where("moved").head(1):
             return labels.select("digest", "label")
-        labels = labels.select("digest", "label")
+        own = labels.select("digest", "label", F.col("label").alias("old"))
+        heard = both.join(labels.select(F.col("digest").alias("b"), "label"), "b")
+        told = own.unionByName(heard.select(F.col("a").alias("digest"), "label"), allowMissingColumns=True)
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (digest, label) after more ``links``: only the classes that these join are worked out anew."""
+    ends = links.select("a", "b")
+    for side in "ab":
+        ends = ends.join(labels.select(F.col("digest").alias(side), F.col("label").alias(f"{side}_label")), side)
+    return _renamed(labels, components(ends.where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()))
+
+
+def _renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
+    up = names.select(F.col("digest").alias("label"), F.col("label").alias("up"))
+    return written(labels.join(up, "label", "left").select("digest", F.coalesce("up", "label").alias("label")), "near-labels")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -453,7 +461,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.join(used.hint("merge"), ["id", "th"]).select("digest", "text").dropDuplicates(["digest"]), "near-texts"
     )
     links = written(verified(pairs, texts, idf, threshold), "near-links")
-    labels = components(nodes, links)
+    labels = _renamed(nodes.select("digest", F.col("digest").alias("label")), components(links))
     for _ in range(ROUNDS):
         more = written(later_pairs(members, labels).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
         if not more.head(1):
@@ -462,11 +470,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = pairs.unionByName(more)
         if not found.head(1):
             break
-        links = links.unionByName(found)
-        labels = components(nodes, links)
+        labels = joined(labels, found)
     found = written(open_links(members, labels, texts, idf, threshold), "near-links")
     if found.head(1):
-        labels = components(nodes, links.unionByName(found))
+        labels = joined(labels, found)
     firsts = nodes.join(labels, "digest").select("digest", "label", "first")
     least = written(firsts.groupBy("label").agg(F.min("first").alias("first")), "near-firsts")
     return signed.select("id", "th", "digest"), written(firsts.select("digest", "label").join(least, "label").select("digest", "first"), "near-classes")

@@ -160,3 +160,17 @@ def test_blocks_join_what_brute_force_joins(split):
 
 def test_empty(spark):
     assert M.near_dedup(awkward(spark).limit(0)).count() == 0 and M.drop_near_copies(awkward(spark).limit(0)).count() == 0
+
+
+def test_later_links_join_classes(spark):
+    """The smallest digest names a class, whether its links come at once or later; only the classes they join are looked at."""
+    name = lambda i: i.to_bytes(2, "big")
+    chains = [(i, i + 1) for n in range(0, 90, 30) for i in range(n, n + 29)]
+    frame = lambda rows: spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in rows], "a binary, b binary")
+    found = {bytes(r.digest): bytes(r.label) for r in M.components(frame(chains)).collect()}
+    assert found == {name(i): name(i // 30 * 30) for i in range(90)}
+    labels = spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in found.items()] + [(bytearray(name(99)),) * 2], "digest binary, label binary")
+    more = {bytes(r.digest): bytes(r.label) for r in M.joined(labels, frame([(70, 45), (62, 61)])).collect()}
+    assert more == {name(i): name(0 if i < 30 else 30) for i in range(90)} | {name(99): name(99)}
+    none = {bytes(r.digest): bytes(r.label) for r in M.joined(labels, frame([])).collect()}
+    assert none == found | {name(99): name(99)}

@@ -299,3 +299,16 @@ def test_search_takes_components_of_any_size(spark, power):
         if power != 200:  # there products are infinite
             best = sorted((i for i in scores if i != q), key=lambda i: (-scores[i], i))[:20]
             assert [r.vec_id for r in mine] == best
+
+
+def test_tokens_send_nothing_again(spark, small):
+    """What turns counts into gains is part of the expression: no use of the tokens sends a table of scales to all tasks."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_id.train(docs)
+    assert "Broadcast" not in model.tokens._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, None, "en"), (2, "12 34", "aa"), (3, "words of a text", "fr"), (4, "other words", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = language_id.train(frame)
+    assert some.langs == ["fr"] and {r.lang for r in some.tokens.select("lang").distinct().collect()} == {0}
+    none = language_id.train(frame.where("doc_id < 3"))
+    assert none.langs == [] and none.tokens.count() == 0
