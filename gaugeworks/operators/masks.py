@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import safe_unions, written
+from ..session import many, safe_unions, written
 from .graph import connected
 
 #: Lines that one task joins at a time.
@@ -357,10 +357,10 @@ def run_overlaps(left: DataFrame, right: DataFrame, within: Sequence[str] = (),
         return runs.select(*within, "y", cells.alias("_cell"), F.col("id").alias(side), F.col("x0").alias(f"{side}0"), F.col("x1").alias(f"{side}1"))
 
     start, end = F.greatest("a0", "b0"), F.least("a1", "b1")
-    met = put(left, "a").join(put(right, "b"), [*within, "y", "_cell"]).where((start <= end) & (F.floor(start / cell) == F.col("_cell")))
+    met = put(left, "a").join(many(put(right, "b")), [*within, "y", "_cell"]).where((start <= end) & (F.floor(start / cell) == F.col("_cell")))
     common = met.groupBy(*within, "a", "b").agg(F.sum(end - start + 1).alias("common"))
     areas = [r.groupBy(*within, F.col("id").alias(side)).agg(F.sum(F.expr("x1 - x0 + 1")).alias(f"{side}_area")) for r, side in ((left, "a"), (right, "b"))]
-    found = common.join(areas[0], [*within, "a"]).join(areas[1], [*within, "b"])
+    found = common.join(many(areas[0]), [*within, "a"]).join(many(areas[1]), [*within, "b"])
     return found.select(*within, "a", "b", "common", (F.col("common") / (F.col("a_area") + F.col("b_area") - F.col("common"))).alias("iou"))
 
 
