@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import query, r4
 from .functions import geometry as G
 from .operators import contours, masks, sequential
-from .session import table
+from .session import many, table
 
 #: Masks of 24 x 16 pixels, one for each supplier, and what is taken off them; for DuckDB.
 PIXELS_SQL = """
@@ -226,7 +226,7 @@ def ring_iou(spark: SparkSession, d: str) -> DataFrame:
 def suppress_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Of the shapes of an image those that overlap no larger kept one by half."""
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (-F.col("p_size")).alias("first"))
-    rows = _rings(table(spark, d, "part")).join(parts, "id").select(F.floor(F.col("id") / 8).alias("image"), F.col("id").alias("part"), "first", "rings")
+    rows = _rings(table(spark, d, "part")).join(many(parts), "id").select(F.floor(F.col("id") / 8).alias("image"), F.col("id").alias("part"), "first", "rings")
     return sequential.greedy_shapes(rows, ["image"], ["first", "part"], 0.5).select("image", F.col("part").alias("id"))
 
 

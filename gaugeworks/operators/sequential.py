@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import few, written
+from ..session import few, many, written
 
 _BOX = ["min_x", "min_y", "max_x", "max_y"]
 #: Boxes of a group that are all compared with each other.
@@ -92,11 +92,11 @@ def greedy_kept(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = written(pairs.where("a < b").select("a", "b"), "box-pairs")
     gone = None
     while pairs.head(1):
-        decided = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        decided = pairs.join(many(pairs.select(F.col("b").alias("a")).distinct()), "a", "left_anti")
         now = written(decided.select("b").distinct(), "boxes-gone")
         gone = now if gone is None else gone.unionByName(now)
-        pairs = written(pairs.join(now, "b", "left_anti").join(now.withColumnRenamed("b", "a"), "a", "left_anti"), "box-pairs")
-    kept = rows if gone is None else rows.join(gone.withColumnRenamed("b", "id"), "id", "left_anti")
+        pairs = written(pairs.join(many(now), "b", "left_anti").join(many(now.withColumnRenamed("b", "a")), "a", "left_anti"), "box-pairs")
+    kept = rows if gone is None else rows.join(many(gone.withColumnRenamed("b", "id")), "id", "left_anti")
     return kept.drop("id")
 
 
